@@ -3,15 +3,73 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat_format import format_conversations, read_back
+from .decontam import leaks
+from .license_scan import scan_licenses
+from .media import text_media
 from .near_dedup import near_duplicates
+from .packing import best_fit
 from .shared import table
+from .suffix_dedup import remove_repeats
+from .toxicity import score_toxicity
+from .url_filter import judge_urls
+from .warc import archive_pages
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
-QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup}
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{said}'), (-1L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
+    return read_back(format_conversations(rows.union(extra)))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit(table(spark, sf_dir, "documents"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = text_media(table(spark, sf_dir, "documents"))
+    keys = F.transform(F.slice("keyframes", 1, 4), lambda k: F.concat_ws("+", k["start"], k["length"]))
+    feature = F.concat_ws(
+        ";", "codec", F.concat_ws("/", "duration", "timescale"), F.concat_ws("=", F.lit("frames"), "frames"), F.concat_ws("=", F.lit("keyframes"), F.size("keyframes")), F.array_join(keys, ",")
+    )
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "keyframes")
+
+
+def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(spark, table(spark, sf_dir, "pages"))
+
+
+def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_minhash_near_dedup, op2_chat_format, op3_url_filter, op4_suffix_dedup, op5_best_fit_packing,
+    op6_license_scan, op7_media_columns, op8_warc_round_trip, op9_benchmark_leaks, op10_toxicity,
+)}
 
 ORACLE_SQL: dict[str, str] = {}
