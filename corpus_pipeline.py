@@ -1,21 +1,67 @@
-"""The corpus pipeline: five stages over documents, each on what the last kept."""
+"""The corpus pipeline: five stages over documents, each on what the last kept.
+
+Columns besides those of documents are carried through the filtering stages
+as they are. Rows with a null text or doc_id pass every filter; an empty
+table passes as an empty table.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.decontam import leaks
 from plumbline.llm.near_dedup import near_duplicates
+from plumbline.llm.packing import best_fit
 from plumbline.llm.shared import materialize, table
+from plumbline.llm.suffix_dedup import remove_repeats
+from plumbline.llm.toxicity import THRESHOLD, fit, with_scores
+
+#: Bytes of a repeated passage that goes: 50 words of the shortest sort.
+PASSAGE_BYTES = 200
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    scored = with_scores(docs, fit(docs, table(spark, sf_dir, "labels")), "_toxic")
+    return scored.where(F.col("_toxic") < THRESHOLD).drop("_toxic")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: five-word shingles, similarity 0.8."""
-    keep = near_duplicates(docs, size=5, percent=80).where("kept")
-    return docs.join(keep.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi").union(docs.where("doc_id IS NULL"))
+    gone = near_duplicates(docs, size=5, percent=80).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that occur again anywhere are cut out of the texts.
+
+    A character that a cut leaves incomplete goes too. A document stays even
+    if nothing of it is left; n_chars is that of the new text.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    left = remove_repeats(docs, length=PASSAGE_BYTES, carry=tuple(rest), as_text=True)
+    return left.withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    gone = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the training sequences."""
+    return best_fit(docs)
 
 
-STAGES = [("near_dedup", drop_near_duplicates)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("suffix_dedup", cut_repeats),
+    ("decontamination", drop_leaks),
+    ("packing", pack),
+]
 
 #: SQL cannot express the stages; tests hold them against brute force.
 ORACLE_SQL = None
@@ -23,6 +69,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
