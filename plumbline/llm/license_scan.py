@@ -127,8 +127,8 @@ def _templates(scan: DataFrame) -> DataFrame:
     lined = hits.join(F.broadcast(postings), "word").groupBy("doc_id", "key", "template", (F.col("at") - F.col("place")).alias("shift"))
     lined = lined.agg(F.count(F.lit(1)).alias("met"), F.max("n_wanted").alias("n_wanted")).where("shift >= 0")
     lined = lined.join(F.broadcast(templates), "template").where(F.col("met") >= F.least("least", "n_wanted"))
-    key = [lined["doc_id"].eqNullSafe(files["doc_id"]), lined["key"] == files["key"]]
-    lined = lined.join(files, key).select(files["doc_id"], files["key"], "label", "said", "weight", "must", "shift", "words")
+    whole = files.select(F.col("doc_id").alias("file_id"), F.col("key").alias("file_key"), F.col("words"))
+    lined = lined.join(whole, F.col("doc_id").eqNullSafe(F.col("file_id")) & (F.col("key") == F.col("file_key")))
     there = F.transform("said", lambda w, i: F.coalesce(F.get(F.col("words"), F.col("shift") + i) == w, F.lit(False)))
     lined = lined.withColumn("there", there).where(F.forall("must", lambda i: F.get(F.col("there"), i)))
     add = lambda s, x: s + x

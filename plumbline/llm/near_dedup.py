@@ -16,12 +16,15 @@ lists:
 At similarity s >= 0.8 the count of equal coordinates is binomial (48, s):
 fewer than 22 occur less than once in 10 million pairs.
 
-A list is not expanded into all its pairs. Each member first meets the list's
-smallest class only; the links confirmed give components, and afterwards only
-pairs of members that are still in different components are compared. Long
-lists of which that leaves much are posted again under their rarest shingles
-(prefix filter on the sets), which is exact too. So no link is lost between
-components, and a group of n copies costs about n pairs.
+A list is not expanded into all its pairs. Each member first meets one pivot
+of the list; the links confirmed give components, and only lists that still
+hold several components stay open. A class of an open list whose shingles
+recur in too few other open classes cannot have a link left and goes (it
+would need percent/100 of its set in common with one of them); this removes
+documents that share a passage but little else. A second pivot is tried, and
+then the members of different components are compared whose counts of
+recurring shingles still allow a link. So no link is lost between components,
+and a group of n copies costs about n pairs.
 """
 
 from __future__ import annotations
@@ -40,9 +43,6 @@ from .textkit import U64, constants, shingle_sets
 
 COORDINATES = 48
 MATCHES = 22
-#: Lists up to this length compare their open pairs directly.
-SHORT_LIST = 64
-
 _A = constants(COORDINATES, 11)[:, None]
 _B = constants(COORDINATES, 12)[:, None]
 
@@ -68,21 +68,21 @@ def _signed(size: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(row, len(sets)),
+                        batch.column("text_key").slice(row, len(sets)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(offs, pa.array(sigs, pa.int32())),
                     ],
-                    ["doc_id", "n_shingles", "digest", "sig"],
+                    ["doc_id", "text_key", "n_shingles", "digest", "sig"],
                 )
 
     return run
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, digest of the set, signature) of whole texts."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _signed(size), "doc_id long, n_shingles long, digest binary, sig array<int>"
-    )
+    """(doc_id, hash of the text, n_shingles, digest of the set, signature) of whole texts."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_signed(size), "doc_id long, text_key long, n_shingles long, digest binary, sig array<int>")
 
 
 def _confirm(size: int, percent: int):
@@ -100,7 +100,7 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def _rarest(size: int):
+def _members(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, sets in shingle_sets(batch.column("text"), size):
@@ -131,25 +131,43 @@ class _Links:
         return full.select("a", "b", "ta", "tb").mapInArrow(_confirm(self.size, self.percent), "a long, b long")
 
 
-def _stars(posts: DataFrame) -> DataFrame:
-    """Each member of a list with the list's smallest member."""
-    heads = posts.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("token", "a")
-    return posts.join(heads, "token").where("a < id").select("a", F.col("id").alias("b")).distinct()
+def _stars(posts: DataFrame, turn: int) -> DataFrame:
+    """Each member of a list with the list's pivot: the smallest member, in later turns the smallest by hash."""
+    rank = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
+    pivots = posts.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), "id")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = posts.join(pivots.select("token", F.col("p.id").alias("pivot")), "token").where("id <> pivot")
+    return met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+
 
+def _open(posts: DataFrame, comps: DataFrame) -> DataFrame:
+    """Posts (token, id, comp) of the lists that hold several components."""
+    own = posts.select("token", "id").join(comps.select(F.col("node").alias("id"), "component"), "id", "left")
+    own = own.select("token", "id", F.coalesce("component", "id").alias("comp"))
+    lists = own.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    return own.join(lists.select("token"), "token")
 
-def _labelled(posts: DataFrame, comps: DataFrame) -> DataFrame:
-    """Posts of the lists that still hold several components, with their component."""
-    own = posts.join(comps.select(F.col("node").alias("id"), "component"), "id", "left")
-    own = own.withColumn("comp", F.coalesce("component", "id")).select("token", "id", "comp")
-    open_lists = own.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("length")).where("lo < hi")
-    return own.join(open_lists.select("token", "length"), "token")
+
+def _possible(links: _Links, posts: DataFrame) -> DataFrame:
+    """Posts of classes that can have a link to another class of posts, with n and s.
+
+    n is the size of the set and s how many of its shingles another of these
+    classes has. No intersection is larger than s.
+    """
+    ids = posts.select("id").distinct()
+    values = links.texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_members(links.size), "id long, token long")
+    values = materialize(values, "shingles")
+    again = values.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
+    held = values.join(again, "token").groupBy("id").agg(F.count(F.lit(1)).alias("s")).join(links.classes.select("id", "n"), "id")
+    return posts.join(held.where(F.col("s") * 100 >= F.col("n") * links.percent), "id")
 
 
-def _across(posts: DataFrame) -> DataFrame:
-    """Pairs of a list's members that are in different components."""
-    x = posts.select("token", F.col("id").alias("a"), F.col("comp").alias("ca"))
-    y = posts.select("token", F.col("id").alias("b"), F.col("comp").alias("cb"))
-    return x.join(y, "token").where("a < b AND ca <> cb").select("a", "b").distinct()
+def _across(posts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a list's members in different components that n and s allow to be linked."""
+    x = posts.select("token", *(F.col(c).alias(f"{c}1") for c in ("id", "comp", "n", "s")))
+    y = posts.select("token", *(F.col(c).alias(f"{c}2") for c in ("id", "comp", "n", "s")))
+    most = F.least("s1", "s2")
+    allowed = most * 100 >= (F.col("n1") + F.col("n2") - most) * percent
+    return x.join(y, "token").where(F.expr("id1 < id2 AND comp1 <> comp2") & allowed).select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -159,13 +177,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     similarity of at least ``percent``/100; component_id is the smallest
     doc_id reachable. A text of fewer words is one shingle; a null, empty or
     blank text has no shingle, no link, and is kept. A row without doc_id is
-    kept, with no component_id. Repeated rows of one doc_id link to
-    themselves and are all kept or all dropped. Other columns are not read.
+    kept, with no component_id. Rows of one doc_id are one document, with the
+    links of all its texts, and are all kept or all dropped. Other columns
+    are not read.
     """
     signed = materialize(signatures(docs, size), "signatures")
     named = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = materialize(
-        named.groupBy("digest").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.min("sig").alias("sig"), F.max("doc_id").alias("last")),
+        named.groupBy("digest")
+        .agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.max("n_shingles").alias("n"), F.min("sig").alias("sig"))
+        .select("digest", F.col("one.doc_id").alias("id"), "one.text_key", "n", "sig"),
         "classes",
     )
 
@@ -175,19 +196,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     posts = shared_tokens.select("id", F.explode(F.slice("ts", F.lit(1), F.size("ts") - (MATCHES - 1))).alias("t")).select("id", F.col("t.token").alias("token"))
     posts = materialize(posts, "posts")
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = materialize(texts.join(posts.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
+    wanted = classes.join(posts.select("id").distinct(), "id", "left_semi").select("id", "text_key")
+    texts = materialize(texts.join(wanted, ["id", "text_key"], "left_semi").dropDuplicates(["id", "text_key"]).select("id", "text"), "texts")
     links = _Links(classes, texts, size, percent)
 
-    edges = materialize(links.confirm(_stars(posts)), "links")
-    comps = materialize(components(edges), "components")
-    open_posts = materialize(_labelled(posts, comps), "open")
-    more = links.confirm(_across(open_posts.where(F.col("length") <= SHORT_LIST)))
-    edges = materialize(edges.union(more), "links")
-
-    crowd = open_posts.where(F.col("length") > SHORT_LIST).select("id").distinct()
-    if not crowd.isEmpty():
-        edges = _crowded(links, edges, crowd, percent)
+    edges = materialize(links.confirm(_stars(posts, 0)), "links")
+    open_posts = materialize(_open(posts, materialize(components(edges), "components")), "open")
+    if not open_posts.isEmpty():
+        open_posts = materialize(_possible(links, open_posts), "open")
+        edges = materialize(edges.union(links.confirm(_stars(open_posts, 1))), "links")
+        labelled = _open(open_posts, materialize(components(edges), "components"))
+        labelled = labelled.join(open_posts.select("id", "n", "s").distinct(), "id")
+        edges = materialize(edges.union(links.confirm(_across(labelled, percent))), "links")
     comps = components(edges)
 
     member = signed.join(classes.select("digest", F.col("id").alias("class_id")), "digest", "left")
@@ -197,24 +218,3 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
     )
 
-
-def _crowded(links: _Links, edges: DataFrame, crowd: DataFrame, percent: int) -> DataFrame:
-    """Links among the classes of long open lists, by their rarest shingles.
-
-    Two sets of similarity p/100 share one of the n - ceil(n p/100) + 1 rarest
-    shingles of either, in an order that is the same everywhere, so posting
-    only those loses nothing.
-    """
-    values = materialize(
-        links.texts.join(crowd, "id", "left_semi").select("id", "text").mapInArrow(_rarest(links.size), "id long, token long"), "crowd"
-    )
-    df = values.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    # shingles of one class alone are its rarest: they fill the prefix first and are not posted
-    held = values.join(df, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))
-    held = held.join(links.classes.select("id", "n"), "id")
-    keep = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("ts"))
-    posts = held.where(keep > 0).select("id", F.explode(F.slice("ts", F.lit(1), keep.cast("int"))).alias("t")).select("id", F.col("t.token").alias("token"))
-    posts = materialize(posts, "posts")
-    edges = materialize(edges.union(links.confirm(_stars(posts))), "links")
-    posts = materialize(_labelled(posts, components(edges)), "open")
-    return materialize(edges.union(links.confirm(_across(posts))), "links")

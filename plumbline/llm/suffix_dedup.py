@@ -260,6 +260,8 @@ def repeats(cuts: list[memoryview], offset: np.ndarray, last: np.ndarray, group:
     partner[by[second - 1]] = cut[by[second]]
 
     found, chosen = [], np.flatnonzero(several)
+    if not len(chosen):
+        return found
     chosen = chosen[np.lexsort((distance[chosen], partner[chosen], cut[chosen]))]
     c, p, d = cut[chosen], partner[chosen], distance[chosen]
     ends = np.flatnonzero(np.concatenate((c[1:] != c[:-1], [True])) | np.concatenate((p[1:] != p[:-1], [True])) | np.concatenate((d[1:] != d[:-1] + 1, [True])))
