@@ -17,9 +17,10 @@ Documents without any licence word never leave the first scan.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import ascii_lower, materialize
@@ -97,6 +98,12 @@ def _first_scan(docs: DataFrame) -> DataFrame:
     )
 
 
+def _literal(spark: SparkSession, names: tuple[str, ...], rows: list[tuple]) -> DataFrame:
+    """A small fixed table as a literal of the plan."""
+    value = lambda x: F.array(*map(F.lit, x)) if isinstance(x, list) else F.lit(x)
+    return spark.range(1).select(F.inline(F.array(*(F.struct(*(value(x).alias(n) for n, x in zip(names, row, strict=True))) for row in rows))))
+
+
 def _templates(scan: DataFrame) -> DataFrame:
     """(doc_id, key, found labels, coverage) of documents with a verified template."""
     spark = scan.sparkSession
@@ -106,8 +113,7 @@ def _templates(scan: DataFrame) -> DataFrame:
     counts = files.select(F.explode(F.array_intersect(licence, F.col("words"))).alias("word")).groupBy("word").count()
     df = {row["word"]: row["count"] for row in counts.collect()}  # at most as many rows as the fixed vocabulary
     total = scan.count()
-    idf = spark.createDataFrame([(w, df.get(w, 0)) for w in vocabulary], "word string, df long")
-    idf = {r["word"]: r["idf"] for r in idf.select("word", F.log((F.lit(total) + 1) / (F.col("df") + 1)).alias("idf")).collect()}
+    idf = {w: math.log((total + 1) / (df.get(w, 0) + 1)) for w in vocabulary}
 
     rarest = F.array(*map(F.lit, sorted(vocabulary, key=lambda w: (-idf[w], w))))
     wanted = F.slice(F.array_intersect(rarest, F.col("words")), 1, LOOKED_UP)
@@ -121,8 +127,8 @@ def _templates(scan: DataFrame) -> DataFrame:
         must = [k + i for p in phrases for k in range(len(words)) if words[k : k + len(p.split())] == p.split() for i in range(len(p.split()))]
         posted += [(t, w, k) for k, w in enumerate(words) if w not in STOP_WORDS]
         known.append((t, label, words, [idf.get(w, 0.0) + 0.01 for w in words], must, min(2, len([w for w in words if w not in STOP_WORDS]))))
-    postings = spark.createDataFrame(posted, "template int, word string, place int")
-    templates = spark.createDataFrame(known, "template int, label string, said array<string>, weight array<double>, must array<int>, least int")
+    postings = _literal(spark, ("template", "word", "place"), posted)
+    templates = _literal(spark, ("template", "label", "said", "weight", "must", "least"), known)
 
     lined = hits.join(F.broadcast(postings), "word").groupBy("doc_id", "key", "template", (F.col("at") - F.col("place")).alias("shift"))
     lined = lined.agg(F.count(F.lit(1)).alias("met"), F.max("n_wanted").alias("n_wanted")).where("shift >= 0")

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from .shared import materialize
 from .textkit import ALNUM, LOWER, U64, run_hashes, slices, word_bounds
 
 MAX_TRAINING_ROWS = 20_000
-MAX_FEATURES = 8_192
+MAX_FEATURES = 4_096
 THRESHOLD = 0.3
 PENALTY = 1.0
 PLACES = 22
@@ -85,6 +86,25 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _narrowed(sent):
+    """The described texts with the numbers of their chosen features in place of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = sent.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                lists = part.column("places")
+                values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                at = np.minimum(np.searchsorted(chosen, values), len(chosen) - 1)
+                hit = chosen[at] == values
+                kept = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[hit], np.arange(part.num_rows + 1)), pa.int32()), pa.array(at[hit], pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), kept, part.column("terms")], ["toxic", "places", "terms"])
+
+    return run
+
+
 class Model:
     """Weights of places, and the intercept."""
 
@@ -151,16 +171,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -
     terms = [_of_word(w) for _, w in _TERMS]
     places = np.unique(np.concatenate((places, *(np.array(t, np.int64) for t in terms))))
 
-    held = F.array_intersect("places", F.array(*(F.lit(int(p)) for p in places))) if len(places) < 200 else F.col("places")
-    got = rows.select("toxic", held.alias("places"), "terms").toArrow()  # bounded by max_rows
+    sent = docs.sparkSession.sparkContext.broadcast(places)  # at most MAX_FEATURES, and the identity terms'
+    got = rows.mapInArrow(_narrowed(sent), "toxic int, places array<int>, terms array<int>").toArrow()  # bounded by max_rows
     labelled = got.column("toxic").to_numpy().astype(float)
     lists = got.column("places").combine_chunks()
     row = np.repeat(np.arange(len(labelled)), np.diff(lists.offsets.to_numpy()))
     col = lists.values.to_numpy().astype(np.int64)
-    at = np.minimum(np.searchsorted(places, col), len(places) - 1)
-    hit = places[at] == col
     swapped = _swaps(got.column("terms").to_pylist(), terms, places)
-    weights, intercept = _train(labelled, row[hit], at[hit], swapped, len(places))
+    weights, intercept = _train(labelled, row, col, swapped, len(places))
     return Model(places, weights, intercept)
 
 
