@@ -18,8 +18,11 @@ input; this sorts the few that can decide anything.
    extensions split the order into blocks for every offset, hashes of the part
    left of the anchor split the blocks, and what is still together repeats.
    Every repeat found is compared byte by byte before it counts.
-4. K-grams with more different reaches than ``large_group`` would fill a task:
-   their windows are dealt out one by one, by digest, and counted.
+4. K-grams with more different reaches than ``large_group`` would fill a task.
+   Their windows are taken in stretches of STRETCH: a stretch whose common
+   core is nowhere else repeats nowhere, one that is elsewhere as a whole
+   repeats throughout. Only the stretches between, which hold the very end of
+   a copy, are dealt out window by window, by digest, and counted.
 
 Nothing but counts of whole keys decides, so the result is the same however
 the rows are dealt out.
@@ -28,6 +31,7 @@ the rows are dealt out.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import fresh_path, materialize
 from .textkit import U64, constants, mix
 
 _BLOCK = 1 << 20
+#: Windows of a crowded k-gram that are judged together.
+STRETCH = 16
 _BYTE = constants(256, 21)
 
 
@@ -327,68 +333,119 @@ def _fitting(rows: pa.Table, length: int) -> Iterator[pa.Table]:
         begin = end
 
 
+_STRETCHES = pa.schema(
+    [("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("open", pa.bool_()), ("core", pa.binary()), ("all", pa.binary()), ("bytes", pa.binary())]
+)
+
+
+def _stretches(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows in stretches that begin at multiples of STRETCH before and after the anchor, so equal ones are cut alike."""
+        digest = lambda x: hashlib.blake2b(x, digest_size=16).digest()
+        for batch in batches:
+            for row in range(0, batch.num_rows, 512):
+                out: dict[str, list] = {name: [] for name in _STRETCHES.names}
+                for x in batch.slice(row, 512).to_pylist():
+                    begin = x["lo"]
+                    while begin <= x["hi"]:
+                        end = min(x["hi"], x["at"] - ((x["at"] - begin) // STRETCH * STRETCH))
+                        held = x["cut"][begin - x["lo"] : end - x["lo"] + length]
+                        for name, value in zip(_STRETCHES.names, (x["doc_id"], x["key"], begin, x["open"], digest(held[end - begin : length]), digest(held), held), strict=True):
+                            out[name].append(value)
+                        begin = end + 1
+                yield pa.RecordBatch.from_pydict(out, schema=_STRETCHES)
+
+    return run
+
+
 _WINDOWS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("open", pa.bool_()), ("digest", pa.binary())])
 
 
 def _windows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(0, batch.num_rows, 128):
-                part = batch.slice(row, 128)
-                counts = part.column("hi").to_numpy() - part.column("lo").to_numpy() + 1
-                index = pa.array(np.repeat(np.arange(part.num_rows), counts))
-                digests = [hashlib.blake2b(v[i : i + length], digest_size=16).digest() for v, n in zip((memoryview(x.as_buffer()) for x in part.column("cut")), counts.tolist(), strict=True) for i in range(n)]
-                start = np.concatenate([np.arange(a, a + n) for a, n in zip(part.column("lo").to_numpy(), counts, strict=True)])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(index), part.column("key").take(index), pa.array(start), part.column("open").take(index), pa.array(digests, pa.binary())], schema=_WINDOWS
-                )
+            for row in range(0, batch.num_rows, 1024):
+                out: dict[str, list] = {name: [] for name in _WINDOWS.names}
+                for x in batch.slice(row, 1024).to_pylist():
+                    for i in range(len(x["bytes"]) - length + 1):
+                        for name, value in zip(_WINDOWS.names, (x["doc_id"], x["key"], x["start"] + i, x["open"], hashlib.blake2b(x["bytes"][i : i + length], digest_size=16).digest()), strict=True):
+                            out[name].append(value)
+                yield pa.RecordBatch.from_pydict(out, schema=_WINDOWS)
 
     return run
 
 
+def _crowded(cuts: DataFrame, length: int) -> DataFrame:
+    """(doc_id, key, start, end) of repeats among the cuts of crowded k-grams."""
+    parts = materialize(
+        cuts.mapInArrow(_stretches(length), "doc_id long, key long, start long, open boolean, core binary, all binary, bytes binary"), "stretches"
+    )
+    alls = parts.groupBy("all").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "key", "start")).alias("one"), F.first("core").alias("core"))
+    alls = materialize(alls, "kinds")
+    whole = parts.where("open").join(alls.where("n > 1").select("all"), "all").select("doc_id", "key", "start", (F.col("start") + F.octet_length("bytes")).alias("end"))
+    # one stretch of each kind stands for all, wherever its core is in more than one kind
+    mixed = alls.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select("core")
+    some = alls.join(mixed, "core").select("one.*", (F.col("n") == 1).alias("single"))
+    some = parts.join(some, ["doc_id", "key", "start"]).select("doc_id", "key", "start", (F.col("open") & F.col("single")).alias("open"), "bytes")
+    dealt = materialize(some.mapInArrow(_windows(length), "doc_id long, key long, start long, open boolean, digest binary"), "windows")
+    twice = dealt.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+    return whole.union(dealt.where("open").join(twice, "digest").select("doc_id", "key", "start", (F.col("start") + length).alias("end")))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, key and text as bytes. key tells rows of one doc_id with different texts apart."""
+    """The documents with a key of two longs that are never null, and the text as bytes.
+
+    The first is the doc_id where there is one. The second, a hash of the
+    text, tells rows of one doc_id with different texts apart.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.cast("binary").alias("text"))
+    key = F.xxhash64(text)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), key).alias("doc_key"), key.alias("key"), text.cast("binary").alias("text"), *_others(docs))
+
+
+def _others(docs: DataFrame) -> list:
+    return [F.col("doc_id").cast("long").alias("doc_id"), *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text"))]
+
 
+def _bucketed(rows: DataFrame) -> DataFrame:
+    """rows as a table bucketed by its key. Texts are shuffled once, here; every later join moves only the other side."""
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"plumbline_texts_{uuid.uuid4().hex}"
+    dealt = rows.repartition(n, "doc_key", "key")
+    dealt.write.bucketBy(n, "doc_key", "key").option("path", fresh_path(spark, "texts")).option("compression", "zstd").format("parquet").saveAsTable(name)
+    return spark.table(name)
 
-def _cuts(keyed: DataFrame, kinds: DataFrame, grams: DataFrame, length: int) -> DataFrame:
+
+def _cuts(texts: DataFrame, kinds: DataFrame, grams: DataFrame, length: int) -> DataFrame:
     """One cut of every reach of the given k-grams; open ones occur once."""
     parts = kinds.join(grams.select("gram", "kinds"), "gram").select("one.*", "gram", "kinds", (F.col("n") == 1).alias("open"))
-    parts = parts.groupBy("doc_id", "key").agg(F.collect_list(F.struct("at", "lo", "hi", "gram", "open", "kinds")).alias("parts"))
-    parts = parts.toDF("part_id", "part_key", "parts")
-    cuts = keyed.join(parts, F.col("doc_id").eqNullSafe(F.col("part_id")) & (F.col("key") == F.col("part_key")))
-    return cuts.select("doc_id", "key", "text", "parts").mapInArrow(
-        _cut(length), "doc_id long, key long, at long, lo long, hi long, gram long, open boolean, kinds long, cut binary"
-    )
+    parts = parts.groupBy("doc_key", "key").agg(F.collect_list(F.struct("at", "lo", "hi", "gram", "open", "kinds")).alias("parts"))
+    cuts = texts.select("doc_key", "key", "text").join(parts, ["doc_key", "key"]).select(F.col("doc_key").alias("doc_id"), "key", "text", "parts")
+    return cuts.mapInArrow(_cut(length), "doc_id long, key long, at long, lo long, hi long, gram long, open boolean, kinds long, cut binary")
 
 
-def repeated_ranges(docs: DataFrame, length: int = 400) -> DataFrame:
-    """(doc_id, key, ranges): for each document with repeats, [start, end) pairs of bytes, in order of start."""
-    keyed = _keyed(docs)
-    found = materialize(
-        keyed.where(F.octet_length("text") >= length).mapInArrow(
-            _anchored(length), "doc_id long, key long, at long, lo long, hi long, gram long, reach binary"
-        ),
-        "anchors",
-    )
-    kinds = found.groupBy("reach").agg(F.count(F.lit(1)).alias("n"), F.min("gram").alias("gram"), F.min(F.struct("doc_id", "key", "at", "lo", "hi")).alias("one"))
+def repeated_ranges(texts: DataFrame, length: int = 400) -> DataFrame:
+    """(doc_key, key, ranges): for each document with repeats, [start, end) pairs of bytes, in order of start.
+
+    texts is a bucketed table of ``_keyed`` documents.
+    """
+    long = texts.where(F.octet_length("text") >= length).select(F.col("doc_key").alias("doc_id"), "key", "text")
+    found = long.mapInArrow(_anchored(length), "doc_id long, key long, at long, lo long, hi long, gram long, reach binary")
+    found = materialize(found.withColumnRenamed("doc_id", "doc_key"), "anchors")
+    kinds = found.groupBy("reach").agg(F.count(F.lit(1)).alias("n"), F.min("gram").alias("gram"), F.min(F.struct("doc_key", "key", "at", "lo", "hi")).alias("one"))
     kinds = materialize(kinds, "reaches")
     several = kinds.where("n > 1").select("reach")
-    whole = found.join(several, "reach").select("doc_id", "key", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
+    whole = found.select("reach", "doc_key", "key", "lo", "hi").join(several, "reach").select("doc_key", "key", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
 
     mixed = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1")
-    limit, ranged = large_group(length), "doc_id long, key long, start long, end long"
-    small = _cuts(keyed, kinds, mixed.where(F.col("kinds") <= limit), length).repartition("gram").sortWithinPartitions("gram")
-    ranges = whole.union(small.mapInArrow(_sorted_repeats(length), ranged))
+    limit = large_group(length)
+    small = _cuts(texts, kinds, mixed.where(F.col("kinds") <= limit), length).repartition("gram").sortWithinPartitions("gram")
+    ranges = whole.union(small.mapInArrow(_sorted_repeats(length), "doc_id long, key long, start long, end long"))
     crowds = materialize(mixed.where(F.col("kinds") > limit), "crowds")
     if not crowds.isEmpty():
-        dealt = materialize(
-            _cuts(keyed, kinds, crowds, length).mapInArrow(_windows(length), "doc_id long, key long, start long, open boolean, digest binary"), "windows"
-        )
-        twice = dealt.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-        ranges = ranges.union(dealt.where("open").join(twice, "digest").select("doc_id", "key", "start", (F.col("start") + length).alias("end")))
-    return materialize(ranges, "ranges").groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("ranges"))
+        ranges = ranges.union(_crowded(_cuts(texts, kinds, crowds, length), length))
+    return materialize(ranges, "ranges").groupBy("doc_key", "key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("ranges"))
 
 
 def _runs(ranges: pa.Scalar) -> np.ndarray:
@@ -433,12 +490,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] =
     everything. Columns other than doc_id, text and those carried are not
     read.
     """
-    rows = docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = rows.withColumn("key", F.xxhash64(text)).withColumn("text", text.cast("binary"))
-    ranges = repeated_ranges(docs, length).toDF("range_id", "range_key", "ranges")
-    joined = rows.join(ranges, F.col("doc_id").eqNullSafe(F.col("range_id")) & (F.col("key") == F.col("range_key")), "left")
-    joined = joined.select("doc_id", *(f"_c{i}" for i in range(len(carry))), "text", "ranges")
+    wanted = {f"_c{i}": c for i, c in enumerate(docs.columns) if c in carry}
+    texts = _bucketed(_keyed(docs).select("doc_key", "key", "text", "doc_id", *wanted))
+    joined = texts.join(repeated_ranges(texts, length), ["doc_key", "key"], "left").select("doc_id", *wanted, "text", "ranges")
     kinds = dict(docs.dtypes)
-    schema = ", ".join(["doc_id long", *(f"_c{i} {kinds[c]}" for i, c in enumerate(carry)), "n_bytes long, n_removed long, n_spans long", f"kept {'string' if as_text else 'binary'}"])
-    return joined.mapInArrow(_kept(as_text), schema).toDF("doc_id", *carry, "n_bytes", "n_removed", "n_spans", "kept")
+    left = f"n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
+    schema = ", ".join(["doc_id long", *(f"{n} {kinds[c]}" for n, c in wanted.items()), left])
+    return joined.mapInArrow(_kept(as_text), schema).toDF("doc_id", *wanted.values(), "n_bytes", "n_removed", "n_spans", "kept")
