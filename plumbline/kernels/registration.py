@@ -1,0 +1,170 @@
+"""Rigid registration: nearest-neighbour ICP, similarity fits and a yaw pose graph, per small group."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def neighbours(a: np.ndarray, b: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """(index, distance) of each point's nearest in b within the radius, by grid cells; -1 without any."""
+    cell = lambda p: np.floor(p / radius).astype(np.int64)
+    held: dict[tuple, list[int]] = {}
+    for i, key in enumerate(map(tuple, cell(b))):
+        held.setdefault(key, []).append(i)
+    steps = np.stack(np.meshgrid(*[[-1, 0, 1]] * a.shape[1], indexing="ij"), -1).reshape(-1, a.shape[1])
+    found, gap = np.full(len(a), -1), np.full(len(a), np.inf)
+    for i, (p, c) in enumerate(zip(a, cell(a), strict=True)):
+        near = [j for s in steps for j in held.get(tuple(c + s), ())]
+        if near:
+            d = np.linalg.norm(b[near] - p, axis=1)
+            k = int(np.argmin(d))
+            if d[k] <= radius:
+                found[i], gap[i] = near[k], d[k]
+    return found, gap
+
+
+def similarity(src: np.ndarray, dst: np.ndarray, scale: bool = True) -> np.ndarray:
+    """The least-squares similarity (or rigid) transform src -> dst as a homogeneous matrix."""
+    d = src.shape[1]
+    ms, md = src.mean(0), dst.mean(0)
+    u, s, vt = np.linalg.svd((dst - md).T @ (src - ms) / len(src))
+    sign = np.ones(d)
+    sign[-1] = np.sign(np.linalg.det(u @ vt))
+    r = u @ np.diag(sign) @ vt
+    var = ((src - ms) ** 2).sum() / len(src)
+    c = float((s * sign).sum() / var) if scale and var > 0 else 1.0
+    t = np.eye(d + 1)
+    t[:d, :d], t[:d, d] = c * r, md - c * r @ ms
+    return t
+
+
+def robust_similarity(src: np.ndarray, dst: np.ndarray, threshold: float, rounds: int = 200, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(transform, inliers) by sampled three-point fits, refitted on the inliers of the best."""
+    rng = np.random.default_rng(seed)
+    best = np.zeros(len(src), bool)
+    for _ in range(rounds):
+        pick = rng.choice(len(src), min(3, len(src)), replace=False)
+        t = similarity(src[pick], dst[pick])
+        ok = np.linalg.norm(src @ t[:-1, :-1].T + t[:-1, -1] - dst, axis=1) <= threshold
+        if ok.sum() > best.sum():
+            best = ok
+    t = similarity(src[best], dst[best]) if best.sum() >= 3 else np.eye(src.shape[1] + 1)
+    return t, best
+
+
+def icp(src: np.ndarray, src_n: np.ndarray, dst: np.ndarray, dst_n: np.ndarray, radii: Sequence[float] = (0.3, 0.2, 0.1), rounds: int = 10) -> tuple[np.ndarray, float, float]:
+    """(4 x 4 transform, rmse, overlap): point-to-plane, partners within a shrinking radius and 45 degrees of normal."""
+    t = np.eye(4)
+    rmse, overlap = np.inf, 0.0
+    for radius in radii:
+        for _ in range(rounds):
+            p, n = src @ t[:3, :3].T + t[:3, 3], src_n @ t[:3, :3].T
+            j, _ = neighbours(p, dst, radius)
+            ok = (j >= 0) & ((n * dst_n[np.maximum(j, 0)]).sum(1) > np.sqrt(0.5))
+            overlap = float(ok.mean()) if len(ok) else 0.0
+            if ok.sum() < 6:
+                return t, np.inf, overlap
+            q, m, p = dst[j[ok]], dst_n[j[ok]], p[ok]
+            gap = ((q - p) * m).sum(1)
+            rmse = float(np.sqrt((gap**2).mean()))
+            rows = np.hstack((np.cross(p, m), m))
+            x = np.linalg.lstsq(rows, gap, rcond=None)[0]
+            step = np.eye(4)
+            step[:3, :3], step[:3, 3] = rotation(x[:3]), x[3:]
+            t = step @ t
+            if np.abs(x).max() < 1e-7:
+                break
+    return t, rmse, overlap
+
+
+def rotation(v: np.ndarray) -> np.ndarray:
+    """Rotation matrix of a rotation vector."""
+    angle = float(np.linalg.norm(v))
+    if angle < 1e-12:
+        return np.eye(3)
+    k = v / angle
+    cross = np.array([[0, -k[2], k[1]], [k[2], 0, -k[0]], [-k[1], k[0], 0]])
+    return np.eye(3) + np.sin(angle) * cross + (1 - np.cos(angle)) * cross @ cross
+
+
+def pose_graph(edges: pd.DataFrame, n: int, rounds: int = 50, huber: float = 1.5) -> np.ndarray:
+    """(n, 4) poses x, y, z, yaw, the first held at zero, of edges (i, j, x, y, z, yaw, sigma_xyz, sigma_yaw): j seen from i.
+
+    Gauss-Newton with Huber weights on each edge's whitened residual.
+    """
+    e = edges[["i", "j", "x", "y", "z", "yaw", "sigma_xyz", "sigma_yaw"]].to_numpy(float)
+    i, j = e[:, 0].astype(int), e[:, 1].astype(int)
+    pose = np.zeros((n, 4))
+    for a, b, m in sorted(zip(i, j, e[:, 2:6], strict=True), key=lambda r: (r[1], r[0])):
+        if b == a + 1:
+            c, s = np.cos(pose[a, 3]), np.sin(pose[a, 3])
+            pose[b] = pose[a] + [c * m[0] - s * m[1], s * m[0] + c * m[1], m[2], m[3]]
+    sigma = np.stack((e[:, 6], e[:, 6], e[:, 6], e[:, 7]), 1)
+    for _ in range(rounds):
+        c, s = np.cos(pose[i, 3]), np.sin(pose[i, 3])
+        d = pose[j] - pose[i]
+        own = np.stack((c * d[:, 0] + s * d[:, 1], -s * d[:, 0] + c * d[:, 1], d[:, 2], d[:, 3]), 1)
+        r = own - e[:, 2:6]
+        r[:, 3] = (r[:, 3] + np.pi) % (2 * np.pi) - np.pi
+        r /= sigma
+        size = np.linalg.norm(r, axis=1)
+        w = np.sqrt(np.where(size > huber, huber / np.maximum(size, 1e-12), 1.0))
+        rows = np.zeros((len(e), 4, 4 * n))
+        k = np.arange(len(e))
+        turn = np.zeros((len(e), 4, 4))
+        turn[:, 0, 0], turn[:, 0, 1], turn[:, 1, 0], turn[:, 1, 1], turn[:, 2, 2], turn[:, 3, 3] = c, s, -s, c, 1, 1
+        for a in range(4):
+            for b in range(4):
+                rows[k, a, 4 * j + b] += turn[:, a, b]
+                rows[k, a, 4 * i + b] -= turn[:, a, b]
+        rows[k, 0, 4 * i + 3] += -s * d[:, 0] + c * d[:, 1]
+        rows[k, 1, 4 * i + 3] += -c * d[:, 0] - s * d[:, 1]
+        rows *= (w[:, None] / sigma)[:, :, None]
+        x = np.linalg.lstsq(rows.reshape(-1, 4 * n)[:, 4:], -(r * w[:, None]).ravel(), rcond=None)[0]
+        pose[1:] += x.reshape(-1, 4)
+        if np.abs(x).max(initial=0.0) < 1e-9:
+            break
+    return pose
+
+
+def pose_graphs(edges: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, node, x, y, z, yaw) of each key's graph; nodes are numbered from 0."""
+    kinds = dict(edges.dtypes)
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["i", "j"])
+        n = int(rows[["i", "j"]].to_numpy().max()) + 1
+        out = pd.DataFrame(pose_graph(rows, n), columns=["x", "y", "z", "yaw"])
+        out.insert(0, "node", np.arange(n))
+        for name in reversed(list(by)):
+            out.insert(0, name, rows[name].iloc[0])
+        return out
+
+    return edges.groupBy(*by).applyInPandas(solve, ", ".join([*(f"{c} {kinds[c]}" for c in by), "node long, x double, y double, z double, yaw double"]))
+
+
+def register_pairs(points: DataFrame, pairs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, a, b, transform, rmse, overlap): ICP of segment a onto b for each candidate pair.
+
+    points (by, segment, x, y, z, nx, ny, nz), a voxel-thinned cloud a
+    segment; a group holds the two clouds of one pair.
+    """
+    kinds = dict(pairs.dtypes)
+    from pyspark.sql import functions as F
+
+    ends = pairs.select(*by, "a", "b", F.explode(F.array(F.struct(F.col("a").alias("segment"), F.lit("a").alias("side")), F.struct(F.col("b").alias("segment"), F.lit("b").alias("side")))).alias("e"))
+    met = ends.select(*by, "a", "b", "e.segment", "e.side").join(points, [*by, "segment"])
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["side", "x", "y", "z"])
+        take = lambda s, c: rows.loc[rows["side"] == s, c].to_numpy(float)
+        t, rmse, overlap = icp(take("a", ["x", "y", "z"]), take("a", ["nx", "ny", "nz"]), take("b", ["x", "y", "z"]), take("b", ["nx", "ny", "nz"]))
+        out = {name: [rows[name].iloc[0]] for name in (*by, "a", "b")}
+        return pd.DataFrame(out | {"transform": [t.ravel().tolist()], "rmse": [rmse], "overlap": [overlap]})
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in (*by, "a", "b")), "transform array<double>, rmse double, overlap double"])
+    return met.groupBy(*by, "a", "b").applyInPandas(solve, schema)

@@ -1,4 +1,6 @@
 """Registered queries over the given tables, with their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import core
+
+QUERIES = {**core.QUERIES}
+ORACLE_SQL = {**core.ORACLE_SQL}
