@@ -340,7 +340,7 @@ _STRETCHES = pa.schema(
 
 def _stretches(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Windows in stretches that begin at multiples of STRETCH before and after the anchor, so equal ones are cut alike."""
+        """Windows in stretches that end at multiples of STRETCH before the anchor, so equal ones are cut alike."""
         digest = lambda x: hashlib.blake2b(x, digest_size=16).digest()
         for batch in batches:
             for row in range(0, batch.num_rows, 512):
@@ -348,9 +348,12 @@ def _stretches(length: int):
                 for x in batch.slice(row, 512).to_pylist():
                     begin = x["lo"]
                     while begin <= x["hi"]:
-                        end = min(x["hi"], x["at"] - ((x["at"] - begin) // STRETCH * STRETCH))
+                        top = x["at"] - ((x["at"] - begin) // STRETCH * STRETCH)
+                        end = min(x["hi"], top)
                         held = x["cut"][begin - x["lo"] : end - x["lo"] + length]
-                        for name, value in zip(_STRETCHES.names, (x["doc_id"], x["key"], begin, x["open"], digest(held[end - begin : length]), digest(held), held), strict=True):
+                        # what all windows of the stretch have in common, were it whole: part of any of them
+                        core = x["cut"][top - x["lo"] : top - x["lo"] + length - STRETCH + 1]
+                        for name, value in zip(_STRETCHES.names, (x["doc_id"], x["key"], begin, x["open"], digest(core), digest(held), held), strict=True):
                             out[name].append(value)
                         begin = end + 1
                 yield pa.RecordBatch.from_pydict(out, schema=_STRETCHES)
