@@ -22,9 +22,9 @@ hold several components stay open. A class of an open list whose shingles
 recur in too few other open classes cannot have a link left and goes (it
 would need percent/100 of its set in common with one of them); this removes
 documents that share a passage but little else. A second pivot is tried, and
-then the members of different components are compared whose counts of
-recurring shingles still allow a link. So no link is lost between components,
-and a group of n copies costs about n pairs.
+then the members of different components are compared whose profiles (how
+many shingles recur, and a bit map of them) still allow a link. So no link is
+lost between components, and a group of n copies costs about n pairs.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +44,11 @@ from .textkit import U64, constants, shingle_sets
 
 COORDINATES = 48
 MATCHES = 22
+#: Words of 64 bits in the map of a profile.
+MAP_WORDS = 16
+#: Longer lists are compared in blocks of this many members.
+SHORT_LIST = 32
+BLOCK = 1024
 _A = constants(COORDINATES, 11)[:, None]
 _B = constants(COORDINATES, 12)[:, None]
 
@@ -147,27 +153,65 @@ def _open(posts: DataFrame, comps: DataFrame) -> DataFrame:
     return own.join(lists.select("token"), "token")
 
 
-def _possible(links: _Links, posts: DataFrame) -> DataFrame:
-    """Posts of classes that can have a link to another class of posts, with n and s.
+def _profiles(links: _Links, ids: DataFrame) -> DataFrame:
+    """(id, n, s, b0 ..): what bounds the intersections of the given classes with each other.
 
     n is the size of the set and s how many of its shingles another of these
-    classes has. No intersection is larger than s.
+    classes has. The b are a map of those shingles, one bit for each by hash:
+    a bit that only one of two classes has stands for a shingle at least that
+    the other lacks. Classes that can have no link are left out.
     """
-    ids = posts.select("id").distinct()
     values = links.texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_members(links.size), "id long, token long")
     values = materialize(values, "shingles")
     again = values.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
-    held = values.join(again, "token").groupBy("id").agg(F.count(F.lit(1)).alias("s")).join(links.classes.select("id", "n"), "id")
-    return posts.join(held.where(F.col("s") * 100 >= F.col("n") * links.percent), "id")
+    bits = [F.expr(f"bit_or(if(pmod(token, {MAP_WORDS}) = {w}, shiftleft(1L, cast(pmod(shiftright(token, 32), 64) AS int)), 0L))").alias(f"b{w}") for w in range(MAP_WORDS)]
+    held = values.join(again, "token").groupBy("id").agg(F.count(F.lit(1)).alias("s"), *bits).join(links.classes.select("id", "n"), "id")
+    return materialize(held.where(F.col("s") * 100 >= F.col("n") * links.percent), "profiles")
+
+
+def _allowed_pairs(percent: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """Pairs between two blocks of a list, or within one, that the profiles allow."""
+        x, y = (rows[rows["side"] == k].sort_values("id") for k in (0, 1))
+        y = y if len(y) else x
+        bits = [f"b{w}" for w in range(MAP_WORDS)]
+        by, ny, sy, iy, cy = y[bits].to_numpy(np.int64).view(U64), y["n"].to_numpy(), y["s"].to_numpy(), y["id"].to_numpy(), y["comp"].to_numpy()
+        out = []
+        for k in range(0, len(x), 128):
+            part = x.iloc[k : k + 128]
+            bx, nx, sx, ix, cx = part[bits].to_numpy(np.int64).view(U64), part["n"].to_numpy(), part["s"].to_numpy(), part["id"].to_numpy(), part["comp"].to_numpy()
+            common = sum(np.bitwise_count(bx[:, None, w] & by[None, :, w]).astype(np.int64) for w in range(MAP_WORDS))
+            only_x, only_y = np.bitwise_count(bx).sum(1)[:, None] - common, np.bitwise_count(by).sum(1)[None, :] - common
+            most = np.minimum(sx[:, None] - only_x, sy[None, :] - only_y)
+            ok = (most * 100 >= (nx[:, None] + ny[None, :] - most) * percent) & (cx[:, None] != cy[None, :])
+            i, j = np.nonzero(ok)
+            out.append(np.stack((np.minimum(ix[i], iy[j]), np.maximum(ix[i], iy[j])), axis=1))
+        return pd.DataFrame(np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
 
+    return run
+
+
+def _across(posts: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a list's members in different components whose profiles allow a link.
+
+    Short lists are joined with themselves. Long ones are dealt into blocks,
+    and tasks take pairs of blocks.
+    """
+    lengths = posts.groupBy("token").agg(F.count(F.lit(1)).alias("length"))
+    full = posts.join(profiles, "id").join(lengths, "token")
+    short, long = full.where(F.col("length") <= SHORT_LIST).drop("length"), full.where(F.col("length") > SHORT_LIST)
+
+    x, y = (short.select("token", *(F.col(c).alias(f"{c}_{k}") for c in short.columns if c != "token")) for k in "xy")
+    lacks = lambda p, q: F.expr(" + ".join(f"bit_count(b{w}_{p} & ~b{w}_{q})" for w in range(MAP_WORDS)))
+    most = F.least(F.col("s_x") - lacks("x", "y"), F.col("s_y") - lacks("y", "x"))
+    allowed = most * 100 >= (F.col("n_x") + F.col("n_y") - most) * percent
+    near = x.join(y, "token").where(F.expr("id_x < id_y AND comp_x <> comp_y") & allowed).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
 
-def _across(posts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a list's members in different components that n and s allow to be linked."""
-    x = posts.select("token", *(F.col(c).alias(f"{c}1") for c in ("id", "comp", "n", "s")))
-    y = posts.select("token", *(F.col(c).alias(f"{c}2") for c in ("id", "comp", "n", "s")))
-    most = F.least("s1", "s2")
-    allowed = most * 100 >= (F.col("n1") + F.col("n2") - most) * percent
-    return x.join(y, "token").where(F.expr("id1 < id2 AND comp1 <> comp2") & allowed).select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct()
+    blocks = F.ceil(F.col("length") / BLOCK)
+    long = long.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    long = long.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other"), "side": (F.col("block") > F.col("other")).cast("int")})
+    far = long.drop("length", "block", "other").groupBy("token", "lo", "hi").applyInPandas(_allowed_pairs(percent), "a long, b long")
+    return near.union(far).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -204,11 +248,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     edges = materialize(links.confirm(_stars(posts, 0)), "links")
     open_posts = materialize(_open(posts, materialize(components(edges), "components")), "open")
     if not open_posts.isEmpty():
-        open_posts = materialize(_possible(links, open_posts), "open")
+        profiles = _profiles(links, open_posts.select("id").distinct())
+        open_posts = open_posts.join(profiles.select("id"), "id")
         edges = materialize(edges.union(links.confirm(_stars(open_posts, 1))), "links")
-        labelled = _open(open_posts, materialize(components(edges), "components"))
-        labelled = labelled.join(open_posts.select("id", "n", "s").distinct(), "id")
-        edges = materialize(edges.union(links.confirm(_across(labelled, percent))), "links")
+        open_posts = _open(open_posts, materialize(components(edges), "components"))
+        edges = materialize(edges.union(links.confirm(_across(open_posts, profiles, percent))), "links")
     comps = components(edges)
 
     member = signed.join(classes.select("digest", F.col("id").alias("class_id")), "digest", "left")
