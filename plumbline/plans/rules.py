@@ -128,7 +128,7 @@ def evaluate(damage: DataFrame, rooms: DataFrame, walls: DataFrame, openings: Da
     for extra in (near_object, near_window, corners):
         full = full.join(extra, ["capture_id", "damage_id"], "left")
     full = full.join(rooms.select("capture_id", "room_id", "room_ord"), ["capture_id", "room_id"], "left")
-    hits = [full.where(_holds(rule["when"])).withColumns({"rule_ord": F.lit(i), "rule_id": F.lit(rule["id"]), "severity": F.lit(rule["severity"]), "grp": {"region": F.col("damage_id"), "surface": F.col("surface_id"), "room": F.col("room_id")}[rule["per"]]}) for i, rule in enumerate(rules)]
+    hits = [full.where(_holds(rule["when"])).withColumns({"rule_ord": F.lit(i), "rule_id": F.lit(rule["id"]), "severity": F.lit(rule["severity"]), "grp": {"region": F.col("damage_id"), "surface": F.col("surface_id"), "room": F.col("room_id")}[rule["per"]].cast("string")}) for i, rule in enumerate(rules)]
     every = reduce(DataFrame.unionByName, hits)
     listed = F.sort_array(F.collect_list(F.struct("ord", "damage_id", "surface_id")))
     flags = every.groupBy("capture_id", "rule_ord", "rule_id", "severity", "grp").agg(

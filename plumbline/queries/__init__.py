@@ -1,6 +1,6 @@
 """Registered queries over the given tables, with their SQL."""
 
-from . import core
+from . import core, evaluation, streams
 
-QUERIES = {**core.QUERIES}
-ORACLE_SQL = {**core.ORACLE_SQL}
+QUERIES = {**evaluation.QUERIES, **core.QUERIES, **streams.QUERIES}
+ORACLE_SQL = {**evaluation.ORACLE_SQL, **core.ORACLE_SQL, **streams.ORACLE_SQL}
