@@ -71,8 +71,12 @@ def _places(words: Column, phrase: str) -> Column:
     return F.filter(starts, lambda i: reduce(lambda x, y: x & y, [F.get(words, i + k) == w for k, w in enumerate(said)]))
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(ascii_lower(text), BETWEEN), lambda w: w != "")
+
+
 def _first_scan(docs: DataFrame) -> DataFrame:
-    """doc_id, key (hash of the text), n_words, base findings; words of documents with licence words."""
+    """doc_id, key (hash of the text), n_words, base findings; the text of documents with licence words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     known = sorted({*_vocabulary(), *(p.split()[-1] for p, _ in BASE), *(p.split()[0] for p, _ in BASE)} - {"by", "all", "general"})
     hint = f"(?i)(?<!{_INSIDE})(?:{'|'.join(known)})(?!{_INSIDE})"
@@ -80,8 +84,9 @@ def _first_scan(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.sha2("text", 256).alias("key"),
         F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"),
-        F.when(F.col("text").rlike(hint), F.filter(F.split(ascii_lower(F.col("text")), BETWEEN), lambda w: w != "")).alias("words"),
+        F.when(F.col("text").rlike(hint), F.col("text")).alias("hinted"),
     )
+    scan = scan.withColumn("words", F.when(F.col("hinted").isNotNull(), _words(F.col("hinted"))))
     places = F.array(*(F.struct(F.lit(label).alias("label"), _places(F.col("words"), phrase).alias("at")) for phrase, label in BASE))
     scan = scan.withColumn("places", F.when(F.col("words").isNotNull(), places))
     starts = F.flatten(F.transform("places", lambda p: p["at"]))
@@ -90,7 +95,7 @@ def _first_scan(docs: DataFrame) -> DataFrame:
         "doc_id",
         "key",
         "n_words",
-        "words",
+        "hinted",
         F.coalesce(F.size(starts), F.lit(0)).cast("long").alias("n_base"),
         F.array_min(starts).cast("long").alias("first_word"),
         F.array_max(starts).cast("long").alias("last_word"),
@@ -108,7 +113,8 @@ def _templates(scan: DataFrame) -> DataFrame:
     """(doc_id, key, found labels, coverage) of documents with a verified template."""
     spark = scan.sparkSession
     vocabulary = _vocabulary()
-    files = scan.where("words IS NOT NULL").select("doc_id", "key", "words").dropDuplicates(["doc_id", "key"])
+    hinted = scan.where("hinted IS NOT NULL").select("doc_id", "key", "hinted")
+    files = hinted.select("doc_id", "key", _words(F.col("hinted")).alias("words"))
     licence = F.array(*map(F.lit, vocabulary))
     counts = files.select(F.explode(F.array_intersect(licence, F.col("words"))).alias("word")).groupBy("word").count()
     df = {row["word"]: row["count"] for row in counts.collect()}  # at most as many rows as the fixed vocabulary
@@ -131,11 +137,13 @@ def _templates(scan: DataFrame) -> DataFrame:
     templates = _literal(spark, ("template", "label", "said", "weight", "must", "least"), known)
 
     lined = hits.join(F.broadcast(postings), "word").groupBy("doc_id", "key", "template", (F.col("at") - F.col("place")).alias("shift"))
-    lined = lined.agg(F.count(F.lit(1)).alias("met"), F.max("n_wanted").alias("n_wanted")).where("shift >= 0")
+    # a repeated row meets the same places again
+    lined = lined.agg(F.count_distinct("place").alias("met"), F.max("n_wanted").alias("n_wanted")).where("shift >= 0")
     lined = lined.join(F.broadcast(templates), "template").where(F.col("met") >= F.least("least", "n_wanted"))
-    whole = files.select(F.col("doc_id").alias("file_id"), F.col("key").alias("file_key"), F.col("words"))
+    whole = hinted.select(F.col("doc_id").alias("file_id"), F.col("key").alias("file_key"), "hinted")
     lined = lined.join(whole, F.col("doc_id").eqNullSafe(F.col("file_id")) & (F.col("key") == F.col("file_key")))
-    there = F.transform("said", lambda w, i: F.coalesce(F.get(F.col("words"), F.col("shift") + i) == w, F.lit(False)))
+    heard = F.slice(_words(F.col("hinted")), (F.col("shift") + 1).cast("int"), F.size("said"))
+    there = F.zip_with("said", heard, lambda w, v: F.coalesce(v == w, F.lit(False)))
     lined = lined.withColumn("there", there).where(F.forall("must", lambda i: F.get(F.col("there"), i)))
     add = lambda s, x: s + x
     agreed = F.aggregate(F.zip_with("there", "weight", lambda h, w: F.when(h, w).otherwise(0.0)), F.lit(0.0), add)
@@ -155,7 +163,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """
     scan = materialize(_first_scan(docs), "licences")
     found = _templates(scan).select(F.col("doc_id").alias("found_id"), F.col("key").alias("found_key"), "found", "coverage")
-    joined = scan.drop("words").join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("key") == F.col("found_key")), "left")
+    joined = scan.drop("hinted").join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("key") == F.col("found_key")), "left")
     every = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("found", F.array().cast("array<string>")))))
     return joined.select(
         "doc_id",
