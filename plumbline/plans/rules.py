@@ -42,7 +42,7 @@ def check_rules(rules: tuple[dict[str, Any], ...]) -> None:
 
 def damage_segments(damage: DataFrame, walls: DataFrame, rooms: DataFrame) -> DataFrame:
     """(capture_id, damage_id, ax, ay, bx, by, z0, z1): plan segments of each region; four for one on a floor or ceiling."""
-    on_wall = damage.where(surface_kind(F.col("surface_id")) == "wall").join(walls.withColumnRenamed("wall_id", "surface_id").drop("room_id"), ["capture_id", "surface_id"])
+    on_wall = damage.where(surface_kind(F.col("surface_id")) == "wall").join(walls.select("capture_id", F.col("wall_id").alias("surface_id"), "sx", "sy", "ex", "ey"), ["capture_id", "surface_id"])
     on_wall = on_wall.join(rooms.select("capture_id", "room_id", "floor_z"), ["capture_id", "room_id"])
     length = F.greatest(F.hypot(F.col("ex") - F.col("sx"), F.col("ey") - F.col("sy")), F.lit(1e-12))
     at = lambda u, s, e: F.col(s) + (F.col(e) - F.col(s)) / length * u
@@ -71,7 +71,7 @@ def object_segments(objects: DataFrame) -> DataFrame:
 
 
 def opening_segments(openings: DataFrame, walls: DataFrame, rooms: DataFrame) -> DataFrame:
-    o = openings.join(walls.drop("room_id"), ["capture_id", "wall_id"]).join(rooms.select("capture_id", "room_id", "floor_z"), ["capture_id", "room_id"])
+    o = openings.join(walls.select("capture_id", "wall_id", "sx", "sy", "ex", "ey"), ["capture_id", "wall_id"]).join(rooms.select("capture_id", "room_id", "floor_z"), ["capture_id", "room_id"])
     length = F.greatest(F.hypot(F.col("ex") - F.col("sx"), F.col("ey") - F.col("sy")), F.lit(1e-12))
     at = lambda u, s, e: F.col(s) + (F.col(e) - F.col(s)) / length * u
     u0, u1, sill = F.col("offset"), F.col("offset") + F.col("width"), F.coalesce("sill", F.lit(0.0))
