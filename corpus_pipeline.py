@@ -39,9 +39,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A character that a cut leaves incomplete goes too. A document stays even
     if nothing of it is left; n_chars is that of the new text.
     """
-    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    left = remove_repeats(docs, length=PASSAGE_BYTES, carry=tuple(rest), as_text=True)
-    return left.withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    rest = {f"_x{i}": c for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}
+    plain = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(x) for x, c in rest.items()))
+    left = remove_repeats(plain, length=PASSAGE_BYTES, carry=tuple(rest), as_text=True)
+    made = {"doc_id": "doc_id", "text": "kept", **{c: x for x, c in rest.items()}}
+    cut = left.withColumn("n_chars", F.length("kept").cast("long"))
+    return cut.select(*(F.col(made.get(c, c)).alias(c) for c in docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
