@@ -10,7 +10,8 @@ the document.
 
 Numbers are words that begin with a digit; "3.5" or "1,000" is one. Names are
 runs of capitalised words that do not begin a sentence. Units count right
-after a number.
+after a number. Windows are taken twice, with names as slots and as words, so
+a passage in capitals or without any is found too.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ WINDOW = 8
 LITERALS = 4
 #: Consistent windows that make a leak, or all of a shorter item's.
 LEAK_WINDOWS = 6
+#: Added to places of the form without names, so the forms are aligned apart.
+SECOND_FORM = 1 << 40
 #: Largest benchmark (windows) that is sent to every task as a filter; beyond, all windows are shuffled.
 FILTER_WINDOWS = 4_000_000
 
@@ -65,33 +68,39 @@ def _unit_hashes() -> np.ndarray:
 _UNITS = _unit_hashes()
 
 
-def templates(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template words of a slice of texts: (row, hash, slot type or 0, hash of the slot's value)."""
+def templates(data: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Template words of a slice of texts: (row, hash, slot type or 0, hash of the slot's value), with names as slots and without.
+
+    The second form finds passages whose capitals were changed.
+    """
     low = LOWER[data]
     starts, ends, rows = word_bounds(data, offs, ALNUM)
     n = len(starts)
     if not n:
         z = np.zeros(0, np.int64)
-        return z, np.zeros(0, U64), z, np.zeros(0, U64)
+        return [(z, np.zeros(0, U64), z, np.zeros(0, U64))] * 2
     words = run_hashes(low, starts, ends)
     first = np.concatenate(([True], rows[1:] != rows[:-1]))
     stops = np.concatenate(([0], np.cumsum(_STOP[data])))
     gap = np.concatenate(([0], ends[:-1]))
     opens = first | (stops[starts] > stops[gap])
-    kind = np.where(_DIGIT[data[starts]], NUMBER, np.where(_CAPITAL[data[starts]] & ~opens, NAME, 0))
-    after_number = ~first & np.concatenate(([False], kind[:-1] == NUMBER))
+    number = _DIGIT[data[starts]]
     at = np.minimum(np.searchsorted(_UNITS, words), len(_UNITS) - 1)
-    kind = np.where((kind == 0) & after_number & (_UNITS[at] == words), UNIT, kind)
-    # words that go on with the slot before them: "3" "." "5", "Ada" "Lovelace"
-    same = ~first & np.concatenate(([False], kind[1:] == kind[:-1]))
-    joined = same & (((kind == NUMBER) & (starts - gap == 1) & _JOINT[data[np.maximum(starts - 1, 0)]]) | (kind == NAME))
-    head = np.flatnonzero(~joined)
-    value = mix(np.add.reduceat(words * _PLACE[(np.arange(n) - np.repeat(head, np.diff(np.append(head, n)))) & 63], head))
-    kind, rows = kind[head], rows[head]
-    return rows, np.where(kind > 0, _SLOT[kind], words[head]), kind, value
-
-
-def windows(rows: np.ndarray, words: np.ndarray, kind: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    unit = ~first & np.concatenate(([False], number[:-1])) & ~number & (_UNITS[at] == words)
+    name = _CAPITAL[data[starts]] & ~opens & ~unit
+    touching = (starts - gap == 1) & _JOINT[data[np.maximum(starts - 1, 0)]]
+    out = []
+    for names in (name, np.zeros(n, bool)):
+        kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(names, NAME, 0)))
+        # words that go on with the slot before them: "3" "." "5", "Ada" "Lovelace"
+        same = ~first & np.concatenate(([False], kind[1:] == kind[:-1]))
+        head = np.flatnonzero(~(same & (((kind == NUMBER) & touching) | (kind == NAME))))
+        value = mix(np.add.reduceat(words * _PLACE[(np.arange(n) - np.repeat(head, np.diff(np.append(head, n)))) & 63], head))
+        out.append((rows[head], np.where(kind[head] > 0, _SLOT[kind[head]], words[head]), kind[head], value))
+    return out
+
+
+def windows(rows: np.ndarray, words: np.ndarray, kind: np.ndarray, size: int, form: int) -> tuple[np.ndarray, np.ndarray]:
     """(first word, hash) of the windows of ``size`` words with enough literals."""
     n = len(words) - size + 1
     if n <= 0:
@@ -102,7 +111,7 @@ def windows(rows: np.ndarray, words: np.ndarray, kind: np.ndarray, size: int) ->
     slots = np.concatenate(([0], np.cumsum(kind > 0)))
     good = (rows[:n] == rows[size - 1 :]) & (size - (slots[size:] - slots[:n]) >= min(LITERALS, size))
     at = np.flatnonzero(good)
-    return at, mix(rolled[at] + np.full(1, size, U64))
+    return at, mix(rolled[at] + np.full(1, 2 * size + form, U64))
 
 
 _WINDOWS = pa.schema([("id", pa.int64()), ("place", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.int64()))])
@@ -117,23 +126,23 @@ def _windowed(sizes: tuple[int, ...], wanted=None):
         for batch in batches:
             ids = batch.column("id")
             for row, data, offs in slices(batch.column("text")):
-                rows, words, kind, value = templates(data, offs)
-                first = np.searchsorted(rows, np.arange(len(offs) - 1))
-                slot = np.where(kind > 0, value, np.zeros(1, U64)).view(np.int64)
-                for size in sizes:
-                    at, hashes = windows(rows, words, kind, size)
-                    if keep is not None:
-                        if not len(keep):
-                            continue
-                        met = keep[np.minimum(np.searchsorted(keep, hashes), len(keep) - 1)] == hashes
-                        at, hashes = at[met], hashes[met]
-                    for k in range(0, len(at), 50_000):
-                        a, h = at[k : k + 50_000], hashes[k : k + 50_000]
-                        held = slot[a[:, None] + np.arange(size)].ravel()
-                        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1) * size, pa.int32()), pa.array(held))
-                        yield pa.RecordBatch.from_arrays(
-                            [ids.take(pa.array(rows[a] + row)), pa.array(a - first[rows[a]]), pa.array(h.view(np.int64)), lists], schema=_WINDOWS
-                        )
+                for form, (rows, words, kind, value) in enumerate(templates(data, offs)):
+                    first = np.searchsorted(rows, np.arange(len(offs) - 1)) - form * SECOND_FORM
+                    slot = np.where(kind > 0, value, np.zeros(1, U64)).view(np.int64)
+                    for size in sizes:
+                        at, hashes = windows(rows, words, kind, size, form)
+                        if keep is not None:
+                            if not len(keep):
+                                continue
+                            met = keep[np.minimum(np.searchsorted(keep, hashes), len(keep) - 1)] == hashes
+                            at, hashes = at[met], hashes[met]
+                        for k in range(0, len(at), 50_000):
+                            a, h = at[k : k + 50_000], hashes[k : k + 50_000]
+                            held = slot[a[:, None] + np.arange(size)].ravel()
+                            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1) * size, pa.int32()), pa.array(held))
+                            yield pa.RecordBatch.from_arrays(
+                                [ids.take(pa.array(rows[a] + row)), pa.array(a - first[rows[a]]), pa.array(h.view(np.int64)), lists], schema=_WINDOWS
+                            )
 
     return run
 
@@ -141,8 +150,7 @@ def _windowed(sizes: tuple[int, ...], wanted=None):
 def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, data, offs in slices(batch.column("text")):
-            rows, *_ = templates(data, offs)
-            counts = np.bincount(rows, minlength=len(offs) - 1)
+            counts = np.minimum(*(np.bincount(t[0], minlength=len(offs) - 1) for t in templates(data, offs)))
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, len(offs) - 1), pa.array(counts)], ["id", "n"])
 
 
@@ -160,9 +168,9 @@ def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> tuple[DataFra
     short = [r[0] for r in lengths.where((F.col("n") < size) & (F.col("n") >= LITERALS)).select("n").distinct().collect()]  # fewer than size values
     sizes = (*sorted(short), size)
     wide = items.mapInArrow(_windowed(sizes), _WINDOWS_SQL).join(lengths.groupBy("id").agg(F.max("n").alias("n")), "id")
-    own = wide.where(F.size("slots") == F.least("n", F.lit(size))).select("id", "place", "hash", "slots").distinct()
-    totals = own.groupBy("id").agg(F.countDistinct("place").alias("total"))
-    return materialize(own.join(totals, "id"), "item-windows"), sizes
+    own = wide.where(F.size("slots") == F.least("n", F.lit(size))).select("id", "place", "hash", "slots", (F.col("place") >= SECOND_FORM).alias("form")).distinct()
+    totals = own.groupBy("id", "form").agg(F.countDistinct("place").alias("total"))
+    return materialize(own.join(totals, ["id", "form"]), "item-windows"), sizes
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -184,9 +192,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFram
     found = _texts(docs, "doc_id").mapInArrow(_windowed(sizes, wanted), _WINDOWS_SQL).toDF("doc_id", "at", "hash", "values")
     met = found.join(items, "hash").where(F.size("slots") == F.size("values"))
     pairs = F.filter(F.zip_with("slots", "values", lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda p: p["x"] != 0)
-    met = met.select("doc_id", F.col("id").alias("item_id"), (F.col("at") - F.col("place")).alias("shift"), "place", "total", pairs.alias("pairs"))
+    met = met.select("doc_id", F.col("id").alias("item_id"), "form", (F.col("at") - F.col("place")).alias("shift"), "place", "total", pairs.alias("pairs"))
     # at most a row for each window of the item in a shift
-    lined = met.groupBy("doc_id", "item_id", "shift").agg(
+    lined = met.groupBy("doc_id", "item_id", "form", "shift").agg(
         F.countDistinct("place").alias("n_windows"), F.max("total").alias("total"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
     )
     values = F.size(F.array_distinct(F.transform("pairs", lambda p: p["x"])))

@@ -22,12 +22,13 @@ def items(spark, texts):
 
 def test_leaks(spark, odd, empty):
     other = ITEM.replace("120", "4,75.5").replace("3 hours", "9 minutes").replace("Paris", "Great Yarmouth")
-    mixed = ITEM.replace("to Paris go", "to Rome go")
-    docs = documents(spark, [(1, words(1, 50) + " " + ITEM + ". " + words(2, 40)), (2, "Zz. " + other), (3, mixed), (4, ITEM[:60]), (5, ITEM.upper()), (6, words(3, 90)), (7, None)])
-    got = {(r.doc_id, r.item_id) for r in leaks(docs, items(spark, [ITEM, words(9, 30), "", None, "too short"])).collect()}
-    # 3 has Paris stand for Paris and for Rome
-    assert {(1, 0), (2, 0)} <= got and not {(4, 0), (6, 0)} & got
-    assert (3, 0) not in got
+    sums = "add 12 apples to 12 pears then give 12 plums away and say what 12 of us have left"
+    same, mixed = sums.replace("12", "37"), sums.replace("12", "37", 2).replace("12", "38")
+    docs = documents(spark, [(1, words(1, 50) + " " + ITEM + ". " + words(2, 40)), (2, "Zz. " + other), (3, mixed), (8, same), (4, " ".join(ITEM.split()[:12])), (5, ITEM.upper()), (6, words(3, 90)), (7, None)])
+    got = {(r.doc_id, r.item_id) for r in leaks(docs, items(spark, [ITEM, words(9, 30), "", None, "too short", sums])).collect()}
+    # in 3 the item's 12 stands for 37 and for 38
+    assert {(1, 0), (2, 0), (5, 0)} <= got and not {(4, 0), (6, 0)} & got
+    assert (8, 5) in got and (3, 5) not in got
     assert leaks(odd, items(spark, [])).count() == 0 and leaks(empty, items(spark, [ITEM])).count() == 0
 
 
