@@ -1,6 +1,6 @@
 """Registered queries over the given tables, with their SQL."""
 
-from . import core, evaluation, streams
+from . import core, evaluation, spatial, streams
 
-QUERIES = {**evaluation.QUERIES, **core.QUERIES, **streams.QUERIES}
-ORACLE_SQL = {**evaluation.ORACLE_SQL, **core.ORACLE_SQL, **streams.ORACLE_SQL}
+QUERIES = {**evaluation.QUERIES, **core.QUERIES, **spatial.QUERIES, **streams.QUERIES}
+ORACLE_SQL = {**evaluation.ORACLE_SQL, **core.ORACLE_SQL, **spatial.ORACLE_SQL, **streams.ORACLE_SQL}
