@@ -72,4 +72,18 @@ QUERIES = {f.__name__: f for f in (
     op6_license_scan, op7_media_columns, op8_warc_round_trip, op9_benchmark_leaks, op10_toxicity,
 )}
 
-ORACLE_SQL: dict[str, str] = {}
+#: The queries that SQL can express in full; the others are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat_format": r"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (SELECT *, 23 + length(role) + length(text) + len(regexp_extract_all(role || chr(10) || text, '[<\[]\\*(/?s>|/?INST\])')) AS size FROM said)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(size)::bigint AS formatted_chars, true AS round_trip FROM sized GROUP BY conv_id""",
+    "op8_warc_round_trip": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT *, strlen(html) AS n, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, n::bigint AS payload_bytes, sha256(html) AS payload_digest, CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to FROM f""",
+}
