@@ -86,7 +86,7 @@ def weighted_median(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.weighted_quantile_step(lineitem(spark, d), ["l_returnflag"], "l_extendedprice", "l_quantity", 0.5)
 
 
-_CENTRED = """WITH a AS (SELECT l_shipmode_key AS k, x, w FROM (SELECT l_suppkey AS l_shipmode_key, l_extendedprice AS x, l_quantity::double AS w FROM lineitem)),
+_CENTRED = """WITH a AS (SELECT k, x, w FROM (SELECT l_suppkey AS k, l_extendedprice AS x, l_quantity::double AS w FROM lineitem)),
 c AS (SELECT *, row_number() OVER o AS i, count(*) OVER (PARTITION BY k) AS n, (sum(w) OVER (PARTITION BY k ORDER BY x, w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - w / 2) / sum(w) OVER (PARTITION BY k) AS c, lead(x) OVER o AS x1 FROM a WINDOW o AS (PARTITION BY k ORDER BY x, w)),
 e AS (SELECT *, lead(c) OVER (PARTITION BY k ORDER BY i) AS c1 FROM c),
 p AS (SELECT * FROM e WHERE n = 1 OR (x1 IS NOT NULL AND (0.9::double >= c OR i = 1) AND (0.9::double < c1 OR i = n - 1))),
@@ -113,7 +113,7 @@ def robust_mad(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.robust_sigma(lineitem(spark, d), ["l_returnflag"], "l_extendedprice").select("l_returnflag", F.round("sigma", 6).alias("sigma"))
 
 
-@query("""SELECT l_returnflag, l_linestatus, quantile_cont(l_extendedprice, 0.005) AS p_lo, quantile_cont(l_extendedprice, 0.5) AS p_mid, quantile_cont(l_extendedprice, 0.995) AS p_hi FROM lineitem GROUP BY 1, 2""".replace("quantile_cont(l_extendedprice, 0.005)", "round(quantile_cont(l_extendedprice, 0.005), 8)").replace("quantile_cont(l_extendedprice, 0.5)", "round(quantile_cont(l_extendedprice, 0.5), 8)").replace("quantile_cont(l_extendedprice, 0.995)", "round(quantile_cont(l_extendedprice, 0.995), 8)"))
+@query("""SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.005), 8) AS p_lo, round(quantile_cont(l_extendedprice, 0.5), 8) AS p_mid, round(quantile_cont(l_extendedprice, 0.995), 8) AS p_hi FROM lineitem GROUP BY 1, 2""")
 def percentile_bounds(spark: SparkSession, d: str) -> DataFrame:
     p = lambda q: F.round(F.percentile("l_extendedprice", F.lit(q)), 8)
     return lineitem(spark, d).groupBy("l_returnflag", "l_linestatus").agg(p(0.005).alias("p_lo"), p(0.5).alias("p_mid"), p(0.995).alias("p_hi"))
@@ -181,8 +181,8 @@ def merge_close_values(spark: SparkSession, d: str) -> DataFrame:
     return m.select("p_size", "group", F.round("p_retailprice", 6).alias("p_retailprice"), F.round("w", 6).alias("w"))
 
 
-@query("""WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events), c AS (SELECT n.*, j.c FROM n, generate_series(0, 10000) j(c) WHERE j.c * 19 <= i AND j.c <= greatest(ceil((n - 24) / 19.0), 0) AND i < j.c * 19 + 24),
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id, i ORDER BY least(i - c * 19, least(c * 19 + 24, n) - 1 - i) DESC, c) AS k FROM c) SELECT user_id, event_id, c::int AS chunk FROM r WHERE k = 1""".replace("generate_series(0, 10000)", "generate_series(0, (SELECT max(n) // 19 FROM n))"))
+@query("""WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events), c AS (SELECT n.*, j.c FROM n, generate_series(0, (SELECT max(n) // 19 FROM n)) j(c) WHERE j.c * 19 <= i AND j.c <= greatest(ceil((n - 24) / 19.0), 0) AND i < j.c * 19 + 24),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, i ORDER BY least(i - c * 19, least(c * 19 + 24, n) - 1 - i) DESC, c) AS k FROM c) SELECT user_id, event_id, c::int AS chunk FROM r WHERE k = 1""")
 def chunk_ownership(spark: SparkSession, d: str) -> DataFrame:
     return windows.owned_chunks(events(spark, d), ["user_id"], "event_id", 24, 5)
 
@@ -311,11 +311,8 @@ def components_min_label(spark: SparkSession, d: str) -> DataFrame:
     return graph.components(edges)
 
 
-@query(None)
+@query("""WITH k AS (SELECT page_id, url, regexp_extract(url, '://([^/?#]*)', 1) AS host, list_aggregate(list_transform(regexp_extract_all(lower(url), '([0-9]+|[^0-9]+)'), lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN lpad(CASE WHEN ltrim(r, '0') = '' THEN '0' ELSE ltrim(r, '0') END, 20, '0') ELSE r END), 'string_agg', '') AS key FROM pages)
+SELECT page_id, row_number() OVER (PARTITION BY host ORDER BY key, url, page_id)::int AS place FROM k""")
 def natural_sort(spark: SparkSession, d: str) -> DataFrame:
     p = read_table(spark, d, "pages").withColumn("host", F.regexp_extract("url", "://([^/?#]*)", 1))
     return p.select("page_id", F.row_number().over(Window.partitionBy("host").orderBy(natural_key(F.col("url")), "url", "page_id")).alias("place"))
-
-
-ORACLE_SQL["natural_sort"] = """WITH k AS (SELECT page_id, url, regexp_extract(url, '://([^/?#]*)', 1) AS host, list_aggregate(list_transform(regexp_extract_all(lower(url), '([0-9]+|[^0-9]+)'), lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN lpad(CASE WHEN ltrim(r, '0') = '' THEN '0' ELSE ltrim(r, '0') END, 20, '0') ELSE r END), 'string_agg', '') AS key FROM pages)
-SELECT page_id, row_number() OVER (PARTITION BY host ORDER BY key, url, page_id)::int AS place FROM k"""

@@ -146,7 +146,7 @@ def anchor_interpolation(spark: SparkSession, d: str) -> DataFrame:
     return planes.interpolate_corrections(frames, anchors, ["user_id"], "t_us", ["value"]).select("user_id", "event_id", F.round("value", 6).alias("value"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN NOT l_discount < 0.02::double THEN 'rmse' WHEN NOT l_tax > 0.03::double THEN 'overlap' WHEN NOT l_linenumber >= 4 THEN 'dof' WHEN NOT l_quantity <= 15 THEN 'rotation' WHEN NOT l_tax <= 1.5::double THEN 'translation' END AS reason FROM lineitem""".replace("l_tax > 0.03::double", "l_tax * 10 > 0.30::double"))
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN NOT l_discount < 0.02::double THEN 'rmse' WHEN NOT l_tax * 10 > 0.30::double THEN 'overlap' WHEN NOT l_linenumber >= 4 THEN 'dof' WHEN NOT l_quantity <= 15 THEN 'rotation' WHEN NOT l_tax <= 1.5::double THEN 'translation' END AS reason FROM lineitem""")
 def registration_verdicts(spark: SparkSession, d: str) -> DataFrame:
     r = lineitem(spark, d).withColumn("o", F.col("l_tax") * 10)
     return r.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", detections.registration_verdict("l_discount", "o", "l_linenumber", "l_quantity", "l_tax").alias("reason"))
