@@ -8,7 +8,7 @@ input; this sorts the few that can decide anything.
    selected, the leftmost of equals. Equal windows select the same place, so
    comparing windows of equal anchors loses nothing; an anchor stands for all
    consecutive windows that select it (its *reach*), one in about 170 bytes.
-2. Whole reaches. Reaches that are equal as strings (128-bit digest) repeat in
+2. Whole reaches. Reaches that are equal as strings (two 64-bit hashes) repeat in
    all their windows; this settles the inside of every copy by a count.
 3. Suffix sort. What is left are anchors whose k-gram recurs with another
    reach, around the ends of copies. One reach of each kind is cut out and
@@ -108,7 +108,7 @@ def anchors(text: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndar
 
 
 _ANCHORS = pa.schema(
-    [("doc_id", pa.int64()), ("key", pa.int64()), ("at", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("gram", pa.int64()), ("reach", pa.binary())]
+    [("doc_id", pa.int64()), ("key", pa.int64()), ("at", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("gram", pa.int64()), ("reach", pa.int64())]
 )
 
 
@@ -121,9 +121,9 @@ def _anchored(length: int):
                     continue
                 text, view = np.frombuffer(raw, np.uint8), memoryview(raw)
                 for at, lo, hi, gram in anchors(text, length):
-                    digests = [hashlib.blake2b(view[a : b + length], digest_size=16).digest() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+                    digests = b"".join(hashlib.blake2b(view[a : b + length], digest_size=8).digest() for a, b in zip(lo.tolist(), hi.tolist(), strict=True))
                     n = len(at)
-                    held.append([docs.take(pa.array(np.full(n, i))), keys.take(pa.array(np.full(n, i))), at, lo, hi, gram.view(np.int64), pa.array(digests, pa.binary())])
+                    held.append([docs.take(pa.array(np.full(n, i))), keys.take(pa.array(np.full(n, i))), at, lo, hi, gram.view(np.int64), np.frombuffer(digests, np.int64)])
                     rows += n
                     if rows >= 20_000:
                         yield _together(held, _ANCHORS)
@@ -434,12 +434,13 @@ def repeated_ranges(texts: DataFrame, length: int = 400) -> DataFrame:
     texts is a bucketed table of ``_keyed`` documents.
     """
     long = texts.where(F.octet_length("text") >= length).select(F.col("doc_key").alias("doc_id"), "key", "text")
-    found = long.mapInArrow(_anchored(length), "doc_id long, key long, at long, lo long, hi long, gram long, reach binary")
+    found = long.mapInArrow(_anchored(length), "doc_id long, key long, at long, lo long, hi long, gram long, reach long")
     found = materialize(found.withColumnRenamed("doc_id", "doc_key"), "anchors")
-    kinds = found.groupBy("reach").agg(F.count(F.lit(1)).alias("n"), F.min("gram").alias("gram"), F.min(F.struct("doc_key", "key", "at", "lo", "hi")).alias("one"))
+    # the hash of the k-gram and that of the reach name a reach together
+    kinds = found.groupBy("gram", "reach").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_key", "key", "at", "lo", "hi")).alias("one"))
     kinds = materialize(kinds, "reaches")
-    several = kinds.where("n > 1").select("reach")
-    whole = found.select("reach", "doc_key", "key", "lo", "hi").join(several, "reach").select("doc_key", "key", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
+    several = kinds.where("n > 1").select("gram", "reach")
+    whole = found.select("gram", "reach", "doc_key", "key", "lo", "hi").join(several, ["gram", "reach"]).select("doc_key", "key", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
 
     mixed = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1")
     limit = large_group(length)
