@@ -130,7 +130,8 @@ def _templates(scan: DataFrame) -> DataFrame:
     posted, known = [], []
     for t, (label, text, phrases) in enumerate(TEMPLATES):
         words = text.split()
-        must = [k + i for p in phrases for k in range(len(words)) if words[k : k + len(p.split())] == p.split() for i in range(len(p.split()))]
+        held = {k + i for p in phrases for k in range(len(words)) if words[k : k + len(p.split())] == p.split() for i in range(len(p.split()))}
+        must = [k in held for k in range(len(words))]
         posted += [(t, w, k) for k, w in enumerate(words) if w not in STOP_WORDS]
         known.append((t, label, words, [idf.get(w, 0.0) + 0.01 for w in words], must, min(2, len([w for w in words if w not in STOP_WORDS]))))
     postings = _literal(spark, ("template", "word", "place"), posted)
@@ -144,7 +145,8 @@ def _templates(scan: DataFrame) -> DataFrame:
     lined = lined.join(whole, F.col("doc_id").eqNullSafe(F.col("file_id")) & (F.col("key") == F.col("file_key")))
     heard = F.slice(_words(F.col("hinted")), (F.col("shift") + 1).cast("int"), F.size("said"))
     there = F.zip_with("said", heard, lambda w, v: F.coalesce(v == w, F.lit(False)))
-    lined = lined.withColumn("there", there).where(F.forall("must", lambda i: F.get(F.col("there"), i)))
+    # there stands outside the lambdas, which would split the text again for every word
+    lined = lined.withColumn("there", there).where(F.forall(F.zip_with("there", "must", lambda h, m: h | ~m), lambda x: x))
     add = lambda s, x: s + x
     agreed = F.aggregate(F.zip_with("there", "weight", lambda h, w: F.when(h, w).otherwise(0.0)), F.lit(0.0), add)
     lined = lined.withColumn("coverage", F.round(agreed / F.aggregate("weight", F.lit(0.0), add), 6)).where(F.col("coverage") >= COVERAGE)
