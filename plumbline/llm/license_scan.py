@@ -124,8 +124,8 @@ def _templates(scan: DataFrame) -> DataFrame:
     rarest = F.array(*map(F.lit, sorted(vocabulary, key=lambda w: (-idf[w], w))))
     wanted = F.slice(F.array_intersect(rarest, F.col("words")), 1, LOOKED_UP)
     at = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains("wanted", x["word"]))
-    hits = files.withColumn("wanted", wanted).select("doc_id", "key", "wanted", F.explode(at).alias("hit"))
-    hits = hits.select("doc_id", "key", F.size("wanted").alias("n_wanted"), F.col("hit.word").alias("word"), F.col("hit.at").alias("at"))
+    hits = files.withColumn("wanted", wanted).select("doc_id", "key", F.explode(at).alias("hit"))
+    hits = hits.select("doc_id", "key", F.col("hit.word").alias("word"), F.col("hit.at").alias("at"))
 
     posted, known = [], []
     for t, (label, text, phrases) in enumerate(TEMPLATES):
@@ -133,14 +133,14 @@ def _templates(scan: DataFrame) -> DataFrame:
         held = {k + i for p in phrases for k in range(len(words)) if words[k : k + len(p.split())] == p.split() for i in range(len(p.split()))}
         must = [k in held for k in range(len(words))]
         posted += [(t, w, k) for k, w in enumerate(words) if w not in STOP_WORDS]
-        known.append((t, label, words, [idf.get(w, 0.0) + 0.01 for w in words], must, min(2, len([w for w in words if w not in STOP_WORDS]))))
+        known.append((t, label, words, [idf.get(w, 0.0) + 0.01 for w in words], must, min(2, len({words[k] for k in held} - STOP_WORDS))))
     postings = _literal(spark, ("template", "word", "place"), posted)
     templates = _literal(spark, ("template", "label", "said", "weight", "must", "least"), known)
 
     lined = hits.join(F.broadcast(postings), "word").groupBy("doc_id", "key", "template", (F.col("at") - F.col("place")).alias("shift"))
     # a repeated row meets the same places again
-    lined = lined.agg(F.count_distinct("place").alias("met"), F.max("n_wanted").alias("n_wanted")).where("shift >= 0")
-    lined = lined.join(F.broadcast(templates), "template").where(F.col("met") >= F.least("least", "n_wanted"))
+    lined = lined.agg(F.count_distinct("place").alias("met")).where("shift >= 0")
+    lined = lined.join(F.broadcast(templates), "template").where("met >= least")
     whole = hinted.select(F.col("doc_id").alias("file_id"), F.col("key").alias("file_key"), "hinted")
     lined = lined.join(whole, F.col("doc_id").eqNullSafe(F.col("file_id")) & (F.col("key") == F.col("file_key")))
     heard = F.slice(_words(F.col("hinted")), (F.col("shift") + 1).cast("int"), F.size("said"))
