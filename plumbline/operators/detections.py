@@ -7,8 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bins import bin_of
 from .shapes import noisy_or
 
+#: Metres of wall in a bin of opening centres.
+OPENING_BIN = 1.0
+
 
 def decode(raw: DataFrame, phrases: DataFrame, thresholds: DataFrame, text_threshold: float, min_side: float = 4.0, max_share: float = 0.9) -> DataFrame:
     """(view_id, det_id, cls, score, x0 .. y1): the best class of each box over its class's threshold.
@@ -103,11 +107,15 @@ def opening_candidates(gt: DataFrame, pred: DataFrame, by: Sequence[str]) -> Dat
     """Pairs on one wall that may be the same opening: doors and passages are alike, centres within half the true width.
 
     gt (by, gt_id, type, centre, width), pred (by, pred_id, type, centre). cost is the distance of the centres.
+    Sides meet in bins of OPENING_BIN along the wall, each pair in the one bin of its predicted centre.
     """
     kind = lambda c: F.when(c.isin("door", "opening"), "way").otherwise(c)
     g = gt.select(*by, "gt_id", kind(F.col("type")).alias("_kind"), F.col("centre").alias("_g"), F.col("width").alias("_w"))
     p = pred.select(*by, "pred_id", kind(F.col("type")).alias("_kind"), F.col("centre").alias("_p"))
-    pairs = g.join(p, [*by, "_kind"]).withColumn("cost", F.abs(F.col("_g") - F.col("_p")))
+    reach = F.col("_w") / 2 + 1e-6
+    g = g.where(F.col("_g").isNotNull() & (reach >= 0)).withColumn("_bin", F.explode(F.sequence(bin_of(F.col("_g") - reach, OPENING_BIN), bin_of(F.col("_g") + reach, OPENING_BIN))))
+    p = p.withColumn("_bin", bin_of(F.col("_p"), OPENING_BIN))
+    pairs = g.join(p, [*by, "_kind", "_bin"]).withColumn("cost", F.abs(F.col("_g") - F.col("_p")))
     return pairs.where(F.col("cost") <= F.col("_w") / 2 + 1e-9).select(*by, "gt_id", "pred_id", "cost")
 
 

@@ -306,8 +306,17 @@ def ray_grid_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, (o_custkey * 7 + 3) % (SELECT max(c_custkey) FROM customer) AS b FROM orders WHERE o_orderkey % 3 = 0), g AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), r(n, m) AS (SELECT a, a FROM g UNION SELECT r.n, g.b FROM r JOIN g ON g.a = r.m) SELECT n AS node, min(m) AS component FROM r GROUP BY 1""")
 def components_min_label(spark: SparkSession, d: str) -> DataFrame:
+    return _components(spark, d, orders(spark, d).where("o_orderkey % 3 = 0"))
+
+
+@query()
+def components_min_label_all(spark: SparkSession, d: str) -> DataFrame:
+    return _components(spark, d, orders(spark, d))
+
+
+def _components(spark: SparkSession, d: str, o: DataFrame) -> DataFrame:
     top = read_table(spark, d, "customer").agg(F.max("c_custkey").alias("top"))
-    edges = orders(spark, d).where("o_orderkey % 3 = 0").join(F.broadcast(top)).select(F.col("o_custkey").alias("a"), ((F.col("o_custkey") * 7 + 3) % F.col("top")).alias("b"))
+    edges = o.join(F.broadcast(top)).select(F.col("o_custkey").alias("a"), ((F.col("o_custkey") * 7 + 3) % F.col("top")).alias("b"))
     return graph.components(edges)
 
 

@@ -128,8 +128,17 @@ def wall_stats(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH a AS (SELECT doc_id, CASE quality WHEN 1 THEN 'pass' ELSE 'fail' END AS before FROM labels), b AS (SELECT doc_id, CASE WHEN n_chars > 1000 THEN 'pass' ELSE 'fail' END AS after FROM documents WHERE doc_id % 3 <> 0)
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, before, after, CASE WHEN before IS NULL THEN 'added' WHEN after IS NULL THEN 'removed' WHEN before = after THEN 'same' WHEN before = 'fail' AND after = 'pass' THEN 'fixed' WHEN before = 'pass' AND after = 'fail' THEN 'broken' ELSE 'changed' END AS change FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id""")
 def status_full_outer(spark: SparkSession, d: str) -> DataFrame:
+    return _status_change(spark, d, read_table(spark, d, "documents").where("doc_id % 3 <> 0"))
+
+
+@query()
+def status_full_outer_all(spark: SparkSession, d: str) -> DataFrame:
+    return _status_change(spark, d, read_table(spark, d, "documents"))
+
+
+def _status_change(spark: SparkSession, d: str, documents: DataFrame) -> DataFrame:
     a = read_table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "pass").otherwise("fail").alias("status"))
-    b = read_table(spark, d, "documents").where("doc_id % 3 <> 0").select("doc_id", F.when(F.col("n_chars") > 1000, "pass").otherwise("fail").alias("status"))
+    b = documents.select("doc_id", F.when(F.col("n_chars") > 1000, "pass").otherwise("fail").alias("status"))
     return ev.status_change(a, b, ["doc_id"])
 
 
