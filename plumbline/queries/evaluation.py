@@ -331,9 +331,12 @@ def icp_pair(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def pose_graph_loop(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d).withColumn("i", (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("long")).where("i < 8")
-    step = e.select("user_id", "i", (F.col("i") + 1).alias("j"), (F.col("value") / 100).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), (F.col("event_id") % 5 / 50.0).alias("yaw"), F.lit(0.1).alias("sigma_xyz"), F.lit(0.05).alias("sigma_yaw"))
-    loop = step.where("i = 0").select("user_id", "i", F.lit(8).cast("long").alias("j"), *(F.lit(0.0).alias(c) for c in ("x", "y", "z", "yaw")), F.lit(0.05).alias("sigma_xyz"), F.lit(0.05).alias("sigma_yaw"))
-    g = registration.pose_graphs(step.union(loop), ["user_id"])
-    return g.select("user_id", "node", *(F.round(c, 6).alias(c) for c in ("x", "y", "z", "yaw")))
+    """Whole histories, cut into consecutive graphs of 8 steps, the last one shorter; each closes on its first node."""
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    e = events(spark, d).withColumn("n", n).withColumns({"part": F.floor(F.col("n") / 8), "i": (F.col("n") % 8).cast("long")})
+    step = e.select("user_id", "part", "i", (F.col("i") + 1).alias("j"), (F.col("value") / 100).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), (F.col("event_id") % 5 / 50.0).alias("yaw"), F.lit(0.1).alias("sigma_xyz"), F.lit(0.05).alias("sigma_yaw"))
+    ends = step.groupBy("user_id", "part").agg(F.max("j").alias("j"))
+    loop = ends.select("user_id", "part", F.lit(0).cast("long").alias("i"), "j", *(F.lit(0.0).alias(c) for c in ("x", "y", "z", "yaw")), F.lit(0.05).alias("sigma_xyz"), F.lit(0.05).alias("sigma_yaw"))
+    g = registration.pose_graphs(step.union(loop), ["user_id", "part"])
+    return g.select("user_id", "part", "node", *(F.round(c, 6).alias(c) for c in ("x", "y", "z", "yaw")))
 

@@ -1,8 +1,10 @@
 """Queries over whole tables, which have no SQL, against plain Python."""
 
+import numpy as np
 import pandas as pd
 import pytest
 
+from plumbline.kernels.registration import pose_graph
 from plumbline.queries import QUERIES
 
 
@@ -59,3 +61,20 @@ def test_status_full_outer(spark, sf_dir, table):
     want = {i: "added" if i not in before else "removed" if i not in after else word[before[i], after[i]] for i in before.keys() | after.keys()}
     got = QUERIES["status_full_outer_all"](spark, sf_dir).toPandas()
     assert dict(zip(got.doc_id, got.change, strict=True)) == want
+
+
+def test_pose_graphs_hold_every_event(spark, sf_dir, table):
+    got = QUERIES["pose_graph_loop"](spark, sf_dir).toPandas()
+    want = {}
+    for user, n in table("events").groupby("user_id").event_id.count().items():
+        want |= {(user, k): min(8, n - 8 * k) + 1 for k in range(-(-n // 8))}
+    assert max(k for _, k in want) > 0
+    assert got.groupby(["user_id", "part"]).node.apply(sorted).to_dict() == {k: list(range(n)) for k, n in want.items()}
+    # each graph solved apart, without Spark
+    t = table("events").sort_values("event_id")
+    t["n"] = t.groupby("user_id").cumcount()
+    for (user, part), g in list(t.groupby(["user_id", t.n // 8]))[::40]:
+        steps = [(i, i + 1, v / 100, 0.0, 0.0, e % 5 / 50, 0.1, 0.05) for i, (v, e) in enumerate(zip(g.value, g.event_id, strict=True))]
+        edges = pd.DataFrame([*steps, (0, len(g), 0.0, 0.0, 0.0, 0.0, 0.05, 0.05)], columns=["i", "j", "x", "y", "z", "yaw", "sigma_xyz", "sigma_yaw"]).sort_values(["i", "j"])
+        own = got[(got.user_id == user) & (got.part == part)].sort_values("node")[["x", "y", "z", "yaw"]]
+        assert np.allclose(own, pose_graph(edges, len(g) + 1), atol=1e-5)
