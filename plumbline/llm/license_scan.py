@@ -3,12 +3,14 @@
 Two findings a document: base places, where the words of a base phrase stand
 consecutively, and licence templates. A template is found in four steps:
 
-1. the file's licence words of highest IDF are looked up; IDF comes from the
-   document frequency over all documents (the licence vocabulary is fixed, so
-   these are some hundred counts);
+1. each template is posted by the highest-IDF words of its mandatory key
+   phrases, and these are looked up in the file; IDF comes from the document
+   frequency over all documents (the licence vocabulary is fixed, so these are
+   some hundred counts);
 2. their positions meet the template postings on the word, and the relative
-   position (place in the file less place in the template) is counted;
-3. relative positions with enough words give candidate alignments;
+   position (place in the file less place in the template) is counted; it is
+   negative where the file begins within the template;
+3. relative positions with all posted places give candidate alignments;
 4. an alignment counts if the mandatory key phrases stand at their places and
    the words that agree hold most of the template's IDF.
 
@@ -48,8 +50,8 @@ TEMPLATES = (
 # Words of the templates that say nothing about licences.
 STOP_WORDS = frozenset("a and any are by charge copy files forms free in is nc of or person sa source subject terms the this to under use v with without 0 2 3 4".split())
 
-#: Highest-IDF licence words looked up in a file.
-LOOKED_UP = 12
+#: Highest-IDF words of a template's mandatory phrases that are posted.
+POSTED = 2
 #: Share of a template's IDF that has to agree.
 COVERAGE = 0.6
 
@@ -121,29 +123,31 @@ def _templates(scan: DataFrame) -> DataFrame:
     total = scan.count()
     idf = {w: math.log((total + 1) / (df.get(w, 0) + 1)) for w in vocabulary}
 
-    rarest = F.array(*map(F.lit, sorted(vocabulary, key=lambda w: (-idf[w], w))))
-    wanted = F.slice(F.array_intersect(rarest, F.col("words")), 1, LOOKED_UP)
-    at = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains("wanted", x["word"]))
-    hits = files.withColumn("wanted", wanted).select("doc_id", "key", F.explode(at).alias("hit"))
-    hits = hits.select("doc_id", "key", F.col("hit.word").alias("word"), F.col("hit.at").alias("at"))
-
     posted, known = [], []
     for t, (label, text, phrases) in enumerate(TEMPLATES):
         words = text.split()
         held = {k + i for p in phrases for k in range(len(words)) if words[k : k + len(p.split())] == p.split() for i in range(len(p.split()))}
         must = [k in held for k in range(len(words))]
-        posted += [(t, w, k) for k, w in enumerate(words) if w not in STOP_WORDS]
-        known.append((t, label, words, [idf.get(w, 0.0) + 0.01 for w in words], must, min(2, len({words[k] for k in held} - STOP_WORDS))))
+        rarest = sorted({words[k] for k in held} - STOP_WORDS, key=lambda w: (-idf[w], w))[:POSTED]
+        places = [(t, words[k], k) for k in sorted(held) if words[k] in rarest]
+        posted += places
+        known.append((t, label, words, [idf.get(w, 0.0) + 0.01 for w in words], must, len(places)))
+    looked_up = F.array(*map(F.lit, sorted({w for _, w, _ in posted})))
+    at = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains(looked_up, x["word"]))
+    hits = files.select("doc_id", "key", F.explode(at).alias("hit"))
+    hits = hits.select("doc_id", "key", F.col("hit.word").alias("word"), F.col("hit.at").alias("at"))
     postings = _literal(spark, ("template", "word", "place"), posted)
     templates = _literal(spark, ("template", "label", "said", "weight", "must", "least"), known)
 
     lined = hits.join(F.broadcast(postings), "word").groupBy("doc_id", "key", "template", (F.col("at") - F.col("place")).alias("shift"))
     # a repeated row meets the same places again
-    lined = lined.agg(F.count_distinct("place").alias("met")).where("shift >= 0")
+    lined = lined.agg(F.count_distinct("place").alias("met"))
     lined = lined.join(F.broadcast(templates), "template").where("met >= least")
     whole = hinted.select(F.col("doc_id").alias("file_id"), F.col("key").alias("file_key"), "hinted")
     lined = lined.join(whole, F.col("doc_id").eqNullSafe(F.col("file_id")) & (F.col("key") == F.col("file_key")))
-    heard = F.slice(_words(F.col("hinted")), (F.col("shift") + 1).cast("int"), F.size("said"))
+    # words of the template before the file's first are not there
+    before = F.greatest(-F.col("shift"), F.lit(0)).cast("int")
+    heard = F.concat(F.array_repeat(F.lit(None).cast("string"), before), F.slice(_words(F.col("hinted")), (F.greatest("shift", F.lit(0)) + 1).cast("int"), F.size("said") - before))
     there = F.zip_with("said", heard, lambda w, v: F.coalesce(v == w, F.lit(False)))
     # there stands outside the lambdas, which would split the text again for every word
     lined = lined.withColumn("there", there).where(F.forall(F.zip_with("there", "must", lambda h, m: h | ~m), lambda x: x))

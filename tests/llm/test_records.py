@@ -72,6 +72,21 @@ def test_licences(spark, odd, empty):
     assert license_scan.scan_licenses(odd).count() == odd.count() and license_scan.scan_licenses(empty).count() == 0
 
 
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted"
+
+
+def test_all_licences_of_a_notice_are_found(spark):
+    apache = "Licensed under the Apache License, Version 2.0"
+    # the common words of a corpus: apache is rare, its neighbours are not
+    common = ["license version 2.0, licensed"] * 30
+    texts = [f"{MIT}. {BSD}. {apache}", apache.removeprefix("Licensed "), "Apache License, Version 2.0", "x " + "Apache License, Version 2.0", *common]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan_licenses(documents(spark, enumerate(texts))).collect()}
+    assert got[0][0] == "apache-2.0,bsd,mit" and got[1][0] == "apache-2.0"
+    # a notice at the file's first word is judged as elsewhere
+    assert got[2] == got[3] and got[2][0] == "apache-2.0"
+
+
 def test_media_round_trip(spark, odd, empty):
     got = media.text_media(odd).collect()
     texts = odd.select("doc_id", "text").collect()
