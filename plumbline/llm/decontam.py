@@ -12,6 +12,11 @@ Numbers are words that begin with a digit; "3.5" or "1,000" is one. Names are
 runs of capitalised words that do not begin a sentence. Units count right
 after a number. Windows are taken twice, with names as slots and as words, so
 a passage in capitals or without any is found too.
+
+An item without a window of enough literals (sums, tables of numbers, very
+short ones, sentences without spaces) is taken a third time, word by word:
+numbers stay words, characters of scripts without spaces are words of their
+own, and all windows have to stand in the document, so exact copies are found.
 """
 
 from __future__ import annotations
@@ -32,8 +37,10 @@ WINDOW = 8
 LITERALS = 4
 #: Consistent windows that make a leak, or all of a shorter item's.
 LEAK_WINDOWS = 6
-#: Added to places of the form without names, so the forms are aligned apart.
-SECOND_FORM = 1 << 40
+#: A form's number times this is added to its places, so the forms are aligned apart.
+FORM_BITS = 40
+#: The form of literal words, beside those with and without names (0 and 1).
+LITERAL_FORM = 2
 #: Largest benchmark (windows) that is sent to every task as a filter; beyond, all windows are shuffled.
 FILTER_WINDOWS = 4_000_000
 
@@ -44,6 +51,10 @@ UNITS = (
     "mph kmh kph percent dollar dollars euro euros cent cents usd eur degree degrees"
 ).split()
 
+# Code points of scripts written without spaces between words, and of punctuation and spaces outside ASCII.
+UNSPACED = ((0x0E00, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3021, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA4CF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF))
+PUNCTUATION = ((0x80, 0xA9), (0xAB, 0xB1), (0xB4, 0xB4), (0xB6, 0xB8), (0xBB, 0xBB), (0xBF, 0xBF), (0xD7, 0xD7), (0xF7, 0xF7), (0x2000, 0x206F), (0x2190, 0x23FF), (0x3000, 0x3004), (0x3008, 0x3020), (0x3030, 0x3030), (0x30FB, 0x30FB), (0xFE30, 0xFE4F), (0xFEFF, 0xFEFF), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+
 NUMBER, NAME, UNIT = 1, 2, 3
 _SLOT = constants(4, 31)
 _PLACE = constants(64, 32)
@@ -100,6 +111,46 @@ def templates(data: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, np.n
     return out
 
 
+def _literal_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and row of literal words: as elsewhere, but a character of a script without spaces is a word, and punctuation outside ASCII none."""
+    n = len(data)
+    lone, none = np.zeros(n, bool), np.zeros(n, bool)  # by leading byte
+    width = np.where(data >= 0xF0, 4, np.where(data >= 0xE0, 3, 2))
+    head = np.flatnonzero(data >= 0xC2)
+    if len(head):
+        at = lambda k: data[np.minimum(head + k, n - 1)].astype(np.int64) & 63
+        two, three = (data[head] & 31).astype(np.int64) << 6 | at(1), (data[head] & 15).astype(np.int64) << 12 | at(1) << 6 | at(2)
+        code = np.where(width[head] == 2, two, np.where(width[head] == 3, three, (data[head] & 7).astype(np.int64) << 18 | at(1) << 12 | at(2) << 6 | at(3)))
+        within = lambda spans: np.any([(code >= a) & (code <= b) for a, b in spans], axis=0)
+        none[head], lone[head] = within(PUNCTUATION), within(UNSPACED)
+        lone &= ~none
+    inside = ALNUM[data]
+    cut = np.zeros(n + 1, bool)
+    cut[offs] = True
+    for k in range(4):
+        gone = np.flatnonzero(none & (width > k)) + k
+        inside[gone[gone < n]] = False
+    own = np.flatnonzero(lone)
+    cut[own] = cut[np.minimum(own + width[own], n)] = True
+    kept = np.concatenate(([False], inside, [False]))
+    starts = np.flatnonzero(inside & (~kept[:-2] | cut[:-1]))
+    ends = np.flatnonzero(inside & (~kept[2:] | cut[1:])) + 1
+    return starts, ends, np.searchsorted(offs, starts, side="right") - 1
+
+
+def literals(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Literal words of a slice of texts, in the form of templates(): no slots."""
+    starts, ends, rows = _literal_words(data, offs) if len(data) else (np.zeros(0, np.int64),) * 3
+    return rows, run_hashes(LOWER[data], starts, ends), np.zeros(len(rows), np.int64), np.zeros(len(rows), U64)
+
+
+def _forms(data: np.ndarray, offs: np.ndarray, sizes: dict[int, tuple[int, ...]]) -> Iterator[tuple[int, tuple]]:
+    if 0 in sizes or 1 in sizes:
+        yield from ((k, t) for k, t in enumerate(templates(data, offs)) if k in sizes)
+    if LITERAL_FORM in sizes:
+        yield LITERAL_FORM, literals(data, offs)
+
+
 def windows(rows: np.ndarray, words: np.ndarray, kind: np.ndarray, size: int, form: int) -> tuple[np.ndarray, np.ndarray]:
     """(first word, hash) of the windows of ``size`` words with enough literals."""
     n = len(words) - size + 1
@@ -108,6 +159,9 @@ def windows(rows: np.ndarray, words: np.ndarray, kind: np.ndarray, size: int, fo
     rolled = np.zeros(n, U64)
     for k in range(size):
         rolled += words[k : k + n] * _PLACE[k]
+    if form == LITERAL_FORM:
+        at = np.flatnonzero(rows[:n] == rows[size - 1 :])
+        return at, mix(rolled[at] + np.full(1, 4096 + size, U64))
     slots = np.concatenate(([0], np.cumsum(kind > 0)))
     good = (rows[:n] == rows[size - 1 :]) & (size - (slots[size:] - slots[:n]) >= min(LITERALS, size))
     at = np.flatnonzero(good)
@@ -118,18 +172,18 @@ _WINDOWS = pa.schema([("id", pa.int64()), ("place", pa.int64()), ("hash", pa.int
 _WINDOWS_SQL = "id long, place long, hash long, slots array<long>"
 
 
-def _windowed(sizes: tuple[int, ...], wanted=None):
-    """Windows of the given sizes; wanted: a broadcast of sorted hashes, or all."""
+def _windowed(sizes: dict[int, tuple[int, ...]], wanted=None):
+    """Windows of each form's sizes; wanted: a broadcast of sorted hashes, or all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = None if wanted is None else wanted.value
         for batch in batches:
             ids = batch.column("id")
             for row, data, offs in slices(batch.column("text")):
-                for form, (rows, words, kind, value) in enumerate(templates(data, offs)):
-                    first = np.searchsorted(rows, np.arange(len(offs) - 1)) - form * SECOND_FORM
+                for form, (rows, words, kind, value) in _forms(data, offs, sizes):
+                    first = np.searchsorted(rows, np.arange(len(offs) - 1)) - (form << FORM_BITS)
                     slot = np.where(kind > 0, value, np.zeros(1, U64)).view(np.int64)
-                    for size in sizes:
+                    for size in sizes[form]:
                         at, hashes = windows(rows, words, kind, size, form)
                         if keep is not None:
                             if not len(keep):
@@ -151,26 +205,41 @@ def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, data, offs in slices(batch.column("text")):
             counts = np.minimum(*(np.bincount(t[0], minlength=len(offs) - 1) for t in templates(data, offs)))
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, len(offs) - 1), pa.array(counts)], ["id", "n"])
+            said = np.bincount(literals(data, offs)[0], minlength=len(offs) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, len(offs) - 1), pa.array(counts), pa.array(said)], ["id", "n", "said"])
 
 
 def _texts(df: DataFrame, name: str) -> DataFrame:
     return df.select(F.col(name).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
 
 
-def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> tuple[DataFrame, tuple[int, ...]]:
-    """The items' windows (id, place, hash, slots, total) and the sizes of window among them.
+def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> tuple[DataFrame, dict[int, tuple[int, ...]]]:
+    """The items' windows (id, form, place, hash, slots, total) and the sizes of window among them by form.
 
-    total is the number of windows of the item. Items of fewer words than LITERALS have none.
+    total is the number of windows of the item in the form. Items without a
+    window of the form without names, which has no dependence on what stands
+    around, have windows of the literal form too.
     """
     items = _texts(benchmark, "item_id")
-    lengths = materialize(items.mapInArrow(_lengths, "id long, n long"), "items")
-    short = [r[0] for r in lengths.where((F.col("n") < size) & (F.col("n") >= LITERALS)).select("n").distinct().collect()]  # fewer than size values
-    sizes = (*sorted(short), size)
-    wide = items.mapInArrow(_windowed(sizes), _WINDOWS_SQL).join(lengths.groupBy("id").agg(F.max("n").alias("n")), "id")
-    own = wide.where(F.size("slots") == F.least("n", F.lit(size))).select("id", "place", "hash", "slots", (F.col("place") >= SECOND_FORM).alias("form")).distinct()
-    totals = own.groupBy("id", "form").agg(F.countDistinct("place").alias("total"))
-    return materialize(own.join(totals, ["id", "form"]), "item-windows"), sizes
+    lengths = materialize(items.mapInArrow(_lengths, "id long, n long, said long"), "items")
+    under = lambda rows, n: tuple(sorted(r[0] for r in rows.where((F.col(n) < size) & (F.col(n) > 0)).select(n).distinct().collect()))  # noqa: E731  # fewer than size values
+    sizes = (*under(lengths.where(F.col("n") >= LITERALS), "n"), size)
+    form = F.shiftright("place", FORM_BITS)
+    most = lengths.groupBy("id").agg(F.max("n").alias("n"), F.max("said").alias("said"))
+
+    def own(texts: DataFrame, by_form: dict[int, tuple[int, ...]], n: str) -> DataFrame:
+        wide = texts.mapInArrow(_windowed(by_form), _WINDOWS_SQL).join(most, "id")
+        return wide.where(F.size("slots") == F.least(n, F.lit(size))).select("id", "place", "hash", "slots", form.alias("form")).distinct()
+
+    usual = materialize(own(items, {0: sizes, 1: sizes}, "n"), "usual-windows")
+    rest = lengths.join(usual.where("form = 1").select("id").distinct(), "id", "left_anti")
+    said = (*under(rest, "said"), *([size] if rest.where(F.col("said") >= size).limit(1).count() else []))
+    found, by_form = usual, {0: sizes, 1: sizes}
+    if said:
+        by_form[LITERAL_FORM] = said
+        found = usual.union(own(items.join(rest.select("id").distinct(), "id"), {LITERAL_FORM: said}, "said"))
+    totals = found.groupBy("id", "form").agg(F.countDistinct("place").alias("total"))
+    return materialize(found.join(totals, ["id", "form"]), "item-windows"), by_form
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -197,8 +266,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFram
     lined = met.groupBy("doc_id", "item_id", "form", "shift").agg(
         F.countDistinct("place").alias("n_windows"), F.max("total").alias("total"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
     )
+    # a literal copy is whole
+    enough = F.when(F.col("form") == LITERAL_FORM, F.col("total")).otherwise(F.least(F.lit(LEAK_WINDOWS), "total"))
     values = F.size(F.array_distinct(F.transform("pairs", lambda p: p["x"])))
-    lined = lined.where((values == F.size("pairs")) & (F.col("n_windows") >= F.least(F.lit(LEAK_WINDOWS), "total")))
+    lined = lined.where((values == F.size("pairs")) & (F.col("n_windows") >= enough))
     best = lined.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", F.size("pairs").alias("n_slots"), "total")).alias("best"))
     return best.select(
         "doc_id", "item_id", F.col("best.n_windows").cast("long").alias("n_windows"), F.col("best.n_slots").cast("long").alias("n_slots"),

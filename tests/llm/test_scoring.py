@@ -45,6 +45,16 @@ def test_a_short_item_is_one_window(spark):
     assert [(r.doc_id, r.share) for r in leaks(docs, items(spark, ["Blue whales sing at night"])).collect()] == [(1, 1.0)]
 
 
+def test_items_without_literal_windows_are_found_as_copies(spark):
+    told = ["What is 12 + 35?", "3 4 7 11 18 29 47 76", "7 kg 9 km 12 s 3 mm 44 g 5 ml 8 h 2 min 6 m", "东京是日本的首都吗？", "猫は好きですか。", "Ulaanbaatar", "1 1 1 1 1 1 1 1 1 1 1"]
+    texts = {i: f"so we say. {t} and go on" for i, t in enumerate(told)}
+    texts[3], texts[4] = f"我问：{told[3]}他说是。", f"彼は言う「{told[4]}」と。"
+    near = {10: "What is 12 + 36?", 11: "3 4 7 11 18 29 47", 12: told[2].replace("44", "45"), 13: "东京是韩国的首都吗？", 14: "猫は嫌いですか。", 15: "Ulaanbaatars", 16: "1 1 1 1 1 1 1 1 1 1"}
+    docs = documents(spark, [*texts.items(), *near.items()])
+    got = {(r.doc_id, r.item_id): r.share for r in leaks(docs, items(spark, told)).collect()}
+    assert got == {(i, i): 1.0 for i in range(len(told))}
+
+
 def labelled(n):
     rows = []
     for i in range(n):
