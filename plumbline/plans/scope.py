@@ -89,7 +89,8 @@ def _quantities(entry: dict[str, Any], regions: DataFrame, bound: str) -> DataFr
         return regions.groupBy(*by).agg(F.sum(F.greatest(own, F.lit(0.0)) + margin).alias("q"))
     cu, cv = (F.col("u0") + F.col("u1")) / 2, (F.col("v0") + F.col("v1")) / 2
     hw, hh = F.greatest(at("width", bound), F.lit(0.0)) / 2 + margin, F.greatest(at("height", bound), F.lit(0.0)) / 2 + margin
-    limit = lambda c: F.coalesce(F.greatest(F.col(f"{c}_{bound}"), F.lit(1e-9)), F.lit(float("inf")))
+    # greatest() passes over nulls: floors and ceilings have no limit
+    limit = lambda c: F.when(F.col(f"{c}_{bound}").isNotNull(), F.greatest(F.col(f"{c}_{bound}"), F.lit(1e-9))).otherwise(F.lit(float("inf")))
     if formula == "damage_area_margin":
         low = lambda x: F.when(F.col(f"length_{bound}").isNotNull(), F.greatest(x, F.lit(0.0))).otherwise(x)
         boxes = regions.select(*by, low(cu - hw).alias("x0"), low(cv - hh).alias("y0"), F.least(cu + hw, limit("length")).alias("x1"), F.least(cv + hh, limit("height")).alias("y1"))

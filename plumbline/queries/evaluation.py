@@ -12,7 +12,7 @@ from plumbline.functions.columns import clean_number, parse_quantity
 from plumbline.kernels import assignment, greedy, registration
 from plumbline.operators import shapes
 from plumbline.plans import evaluation as ev
-from plumbline.session import read_table
+from plumbline.session import materialize, read_table
 
 from .tables import SPANS_SQL, events, lineitem, order_spans, orders, points
 
@@ -262,18 +262,33 @@ def _flags(spark: SparkSession, d: str) -> DataFrame:
 def line_items(spark: SparkSession, d: str) -> DataFrame:
     from plumbline.plans import scope
 
+    few = tuple(e for e in scope.DAMAGE if e["id"] in ("CRACK-TAPE", "HOLE-PATCH"))
+    items = _line_items(spark, d, few, ())
+    return items.select("surface_id", "entry", F.size("damage_ids").cast("long").alias("n_damage"), F.round("value", 6).alias("value"))
+
+
+def _line_items(spark: SparkSession, d: str, *entries: tuple) -> DataFrame:
+    from plumbline.plans import scope
+
     rooms, walls, openings, _ = _plan(spark, d)
     m = lambda c, k=0.1: F.struct(c.alias("value"), (c * (1 - k)).alias("lo"), (c * (1 + k)).alias("hi"))
     damage = _regions(spark, d).withColumns({c: m(F.col(c)) for c in ("area", "width", "height", "length")})
     walls = walls.withColumns({"length": m(F.lit(4.0)), "height": m(F.lit(2.5))})
     rooms = rooms.withColumn("floor_area", m(F.lit(12.0)))
     openings = openings.withColumns({c: m(F.col(c)) for c in ("width", "height")})
-    few = tuple(e for e in scope.DAMAGE if e["id"] in ("CRACK-TAPE", "HOLE-PATCH"))
-    items = scope.line_items(damage, _flags(spark, d), rooms, walls, openings, few, ())
-    return items.select("surface_id", "entry", F.size("damage_ids").cast("long").alias("n_damage"), F.round("value", 6).alias("value"))
+    flags = _flags(spark, d)
+    # every flag entry reads the flags at each bound
+    return scope.line_items(damage, flags if entries else materialize(flags, "flags"), rooms, walls, openings, *entries)
+
 
+# order-dependent and numeric kernels, and the whole catalogue: no SQL
 
-# order-dependent and numeric kernels: no SQL
+
+@query()
+def line_items_all(spark: SparkSession, d: str) -> DataFrame:
+    """All entries of the catalogue, of damage and of flags."""
+    items = _line_items(spark, d)
+    return items.select("surface_id", "entry", F.size("damage_ids").cast("long").alias("n_damage"), F.size("flag_ids").cast("long").alias("n_flags"), *(F.round(c, 6).alias(c) for c in ("value", "lo", "hi")))
 
 
 @query()

@@ -5,7 +5,10 @@ import pandas as pd
 import pytest
 
 from plumbline.kernels.registration import pose_graph
+from plumbline.functions.columns import FEET, SQUARE_FEET
+from plumbline.plans import scope
 from plumbline.queries import QUERIES
+from plumbline.queries.evaluation import _flags, _regions
 
 
 @pytest.fixture(scope="module")
@@ -78,3 +81,56 @@ def test_pose_graphs_hold_every_event(spark, sf_dir, table):
         edges = pd.DataFrame([*steps, (0, len(g), 0.0, 0.0, 0.0, 0.0, 0.05, 0.05)], columns=["i", "j", "x", "y", "z", "yaw", "sigma_xyz", "sigma_yaw"]).sort_values(["i", "j"])
         own = got[(got.user_id == user) & (got.part == part)].sort_values("node")[["x", "y", "z", "yaw"]]
         assert np.allclose(own, pose_graph(edges, len(g) + 1), atol=1e-5)
+
+
+def _union(boxes):
+    """Area of a union of boxes by the cells between all edges."""
+    xs, ys = (sorted({b[k] for b in boxes} | {b[k + 2] for b in boxes}) for k in (0, 1))
+    cells = ((x0, x1, y0, y1) for x0, x1 in zip(xs, xs[1:]) for y0, y1 in zip(ys, ys[1:]))
+    return sum((x1 - x0) * (y1 - y0) for x0, x1, y0, y1 in cells if any(b[0] <= x0 and x1 <= b[2] and b[1] <= y0 and y1 <= b[3] for b in boxes))
+
+
+def _line(entry, surface, regions, n_flags, k):
+    """Quantity of a surface's regions with sizes times k; walls are 4 by 2.5 m and other surfaces 12 square metres, times k too."""
+    m, wall = entry.get("margin_m", 0.0), "-W" in surface
+    w, h = (4.0 * k, 2.5 * k) if wall else (float("inf"),) * 2
+    floor = 0.0 if wall else -float("inf")
+    half = [((r.u0 + r.u1) / 2, (r.v0 + r.v1) / 2, r.width * k / 2 + m, r.height * k / 2 + m) for r in regions]
+    match entry["formula"]:
+        case "each":
+            return {"region": len(regions), "surface": 1, "flag": n_flags}[entry.get("count", "region")]
+        case "surface_area":
+            return 4.0 * k * 2.5 * k if wall else 12.0 * k
+        case "crack_length":
+            return sum(r.length * k + m for r in regions)
+        case "damage_area_margin":
+            boxes = [(max(u - a, floor), max(v - b, floor), min(u + a, w), min(v + b, h)) for u, v, a, b in half]
+            return _union([b for b in boxes if b[2] > b[0] and b[3] > b[1]])
+        case formula:
+            cuts = [(max(u - a, 0.0), 0.0, min(u + a, w), 1.0) for u, _, a, _ in half]
+            return _union([c for c in cuts if c[2] > c[0]]) * (entry["cut_height_m"] if formula == "flood_cut_area" else 1.0)
+
+
+def test_line_items_of_the_whole_catalogue(spark, sf_dir):
+    regions, flags, want = _regions(spark, sf_dir).collect(), _flags(spark, sf_dir).collect(), {}
+    by_id = {r.damage_id: r for r in regions}
+    kind = lambda s: "floor" if s.endswith("FLOOR") else "ceiling" if s.endswith("CEIL") else "wall"
+    for e in scope.DAMAGE + scope.FLAGS:
+        met = {}
+        if "classes" in e:
+            for r in regions:
+                if r.cls in e["classes"] and kind(r.surface_id) in e["surfaces"] and e.get("min_area_m2", -1) < r.area <= e.get("max_area_m2", 1e9):
+                    met.setdefault(r.surface_id, (set(), set()))[0].add(r.damage_id)
+        for f in flags if "rules" in e else ():
+            if f.rule_id in e["rules"]:
+                for s in f.surface_ids[:1] if e.get("count") == "flag" else f.surface_ids:
+                    ids, names = met.setdefault(s, (set(), set()))
+                    ids |= {i for i in f.damage_ids if e.get("count") == "flag" or by_id[i].surface_id == s}
+                    names.add(f.flag_id)
+        for s, (ids, names) in met.items():
+            value, lo, hi = (_line(e, s, [by_id[i] for i in sorted(ids)], len(names), k) * {"SF": SQUARE_FEET, "LF": FEET, "EA": 1.0}[e["unit"]] for k in (1.0, 0.9, 1.1))
+            if value > 0:
+                want[s, e["id"]] = (len(ids), len(names), value, min(lo, value), max(hi, value))
+    got = {(r.surface_id, r.entry): tuple(r)[2:] for r in QUERIES["line_items_all"](spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and {k[1] for k in got} > {"CRACK-TAPE", "HOLE-PATCH"}
+    assert all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
