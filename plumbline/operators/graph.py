@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import materialize
+from plumbline.session import discard, materialize
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -18,7 +18,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     joined on the hub, where adaptive execution splits a skewed side.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    last = None
+    last, before = None, []
     for _ in range(rounds):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
         lows = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -26,6 +26,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         lows = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lows, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
         edges = materialize(small.union(lows.select("u", "m")).distinct(), "edges")
+        discard(*before)
+        before = [edges]
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == last:
             found = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -51,5 +51,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that no later step reads. Other tables are left alone."""
+    for df in tables:
+        spark = df.sparkSession
+        root = shared_dir(spark).removeprefix("file:").lstrip("/")
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if folder.removeprefix("file:").lstrip("/").startswith(root + "/"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
