@@ -38,8 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .shared import materialize
+from plumbline.operators.graph import components
+
+from .shared import discard, materialize
 from .textkit import U64, constants, shingle_sets
 
 COORDINATES = 48

@@ -1,41 +1,13 @@
-"""Session helpers: tables in the shared folder, and schema checks."""
+"""What the operators share: written tables, tables by name, and lower case."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.session import discard, fresh_path, materialize, read_table
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares, from ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a temporary folder; on a
-    cluster the setting is required.
-    """
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later steps start from
-    files that outlive any executor, and nothing above is computed again."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["ascii_lower", "discard", "fresh_path", "materialize", "table"]
 
 
 def ascii_lower(text: Column) -> Column:
@@ -44,4 +16,4 @@ def ascii_lower(text: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)

@@ -8,24 +8,28 @@ input; this sorts the few that can decide anything.
    selected, the leftmost of equals. Equal windows select the same place, so
    comparing windows of equal anchors loses nothing; an anchor stands for all
    consecutive windows that select it (its *reach*), one in about 170 bytes.
-2. Whole reaches. Reaches that are equal as strings (two 64-bit hashes) repeat in
-   all their windows; this settles the inside of every copy by a count.
-3. Suffix sort. What is left are anchors whose k-gram recurs with another
-   reach, around the ends of copies. One reach of each kind is cut out and
-   grouped by k-gram. A merge sort orders the suffixes that start at the
-   anchors; suffixes are compared in logarithmic time by prefix polynomial
-   hashes and binary search for the common extension. Neighbours' common
-   extensions split the order into blocks for every offset, hashes of the part
-   left of the anchor split the blocks, and what is still together repeats.
-   Every repeat found is compared byte by byte before it counts.
+2. Whole reaches. Reaches that are equal as strings (two 64-bit hashes) would
+   stand side by side in the order, so one of each kind stands for all; each
+   of the others is matched with it in all its windows.
+3. Suffix sort. One reach of each kind whose k-gram recurs with another reach
+   is cut out and grouped by k-gram. A merge sort orders the suffixes that
+   start at the anchors; suffixes are compared in logarithmic time by prefix
+   polynomial hashes and binary search for the common extension. Neighbours'
+   common extensions split the order into blocks for every offset, hashes of
+   the part left of the anchor split the blocks, and what is still together
+   repeats. Every repeat found is compared byte by byte before it counts.
 4. K-grams with more different reaches than ``large_group`` would fill a task.
    Their windows are taken in stretches of STRETCH: a stretch whose common
    core is nowhere else repeats nowhere, one that is elsewhere as a whole
    repeats throughout. Only the stretches between, which hold the very end of
    a copy, are dealt out window by window, by digest, and counted.
+5. Verification. What steps 2 and 4 matched by hash is joined into runs of
+   bytes, one for each (document, other document, shift), and the other
+   document's bytes are brought to every run and compared. Bytes that differ
+   under equal hashes stop the job instead of removing anything.
 
-Nothing but counts of whole keys decides, so the result is the same however
-the rows are dealt out.
+Nothing but whole keys decides, so the result is the same however the rows are
+dealt out.
 """
 
 from __future__ import annotations
@@ -36,10 +40,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, materialize
+from .shared import discard, fresh_path, materialize
 from .textkit import U64, constants, mix
 
 _BLOCK = 1 << 20
@@ -378,21 +382,51 @@ def _windows(length: int):
     return run
 
 
-def _crowded(cuts: DataFrame, length: int) -> DataFrame:
-    """(doc_id, key, start, end) of repeats among the cuts of crowded k-grams."""
+_MATCHED = ("doc_id", "key", "start", "end", "o_doc", "o_key", "o_start")
+
+
+def _crowded(cuts: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Matches (_MATCHED) among the cuts of crowded k-grams, and the tables they are read from."""
     parts = materialize(
         cuts.mapInArrow(_stretches(length), "doc_id long, key long, start long, open boolean, core binary, all binary, bytes binary"), "stretches"
     )
     alls = parts.groupBy("all").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "key", "start")).alias("one"), F.first("core").alias("core"))
     alls = materialize(alls, "kinds")
-    whole = parts.where("open").join(alls.where("n > 1").select("all"), "all").select("doc_id", "key", "start", (F.col("start") + F.octet_length("bytes")).alias("end"))
+    other = [F.col("one.doc_id").alias("o_doc"), F.col("one.key").alias("o_key"), F.col("one.start").alias("o_start")]
+    whole = parts.where("open").join(alls.where("n > 1").select("all", *other), "all").withColumn("end", F.col("start") + F.octet_length("bytes")).select(*_MATCHED)
     # one stretch of each kind stands for all, wherever its core is in more than one kind
     mixed = alls.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select("core")
     some = alls.join(mixed, "core").select("one.*", (F.col("n") == 1).alias("single"))
     some = parts.join(some, ["doc_id", "key", "start"]).select("doc_id", "key", "start", (F.col("open") & F.col("single")).alias("open"), "bytes")
     dealt = materialize(some.mapInArrow(_windows(length), "doc_id long, key long, start long, open boolean, digest binary"), "windows")
-    twice = dealt.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    return whole.union(dealt.where("open").join(twice, "digest").select("doc_id", "key", "start", (F.col("start") + length).alias("end")))
+    twice = dealt.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "key", "start")).alias("one")).where("n > 1").select("digest", *other)
+    windows = dealt.where("open").join(twice, "digest").withColumn("end", F.col("start") + length).select(*_MATCHED)
+    return whole.union(windows), [parts, alls, dealt]
+
+
+def _runs_of(matched: DataFrame) -> DataFrame:
+    """Matches of one (document, other document, shift) that overlap or touch, as one."""
+    matched = matched.withColumn("shift", F.col("start") - F.col("o_start"))
+    pair = ["doc_id", "key", "o_doc", "o_key", "shift"]
+    upto = Window.partitionBy(*pair).orderBy("start", "end")
+    reach = F.max("end").over(upto.rowsBetween(Window.unboundedPreceding, -1))
+    new = matched.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
+    new = new.withColumn("run", F.sum("new").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
+    return new.groupBy(*pair, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
+
+
+def _proofs(texts: DataFrame, runs: DataFrame) -> DataFrame:
+    """(doc_key, key, start, bytes): the other document's bytes for every run but those of a reach with itself.
+
+    The texts that stand for others are taken once; a text that stands for a
+    hot group is joined, not grouped, so adaptive execution splits its runs.
+    """
+    asked = runs.where("NOT (doc_id = o_doc AND key = o_key AND shift = 0)")
+    names = asked.select(F.col("o_doc").alias("doc_key"), F.col("o_key").alias("key")).distinct()
+    held = texts.select("doc_key", "key", "text").join(names, ["doc_key", "key"], "left_semi").dropDuplicates(["doc_key", "key"])
+    held = held.select(F.col("doc_key").alias("o_doc"), F.col("key").alias("o_key"), F.col("text").alias("other"))
+    place, size = (F.col("start") - F.col("shift") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")
+    return asked.join(held, ["o_doc", "o_key"]).select(F.col("doc_id").alias("doc_key"), "key", "start", F.substring("other", place, size).alias("bytes"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -423,33 +457,41 @@ def _bucketed(rows: DataFrame) -> DataFrame:
 def _cuts(texts: DataFrame, kinds: DataFrame, grams: DataFrame, length: int) -> DataFrame:
     """One cut of every reach of the given k-grams; open ones occur once."""
     parts = kinds.join(grams.select("gram", "kinds"), "gram").select("one.*", "gram", "kinds", (F.col("n") == 1).alias("open"))
-    parts = parts.groupBy("doc_key", "key").agg(F.collect_list(F.struct("at", "lo", "hi", "gram", "open", "kinds")).alias("parts"))
+    parts = parts.groupBy(F.col("doc_id").alias("doc_key"), "key").agg(F.collect_list(F.struct("at", "lo", "hi", "gram", "open", "kinds")).alias("parts"))
     cuts = texts.select("doc_key", "key", "text").join(parts, ["doc_key", "key"]).select(F.col("doc_key").alias("doc_id"), "key", "text", "parts")
     return cuts.mapInArrow(_cut(length), "doc_id long, key long, at long, lo long, hi long, gram long, open boolean, kinds long, cut binary")
 
 
 def repeated_ranges(texts: DataFrame, length: int = 400) -> DataFrame:
-    """(doc_key, key, ranges): for each document with repeats, [start, end) pairs of bytes, in order of start.
+    """(doc_key, key, ranges, proofs) of each document with repeats.
 
+    ranges are [start, end) pairs of bytes, in order of start; proofs (start,
+    bytes) are what other documents hold there, to be compared with the text.
     texts is a bucketed table of ``_keyed`` documents.
     """
     long = texts.where(F.octet_length("text") >= length).select(F.col("doc_key").alias("doc_id"), "key", "text")
-    found = long.mapInArrow(_anchored(length), "doc_id long, key long, at long, lo long, hi long, gram long, reach long")
-    found = materialize(found.withColumnRenamed("doc_id", "doc_key"), "anchors")
+    found = materialize(long.mapInArrow(_anchored(length), "doc_id long, key long, at long, lo long, hi long, gram long, reach long"), "anchors")
     # the hash of the k-gram and that of the reach name a reach together
-    kinds = found.groupBy("gram", "reach").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_key", "key", "at", "lo", "hi")).alias("one"))
+    kinds = found.groupBy("gram", "reach").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "key", "at", "lo", "hi")).alias("one"))
     kinds = materialize(kinds, "reaches")
-    several = kinds.where("n > 1").select("gram", "reach")
-    whole = found.select("gram", "reach", "doc_key", "key", "lo", "hi").join(several, ["gram", "reach"]).select("doc_key", "key", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
+    several = kinds.where("n > 1").select("gram", "reach", F.col("one.doc_id").alias("o_doc"), F.col("one.key").alias("o_key"), F.col("one.lo").alias("o_start"))
+    whole = found.select("gram", "reach", "doc_id", "key", F.col("lo").alias("start"), (F.col("hi") + length).alias("end")).join(several, ["gram", "reach"])
+    matched, used = whole.select(*_MATCHED), [found, kinds]
 
     mixed = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1")
     limit = large_group(length)
-    small = _cuts(texts, kinds, mixed.where(F.col("kinds") <= limit), length).repartition("gram").sortWithinPartitions("gram")
-    ranges = whole.union(small.mapInArrow(_sorted_repeats(length), "doc_id long, key long, start long, end long"))
     crowds = materialize(mixed.where(F.col("kinds") > limit), "crowds")
     if not crowds.isEmpty():
-        ranges = ranges.union(_crowded(_cuts(texts, kinds, crowds, length), length))
-    return materialize(ranges, "ranges").groupBy("doc_key", "key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("ranges"))
+        close, tables = _crowded(_cuts(texts, kinds, crowds, length), length)
+        matched, used = matched.union(close), [*used, *tables]
+    runs = materialize(_runs_of(matched), "runs")
+    small = _cuts(texts, kinds, mixed.where(F.col("kinds") <= limit), length).repartition("gram").sortWithinPartitions("gram")
+    edges = materialize(small.mapInArrow(_sorted_repeats(length), "doc_id long, key long, start long, end long"), "ends")
+    discard(*used, crowds)
+    ranges = runs.select("doc_id", "key", "start", "end").union(edges).withColumnRenamed("doc_id", "doc_key")
+    ranges = ranges.groupBy("doc_key", "key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("ranges"))
+    proofs = _proofs(texts, runs).groupBy("doc_key", "key").agg(F.collect_list(F.struct("start", "bytes")).alias("proofs"))
+    return ranges.join(proofs, ["doc_key", "key"], "left")
 
 
 def _runs(ranges: pa.Scalar) -> np.ndarray:
@@ -462,12 +504,21 @@ def _runs(ranges: pa.Scalar) -> np.ndarray:
     return np.stack((start[new], reach[np.append(np.flatnonzero(new)[1:], len(start)) - 1]), axis=1)
 
 
+def _verify(text: memoryview, proofs: pa.Scalar) -> None:
+    """Every run holds the bytes it was matched with by hash."""
+    for start, held in zip(*(proofs.values.field(i) for i in (0, 1)), strict=True) if proofs.is_valid else ():
+        begin, other = start.as_py(), memoryview(held.as_buffer())
+        if text[begin : begin + len(other)] != other:
+            raise ValueError(f"different bytes under one hash at byte {begin} of a text; nothing was removed")
+
+
 def _kept(as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list] = [[], [], [], []]
-            for value, ranges in zip(batch.column("text"), batch.column("ranges"), strict=True):
+            for value, ranges, proofs in zip(*(batch.column(c) for c in ("text", "ranges", "proofs")), strict=True):
                 view = memoryview(value.as_buffer())
+                _verify(view, proofs)
                 runs = _runs(ranges)
                 kept, begin = [], 0
                 for start, end in runs.tolist():
@@ -478,7 +529,7 @@ def _kept(as_text: bool):
                 for column, x in zip(columns, (len(view), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), left), strict=True):
                     column.append(x)
             arrays = [pa.array(c, pa.int64()) for c in columns[:3]] + [pa.array(columns[3], pa.string() if as_text else pa.binary())]
-            rest = [c for c in batch.schema.names if c not in ("text", "ranges")]
+            rest = [c for c in batch.schema.names if c not in ("text", "ranges", "proofs")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *arrays], [*rest, "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
@@ -496,7 +547,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] =
     """
     wanted = {f"_c{i}": c for i, c in enumerate(docs.columns) if c in carry}
     texts = _bucketed(_keyed(docs).select("doc_key", "key", "text", "doc_id", *wanted))
-    joined = texts.join(repeated_ranges(texts, length), ["doc_key", "key"], "left").select("doc_id", *wanted, "text", "ranges")
+    joined = texts.join(repeated_ranges(texts, length), ["doc_key", "key"], "left").select("doc_id", *wanted, "text", "ranges", "proofs")
     kinds = dict(docs.dtypes)
     left = f"n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
     schema = ", ".join(["doc_id long", *(f"{n} {kinds[c]}" for n, c in wanted.items()), left])

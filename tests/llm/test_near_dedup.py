@@ -4,8 +4,8 @@ from collections import Counter, defaultdict
 import numpy as np
 
 from plumbline.llm import near_dedup
-from plumbline.llm.components import components
 from plumbline.llm.near_dedup import near_duplicates
+from plumbline.operators.graph import components
 
 from .conftest import documents, words
 

@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import suffix_dedup
@@ -51,6 +52,23 @@ def test_crowded_grams(spark, monkeypatch):
     check(spark, mixed(3))
 
 
+def test_more_kinds_than_one_task_sorts(spark):
+    """A passage in more texts than large_group, and a text in many copies: the crowded path at its real limit."""
+    passage = words(1, 9, "p")
+    texts = [f"{words(10 + i, 4)} {passage} {words(5000 + i, 4)}" for i in range(1100)] + [words(2, 30)] * 300 + [words(2, 30)[:200] + "!"] * 2
+    assert len(texts) > suffix_dedup.large_group(64)
+    check(spark, texts, 64)
+
+
+def test_differing_bytes_under_one_hash_stop_the_job():
+    proofs = pa.array([[{"start": 1, "bytes": b"bc"}], [{"start": 1, "bytes": b"bx"}], None], pa.list_(pa.struct([("start", pa.int64()), ("bytes", pa.binary())])))
+    text = memoryview(b"abcd")
+    suffix_dedup._verify(text, proofs[0])
+    suffix_dedup._verify(text, proofs[2])
+    with pytest.raises(ValueError, match="nothing was removed"):
+        suffix_dedup._verify(text, proofs[1])
+
+
 def test_short_length(spark):
     check(spark, mixed(4), 64)
 
