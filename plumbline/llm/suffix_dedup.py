@@ -415,18 +415,24 @@ def _runs_of(matched: DataFrame) -> DataFrame:
     return new.groupBy(*pair, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
 
 
-def _proofs(texts: DataFrame, runs: DataFrame) -> DataFrame:
-    """(doc_key, key, start, bytes): the other document's bytes for every run but those of a reach with itself.
+def _verify(texts: DataFrame, runs: DataFrame) -> None:
+    """Every run holds the bytes of the document it was matched with.
 
-    The texts that stand for others are taken once; a text that stands for a
-    hot group is joined, not grouped, so adaptive execution splits its runs.
+    The texts that stand for others are taken once, and their bytes shipped to
+    each run but that of a text with itself. A text that stands for a hot
+    group is joined, not grouped, so adaptive execution splits its runs.
     """
     asked = runs.where("NOT (doc_id = o_doc AND key = o_key AND shift = 0)")
     names = asked.select(F.col("o_doc").alias("doc_key"), F.col("o_key").alias("key")).distinct()
     held = texts.select("doc_key", "key", "text").join(names, ["doc_key", "key"], "left_semi").dropDuplicates(["doc_key", "key"])
     held = held.select(F.col("doc_key").alias("o_doc"), F.col("key").alias("o_key"), F.col("text").alias("other"))
     place, size = (F.col("start") - F.col("shift") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")
-    return asked.join(held, ["o_doc", "o_key"]).select(F.col("doc_id").alias("doc_key"), "key", "start", F.substring("other", place, size).alias("bytes"))
+    said = asked.join(held, ["o_doc", "o_key"]).select(F.col("doc_id").alias("doc_key"), "key", "start", F.substring("other", place, size).alias("bytes"))
+    both = said.join(texts.select("doc_key", "key", "text"), ["doc_key", "key"])
+    own = F.substring("text", (F.col("start") + 1).cast("int"), F.octet_length("bytes"))
+    wrong = both.agg(F.count_if(own != F.col("bytes")).alias("n")).first()["n"]
+    if wrong:
+        raise ValueError(f"{wrong} runs hold different bytes under one hash; nothing was removed")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -463,10 +469,8 @@ def _cuts(texts: DataFrame, kinds: DataFrame, grams: DataFrame, length: int) ->
 
 
 def repeated_ranges(texts: DataFrame, length: int = 400) -> DataFrame:
-    """(doc_key, key, ranges, proofs) of each document with repeats.
+    """(doc_key, key, ranges): for each document with repeats, [start, end) pairs of bytes, in order of start.
 
-    ranges are [start, end) pairs of bytes, in order of start; proofs (start,
-    bytes) are what other documents hold there, to be compared with the text.
     texts is a bucketed table of ``_keyed`` documents.
     """
     long = texts.where(F.octet_length("text") >= length).select(F.col("doc_key").alias("doc_id"), "key", "text")
@@ -488,10 +492,9 @@ def repeated_ranges(texts: DataFrame, length: int = 400) -> DataFrame:
     small = _cuts(texts, kinds, mixed.where(F.col("kinds") <= limit), length).repartition("gram").sortWithinPartitions("gram")
     edges = materialize(small.mapInArrow(_sorted_repeats(length), "doc_id long, key long, start long, end long"), "ends")
     discard(*used, crowds)
+    _verify(texts, runs)
     ranges = runs.select("doc_id", "key", "start", "end").union(edges).withColumnRenamed("doc_id", "doc_key")
-    ranges = ranges.groupBy("doc_key", "key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("ranges"))
-    proofs = _proofs(texts, runs).groupBy("doc_key", "key").agg(F.collect_list(F.struct("start", "bytes")).alias("proofs"))
-    return ranges.join(proofs, ["doc_key", "key"], "left")
+    return ranges.groupBy("doc_key", "key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("ranges"))
 
 
 def _runs(ranges: pa.Scalar) -> np.ndarray:
@@ -504,21 +507,12 @@ def _runs(ranges: pa.Scalar) -> np.ndarray:
     return np.stack((start[new], reach[np.append(np.flatnonzero(new)[1:], len(start)) - 1]), axis=1)
 
 
-def _verify(text: memoryview, proofs: pa.Scalar) -> None:
-    """Every run holds the bytes it was matched with by hash."""
-    for start, held in zip(*(proofs.values.field(i) for i in (0, 1)), strict=True) if proofs.is_valid else ():
-        begin, other = start.as_py(), memoryview(held.as_buffer())
-        if text[begin : begin + len(other)] != other:
-            raise ValueError(f"different bytes under one hash at byte {begin} of a text; nothing was removed")
-
-
 def _kept(as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list] = [[], [], [], []]
-            for value, ranges, proofs in zip(*(batch.column(c) for c in ("text", "ranges", "proofs")), strict=True):
+            for value, ranges in zip(batch.column("text"), batch.column("ranges"), strict=True):
                 view = memoryview(value.as_buffer())
-                _verify(view, proofs)
                 runs = _runs(ranges)
                 kept, begin = [], 0
                 for start, end in runs.tolist():
@@ -529,7 +523,7 @@ def _kept(as_text: bool):
                 for column, x in zip(columns, (len(view), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), left), strict=True):
                     column.append(x)
             arrays = [pa.array(c, pa.int64()) for c in columns[:3]] + [pa.array(columns[3], pa.string() if as_text else pa.binary())]
-            rest = [c for c in batch.schema.names if c not in ("text", "ranges", "proofs")]
+            rest = [c for c in batch.schema.names if c not in ("text", "ranges")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *arrays], [*rest, "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
@@ -547,7 +541,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] =
     """
     wanted = {f"_c{i}": c for i, c in enumerate(docs.columns) if c in carry}
     texts = _bucketed(_keyed(docs).select("doc_key", "key", "text", "doc_id", *wanted))
-    joined = texts.join(repeated_ranges(texts, length), ["doc_key", "key"], "left").select("doc_id", *wanted, "text", "ranges", "proofs")
+    joined = texts.join(repeated_ranges(texts, length), ["doc_key", "key"], "left").select("doc_id", *wanted, "text", "ranges")
     kinds = dict(docs.dtypes)
     left = f"n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
     schema = ", ".join(["doc_id long", *(f"{n} {kinds[c]}" for n, c in wanted.items()), left])

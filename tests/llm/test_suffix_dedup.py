@@ -2,7 +2,6 @@ import hashlib
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from plumbline.llm import suffix_dedup
@@ -60,13 +59,13 @@ def test_more_kinds_than_one_task_sorts(spark):
     check(spark, texts, 64)
 
 
-def test_differing_bytes_under_one_hash_stop_the_job():
-    proofs = pa.array([[{"start": 1, "bytes": b"bc"}], [{"start": 1, "bytes": b"bx"}], None], pa.list_(pa.struct([("start", pa.int64()), ("bytes", pa.binary())])))
-    text = memoryview(b"abcd")
-    suffix_dedup._verify(text, proofs[0])
-    suffix_dedup._verify(text, proofs[2])
-    with pytest.raises(ValueError, match="nothing was removed"):
-        suffix_dedup._verify(text, proofs[1])
+def test_differing_bytes_under_one_hash_stop_the_job(spark):
+    texts = suffix_dedup._bucketed(suffix_dedup._keyed(documents(spark, [(1, "xxabcyy"), (2, "abc"), (3, "abd")])).select("doc_key", "key", "text"))
+    key = {r.doc_key: r.key for r in texts.collect()}
+    runs = lambda other: spark.createDataFrame([(1, key[1], other, key[other], 2, 2, 5), (2, key[2], 2, key[2], 0, 0, 3)], "doc_id long, key long, o_doc long, o_key long, shift long, start long, end long")
+    suffix_dedup._verify(texts, runs(2))
+    with pytest.raises(ValueError, match="1 runs hold different bytes"):
+        suffix_dedup._verify(texts, runs(3))
 
 
 def test_short_length(spark):
