@@ -23,13 +23,15 @@ recur in too few other open classes cannot have a link left and goes (it
 would need percent/100 of its set in common with one of them); this removes
 documents that share a passage but little else. A second pivot is tried, and
 then the members of different components are compared whose profiles (how
-many shingles recur, and a bit map of them) still allow a link. So no link is
-lost between components, and a group of n copies costs about n pairs.
+many shingles recur, and a bit map of them) still allow a link, each with
+those of its own and the next band of set sizes. So no link is lost between
+components, and a group of n copies costs about n pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,6 +126,8 @@ class _Links:
 
     def __init__(self, classes: DataFrame, texts: DataFrame, size: int, percent: int):
         self.classes, self.texts, self.size, self.percent = classes, texts, size, percent
+        #: Written tables that are of no use once all links are known.
+        self.used: list[DataFrame] = []
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that match in T coordinates and then on the full sets."""
@@ -133,6 +137,7 @@ class _Links:
         equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         met = met.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent) & (equal >= MATCHES))
         met = materialize(met.select("a", "b"), "pairs")
+        self.used.append(met)
         full = met.join(self.texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         full = full.join(self.texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         return full.select("a", "b", "ta", "tb").mapInArrow(_confirm(self.size, self.percent), "a long, b long")
@@ -164,6 +169,7 @@ def _profiles(links: _Links, ids: DataFrame) -> DataFrame:
     """
     values = links.texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_members(links.size), "id long, token long")
     values = materialize(values, "shingles")
+    links.used.append(values)
     again = values.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
     bits = [F.expr(f"bit_or(if(pmod(token, {MAP_WORDS}) = {w}, shiftleft(1L, cast(pmod(shiftright(token, 32), 64) AS int)), 0L))").alias(f"b{w}") for w in range(MAP_WORDS)]
     held = values.join(again, "token").groupBy("id").agg(F.count(F.lit(1)).alias("s"), *bits).join(links.classes.select("id", "n"), "id")
@@ -172,19 +178,23 @@ def _profiles(links: _Links, ids: DataFrame) -> DataFrame:
 
 def _allowed_pairs(percent: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """Pairs between two blocks of a list, or within one, that the profiles allow."""
-        x, y = (rows[rows["side"] == k].sort_values("id") for k in (0, 1))
+        """Pairs between two blocks of a list, or within one, that the profiles allow.
+
+        Members of one component are not compared: a run of 128 of them meets
+        only the others.
+        """
+        x, y = (rows[rows["side"] == k].sort_values(["comp", "id"]) for k in (0, 1))
         y = y if len(y) else x
         bits = [f"b{w}" for w in range(MAP_WORDS)]
-        by, ny, sy, iy, cy = y[bits].to_numpy(np.int64).view(U64), y["n"].to_numpy(), y["s"].to_numpy(), y["id"].to_numpy(), y["comp"].to_numpy()
+        held = lambda t: (t[bits].to_numpy(np.int64).view(U64), *(t[c].to_numpy() for c in ("n", "s", "id", "comp", "upper")))
         out = []
         for k in range(0, len(x), 128):
-            part = x.iloc[k : k + 128]
-            bx, nx, sx, ix, cx = part[bits].to_numpy(np.int64).view(U64), part["n"].to_numpy(), part["s"].to_numpy(), part["id"].to_numpy(), part["comp"].to_numpy()
+            bx, nx, sx, ix, cx, ux = held(x.iloc[k : k + 128])
+            by, ny, sy, iy, cy, uy = held(y[y["comp"] != cx[0]] if cx[0] == cx[-1] else y)
             common = sum(np.bitwise_count(bx[:, None, w] & by[None, :, w]).astype(np.int64) for w in range(MAP_WORDS))
             only_x, only_y = np.bitwise_count(bx).sum(1)[:, None] - common, np.bitwise_count(by).sum(1)[None, :] - common
             most = np.minimum(sx[:, None] - only_x, sy[None, :] - only_y)
-            ok = (most * 100 >= (nx[:, None] + ny[None, :] - most) * percent) & (cx[:, None] != cy[None, :])
+            ok = (most * 100 >= (nx[:, None] + ny[None, :] - most) * percent) & (cx[:, None] != cy[None, :]) & ~(ux[:, None] & uy[None, :])
             i, j = np.nonzero(ok)
             out.append(np.stack((np.minimum(ix[i], iy[j]), np.maximum(ix[i], iy[j])), axis=1))
         return pd.DataFrame(np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
@@ -195,12 +205,14 @@ def _allowed_pairs(percent: int):
 def _across(posts: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     """Pairs of a list's members in different components whose profiles allow a link.
 
-    Short lists are joined with themselves. Long ones are dealt into blocks,
-    and tasks take pairs of blocks.
+    Short lists are joined with themselves. Long ones are cut into bands of
+    set sizes, as a link needs sizes in a ratio of percent/100, so in one band
+    or the next; a band with the next is dealt into blocks, and tasks take
+    pairs of blocks.
     """
     lengths = posts.groupBy("token").agg(F.count(F.lit(1)).alias("length"))
     full = posts.join(profiles, "id").join(lengths, "token")
-    short, long = full.where(F.col("length") <= SHORT_LIST).drop("length"), full.where(F.col("length") > SHORT_LIST)
+    short, long = full.where(F.col("length") <= SHORT_LIST).drop("length"), full.where(F.col("length") > SHORT_LIST).drop("length")
 
     x, y = (short.select("token", *(F.col(c).alias(f"{c}_{k}") for c in short.columns if c != "token")) for k in "xy")
     lacks = lambda p, q: F.expr(" + ".join(f"bit_count(b{w}_{p} & ~b{w}_{q})" for w in range(MAP_WORDS)))
@@ -208,10 +220,15 @@ def _across(posts: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     allowed = most * 100 >= (F.col("n_x") + F.col("n_y") - most) * percent
     near = x.join(y, "token").where(F.expr("id_x < id_y AND comp_x <> comp_y") & allowed).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
 
-    blocks = F.ceil(F.col("length") / BLOCK)
-    long = long.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    # a little wider than the ratio, so rounding never puts a link's ends two bands apart
+    width = math.log(100 / percent) * 1.001 + 1e-6
+    long = long.withColumn("own", F.floor(F.log("n") / width))
+    long = long.withColumn("band", F.explode(F.array(F.col("own"), F.col("own") - 1))).withColumn("upper", F.col("own") > F.col("band")).drop("own")
+    sizes = long.groupBy("token", "band").agg(F.count(F.lit(1)).alias("held"), F.min("upper").alias("none")).where("NOT none AND held > 1")
+    long = long.join(sizes.select("token", "band", F.ceil(F.col("held") / BLOCK).alias("blocks")), ["token", "band"])
+    long = long.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     long = long.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other"), "side": (F.col("block") > F.col("other")).cast("int")})
-    far = long.drop("length", "block", "other").groupBy("token", "lo", "hi").applyInPandas(_allowed_pairs(percent), "a long, b long")
+    far = long.drop("blocks", "block", "other").groupBy("token", "band", "lo", "hi").applyInPandas(_allowed_pairs(percent), "a long, b long")
     return near.union(far).distinct()
 
 
@@ -223,8 +240,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     doc_id reachable. A text of fewer words is one shingle; a null, empty or
     blank text has no shingle, no link, and is kept. A row without doc_id is
     kept, with no component_id. Rows of one doc_id are one document, with the
-    links of all its texts, and are all kept or all dropped. Other columns
-    are not read.
+    links of all its texts: texts that share a document are in one component,
+    and a document's rows are all kept or all dropped. Repeated rows change
+    nothing and are each returned. Texts of any length are read whole. Other
+    columns are not read.
     """
     signed = materialize(signatures(docs, size), "signatures")
     named = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
@@ -234,6 +253,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         .select("digest", F.col("one.doc_id").alias("id"), "one.text_key", "n", "sig"),
         "classes",
     )
+    member = signed.join(classes.select("digest", F.col("id").alias("class_id")), "digest", "left")
+    member = materialize(member.select("doc_id", "n_shingles", "class_id"), "members")
+    # the texts of one document are linked through it
+    first = member.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("last")).where("a < last")
+    own = member.join(first.select("doc_id", "a"), "doc_id").select("a", F.col("class_id").alias("b")).where("a < b").distinct()
 
     tokens = classes.select("id", F.posexplode("sig").alias("i", "v")).select("id", F.expr("(i * 4294967296L) + (v & 4294967295L)").alias("token"))
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -246,7 +270,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     texts = materialize(texts.join(wanted, ["id", "text_key"], "left_semi").dropDuplicates(["id", "text_key"]).select("id", "text"), "texts")
     links = _Links(classes, texts, size, percent)
 
-    edges = materialize(links.confirm(_stars(posts, 0)), "links")
+    edges = materialize(links.confirm(_stars(posts, 0)).union(own), "links")
     open_posts = materialize(_open(posts, materialize(components(edges), "components")), "open")
     if not open_posts.isEmpty():
         profiles = _profiles(links, open_posts.select("id").distinct())
@@ -254,12 +278,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         edges = materialize(edges.union(links.confirm(_stars(open_posts, 1))), "links")
         open_posts = _open(open_posts, materialize(components(edges), "components"))
         edges = materialize(edges.union(links.confirm(_across(open_posts, profiles, percent))), "links")
-    comps = components(edges)
+    comps = materialize(components(edges), "components")
+    discard(signed, classes, posts, texts, edges, *links.used)
 
-    member = signed.join(classes.select("digest", F.col("id").alias("class_id")), "digest", "left")
     member = member.join(comps.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id"))
     return member.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
     )
-

@@ -80,6 +80,25 @@ def test_odd_rows(spark, odd):
     assert got[7] == [(1, 7, True)] and got[8] == [(1, 7, False)]
 
 
+def test_texts_of_one_document_are_linked(spark):
+    a, b, c = words(1, 40), words(2, 40), words(3, 40)
+    rows = [(5, a), (7, a), (7, b), (9, b), (7, None), (11, c), (11, ""), (12, c), (13, words(4, 9)), (13, words(5, 9)), (13, words(6, 9)), (20, words(6, 9))]
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(documents(spark, rows), 4, 80).collect() if r.n_shingles}
+    assert {(i, comp, kept) for i, _, comp, kept in got} == {(5, 5, True), (7, 5, False), (9, 5, False), (11, 11, True), (12, 11, False), (13, 13, True), (20, 13, False)}
+
+
+def test_long_lists_of_all_sizes(spark):
+    """A hot passage in texts of many sizes, a large group of copies among them: bands and blocks lose no link."""
+    passage = words(1, 300)
+    texts = [(i, f"{passage} {words(100 + i // 2, 3 + i // 2 * 2)} {'x' * (i % 2)}") for i in range(120)]
+    texts += [(500 + i, f"{passage} tail{i}") for i in range(150)]
+    near_dedup.BLOCK, before = 32, near_dedup.BLOCK
+    try:
+        check(spark, texts)
+    finally:
+        near_dedup.BLOCK = before
+
+
 def test_empty(empty):
     assert near_duplicates(empty).count() == 0
 
