@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column
@@ -128,3 +129,38 @@ def evidence(score: Column) -> Column:
 def canonical_json(names: list[str]) -> Column:
     """Columns as JSON with sorted keys, for content keys."""
     return F.to_json(F.struct(*sorted(names)))
+
+
+def short_id(name: Column, room: Column) -> Column:
+    """A child's id without its room's id and the dash before it."""
+    lead = F.concat(room, F.lit("-"))
+    return F.when(name.startswith(lead), F.substring(name, F.length(lead) + 1, F.length(name))).otherwise(name)
+
+
+def exif_to_iso(text: Column, offset: Column) -> Column:
+    """A camera's local time "YYYY:MM:DD HH:MM:SS" as ISO 8601, with the offset if it is one; other text as it is."""
+    form = r"^(\d{4}):(\d{2}):(\d{2})[ T](\d{2}):(\d{2}):(\d{2}).*$"
+    plain = F.regexp_replace(text, form, "$1-$2-$3T$4:$5:$6")
+    zone = F.when(offset.rlike(r"^[+-]\d{2}:\d{2}$"), offset).otherwise("")
+    return F.when(text.rlike(form), F.concat(plain, F.coalesce(zone, F.lit("")))).otherwise(text)
+
+
+def centimetres(metres: Column) -> Column:
+    return F.format_string("%.1f cm", metres * 100)
+
+
+def percent(share: Column) -> Column:
+    """A share in percent; n/a for none or one that is not finite."""
+    return F.when(share.isNull() | F.isnan(share) | (F.abs(share) == float("inf")), "n/a").otherwise(F.format_string("%.1f%%", share * 100))
+
+
+def interval_text(value: Column, lo: Column, hi: Column, digits: int = 3) -> Column:
+    """value [lo, hi], or a dash without a value."""
+    f = f"%.{digits}f"
+    return F.when(value.isNull(), "-").otherwise(F.format_string(f"{f} [{f}, {f}]", value, lo, hi))
+
+
+def confidence_weight(confidence: Column, reference: float) -> Column:
+    """ln(confidence) over ln(reference), held in [0, 1]; missing confidence counts as 1, so as no weight."""
+    c = F.greatest(F.coalesce(F.nanvl(confidence, F.lit(1.0)), F.lit(1.0)), F.lit(1.0))
+    return F.least(F.greatest(F.log(c) / math.log(reference), F.lit(0.0)), F.lit(1.0))

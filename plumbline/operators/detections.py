@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bins import bin_of
+from .quantiles import percentiles
 from .shapes import noisy_or
+from .windows import frame_median
 
 #: Metres of wall in a bin of opening centres.
 OPENING_BIN = 1.0
@@ -132,10 +134,9 @@ def damage_candidates(gt: DataFrame, pred: DataFrame, by: Sequence[str], toleran
 def sharp_frames(frames: DataFrame, by: Sequence[str], order: str, sharpness: str, share: float = 0.35, reach: int | None = None) -> DataFrame:
     """Frames at least ``share`` of the median sharpness of their key, or of the frames within reach before and after."""
     if reach is None:
-        mid = frames.groupBy(*by).agg(F.percentile(sharpness, F.lit(0.5)).alias("_m"))
+        mid = percentiles(frames, by, sharpness, {"_m": 0.5})
         return frames.join(mid, list(by)).where(F.col(sharpness) >= share * F.col("_m")).drop("_m")
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(-reach, reach)
-    return frames.withColumn("_m", F.percentile(sharpness, F.lit(0.5)).over(w)).where(F.col(sharpness) >= share * F.col("_m")).drop("_m")
+    return frames.withColumn("_m", frame_median(by, [order], sharpness, reach)).where(F.col(sharpness) >= share * F.col("_m")).drop("_m")
 
 
 def first_failure(checks: Sequence[tuple[str, Column]]) -> Column:

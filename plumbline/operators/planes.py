@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.session import materialize
+
 from .bins import bin_of
+from .quantiles import percentiles
 
 
 def plane_fit(points: DataFrame, by: Sequence[str], least: int = 10) -> DataFrame:
@@ -30,6 +35,24 @@ def principal_axis(points: DataFrame, by: Sequence[str]) -> DataFrame:
     return g.select(*by, (F.atan2(2 * F.col("vxy"), F.col("vx") - F.col("vy")) / 2).alias("angle"), F.sqrt(half + gap).alias("major"), F.sqrt(F.greatest(half - gap, F.lit(0.0))).alias("minor"))
 
 
+# Share of the normal that makes a surface horizontal or vertical, and degrees off an axis.
+HORIZONTAL, VERTICAL, OFF_AXIS = 0.85, 0.3, 25.0
+
+
+def facing(nx: str, ny: str, nz: str) -> Column:
+    """horizontal, vertical or null, by the share of nz in the normal."""
+    share = F.abs(nz) / F.sqrt(F.col(nx) ** 2 + F.col(ny) ** 2 + F.col(nz) ** 2)
+    return F.when(share > HORIZONTAL, "horizontal").when(share < VERTICAL, "vertical")
+
+
+def direction_code(nx: str, ny: str) -> Column:
+    """0 to 3 for +x, -x, +y, -y within OFF_AXIS degrees of a plan normal, else -1."""
+    along = F.greatest(F.abs(nx), F.abs(ny)) / F.sqrt(F.col(nx) ** 2 + F.col(ny) ** 2)
+    x = F.when(F.col(nx) > 0, 0).otherwise(1)
+    y = F.when(F.col(ny) > 0, 2).otherwise(3)
+    return F.when(along < math.cos(math.radians(OFF_AXIS)), -1).when(F.abs(nx) >= F.abs(ny), x).otherwise(y)
+
+
 def sanitise(points: DataFrame, by: Sequence[str], far: float = 8.0) -> DataFrame:
     """Finite points with a normal and a weight in (0, 1], no further than ``far`` times the median distance from the median point."""
     c = F.col
@@ -37,10 +60,11 @@ def sanitise(points: DataFrame, by: Sequence[str], far: float = 8.0) -> DataFram
     for k in ("x", "y", "z", "nx", "ny", "nz", "w"):
         finite &= c(k).isNotNull() & ~F.isnan(k) & (F.abs(k) < float("inf"))
     ok = points.where(finite & (c("nx") ** 2 + c("ny") ** 2 + c("nz") ** 2 > 0) & (c("w") > 0) & (c("w") <= 1))
-    mid = ok.groupBy(*by).agg(*(F.percentile(k, F.lit(0.5)).alias(f"_m{k}") for k in "xyz"))
+    ok = materialize(ok, "finite")
+    mid = reduce(lambda a, b: a.join(b, list(by)), [percentiles(ok, by, k, {f"_m{k}": 0.5}) for k in "xyz"])
     d = F.sqrt(sum(((c(k) - c(f"_m{k}")) ** 2 for k in "xyz"), F.lit(0.0)))
-    ok = ok.join(mid, list(by)).withColumn("_d", d)
-    limit = ok.groupBy(*by).agg((far * F.percentile("_d", F.lit(0.5))).alias("_limit"))
+    ok = materialize(ok.join(mid, list(by)).withColumn("_d", d), "distances")
+    limit = percentiles(ok, by, "_d", {"_mid": 0.5}).select(*by, (far * F.col("_mid")).alias("_limit"))
     return ok.join(limit, list(by)).where("_d <= _limit").select(*points.columns)
 
 
@@ -51,17 +75,31 @@ def shared_pixels(a: DataFrame, b: DataFrame, by: Sequence[str], per_frame: int,
     return pair.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_frame).drop("_n")
 
 
-def covisible(points: DataFrame, views: DataFrame, depth: DataFrame, tolerance: float = 0.05) -> DataFrame:
-    """(view_a, share): points of view_a that another view sees at the depth expected.
+def covisible(points: DataFrame, views: DataFrame, depth: DataFrame, by: Sequence[str] = ("capture_id",), tolerance: float = 0.05, far: float = 4.5, cell: float = 0.5) -> DataFrame:
+    """(by, view_a, share): points of view_a that another view of the capture sees at the depth expected.
 
-    points (view_a, point, x, y, z), views (view_id, R array<double> row-major world to camera, tx, ty, tz, fx, fy, cx, cy), depth (view_id, i, j, depth).
+    points (by, view_a, point, x, y, z), views (by, view_id, R array<double>
+    row-major world to camera, tx, ty, tz, fx, fy, cx, cy), depth (by, view_id,
+    i, j, depth). A view is tried only for points near what its own pixels
+    show, in world cells: ``cell`` has to hold tolerance * far and a pixel's
+    half width at ``far``, beyond which no pixel is used.
     """
+    keys = list(by)
     r = lambda i, j: F.get("R", F.lit(3 * i + j))
+    world = lambda k: r(0, k) * F.col("_u") + r(1, k) * F.col("_v") + r(2, k) * F.col("_w")
+    shown = depth.where((F.col("depth") > 0) & (F.col("depth") <= far)).join(views, [*keys, "view_id"])
+    ray = {"_u": (F.col("j") - F.col("cx")) * F.col("depth") / F.col("fx") - F.col("tx"), "_v": (F.col("i") - F.col("cy")) * F.col("depth") / F.col("fy") - F.col("ty"), "_w": F.col("depth") - F.col("tz")}
+    cells = shown.withColumns(ray).select(*keys, "view_id", *(bin_of(world(k), cell).alias(f"c{a}") for k, a in enumerate("xyz"))).distinct()
+    around = points.withColumns({f"c{a}": F.explode(F.array(*(bin_of(F.col(a), cell) + d for d in (-1, 0, 1)))) for a in "x"})
+    for a in "yz":
+        around = around.withColumn(f"c{a}", F.explode(F.array(*(bin_of(F.col(a), cell) + d for d in (-1, 0, 1)))))
+    tried = around.join(cells, [*keys, "cx", "cy", "cz"]).where("view_a <> view_id").select(*keys, "view_a", "point", "x", "y", "z", "view_id").distinct()
     cam = lambda i, t: r(i, 0) * F.col("x") + r(i, 1) * F.col("y") + r(i, 2) * F.col("z") + F.col(t)
-    p = points.join(views, F.col("view_a") != F.col("view_id")).withColumns({"_x": cam(0, "tx"), "_y": cam(1, "ty"), "_z": cam(2, "tz")}).where("_z > 0")
+    p = tried.join(views, [*keys, "view_id"]).withColumns({"_x": cam(0, "tx"), "_y": cam(1, "ty"), "_z": cam(2, "tz")}).where("_z > 0")
     p = p.withColumns({"j": F.round(F.col("fx") * F.col("_x") / F.col("_z") + F.col("cx")).cast("int"), "i": F.round(F.col("fy") * F.col("_y") / F.col("_z") + F.col("cy")).cast("int")})
-    seen = p.join(depth, ["view_id", "i", "j"]).where(F.abs(F.col("depth") - F.col("_z")) <= tolerance * F.col("_z")).select("view_a", "point").distinct().withColumn("_s", F.lit(1.0))
-    return points.select("view_a", "point").join(seen, ["view_a", "point"], "left").groupBy("view_a").agg(F.avg(F.coalesce("_s", F.lit(0.0))).alias("share"))
+    seen = p.join(depth.where(F.col("depth") <= far), [*keys, "view_id", "i", "j"]).where((F.col("depth") > 0) & (F.abs(F.col("depth") - F.col("_z")) <= tolerance * F.col("_z")))
+    seen = seen.select(*keys, "view_a", "point").distinct().withColumn("_s", F.lit(1.0))
+    return points.select(*keys, "view_a", "point").join(seen, [*keys, "view_a", "point"], "left").groupBy(*keys, "view_a").agg(F.avg(F.coalesce("_s", F.lit(0.0))).alias("share"))
 
 
 def occupancy_runs(points: DataFrame, by: Sequence[str], t: str, z: str, column: float, row: float) -> DataFrame:

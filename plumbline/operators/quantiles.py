@@ -7,17 +7,66 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.session import materialize
 
-def _running(df: DataFrame, by: Sequence[str], x: str, w: str) -> DataFrame:
-    """Weights summed over values, then cumulated: equal values are one step, so a group's window is over distinct values."""
-    steps = df.where(f"{x} IS NOT NULL").groupBy(*by, x).agg(F.sum(w).alias("_w"))
-    order = Window.partitionBy(*by).orderBy(x)
-    return steps.withColumn("_cw", F.sum("_w").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_w").over(Window.partitionBy(*by)))
+
+#: Buckets of a group's range in one level of the search.
+BUCKETS = 1024
+
+
+def reach(df: DataFrame, by: Sequence[str], x: str, w: str, goals: DataFrame, levels: int = 2) -> DataFrame:
+    """(by, _g, hit): for each goal (by, _g, _goal) the first value whose cumulated weight reaches it; none if none does.
+
+    A group's range is cut into buckets whose weights are summed partially;
+    only the bucket that holds the answer goes on, and is cut again. What is
+    cumulated value by value, in one task a group, is one bucket of the last
+    level; the rest are sums of at most BUCKETS rows. Distinct values and
+    each level's answer are written, so nothing is computed twice.
+    """
+    keys, last = list(by), [*by, "_g"]
+    rows = df.where(F.col(x).isNotNull()).groupBy(*by, F.col(x).alias("_x")).agg(F.sum(w).alias("_w"))
+    upto = lambda k, order: Window.partitionBy(*k).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = materialize(rows, "values")
+    found = rows.join(rows.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi")), keys)
+    for level in range(levels):
+        place = F.floor((F.col("_x") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * BUCKETS)
+        binned = found.withColumn("_b", F.coalesce(F.least(place, F.lit(BUCKETS - 1)), F.lit(0)))
+        sums = binned.groupBy(*keys, "_b").agg(F.sum("_w").alias("_bw"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), *([F.first("_goal").alias("_goal")] if level else []))
+        sums = sums.withColumn("_cw", F.sum("_bw").over(upto(keys, "_b")))
+        sums = sums if level else sums.join(goals, keys)
+        rest = F.struct("_lo", "_hi", (F.col("_goal") - (F.col("_cw") - F.col("_bw"))).alias("_goal"))
+        at = materialize(sums.where("_cw >= _goal").groupBy(*last).agg(F.min_by(rest, "_b").alias("_at")).select(*last, "_at.*"), "buckets")
+        found = rows.join(at, list(by)).where("_x >= _lo AND _x <= _hi")
+        keys = last
+    return found.withColumn("_cw", F.sum("_w").over(upto(last, "_x"))).where("_cw >= _goal").groupBy(*last).agg(F.min("_x").alias("hit"))
+
+
+def percentiles(df: DataFrame, by: Sequence[str], x: str, qs: dict[str, float]) -> DataFrame:
+    """(by, a column for each of qs): exact percentiles, linear between neighbours, by reach(); no group's values meet in one task."""
+    numbers = df.where(F.col(x).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    place = lambda q: F.lit(float(q)) * (F.col("_n") - 1)
+    named = list(qs.items())
+    wanted = F.explode(F.array(*(F.struct(F.lit(2 * i + k).alias("_g"), F.least(F.floor(place(q)) + 1 + k, F.col("_n")).cast("double").alias("_goal")) for i, (_, q) in enumerate(named) for k in (0, 1))))
+    goals = numbers.select(*by, wanted.alias("_s")).select(*by, "_s.*")
+    found = reach(df.withColumn("_one", F.lit(1.0)), by, x, "_one", goals)
+    wide = found.groupBy(*by).agg(*(F.max(F.when(F.col("_g") == g, F.col("hit"))).alias(f"_h{g}") for g in range(2 * len(named)))).join(numbers, list(by))
+    line = lambda i, q: F.col(f"_h{2 * i}") + (place(q) - F.floor(place(q))) * (F.col(f"_h{2 * i + 1}") - F.col(f"_h{2 * i}"))
+    return wide.select(*by, *(line(i, q).alias(name) for i, (name, q) in enumerate(named)))
 
 
 def weighted_quantile_step(df: DataFrame, by: Sequence[str], x: str, w: str, q: float = 0.5, out: str = "q") -> DataFrame:
     """The first value whose cumulated weight reaches q of the whole; the median of values where no weight is positive."""
-    run = _running(df, by, x, w)
+    totals = df.where(F.col(x).isNotNull()).groupBy(*by).agg(F.sum(w).alias("_all"))
+    goals = totals.where("_all > 0").select(*by, F.lit(0).alias("_g"), (q * F.col("_all")).alias("_goal"))
+    hit = reach(df, by, x, w, goals).select(*by, F.col("hit").alias(out))
+    rest = df.join(totals.where("NOT _all > 0").select(*by), list(by)).where(F.col(x).isNotNull()).select(*by, x).distinct()
+    return hit.union(percentiles(rest, by, x, {out: 0.5}))
+
+
+def weighted_quantile_of_small_groups(df: DataFrame, by: Sequence[str], x: str, w: str, q: float = 0.5, out: str = "q") -> DataFrame:
+    """As weighted_quantile_step, in one window over each group's distinct values, for many groups of which each fits a task."""
+    steps = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.sum(w).alias("_w"))
+    run = steps.withColumn("_cw", F.sum("_w").over(Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_w").over(Window.partitionBy(*by)))
     hit = F.min(F.when(F.col("_cw") >= q * F.col("_all"), F.col(x)))
     return run.groupBy(*by).agg(F.when(F.max("_all") > 0, hit).otherwise(F.percentile(x, F.lit(0.5))).alias(out))
 
@@ -56,20 +105,32 @@ def unit_equal_quantile(df: DataFrame, by: Sequence[str], unit: str, score: str,
     p is a number or a column of df that is the same for all rows of a group;
     above 1 the answer is infinite. The first score with cumulated weight >= p - 1e-9.
     """
+    keys = list(by)
     p = F.lit(float(p)) if isinstance(p, (int, float)) else p
-    own = df.withColumn("_p", p).withColumn("_in", F.count(F.lit(1)).over(Window.partitionBy(*by, unit)))
-    units = df.groupBy(*by).agg(F.countDistinct(unit).alias("_units"))
-    own = own.join(units, list(by)).withColumn("_uw", 1 / (F.col("_units") * F.col("_in")))
+    own = df.where(F.col(score).isNotNull()).withColumn("_p", p)
+    units = own.groupBy(*by, unit).agg(F.count(F.lit(1)).alias("_in"))
+    counts = units.groupBy(*by).agg(F.count(F.lit(1)).alias("_units"))
+    weights = units.join(counts, keys).select(*by, unit, (1 / (F.col("_units") * F.col("_in"))).alias("_uw"))
+    # equal scores of a unit are one row before the weights are joined to them
+    held = own.groupBy(*by, unit, score).agg(F.count(F.lit(1)).alias("_k")).join(weights, [*by, unit]).withColumn("_w", F.col("_k") * F.col("_uw"))
     tops = own.groupBy(*by).agg(F.max("_p").alias("_p"), F.max(score).alias("_top"))
-    run = _running(own, by, score, "_uw").join(tops, list(by))
-    hit = F.coalesce(F.min(F.when(F.col("_cw") >= F.col("_p") - 1e-9, F.col(score))), F.max("_top"))
-    return run.groupBy(*by).agg(F.when(F.max("_p") > 1, F.lit(float("inf"))).otherwise(hit).alias(out))
+    hit = reach(held, by, score, "_w", tops.select(*by, F.lit(0).alias("_g"), (F.col("_p") - 1e-9).alias("_goal")))
+    found = tops.join(hit.select(*by, "hit"), keys, "left")
+    return found.select(*by, F.when(F.col("_p") > 1, F.lit(float("inf"))).otherwise(F.coalesce("hit", "_top")).alias(out))
 
 
 def robust_sigma(df: DataFrame, by: Sequence[str], x: str, out: str = "sigma") -> DataFrame:
     """1.4826 times the median absolute deviation from the group's median."""
-    centre = df.groupBy(*by).agg(F.percentile(x, F.lit(0.5)).alias("_m"))
-    return df.join(centre, list(by)).groupBy(*by).agg((1.4826 * F.percentile(F.abs(F.col(x) - F.col("_m")), F.lit(0.5))).alias(out))
+    own = df.join(percentiles(df, by, x, {"_m": 0.5}), list(by)).withColumn("_d", F.abs(F.col(x) - F.col("_m")))
+    return percentiles(own, by, "_d", {"_s": 0.5}).select(*by, (1.4826 * F.col("_s")).alias(out))
+
+
+def fallback_extent(df: DataFrame, by: Sequence[str], x: str, y: str, on_floor: str, least: int = 100, side: float = 0.5) -> DataFrame:
+    """(by, x0, x1, y0, y1): the 2 to 98 percent range of the floor's points, of all where the floor has fewer than ``least``; none with a side under ``side``."""
+    floor = df.groupBy(*by).agg((F.count_if(F.col(on_floor)) >= least).alias("_enough"))
+    own = df.join(floor, list(by)).where(F.col(on_floor) | ~F.col("_enough"))
+    ranges = percentiles(own, by, x, {"x0": 0.02, "x1": 0.98}).join(percentiles(own, by, y, {"y0": 0.02, "y1": 0.98}), list(by))
+    return ranges.where((F.col("x1") - F.col("x0") >= side) & (F.col("y1") - F.col("y0") >= side))
 
 
 def trimmed_mean(df: DataFrame, by: Sequence[str], x: str, w: str, start: str, window: float, rounds: int = 4, low: float = 0.015, high: float = 0.12) -> DataFrame:
@@ -79,7 +140,7 @@ def trimmed_mean(df: DataFrame, by: Sequence[str], x: str, w: str, start: str, w
     of the samples within the window, and 2.5 robust sigmas, held between low
     and high, as the next window; a group with fewer than three samples
     inside stays as it is. Rounds are a fixed number of aggregates, so every
-    group advances in the same jobs.
+    group, one wall's samples, advances in the same jobs.
     """
     state = df.groupBy(*by).agg(F.first(start).alias("c"), F.lit(float(window)).alias("win"))
     keys = list(by)
@@ -87,7 +148,31 @@ def trimmed_mean(df: DataFrame, by: Sequence[str], x: str, w: str, start: str, w
         inside = df.select(*by, x, w).join(state, keys).where(F.abs(F.col(x) - F.col("c")) < F.col("win"))
         mean = inside.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.sum(w).alias("_w"), (F.sum(F.col(x) * F.col(w)) / F.nullif(F.sum(w), F.lit(0.0))).alias("_c"))
         mean = mean.where("_n >= 3 AND _w > 0")
-        spread = weighted_quantile_step(inside.join(mean, keys).withColumn("_d", F.abs(F.col(x) - F.col("_c"))), by, "_d", w, 0.5, "_s")
+        spread = weighted_quantile_of_small_groups(inside.join(mean, keys).withColumn("_d", F.abs(F.col(x) - F.col("_c"))), by, "_d", w, 0.5, "_s")
         step = mean.join(spread, keys).select(*by, "_c", F.least(F.greatest(2.5 * 1.4826 * F.col("_s"), F.lit(low)), F.lit(high)).alias("_win"))
         state = state.join(step, keys, "left").select(*by, F.coalesce("_c", "c").alias("c"), F.coalesce("_win", "win").alias("win"))
     return state
+
+
+# Shortest focal length over the long side that the capture protocol allows, and log distance that is a mismatch.
+MIN_FOCAL, FOCAL_MISMATCH = 0.6, 0.1
+
+
+def median_ratio(df: DataFrame, by: Sequence[str], a: str, b: str, least: int) -> DataFrame:
+    """(by, n, ratio): median of a / b over rows that have both, for keys with ``least`` of them."""
+    own = df.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(b) != 0)).withColumn("_r", F.col(a) / F.col(b))
+    n = own.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return n.join(percentiles(own, by, "_r", {"ratio": 0.5}), list(by))
+
+
+def focal_check(views: DataFrame, reference: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, focal, kind, sigma_log): median focal length over the long side against the camera's own, else against the shortest allowed.
+
+    views (by, focal), reference (by, reference or null). sigma_log is the log
+    distance where it is too large, else 0.
+    """
+    g = percentiles(views, by, "focal", {"focal": 0.5}).join(reference, list(by), "left")
+    known = F.coalesce(F.col("reference") > 0, F.lit(False))
+    off = F.abs(F.log(F.col("focal") / F.col("reference")))
+    sigma = F.when(known, F.when(off > FOCAL_MISMATCH, off).otherwise(0.0)).when(F.col("focal") < MIN_FOCAL, F.log(MIN_FOCAL / F.col("focal"))).otherwise(0.0)
+    return g.select(*by, "focal", F.when(known, "exif").otherwise("protocol_min").alias("kind"), sigma.alias("sigma_log"))

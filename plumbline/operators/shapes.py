@@ -52,16 +52,21 @@ def ring_measures(points: DataFrame, by: Sequence[str], k: str, x: str, y: str)
     )
 
 
-def ring_aspect(points: DataFrame, by: Sequence[str], k: str, x: str, y: str) -> DataFrame:
-    """(by, aspect): long over short side of the smallest box along any edge of the ring."""
+def ring_boxes(points: DataFrame, by: Sequence[str], k: str, x: str, y: str) -> DataFrame:
+    """(by, k, u, v): sides of the box around each ring along its edge from vertex k."""
     w, whole = Window.partitionBy(*by).orderBy(k), Window.partitionBy(*by)
     turn = lambda c: F.coalesce(F.lead(c).over(w), F.min_by(c, k).over(whole))
     edges = points.select(*by, F.col(k).alias("_k"), F.atan2(turn(y) - F.col(y), turn(x) - F.col(x)).alias("_a"))
     at = edges.join(points.select(*by, x, y), list(by))
     u, v = F.col(x) * F.cos("_a") + F.col(y) * F.sin("_a"), F.col(y) * F.cos("_a") - F.col(x) * F.sin("_a")
-    boxes = at.groupBy(*by, "_k").agg((F.max(u) - F.min(u)).alias("_u"), (F.max(v) - F.min(v)).alias("_v"))
-    best = boxes.groupBy(*by).agg(F.min_by(F.struct("_u", "_v"), F.struct(F.col("_u") * F.col("_v"), F.col("_k"))).alias("_b"))
-    return best.select(*by, (F.greatest("_b._u", "_b._v") / F.nullif(F.least("_b._u", "_b._v"), F.lit(0.0))).alias("aspect"))
+    return at.groupBy(*by, F.col("_k").alias(k)).agg((F.max(u) - F.min(u)).alias("u"), (F.max(v) - F.min(v)).alias("v"))
+
+
+def ring_aspect(points: DataFrame, by: Sequence[str], k: str, x: str, y: str) -> DataFrame:
+    """(by, aspect): long over short side of the smallest box along any edge of the ring, the first of equals."""
+    boxes = ring_boxes(points, by, k, x, y)
+    best = boxes.groupBy(*by).agg(F.min_by(F.struct("u", "v"), F.struct(F.round(F.col("u") * F.col("v"), 9), F.col(k))).alias("_b"))
+    return best.select(*by, (F.greatest("_b.u", "_b.v") / F.nullif(F.least("_b.u", "_b.v"), F.lit(0.0))).alias("aspect"))
 
 
 def points_in_rings(points: DataFrame, edges: DataFrame, by: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:

@@ -113,3 +113,37 @@ def cumulative_path(df: DataFrame, by: Sequence[str], t: str, axes: Sequence[str
 
 def neighbour_average(df: DataFrame, by: Sequence[str], order: str, value: str, reach: int) -> Column:
     return F.avg(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(-reach, reach))
+
+
+def frame_median(by: Sequence[str], order: Sequence[str], value: str, reach: int) -> Column:
+    """Median of the rows up to ``reach`` before and after, of which there are 2 reach + 1 at the most."""
+    held = F.array_sort(F.collect_list(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(-reach, reach)))
+    n = F.size(held)
+    return (F.get(held, F.floor((n - 1) / 2).cast("int")) + F.get(held, F.floor(n / 2).cast("int"))) / 2
+
+
+def outliers(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, reach: int, most: float) -> DataFrame:
+    """outlier: further than ``most`` from the median of the rows up to ``reach`` before and after; the frame holds 2 reach + 1 rows."""
+    return df.withColumn("outlier", F.abs(F.col(value) - frame_median(by, order, value, reach)) > most)
+
+
+def chain_poses(steps: DataFrame, by: Sequence[str], order: str, dx: str, dy: str, yaw: str) -> DataFrame:
+    """x, y and yaw after each relative step: moved by (dx, dy) in the frame reached so far, then turned.
+
+    The product of planar transforms is a running sum: the turn before a step
+    turns its shift.
+    """
+    w = Window.partitionBy(*by).orderBy(order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    turned = steps.withColumn("_b", F.coalesce(F.sum(yaw).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    c, s = F.cos("_b"), F.sin("_b")
+    return turned.withColumns({
+        "x": F.sum(c * F.col(dx) - s * F.col(dy)).over(upto), "y": F.sum(s * F.col(dx) + c * F.col(dy)).over(upto), "yaw": F.col("_b") + F.col(yaw)
+    }).drop("_b")
+
+
+def rank_share(df: DataFrame, by: Sequence[str], value: str, tie: str, out: str) -> DataFrame:
+    """The row's rank by value within its key as a share from 0 to 1; alone it is 1."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(value, tie)) - 1
+    return df.withColumn(out, F.when(n < 2, 1.0).otherwise(rank / (n - 1)))

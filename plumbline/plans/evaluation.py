@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.binomial import clopper_pearson, conformal_level
-from plumbline.operators.quantiles import unit_equal_quantile
+from plumbline.operators.quantiles import reach, unit_equal_quantile
 
 WORST = 5
 #: Fixed value: the smallest share of its width that a fitted multiplier leaves an interval.
@@ -50,11 +50,13 @@ def error_gate(items: DataFrame, by: Sequence[str], item: str, allowed: Column)
     rows = items.withColumn("allowed", allowed).where("allowed IS NOT NULL OR err IS NULL").withColumn("ratio", ratio)
     rows = rows.withColumn("pass", F.coalesce(F.col("ratio") <= 1, F.lit(False)))
     order = Window.partitionBy(*by).orderBy("pass", F.col("err").isNotNull(), F.col("ratio").desc(), item)
-    rows = rows.withColumn("_n", F.row_number().over(order))
-    worst = F.transform(F.sort_array(F.collect_list(F.when((F.col("_n") <= WORST) & (~F.col("pass") | (F.col("_n") == 1)), F.struct("_n", item, "ratio")))), lambda x: F.struct(x[item], x["ratio"]))
+    # the limit on the rank is applied before the shuffle too, so no task sorts a whole gate
+    top = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= WORST).where(~F.col("pass") | (F.col("_n") == 1))
+    worst = F.transform(F.sort_array(F.collect_list(F.struct("_n", item, "ratio"))), lambda x: F.struct(x[item], x["ratio"]))
     gate = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("pass").cast("long")).alias("n_pass"), F.sum(F.col("err").isNull().cast("long")).alias("n_missing"), F.max("ratio").alias("worst_ratio"), worst.alias("worst")
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("pass").cast("long")).alias("n_pass"), F.sum(F.col("err").isNull().cast("long")).alias("n_missing"), F.max("ratio").alias("worst_ratio")
     )
+    gate = gate.join(top.groupBy(*by).agg(worst.alias("worst")), list(by), "left")
     status = F.when(F.col("n_pass") == F.col("n"), "pass").otherwise("fail")
     reach = F.greatest(F.coalesce("worst_ratio", F.lit(0.0)), F.when(F.col("n_missing") > 0, 2.0).otherwise(0.0))
     return gate.withColumn("status", status).withColumn("pass_share", F.col("n_pass") / F.col("n")).withColumn("score", F.when(F.col("status") == "fail", F.greatest(reach - 1, F.lit(0.0))).otherwise(0.0))
@@ -72,8 +74,11 @@ def rate_gate(items: DataFrame, by: Sequence[str], target: float) -> DataFrame:
 
 def check_gate(items: DataFrame, by: Sequence[str], item: str) -> DataFrame:
     """items (by, item, ok): passes when every item does; the first failing ones by name."""
-    fails = F.slice(F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col(item)))), 1, WORST)
-    g = items.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ok").cast("long")).alias("n_pass"), fails.alias("worst"))
+    first = Window.partitionBy(*by).orderBy(item)
+    fails = items.where(~F.col("ok")).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= WORST)
+    fails = fails.groupBy(*by).agg(F.sort_array(F.collect_list(item)).alias("worst"))
+    g = items.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ok").cast("long")).alias("n_pass")).join(fails, list(by), "left")
+    g = g.withColumn("worst", F.coalesce("worst", F.array().cast(dict(fails.dtypes)["worst"])))
     return g.withColumn("verdict", F.when(F.col("n") == F.col("n_pass"), "pass").otherwise("fail")).withColumn("pass_share", F.col("n_pass") / F.col("n"))
 
 
@@ -107,16 +112,35 @@ def conformal_fit(records: DataFrame, tier: str, room: str, score_col: str = "sc
 def leave_one_room_out(records: DataFrame, tier: str, room: str, score_col: str = "score", level: float = 0.9, min_rooms: int = 9) -> DataFrame:
     """(tier, rooms, n, n_covered, coverage): every room scored with the factor fitted on the tier's other rooms.
 
-    Tiers with too few other rooms are scored as reported, with factor 1. The
-    training sets are rooms times records of a tier, which is benchmark-sized.
+    Tiers with too few other rooms are scored as reported, with factor 1. A
+    room has a weight of 1 over its records, so leaving one out lowers the
+    cumulated weight by at most 1: its factor lies between the scores where
+    the tier's weight reaches the goal, and the goal and 1. Only scores in
+    between are judged room by room, about one room's share of the tier.
     """
-    rooms = records.select(tier, room).distinct()
-    counts = rooms.groupBy(tier).agg(F.count(F.lit(1)).alias("rooms"))
-    train = records.join(rooms.withColumnRenamed(room, "_out"), tier).where(F.col(room) != F.col("_out")).join(counts, tier)
-    train = train.where(F.col("rooms") - 1 >= min_rooms).withColumn("_level", conformal_level(F.col("rooms") - 1, level))
-    fitted = unit_equal_quantile(train, [tier, "_out"], room, score_col, F.col("_level"), "factor").withColumnRenamed("_out", room)
-    judged = records.join(counts, tier).join(fitted, [tier, room], "left").withColumn("factor", F.coalesce(F.greatest("factor", F.lit(MIN_FACTOR)), F.lit(1.0)))
-    g = judged.groupBy(tier).agg(F.max("rooms").alias("rooms"), F.count(F.lit(1)).alias("n"), F.sum((F.col(score_col) <= F.col("factor")).cast("long")).alias("n_covered"))
+    r = records.where(F.col(score_col).isNotNull()).select(F.col(tier).alias("t"), F.col(room).alias("u"), F.col(score_col).alias("s"))
+    own = r.groupBy("t", "u").agg(F.count(F.lit(1)).alias("k"))
+    counts = own.groupBy("t").agg(F.count(F.lit(1)).alias("rooms")).withColumn("_p", conformal_level(F.col("rooms") - 1, level))
+    goal = (F.col("rooms") - 1) * (F.col("_p") - 1e-9)
+    judged = counts.where((F.col("rooms") - 1 >= min_rooms) & (F.col("_p") <= 1)).withColumn("goal", goal)
+    held = r.groupBy("t", "u", "s").agg(F.count(F.lit(1)).alias("c")).join(own, ["t", "u"]).withColumn("w", F.col("c") / F.col("k"))
+    ends = reach(held, ["t"], "s", "w", judged.select("t", F.explode(F.array(F.struct(F.lit(0).alias("_g"), F.col("goal").alias("_goal")), F.struct(F.lit(1).alias("_g"), (F.col("goal") + 1).alias("_goal")))).alias("g")).select("t", "g.*"))
+    tops = r.groupBy("t").agg(F.max("s").alias("top"))
+    span = ends.groupBy("t").agg(F.max(F.when(F.col("_g") == 0, F.col("hit"))).alias("lo"), F.max(F.when(F.col("_g") == 1, F.col("hit"))).alias("hi"))
+    span = judged.select("t", "goal").join(span, "t", "left").join(tops, "t").select("t", "goal", F.coalesce("lo", "top").alias("lo"), F.coalesce("hi", "top").alias("hi"))
+    near = held.join(span, "t")
+    below = near.where("s < lo").groupBy("t").agg(F.sum("w").alias("all_below"))
+    mine = near.where("s < lo").groupBy("t", "u").agg(F.sum("w").alias("own_below"))
+    inside = near.where("s >= lo AND s <= hi")
+    upto = lambda *k: Window.partitionBy(*k).orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    steps = inside.groupBy("t", "s", "goal").agg(F.sum("w").alias("w")).withColumn("cw", F.sum("w").over(upto("t"))).drop("w")
+    grid = steps.join(own.select("t", "u"), "t").join(inside.select("t", "u", "s", F.col("w").alias("ow")), ["t", "u", "s"], "left")
+    grid = grid.withColumn("ocw", F.sum(F.coalesce("ow", F.lit(0.0))).over(upto("t", "u"))).join(below, "t", "left").join(mine, ["t", "u"], "left")
+    without = F.col("cw") + F.coalesce("all_below", F.lit(0.0)) - F.col("ocw") - F.coalesce("own_below", F.lit(0.0))
+    fitted = grid.groupBy("t", "u").agg(F.coalesce(F.min(F.when(without >= F.col("goal") - 1e-12, F.col("s"))), F.max("s")).alias("factor"))
+    factor = F.when(F.col("rooms") - 1 < min_rooms, 1.0).when(F.col("_p") > 1, float("inf")).otherwise(F.greatest("factor", F.lit(MIN_FACTOR)))
+    scored = r.join(counts, "t").join(fitted, ["t", "u"], "left").withColumn("factor", factor)
+    g = scored.groupBy(F.col("t").alias(tier)).agg(F.max("rooms").alias("rooms"), F.count(F.lit(1)).alias("n"), F.sum((F.col("s") <= F.col("factor")).cast("long")).alias("n_covered"))
     return g.withColumn("coverage", F.col("n_covered") / F.col("n"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -75,26 +76,50 @@ def fallback_interval(value: Column, lo: Column, hi: Column, additive: float, zq
     return F.when(lo.isNotNull() & hi.isNotNull(), F.struct(lo.alias("lo"), hi.alias("hi"))).otherwise(wide)
 
 
+def write_json(results: DataFrame, path: str) -> None:
+    """One JSON object a line; nulls are written, so every capture has every field."""
+    results.write.option("ignoreNullFields", "false").json(path)
+
+
 class KeyedStore:
-    """Outputs by content key: only keys that are not stored are computed, and appended."""
+    """Outputs by content key: only keys that are not stored are computed.
+
+    A write is one folder, which Spark commits as a whole; readers see only
+    committed ones. Two writers may store a key twice: the row of the folder
+    that is first by name is read, whichever that is.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
-
-    def read(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(self.schema).parquet(self.path)
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+
+    def _folders(self) -> list[str]:
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        paths = [s.getPath() for s in fs.listStatus(root)]
+        return sorted(p.toString() for p in paths if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def read(self, key: str) -> DataFrame:
+        """The stored rows, one a key."""
+        found = self._folders()
+        if not found:
             return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(self.schema).parquet(*found).withColumn("_file", F.input_file_name())
+        names = [c for c in rows.columns if c not in (key, "_file")]
+        return rows.groupBy(key).agg(F.min_by(F.struct(*names), "_file").alias("_row")).select(key, "_row.*")
 
     def compute(self, inputs: DataFrame, key: str, run, mode: str = "live") -> DataFrame:
-        """Stored rows of the inputs; live computes what is missing, replay raises on it."""
-        new = inputs.join(self.read().select(key).distinct(), key, "left_anti")
+        """Rows of the inputs: live computes what is missing, replay raises on it, off computes all and stores nothing."""
+        wanted = inputs.select(key).distinct()
+        if mode == "off":
+            return run(inputs)
+        have = self.read(key)
+        new = inputs.join(have.select(key), key, "left_anti")
         if mode == "replay":
             if not new.isEmpty():
                 raise LookupError("keys are missing from the store")
-        else:
-            run(new).select(*self.read().columns).write.mode("append").parquet(self.path)
-        return self.read().join(inputs.select(key).distinct(), key, "left_semi")
+            return have.join(wanted, key, "left_semi")
+        run(new).select(*have.columns).write.parquet(f"{self.path}/{uuid.uuid4().hex}")
+        return self.read(key).join(wanted, key, "left_semi")

@@ -1,6 +1,7 @@
 """Registered queries over the given tables, with their SQL."""
 
-from . import core, evaluation, spatial, streams
+from . import capture, core, evaluation, gates, layout, placing, spatial, streams
 
-QUERIES = {**evaluation.QUERIES, **core.QUERIES, **spatial.QUERIES, **streams.QUERIES}
-ORACLE_SQL = {**evaluation.ORACLE_SQL, **core.ORACLE_SQL, **spatial.ORACLE_SQL, **streams.ORACLE_SQL}
+_MODULES = (evaluation, core, spatial, capture, layout, gates, placing, streams)
+QUERIES = {name: run for m in _MODULES for name, run in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

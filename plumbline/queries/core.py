@@ -115,8 +115,8 @@ def robust_mad(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.005), 8) AS p_lo, round(quantile_cont(l_extendedprice, 0.5), 8) AS p_mid, round(quantile_cont(l_extendedprice, 0.995), 8) AS p_hi FROM lineitem GROUP BY 1, 2""")
 def percentile_bounds(spark: SparkSession, d: str) -> DataFrame:
-    p = lambda q: F.round(F.percentile("l_extendedprice", F.lit(q)), 8)
-    return lineitem(spark, d).groupBy("l_returnflag", "l_linestatus").agg(p(0.005).alias("p_lo"), p(0.5).alias("p_mid"), p(0.995).alias("p_hi"))
+    p = quantiles.percentiles(lineitem(spark, d), ["l_returnflag", "l_linestatus"], "l_extendedprice", {"p_lo": 0.005, "p_mid": 0.5, "p_hi": 0.995})
+    return p.select("l_returnflag", "l_linestatus", *(F.round(c, 8).alias(c) for c in ("p_lo", "p_mid", "p_hi")))
 
 
 _TRIM_ROUND = """i{n} AS (SELECT x.g, x.x, s.c, s.win FROM x JOIN s{p} s ON s.g = x.g WHERE abs(x.x - s.c) < s.win),

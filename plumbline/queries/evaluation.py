@@ -309,10 +309,8 @@ def cluster_greedy(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def hungarian_match(spark: SparkSession, d: str) -> DataFrame:
     s = order_spans(spark, d)
-    a = s.where("o_orderkey % 2 = 0").select("o_custkey", F.col("o_orderkey").alias("a"), F.col("lo").alias("la"))
-    b = s.where("o_orderkey % 2 = 1").select("o_custkey", F.col("o_orderkey").alias("b"), F.col("lo").alias("lb"))
-    pairs = a.join(b, "o_custkey").withColumn("cost", F.abs(F.col("la") - F.col("lb")))
-    return assignment.assign_groups(pairs, ["o_custkey"], "a", "b", "cost")
+    side = lambda k, name: s.where(F.col("o_orderkey") % 2 == k).select("o_custkey", F.col("o_orderkey").alias(name), "lo")
+    return assignment.assign_values(side(0, "a"), side(1, "b"), ["o_custkey"], "a", "b", "lo")
 
 
 @query()

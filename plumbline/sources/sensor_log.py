@@ -110,3 +110,13 @@ def grid_normals(pixels: DataFrame, by: tuple[str, ...] = ("capture_id", "frame"
     size = F.sqrt(c("nx") ** 2 + c("ny") ** 2 + c("nz") ** 2)
     sign = F.when(c("nx") * (c("cx") - c("x")) + c("ny") * (c("cy") - c("y")) + c("nz") * (c("cz") - c("z")) < 0, -1.0).otherwise(1.0)
     return p.withColumn("_s", sign / size).where(size > 0).withColumns({a: c(a) * c("_s") for a in n}).drop("_ux", "_uy", "_uz", "_vx", "_vy", "_vz", "_ju", "_iv", "_s")
+
+
+def strided(pixels: DataFrame, stride: int) -> DataFrame:
+    """Every stride-th pixel along both axes."""
+    return pixels.where((F.col("i") % stride == 0) & (F.col("j") % stride == 0))
+
+
+def usable(frames: DataFrame, needs: list[str]) -> DataFrame:
+    """Frames for which every one of the flags is true."""
+    return frames.where(F.forall(F.array(*(F.coalesce(c, F.lit(False)) for c in needs)), lambda x: x))
