@@ -7,7 +7,17 @@ from pyspark.sql import functions as F
 
 from plumbline.session import discard, fresh_path, materialize, read_table
 
-__all__ = ["ascii_lower", "discard", "fresh_path", "materialize", "table"]
+__all__ = ["ascii_lower", "discard", "fresh_path", "materialize", "small_batches", "table"]
+
+#: Rows of an Arrow batch of whole texts: a batch is held several times, by Spark and by the Python worker.
+TEXT_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most TEXT_ROWS rows from here on, unless the session has smaller ones."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import discard, fresh_path, materialize
+from .shared import discard, fresh_path, materialize, small_batches
 from .textkit import U64, constants, mix
 
 _BLOCK = 1 << 20
@@ -418,9 +418,9 @@ def _runs_of(matched: DataFrame) -> DataFrame:
 def _verify(texts: DataFrame, runs: DataFrame) -> None:
     """Every run holds the bytes of the document it was matched with.
 
-    The texts that stand for others are taken once, and their bytes shipped to
-    each run but that of a text with itself. A text that stands for a hot
-    group is joined, not grouped, so adaptive execution splits its runs.
+    The bytes of the texts that stand for others are shipped to each run but
+    that of a text with itself. A text that stands for a hot group is joined,
+    not grouped, so adaptive execution splits its runs.
     """
     asked = runs.where("NOT (doc_id = o_doc AND key = o_key AND shift = 0)")
     names = asked.select(F.col("o_doc").alias("doc_key"), F.col("o_key").alias("key")).distinct()
@@ -539,6 +539,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] =
     everything. Columns other than doc_id, text and those carried are not
     read.
     """
+    small_batches(docs.sparkSession)
     wanted = {f"_c{i}": c for i, c in enumerate(docs.columns) if c in carry}
     texts = _bucketed(_keyed(docs).select("doc_key", "key", "text", "doc_id", *wanted))
     joined = texts.join(repeated_ranges(texts, length), ["doc_key", "key"], "left").select("doc_id", *wanted, "text", "ranges")
