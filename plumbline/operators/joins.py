@@ -84,28 +84,42 @@ def box_measures(a: str, b: str) -> dict[str, Column]:
     return {"intersection": inter, "iou": F.when(union > 0, inter / union).otherwise(F.lit(0.0)), "inside": F.when(area(a) > 0, inter / area(a)).otherwise(F.lit(0.0))}
 
 
-def drop_lookalikes(damage: DataFrame, others: DataFrame, iou: float, margin: float) -> DataFrame:
+def overlapping(left: DataFrame, right: DataFrame, by: Sequence[str], a: tuple[str, str], b: tuple[str, str], size: float) -> DataFrame:
+    """Pairs of one key whose intervals overlap by more than a point, met in bins of ``size``, each in the bin where the overlap begins."""
+    spread = lambda df, lo, hi: df.withColumn("_bin", F.explode(F.sequence(bin_of(F.col(lo), size), F.greatest(bin_of(F.col(lo), size), bin_of(F.col(hi), size)))))
+    met = spread(left, *a).join(spread(right, *b), [*by, "_bin"])
+    start = F.greatest(a[0], b[0])
+    return met.where((bin_of(start, size) == F.col("_bin")) & (F.least(a[1], b[1]) > start)).drop("_bin")
+
+
+#: Pixels of a bin in which boxes of a view meet.
+BOX_BIN = 64.0
+
+
+def _hits(boxes: DataFrame, others: DataFrame, condition: Column, key: Sequence[str]) -> DataFrame:
+    """Keys of the boxes with another of their view that overlaps them and meets the condition; boxes are d_, others o_ and o_score, o_cls."""
+    d = boxes.select(*key, *(F.col(c) for c in ("cls", "score") if c in boxes.columns and c not in key), *(F.col(k).alias(f"d_{k}") for k in ("x0", "y0", "x1", "y1")))
+    o = others.select("view_id", *(F.col(c).alias(f"o_{c}") for c in ("cls", "score", "x0", "y0", "x1", "y1") if c in others.columns))
+    return overlapping(d, o, ["view_id"], ("d_x0", "d_x1"), ("o_x0", "o_x1"), BOX_BIN).where(condition).select(*key).distinct()
+
+
+def drop_lookalikes(damage: DataFrame, others: DataFrame, iou: float, margin: float, key: Sequence[str] = ("view_id", "box_id")) -> DataFrame:
     """Damage boxes without another box of the view that overlaps by ``iou`` and scores within ``margin`` or better."""
-    d = damage.select("*", *(F.col(k).alias(f"d_{k}") for k in ("x0", "y0", "x1", "y1")))
-    o = others.select(F.col("view_id").alias("o_view"), F.col("score").alias("o_score"), *(F.col(k).alias(f"o_{k}") for k in ("x0", "y0", "x1", "y1")))
-    hit = (F.col("view_id") == F.col("o_view")) & (F.col("o_score") >= F.col("score") - margin) & (box_measures("d_", "o_")["iou"] >= iou)
-    return d.join(o, hit, "left_anti").select(*damage.columns)
+    near = (F.col("o_score") >= F.col("score") - margin) & (box_measures("d_", "o_")["iou"] >= iou)
+    return damage.join(_hits(damage, others, near, key), list(key), "left_anti").select(*damage.columns)
 
 
-def drop_inside(boxes: DataFrame, holders: DataFrame, share: float, min_score: float = 0.0) -> DataFrame:
+def drop_inside(boxes: DataFrame, holders: DataFrame, share: float, min_score: float = 0.0, key: Sequence[str] = ("view_id", "box_id")) -> DataFrame:
     """Boxes that do not lie by ``share`` inside a holder of their view."""
-    d = boxes.select("*", *(F.col(k).alias(f"d_{k}") for k in ("x0", "y0", "x1", "y1")))
-    o = holders.where(F.col("score") >= min_score).select(F.col("view_id").alias("o_view"), *(F.col(k).alias(f"o_{k}") for k in ("x0", "y0", "x1", "y1")))
-    return d.join(o, (F.col("view_id") == F.col("o_view")) & (box_measures("d_", "o_")["inside"] >= share), "left_anti").select(*boxes.columns)
+    held = _hits(boxes, holders.where(F.col("score") >= min_score), box_measures("d_", "o_")["inside"] >= share, key)
+    return boxes.join(held, list(key), "left_anti").select(*boxes.columns)
 
 
-def add_uncovered(full: DataFrame, tiles: DataFrame, iou: float, containment: float) -> DataFrame:
+def add_uncovered(full: DataFrame, tiles: DataFrame, iou: float, containment: float, key: Sequence[str] = ("view_id", "box_id")) -> DataFrame:
     """Full-view boxes, and the tile boxes that no full-view box of their class covers."""
-    t = tiles.select("*", *(F.col(k).alias(f"d_{k}") for k in ("x0", "y0", "x1", "y1")))
-    f = full.select(F.col("view_id").alias("o_view"), F.col("cls").alias("o_cls"), *(F.col(k).alias(f"o_{k}") for k in ("x0", "y0", "x1", "y1")))
     m = box_measures("d_", "o_")
-    hit = (F.col("view_id") == F.col("o_view")) & (F.col("cls") == F.col("o_cls")) & ((m["iou"] >= iou) | (m["inside"] >= containment))
-    return full.unionByName(t.join(f, hit, "left_anti").select(*tiles.columns))
+    covered = _hits(tiles, full, (F.col("cls") == F.col("o_cls")) & ((m["iou"] >= iou) | (m["inside"] >= containment)), key)
+    return full.unionByName(tiles.join(covered, list(key), "left_anti").select(*tiles.columns))
 
 
 def drop_mirrored(openings: DataFrame, adjacency: DataFrame, mirrors: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -150,7 +150,7 @@ def trimmed_mean(df: DataFrame, by: Sequence[str], x: str, w: str, start: str, w
         mean = mean.where("_n >= 3 AND _w > 0")
         spread = weighted_quantile_of_small_groups(inside.join(mean, keys).withColumn("_d", F.abs(F.col(x) - F.col("_c"))), by, "_d", w, 0.5, "_s")
         step = mean.join(spread, keys).select(*by, "_c", F.least(F.greatest(2.5 * 1.4826 * F.col("_s"), F.lit(low)), F.lit(high)).alias("_win"))
-        state = state.join(step, keys, "left").select(*by, F.coalesce("_c", "c").alias("c"), F.coalesce("_win", "win").alias("win"))
+        state = materialize(state.join(step, keys, "left").select(*by, F.coalesce("_c", "c").alias("c"), F.coalesce("_win", "win").alias("win")), "window")
     return state
 
 

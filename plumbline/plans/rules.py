@@ -36,6 +36,8 @@ RULES: tuple[dict[str, Any], ...] = (
 
 def check_rules(rules: tuple[dict[str, Any], ...]) -> None:
     for rule in rules:
+        if any(rule["when"].get(k, {}).get("within_m", 0) > REACH for k in ("near_fixture", "near_window")):
+            raise ValueError(f"rule {rule['id']}: distances go up to {REACH} m")
         if unknown := set(rule["when"]) - CONDITIONS:
             raise ValueError(f"rule {rule['id']}: unknown conditions {sorted(unknown)}")
 
@@ -81,18 +83,29 @@ def opening_segments(openings: DataFrame, walls: DataFrame, rooms: DataFrame) ->
     )
 
 
-def prism_distances(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame:
-    """(capture_id, a_id, b_id, distance): plan distance and height gap of two sets of segments, within each capture."""
-    y = b.select("capture_id", b_id, *(F.col(k).alias(f"{k}2") for k in ("ax", "ay", "bx", "by", "z0", "z1")))
+#: Metres: no rule asks for a distance beyond this, and segments meet in plan cells of this size.
+REACH = 1.0
+
+
+def prism_distances(a: DataFrame, b: DataFrame, a_id: str, b_id: str, within: float = REACH) -> DataFrame:
+    """(capture_id, a_id, b_id, distance): plan distance and height gap of two sets of segments of a capture, up to ``within``.
+
+    Segments meet where their plan cells do, those of a widened by the reach,
+    so nothing is compared across the plan.
+    """
+    span = lambda p, q, wide: F.explode(F.sequence(F.floor((F.least(p, q) - wide) / REACH), F.floor((F.greatest(p, q) + wide) / REACH)))
+    celled = lambda df, wide: df.withColumn("_cx", span("ax", "bx", wide)).withColumn("_cy", span("ay", "by", wide))
+    a, b = celled(a, within), celled(b, 0.0)
+    y = b.select("capture_id", "_cx", "_cy", b_id, *(F.col(k).alias(f"{k}2") for k in ("ax", "ay", "bx", "by", "z0", "z1")))
     c = F.col
-    met = a.join(y, "capture_id")
+    met = a.join(y, ["capture_id", "_cx", "_cy"])
     ends = [("ax", "ay", "ax2", "ay2", "bx2", "by2"), ("bx", "by", "ax2", "ay2", "bx2", "by2"), ("ax2", "ay2", "ax", "ay", "bx", "by"), ("bx2", "by2", "ax", "ay", "bx", "by")]
     side = lambda px, py, qx, qy, rx, ry: (c(qx) - c(px)) * (c(ry) - c(py)) - (c(qy) - c(py)) * (c(rx) - c(px))
     apart = lambda s, t: s * t < 0
     crosses = apart(side("ax", "ay", "bx", "by", "ax2", "ay2"), side("ax", "ay", "bx", "by", "bx2", "by2")) & apart(side("ax2", "ay2", "bx2", "by2", "ax", "ay"), side("ax2", "ay2", "bx2", "by2", "bx", "by"))
     plan = F.when(crosses, F.lit(0.0)).otherwise(reduce(lambda m, e: F.least(m, segment_distance(*map(c, e))), ends[1:], segment_distance(*map(c, ends[0]))))
     height = F.greatest(F.greatest("z0", "z02") - F.least("z1", "z12"), F.lit(0.0))
-    return met.groupBy("capture_id", a_id, b_id).agg(F.min(F.hypot(plan, height)).alias("distance"))
+    return met.groupBy("capture_id", a_id, b_id).agg(F.min(F.hypot(plan, height)).alias("distance")).where(F.col("distance") <= within)
 
 
 def corner_distances(damage: DataFrame, openings: DataFrame) -> DataFrame:

@@ -166,10 +166,10 @@ def even_subsample(spark: SparkSession, d: str) -> DataFrame:
     return windows.even_subsample(events(spark, d), ["user_id"], ["t_us", "event_id"], 8).select("user_id", "event_id")
 
 
-@query("""WITH e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6::double AS t, value FROM events WHERE event_type = 'click'), w AS (SELECT *, coalesce(lag(value) OVER o, value) AS v0, coalesce(lead(value) OVER o, value) AS v1, coalesce(lag(t) OVER o, t) AS t0, coalesce(lead(t) OVER o, t) AS t1 FROM e WINDOW o AS (PARTITION BY user_id ORDER BY t))
+@query("""WITH e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6::double AS t, value FROM events), w AS (SELECT *, coalesce(lag(value) OVER o, value) AS v0, coalesce(lead(value) OVER o, value) AS v1, coalesce(lag(t) OVER o, t) AS t0, coalesce(lead(t) OVER o, t) AS t1 FROM e WINDOW o AS (PARTITION BY user_id ORDER BY t))
 SELECT user_id, event_id, round(CASE WHEN t1 > t0 THEN sqrt((v1 - v0) * (v1 - v0)) / (t1 - t0) ELSE 0 END, 9) AS speed FROM w""")
 def motion_scores(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d).where("event_type = 'click'").withColumn("t", F.col("t_us") / 1e6)
+    e = events(spark, d).withColumn("t", F.col("t_us") / 1e6)
     return windows.motion_score(e, ["user_id"], "t", ["value"]).select("user_id", "event_id", F.round("speed", 9).alias("speed"))
 
 
@@ -216,8 +216,7 @@ def interval_iou_pairs(spark: SparkSession, d: str) -> DataFrame:
     s = order_spans(spark, d)
     a = s.select("o_custkey", F.col("o_orderkey").alias("a"), F.col("lo").alias("a0"), F.col("hi").alias("a1"))
     b = s.select("o_custkey", F.col("o_orderkey").alias("b"), F.col("lo").alias("b0"), F.col("hi").alias("b1"))
-    both = joins.overlap(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1"))
-    pairs = a.join(b, "o_custkey").where("a < b").withColumn("i", both).where("i > 0")
+    pairs = joins.overlapping(a, b, ["o_custkey"], ("a0", "a1"), ("b0", "b1"), 64.0).where("a < b").withColumn("i", joins.overlap(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")))
     return pairs.select("o_custkey", "a", "b", F.round(F.col("i") / ((F.col("a1") - F.col("a0")) + (F.col("b1") - F.col("b0")) - F.col("i")), 9).alias("iou"))
 
 
@@ -304,19 +303,10 @@ def ray_grid_counts(spark: SparkSession, d: str) -> DataFrame:
     return joins.free_cells(rays, bins.occupied(p, 0.1, 2), 0.05, 0.1)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, (o_custkey * 7 + 3) % (SELECT max(c_custkey) FROM customer) AS b FROM orders WHERE o_orderkey % 3 = 0), g AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), r(n, m) AS (SELECT a, a FROM g UNION SELECT r.n, g.b FROM r JOIN g ON g.a = r.m) SELECT n AS node, min(m) AS component FROM r GROUP BY 1""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, (o_custkey * 7 + 3) % (SELECT max(c_custkey) FROM customer) AS b FROM orders), g AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), r(n, m) AS (SELECT a, a FROM g UNION SELECT r.n, g.b FROM r JOIN g ON g.a = r.m) SELECT n AS node, min(m) AS component FROM r GROUP BY 1""")
 def components_min_label(spark: SparkSession, d: str) -> DataFrame:
-    return _components(spark, d, orders(spark, d).where("o_orderkey % 3 = 0"))
-
-
-@query()
-def components_min_label_all(spark: SparkSession, d: str) -> DataFrame:
-    return _components(spark, d, orders(spark, d))
-
-
-def _components(spark: SparkSession, d: str, o: DataFrame) -> DataFrame:
     top = read_table(spark, d, "customer").agg(F.max("c_custkey").alias("top"))
-    edges = o.join(F.broadcast(top)).select(F.col("o_custkey").alias("a"), ((F.col("o_custkey") * 7 + 3) % F.col("top")).alias("b"))
+    edges = orders(spark, d).join(F.broadcast(top)).select(F.col("o_custkey").alias("a"), ((F.col("o_custkey") * 7 + 3) % F.col("top")).alias("b"))
     return graph.components(edges)
 
 

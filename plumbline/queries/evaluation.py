@@ -125,20 +125,11 @@ def wall_stats(spark: SparkSession, d: str) -> DataFrame:
     return s.select("l_returnflag", "l_linestatus", "n", *(F.round(c, 4).alias(c) for c in ("mean_abs_err", "max_abs_err", "rms_err")), F.round("pass_share", 9).alias("pass_share"))
 
 
-@query("""WITH a AS (SELECT doc_id, CASE quality WHEN 1 THEN 'pass' ELSE 'fail' END AS before FROM labels), b AS (SELECT doc_id, CASE WHEN n_chars > 1000 THEN 'pass' ELSE 'fail' END AS after FROM documents WHERE doc_id % 3 <> 0)
+@query("""WITH a AS (SELECT doc_id, CASE quality WHEN 1 THEN 'pass' ELSE 'fail' END AS before FROM labels), b AS (SELECT doc_id, CASE WHEN n_chars > 1000 THEN 'pass' ELSE 'fail' END AS after FROM documents)
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, before, after, CASE WHEN before IS NULL THEN 'added' WHEN after IS NULL THEN 'removed' WHEN before = after THEN 'same' WHEN before = 'fail' AND after = 'pass' THEN 'fixed' WHEN before = 'pass' AND after = 'fail' THEN 'broken' ELSE 'changed' END AS change FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id""")
 def status_full_outer(spark: SparkSession, d: str) -> DataFrame:
-    return _status_change(spark, d, read_table(spark, d, "documents").where("doc_id % 3 <> 0"))
-
-
-@query()
-def status_full_outer_all(spark: SparkSession, d: str) -> DataFrame:
-    return _status_change(spark, d, read_table(spark, d, "documents"))
-
-
-def _status_change(spark: SparkSession, d: str, documents: DataFrame) -> DataFrame:
     a = read_table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "pass").otherwise("fail").alias("status"))
-    b = documents.select("doc_id", F.when(F.col("n_chars") > 1000, "pass").otherwise("fail").alias("status"))
+    b = read_table(spark, d, "documents").select("doc_id", F.when(F.col("n_chars") > 1000, "pass").otherwise("fail").alias("status"))
     return ev.status_change(a, b, ["doc_id"])
 
 
@@ -171,7 +162,7 @@ def net_area_intervals(spark: SparkSession, d: str) -> DataFrame:
     same = lambda c, lo=1.0, hi=1.0: F.struct(c.alias("value"), (c * lo).alias("lo"), (c * hi).alias("hi"))
     walls = s.select(F.lit(1).alias("capture_id"), F.lit(1).alias("room_id"), F.col("o_orderkey").alias("wall_id"), F.lit(0).alias("k"), same(F.col("hi") - F.col("lo")).alias("length"), F.struct(F.lit(2.5).alias("value"), F.lit(2.4).alias("lo"), F.lit(2.6).alias("hi")).alias("height"))
     openings = lineitem(spark, d).select(F.lit(1).alias("capture_id"), F.col("l_orderkey").alias("wall_id"), same(F.col("l_quantity"), 0.9, 1.1).alias("width"), same(F.lit(1.0)).alias("height"))
-    rooms = s.select(F.lit(1).alias("capture_id"), F.lit(1).alias("room_id"), same(F.lit(0.0)).alias("floor_area")).where("false")
+    rooms = s.select(F.lit(1).alias("capture_id"), F.lit(1).alias("room_id"), same(F.lit(0.0)).alias("floor_area")).where("false")  # walls alone have openings
     a = surfaces(rooms, walls, openings)
     return a.select(F.col("surface_id").cast("long").alias("o_orderkey"), *(F.round(f"area_{b}", 6).alias(f"area_{b}") for b in ("lo", "value", "hi")))
 
@@ -235,15 +226,15 @@ def _regions(spark: SparkSession, d: str) -> DataFrame:
     cls = F.element_at(F.array(*map(F.lit, ("water_stain", "mold", "crack", "hole", "peeling_paint"))), (k % 5 + 1).cast("int"))
     size = F.col("p_size")
     return read_table(spark, d, "part").select(
-        F.lit(1).alias("capture_id"), F.col("p_brand").alias("room_id"), k.alias("damage_id"), k.alias("ord"), surface.alias("surface_id"), cls.alias("cls"), (size / 100.0).alias("area"), (F.col("p_retailprice") / 1000).alias("length"),
+        F.col("p_brand").alias("capture_id"), F.col("p_brand").alias("room_id"), k.alias("damage_id"), k.alias("ord"), surface.alias("surface_id"), cls.alias("cls"), (size / 100.0).alias("area"), (F.col("p_retailprice") / 1000).alias("length"),
         (size / 50.0).alias("width"), (size / 60.0).alias("height"), (size / 40.0).alias("u0"), (size / 40.0 + size / 50.0).alias("u1"), (size / 200.0).alias("v0"), (size / 200.0 + size / 60.0).alias("v1"),
     )
 
 
 def _plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Rooms a brand, three walls each; no openings, and no objects."""
+    """A brand is a capture with one room of three walls; no openings, and no objects."""
     brands = read_table(spark, d, "part").select("p_brand").distinct()
-    rooms = brands.select(F.lit(1).alias("capture_id"), F.col("p_brand").alias("room_id"), F.rank().over(Window.orderBy("p_brand")).alias("room_ord"), F.lit(0.0).alias("floor_z"), F.lit(2.5).alias("ceiling_z"))
+    rooms = brands.select(F.col("p_brand").alias("capture_id"), F.col("p_brand").alias("room_id"), F.lit(1).alias("room_ord"), F.lit(0.0).alias("floor_z"), F.lit(2.5).alias("ceiling_z"))
     walls = rooms.select("capture_id", "room_id", F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
     walls = walls.select("capture_id", "room_id", "k", F.concat("room_id", F.lit("-W"), "k").alias("wall_id"), F.lit(0.0).alias("sx"), F.col("k").cast("double").alias("sy"), F.lit(4.0).alias("ex"), F.col("k").cast("double").alias("ey"))
     openings = walls.where("false").select("capture_id", "room_id", "wall_id", F.lit("").alias("opening_id"), F.lit("").alias("type"), *(F.lit(0.0).alias(c) for c in ("offset", "width", "height", "sill")))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import cells
+from plumbline.kernels import greedy
+from plumbline.operators import cells, walls
 from plumbline.session import materialize, read_table
 
-from .tables import lineitem, orders
+from .tables import POINTS_SQL, lineitem, orders, points
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -124,3 +125,56 @@ def camera_cells(spark: SparkSession, d: str) -> DataFrame:
     li = lineitem(spark, d)
     cuts = li.select((F.col("l_suppkey") % 5).cast("int").alias("plan"), (F.col("l_linenumber") % 2).cast("int").alias("axis"), (F.col("l_partkey") % 7).cast("int").alias("k")).distinct().withColumn("coord", F.col("k").cast("double"))
     return cells.cell_of(_cameras(spark, d), cuts).select("plan", "cam", "i", "j")
+
+
+@query(f"""WITH {POINTS_SQL}, up AS (SELECT label, z, w + 1e-3::double AS w FROM points WHERE nz / sqrt(nx*nx+ny*ny+nz*nz) > 0.1::double), k AS (SELECT label, quantile_cont(z, 0.005) AS lo, quantile_cont(z, 0.995) AS hi FROM up GROUP BY 1 HAVING count(*) >= 5),
+h AS (SELECT label, floor((z - lo) / 0.02::double)::bigint AS b, sum(w) AS h, any_value(greatest(ceil((hi - lo) / 0.02::double), 1) - 1)::bigint AS last FROM up JOIN k USING (label) WHERE floor((z - lo) / 0.02::double) >= 0 AND floor((z - lo) / 0.02::double) <= greatest(ceil((hi - lo) / 0.02::double), 1) - 1 GROUP BY 1, 2),
+sm AS (SELECT label, b + d.d AS b, sum(h) AS h, any_value(last) AS last FROM h, (VALUES (-1), (0), (1)) d(d) WHERE b + d.d BETWEEN 0 AND last GROUP BY 1, 2), tp AS (SELECT label, b + d.d AS b, max(h) AS top FROM sm, (VALUES (-2), (-1), (0), (1), (2)) d(d) GROUP BY 1, 2), pk AS (SELECT sm.label, min(sm.b) AS b FROM sm JOIN tp ON tp.label = sm.label AND tp.b = sm.b WHERE h = top AND h >= 0.25::double * (SELECT max(m.h) FROM sm m WHERE m.label = sm.label) GROUP BY 1),
+i AS (SELECT up.* FROM up JOIN pk USING (label) JOIN k USING (label) WHERE abs(z - (lo + (b + 0.5::double) * 0.02::double)) < 0.05::double) SELECT label, round(sum(z * w) / sum(w), 6) AS z, count(*) AS n FROM i GROUP BY 1 HAVING count(*) >= 5""")
+def floor_levels(spark: SparkSession, d: str) -> DataFrame:
+    f = walls.floor_levels(points(spark, d), ["label"], up=0.1, least=5)
+    return f.select("label", F.round("z", 6).alias("z"), "n")
+
+
+@query()
+def wall_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines are taken strongest first: tested against plain Python."""
+    return walls.wall_lines(_offsets(spark, d), ["k"], 0.0, 55.0, size=0.5, apart=2.0).select("k", "direction", F.round("coord", 6).alias("coord"), F.round("support", 6).alias("support"))
+
+
+def _offsets(spark: SparkSession, d: str) -> DataFrame:
+    return lineitem(spark, d).select((F.col("l_suppkey") % 10).alias("k"), (F.col("l_linenumber") % 4).alias("direction"), (F.col("l_quantity") + F.col("l_discount")).alias("offset"), F.lit(1.0).alias("w"))
+
+
+@query("""WITH f AS (SELECT l_suppkey % 20 AS k, floor(l_quantity / 2.0::double)::bigint AS iu, floor(l_linenumber / 2.0::double)::bigint AS iz, sum(l_tax) AS mass FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1, 2, 3), t AS (SELECT l_suppkey % 20 AS k, floor(l_quantity / 2.0::double)::bigint AS iu, floor(l_linenumber / 2.0::double)::bigint AS iz, count(*) AS through FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2, 3)
+SELECT k, iu, iz, round(coalesce(mass, 0), 6) AS mass, coalesce(through, 0) AS through FROM f FULL JOIN t USING (k, iu, iz)""")
+def wall_grids(spark: SparkSession, d: str) -> DataFrame:
+    p = lineitem(spark, d).select((F.col("l_suppkey") % 20).alias("k"), F.col("l_quantity").alias("u"), F.col("l_linenumber").cast("double").alias("z"), F.col("l_tax").alias("w"), "l_returnflag")
+    g = walls.wall_grids(p.where("l_returnflag <> 'A'"), p.where("l_returnflag = 'A'"), ["k"], 2.0)
+    return g.select("k", "iu", "iz", F.round("mass", 6).alias("mass"), "through")
+
+
+@query("""WITH RECURSIVE c AS (SELECT l_suppkey % 20 AS k, l_quantity::bigint AS iu, l_linenumber::bigint AS iz FROM lineitem GROUP BY 1, 2, 3 HAVING sum((l_returnflag = 'A')::int) * 3 > count(*)), r(k, iu, iz, m) AS (SELECT k, iu, iz, (k * 65536 + iu) * 65536 + iz FROM c UNION SELECT c.k, c.iu, c.iz, r.m FROM r JOIN c ON c.k = r.k AND abs(c.iu - r.iu) + abs(c.iz - r.iz) = 1), p AS (SELECT k, iu, iz, min(m) AS part FROM r GROUP BY 1, 2, 3)
+SELECT k, part, min(iu) AS u0, max(iu) + 1 AS u1, min(iz) AS z0, max(iz) + 1 AS z1, count(*) AS n FROM p GROUP BY 1, 2 HAVING count(*) >= 4""")
+def opening_parts(spark: SparkSession, d: str) -> DataFrame:
+    g = lineitem(spark, d).groupBy((F.col("l_suppkey") % 20).alias("k"), F.col("l_quantity").cast("long").alias("iu"), F.col("l_linenumber").cast("long").alias("iz"))
+    cells_ = g.agg((F.count_if(F.col("l_returnflag") == "A") * 3 > F.count(F.lit(1))).alias("open")).where("open")
+    return walls.opening_candidates(cells_, "k")
+
+
+@query()
+def distinct_openings(spark: SparkSession, d: str) -> DataFrame:
+    """The most confident first: tested against plain Python."""
+    return walls.distinct_openings(_fits(spark, d), ["k"], "id").select("k", "id")
+
+
+def _fits(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("o_orderkey")
+    return orders(spark, d).select(F.col("o_custkey").alias("k"), n.alias("id"), (n % 20).cast("double").alias("u0"), (n % 20 + 2 + n % 5).cast("double").alias("u1"), (n % 3).cast("double").alias("z0"), (n % 3 + 3).cast("double").alias("z1"), F.col("o_totalprice").alias("confidence"))
+
+
+@query()
+def same_regions(spark: SparkSession, d: str) -> DataFrame:
+    """In order of arrival: tested against plain Python."""
+    f = _fits(spark, d).withColumnsRenamed({"u0": "x0", "u1": "x1", "z0": "y0", "z1": "y1", "confidence": "score"})
+    return greedy.same_region(f, ["k"], "id").select("k", "id")

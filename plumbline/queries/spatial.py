@@ -86,20 +86,11 @@ def match_statuses(spark: SparkSession, d: str) -> DataFrame:
     return detections.statuses(m, g, p, ["wall"], "gt_id", "pred_id")
 
 
-@query("""WITH o AS (SELECT l_suppkey AS wall, l_orderkey * 10 + l_linenumber AS id, CASE l_returnflag WHEN 'A' THEN 'door' WHEN 'N' THEN 'opening' ELSE 'window' END AS type, l_quantity AS centre, l_discount * 20 AS width FROM lineitem WHERE l_partkey % 20 = 0), g AS (SELECT DISTINCT * FROM o WHERE id % 2 = 0), p AS (SELECT DISTINCT * FROM o WHERE id % 2 = 1)
+@query("""WITH o AS (SELECT l_suppkey AS wall, l_orderkey * 10 + l_linenumber AS id, CASE l_returnflag WHEN 'A' THEN 'door' WHEN 'N' THEN 'opening' ELSE 'window' END AS type, l_quantity AS centre, l_discount * 20 AS width FROM lineitem), g AS (SELECT DISTINCT * FROM o WHERE id % 2 = 0), p AS (SELECT DISTINCT * FROM o WHERE id % 2 = 1)
 SELECT g.wall, g.id AS gt_id, p.id AS pred_id, abs(g.centre - p.centre) AS cost FROM g JOIN p ON g.wall = p.wall AND (g.type = 'window') = (p.type = 'window') AND abs(g.centre - p.centre) <= g.width / 2 + 1e-9::double""")
 def opening_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return _opening_candidates(lineitem(spark, d).where("l_partkey % 20 = 0"))
-
-
-@query()
-def opening_candidates_all(spark: SparkSession, d: str) -> DataFrame:
-    return _opening_candidates(lineitem(spark, d))
-
-
-def _opening_candidates(lines: DataFrame) -> DataFrame:
     kind = F.when(F.col("l_returnflag") == "A", "door").when(F.col("l_returnflag") == "N", "opening").otherwise("window")
-    o = lines.select(F.col("l_suppkey").alias("wall"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), kind.alias("type"), F.col("l_quantity").alias("centre"), (F.col("l_discount") * 20).alias("width")).distinct()
+    o = lineitem(spark, d).select(F.col("l_suppkey").alias("wall"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), kind.alias("type"), F.col("l_quantity").alias("centre"), (F.col("l_discount") * 20).alias("width")).distinct()
     return detections.opening_candidates(o.where("id % 2 = 0").withColumnRenamed("id", "gt_id"), o.where("id % 2 = 1").withColumnRenamed("id", "pred_id"), ["wall"])
 
 
@@ -136,22 +127,12 @@ def room_labels(spark: SparkSession, d: str) -> DataFrame:
     return planes.room_labels(orders(spark, d), ["o_custkey"], "o_orderpriority")
 
 
-@query(f"""WITH {POINTS_SQL}, e AS (SELECT label, point_id, x, y FROM points), p AS (SELECT label, point_id AS point, x, y FROM points WHERE point_id % 5 = 0), v AS (SELECT label, x AS ax, y AS ay, coalesce(lead(x) OVER w, first_value(x) OVER f) AS bx, coalesce(lead(y) OVER w, first_value(y) OVER f) AS by_ FROM points WHERE point_id % 7 = 0 WINDOW w AS (PARTITION BY label ORDER BY point_id), f AS (PARTITION BY label ORDER BY point_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+@query(f"""WITH {POINTS_SQL}, e AS (SELECT label, point_id, x, y FROM points), p AS (SELECT label, point_id AS point, x, y FROM points), v AS (SELECT label, x AS ax, y AS ay, coalesce(lead(x) OVER w, first_value(x) OVER f) AS bx, coalesce(lead(y) OVER w, first_value(y) OVER f) AS by_ FROM points WINDOW w AS (PARTITION BY label ORDER BY point_id), f AS (PARTITION BY label ORDER BY point_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
 SELECT p.label, p.point FROM p JOIN v ON p.label = v.label GROUP BY 1, 2 HAVING sum(coalesce((ay > y) <> (by_ > y) AND x < ax + (bx - ax) * (y - ay) / nullif(by_ - ay, 0), false)::int) % 2 = 1""")
 def points_in_rings(spark: SparkSession, d: str) -> DataFrame:
-    p = points(spark, d)
-    return _points_in_rings(p.where("point_id % 5 = 0"), p.where("point_id % 7 = 0"))
-
-
-@query()
-def points_in_rings_all(spark: SparkSession, d: str) -> DataFrame:
     """Every point against its label's ring of all points."""
     p = points(spark, d)
-    return _points_in_rings(p, p)
-
-
-def _points_in_rings(p: DataFrame, ring: DataFrame) -> DataFrame:
-    turn = windows.cyclic_neighbours(windows.cyclic_neighbours(ring, ["label"], "point_id", "x").withColumnRenamed("next", "bx").drop("previous"), ["label"], "point_id", "y")
+    turn = windows.cyclic_neighbours(windows.cyclic_neighbours(p, ["label"], "point_id", "x").withColumnRenamed("next", "bx").drop("previous"), ["label"], "point_id", "y")
     edges = turn.select("label", F.lit(0).alias("ring"), F.col("x").alias("ax"), F.col("y").alias("ay"), "bx", F.col("next").alias("by_"))
     inside = shapes.points_in_rings(p.select("label", F.col("point_id").alias("point"), "x", "y"), edges, ["label"])
     return inside.select("label", "point")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.plans.result import KeyedStore
 from plumbline.session import fresh_path, read_table
 from plumbline.streaming import operators as st
 
@@ -20,28 +21,33 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/{name}.parquet*")
 
 
-def _finished(spark: SparkSession, out: DataFrame, mode: str) -> DataFrame:
-    """The table that the stream leaves behind: its last complete result, or all rows appended."""
+def _finished(spark: SparkSession, out: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The table that the stream leaves behind: its last complete result, all rows appended, or the last update of each key."""
     path = fresh_path(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out/{'last' if mode == 'complete' else number}")
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/out/{'last' if mode == 'complete' else number}")
 
     query = out.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).queryName(f"q{uuid.uuid4().hex}").start()
     query.awaitTermination()
-    return spark.read.option("recursiveFileLookup", "true").schema(out.schema).parquet(f"{path}/out")
+    rows = spark.read.option("recursiveFileLookup", "true").schema(out.withColumn("_batch", F.lit(0)).schema).parquet(f"{path}/out")
+    if mode != "update":
+        return rows.drop("_batch")
+    rest = [c for c in out.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(*keys, "_r.*")
 
 
 def stream_slot_argmax(spark: SparkSession, d: str) -> DataFrame:
+    """In update mode the watermark drops the state of slots that are over."""
     e = st.timed(_stream(spark, d, "events"), "ts", "10 minutes")
     best = st.slot_best(e, ["user_id"], "ts", "1 hour", "value", "event_id", ["event_id", "value"])
-    return _finished(spark, best, "complete").select("user_id", F.unix_micros("slot").alias("slot_us"), "event_id", "value")
+    return _finished(spark, best, "update", ("slot", "user_id")).select("user_id", F.unix_micros("slot").alias("slot_us"), "event_id", "value")
 
 
 def stream_voxel(spark: SparkSession, d: str) -> DataFrame:
     e = lambda i: F.get("embedding", F.lit(i)).cast("double")
     p = _stream(spark, d, "embeddings").select(e(0).alias("x"), e(1).alias("y"), e(2).alias("z"), (F.abs(e(6)) + 0.1).alias("w"))
-    v = _finished(spark, st.running_voxels(p, 0.1), "complete")
+    v = _finished(spark, st.running_voxels(p, 0.1), "update", ("ix", "iy", "iz"))
     return v.select("ix", "iy", "iz", *(F.round(c, 9).alias(c) for c in ("x", "y", "z", "w_sum")), "n")
 
 
@@ -50,6 +56,26 @@ def stream_keyframes(spark: SparkSession, d: str) -> DataFrame:
     return _finished(spark, st.keyframes(e, "user_id", "event_id", ["value"], 20.0), "append")
 
 
-QUERIES |= {f.__name__: f for f in (stream_slot_argmax, stream_voxel, stream_keyframes)}
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    e = st.timed(_stream(spark, d, "events"), "ts", "10 minutes")
+    s = _finished(spark, st.gap_sessions(e, ["user_id"], "ts", "30 minutes"), "complete")
+    return s.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+def stream_store(spark: SparkSession, d: str) -> DataFrame:
+    """Documents' keys streamed twice into a store by key: the second time adds nothing."""
+    store = KeyedStore(spark, fresh_path(spark, "stream-store"), "key string, n int")
+    keys = lambda df: df.select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key")).distinct()
+    once = st.append_new(store, "key", lambda new: new.select("key", F.length("key").alias("n")))
+    for _ in range(2):
+        path = fresh_path(spark, "stream")
+        _stream(spark, d, "documents").writeStream.foreachBatch(lambda df, n: once(keys(df), n)).option("checkpointLocation", path).trigger(availableNow=True).start().awaitTermination()
+    return store.read("key")
+
+
+QUERIES |= {f.__name__: f for f in (stream_slot_argmax, stream_voxel, stream_keyframes, stream_sessions, stream_store)}
+ORACLE_SQL["stream_store"] = """SELECT DISTINCT md5(coalesce(text, '')) AS key, 32::int AS n FROM documents"""
+ORACLE_SQL["stream_sessions"] = """WITH e AS (SELECT user_id, epoch_us(ts) AS t, event_id FROM events), n AS (SELECT *, coalesce((t - lag(t) OVER w >= 1800000000)::int, 0) AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM n)
+SELECT user_id, min(t) AS start_us, max(t) + 1800000000 AS end_us, count(*) AS n FROM s GROUP BY user_id, s"""
 ORACLE_SQL["stream_slot_argmax"] = """SELECT user_id, epoch_us(date_trunc('hour', ts)) AS slot_us, arg_max(event_id, (value, -event_id)) AS event_id, arg_max(value, (value, -event_id)) AS value FROM events GROUP BY 1, 2"""
 ORACLE_SQL["stream_voxel"] = f"""WITH {POINTS_SQL} SELECT floor(x / 0.1::double)::bigint AS ix, floor(y / 0.1::double)::bigint AS iy, floor(z / 0.1::double)::bigint AS iz, round(sum(w*x)/sum(w), 9) AS x, round(sum(w*y)/sum(w), 9) AS y, round(sum(w*z)/sum(w), 9) AS z, round(sum(w), 9) AS w_sum, count(*) AS n FROM points GROUP BY 1, 2, 3"""

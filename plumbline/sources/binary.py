@@ -150,3 +150,67 @@ def pack_mask(mask: np.ndarray) -> bytes:
 
 def unpack_mask(data: bytes, height: int, width: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, np.uint8), count=height * width).astype(bool).reshape(height, width)
+
+
+def _mp4_boxes(data: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    while start + 8 <= end:
+        size, kind = struct.unpack_from(">I4s", data, start)
+        body = start + 8
+        if size == 1 and body + 8 <= end:
+            (size,) = struct.unpack_from(">Q", data, body)
+            body += 8
+        size = size or end - start
+        if size < body - start or start + size > end:
+            return
+        yield kind, body, start + size
+        start += size
+
+
+def video_facts(data: bytes) -> dict | None:
+    """width, height, rotation, seconds, frames, fps and device of the first picture track of an MP4 or MOV; None without one.
+
+    Only boxes of the header are read. rotation is clockwise, in quarter turns
+    of degrees; device is the text of a camera model tag.
+    """
+    device = None
+    tracks: list[dict] = []
+    todo = [(0, len(data), None)]
+    while todo:
+        start, end, own = todo.pop(0)
+        for kind, body, stop in _mp4_boxes(data, start, end):
+            if kind == b"trak":
+                tracks.append({})
+                todo.append((body, stop, tracks[-1]))
+            elif kind in (b"moov", b"mdia", b"minf", b"stbl", b"udta"):
+                todo.append((body, stop, own))
+            elif kind == b"\xa9mod":
+                (n,) = struct.unpack_from(">H", data, body)
+                device = data[body + 4 : body + 4 + n].decode("utf-8", "replace")
+            elif own is not None and kind == b"tkhd":
+                matrix = struct.unpack_from(">9i", data, body + (52 if data[body] else 40))
+                own["width"], own["height"] = (x / 65536 for x in struct.unpack_from(">II", data, body + (88 if data[body] else 76)))
+                own["rotation"] = {(0, 1): 90, (-1, 0): 180, (0, -1): 270}.get((matrix[0] >> 16, matrix[1] >> 16), 0)
+            elif own is not None and kind == b"mdhd":
+                scale, length = struct.unpack_from(">IQ" if data[body] else ">II", data, body + (20 if data[body] else 12))
+                own["seconds"] = length / scale if scale else 0.0
+            elif own is not None and kind == b"hdlr":
+                own["kind"] = data[body + 8 : body + 12]
+            elif own is not None and kind == b"stsz":
+                (own["frames"],) = struct.unpack_from(">I", data, body + 8)
+    found = next((t for t in tracks if t.get("kind") == b"vide"), None)
+    if found is None:
+        return None
+    seconds, frames = found.get("seconds", 0.0), found.get("frames", 0)
+    return {k: found.get(k) for k in ("width", "height", "rotation")} | {"seconds": seconds, "frames": frames, "fps": frames / seconds if seconds else None, "device": device}
+
+
+def probe_videos(files: DataFrame) -> DataFrame:
+    """(path, width, height, rotation, seconds, frames, fps, device) of video files (path, content); nulls for a file without a picture track."""
+    names = ("width", "height", "rotation", "seconds", "frames", "fps", "device")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            told = [video_facts(bytes(x)) or {} for x in f["content"]]
+            yield pd.DataFrame({"path": f["path"], **{n: [t.get(n) for t in told] for n in names}})
+
+    return files.select("path", "content").mapInPandas(run, "path string, width double, height double, rotation int, seconds double, frames long, fps double, device string")

@@ -32,32 +32,37 @@ def running_voxels(stream: DataFrame, size: float, by: Sequence[str] = ()) -> Da
 
 
 def keyframes(stream: DataFrame, key: str, order: str, axes: Sequence[str], distance: float) -> DataFrame:
-    """Rows whose position is at least ``distance`` from the last kept row of their key.
+    """Rows whose position is at least ``distance`` from the last kept row of their key, in order.
 
-    The state is that row's position. Rows of one batch are taken in order;
-    across batches they are taken as they come.
+    The state is the last kept position and the last order judged. Rows of one
+    batch are taken in order; a row that comes after a later one of its key
+    was judged is late and left out, so what was given out never changes.
     """
     kinds = dict(stream.dtypes)
     names = [key, order, *axes]
 
     def step(k: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = list(state.get) if state.exists else None
+        *last, upto = state.get if state.exists else (*([None] * len(axes)), None)
         rows = pd.concat(list(frames)).sort_values(order)
         kept = []
-        for i, at in enumerate(rows[list(axes)].to_numpy(float)):
-            if last is None or sum((a - b) ** 2 for a, b in zip(at, last, strict=True)) >= distance * distance:
+        for i, (number, *at) in enumerate(rows[[order, *axes]].itertuples(index=False)):
+            if upto is not None and number <= upto:
+                continue
+            upto = int(number)
+            if last[0] is None or sum((a - b) ** 2 for a, b in zip(at, last, strict=True)) >= distance * distance:
                 kept.append(i)
-                last = at.tolist()
-        if last is not None:
-            state.update(tuple(last))
+                last = [float(a) for a in at]
+        if upto is not None:
+            state.update((*last, upto))
         yield rows.iloc[kept][names]
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in names)
-    held = ", ".join(f"{a} double" for a in axes)
+    held = ", ".join([*(f"{a} double" for a in axes), "upto long"])
     return stream.select(*names).groupBy(key).applyInPandasWithState(step, schema, held, "append", GroupStateTimeout.NoTimeout)
 
 
 def gap_sessions(stream: DataFrame, by: Sequence[str], time: str, gap: str) -> DataFrame:
+    """(start, end, by, n): sessions that end ``gap`` after their last row; the watermark closes them."""
     return stream.groupBy(F.session_window(time, gap).alias("s"), *by).agg(F.count(F.lit(1)).alias("n")).select("s.start", "s.end", *by, "n")
 
 
@@ -65,6 +70,6 @@ def append_new(store, key: str, run):
     """A foreachBatch function that stores only keys that are not stored yet, so a batch can be repeated."""
 
     def batch(df: DataFrame, _: int) -> None:
-        store.compute(df, key, run)
+        store.compute(df, key, run)  # reads what is stored, and writes the rest
 
     return batch

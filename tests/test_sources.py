@@ -93,3 +93,19 @@ captures: [{id: c1, tier: lidar}]
 def test_app_export(spark):
     got = documents.app_export(spark, "Export of a plan\nRoom name;Width (cm);Height\nHall;120;2,5 m\nBath;x;8' 2\"\n").collect()
     assert [(r.room, r.dimension, round(r.metres, 4)) for r in got] == [("Hall", "Width (cm)", 1.2), ("Hall", "Height", 2.5), ("Bath", "Height", 2.4892)]
+
+
+def test_video_facts(spark):
+    import struct
+
+    from plumbline.sources.binary import probe_videos, video_facts
+
+    box = lambda kind, body: struct.pack(">I4s", 8 + len(body), kind) + body
+    words = lambda *x: struct.pack(f">{len(x)}I", *x)
+    turn = struct.pack(">9i", 0, 1 << 16, 0, -1 << 16, 0, 0, 0, 0, 1 << 30)
+    tkhd = box(b"tkhd", words(0, 0, 0, 1, 0, 0, 0, 0, 0, 0) + turn + words(1920 << 16, 1080 << 16))
+    media = lambda kind, frames: box(b"mdia", box(b"mdhd", words(0, 0, 0, 600, 1200, 0)) + box(b"hdlr", words(0, 0) + kind + bytes(12)) + box(b"minf", box(b"stbl", box(b"stsz", words(0, 0, frames)))))
+    movie = box(b"ftyp", b"qt  ") + box(b"moov", box(b"trak", tkhd + media(b"soun", 9)) + box(b"trak", tkhd + media(b"vide", 60)) + box(b"udta", box(b"\xa9mod", struct.pack(">HH", 5, 0) + b"Phone")))
+    assert video_facts(movie) == {"width": 1920, "height": 1080, "rotation": 90, "seconds": 2.0, "frames": 60, "fps": 30.0, "device": "Phone"}
+    rows = {r.path: r for r in probe_videos(spark.createDataFrame([("a", movie), ("b", b"junk"), ("c", movie[:50])], "path string, content binary")).collect()}
+    assert rows["a"].fps == 30.0 and rows["b"].width is None and rows["c"].device is None

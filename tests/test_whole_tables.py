@@ -24,7 +24,7 @@ def test_opening_candidates(spark, sf_dir, table):
     for wall, i, kind, centre, width in o:
         walls.setdefault((wall, kind), ([], []))[i % 2].append((i, centre, width))
     want = [(w, g, p) for (w, _), (gt, pred) in walls.items() for g, a, width in gt for p, b, _ in pred if abs(a - b) <= width / 2 + 1e-9]
-    got = QUERIES["opening_candidates_all"](spark, sf_dir).toPandas()
+    got = QUERIES["opening_candidates"](spark, sf_dir).toPandas()
     assert sorted(zip(got.wall, got.gt_id, got.pred_id, strict=True)) == sorted(want)
 
 
@@ -36,7 +36,7 @@ def test_points_in_rings(spark, sf_dir, table):
             n = sum((ay > y) != (by > y) and x < ax + (bx - ax) * (y - ay) / (by - ay) for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True))
             if n % 2:
                 want.add((label, point))
-    got = QUERIES["points_in_rings_all"](spark, sf_dir).toPandas()
+    got = QUERIES["points_in_rings"](spark, sf_dir).toPandas()
     assert want and set(zip(got.label, got.point, strict=True)) == want and len(got) == len(want)
 
 
@@ -53,7 +53,7 @@ def test_components(spark, sf_dir, table):
         if a != b:
             x, y = find(a), find(b)
             low[max(x, y)] = min(x, y)
-    got = QUERIES["components_min_label_all"](spark, sf_dir).toPandas()
+    got = QUERIES["components_min_label"](spark, sf_dir).toPandas()
     assert dict(zip(got.node, got.component, strict=True)) == {a: find(a) for a in list(low)}
 
 
@@ -62,7 +62,7 @@ def test_status_full_outer(spark, sf_dir, table):
     after = {r.doc_id: "pass" if r.n_chars > 1000 else "fail" for r in table("documents").itertuples()}
     word = {("pass", "pass"): "same", ("fail", "fail"): "same", ("fail", "pass"): "fixed", ("pass", "fail"): "broken"}
     want = {i: "added" if i not in before else "removed" if i not in after else word[before[i], after[i]] for i in before.keys() | after.keys()}
-    got = QUERIES["status_full_outer_all"](spark, sf_dir).toPandas()
+    got = QUERIES["status_full_outer"](spark, sf_dir).toPandas()
     assert dict(zip(got.doc_id, got.change, strict=True)) == want
 
 
