@@ -420,17 +420,19 @@ def _verify(texts: DataFrame, runs: DataFrame) -> None:
 
     The bytes of the texts that stand for others are shipped to each run but
     that of a text with itself. A text that stands for a hot group is joined,
-    not grouped, so adaptive execution splits its runs.
+    not grouped, and lies in a table without buckets, so both sides are
+    shuffled and adaptive execution splits its runs.
     """
     asked = runs.where("NOT (doc_id = o_doc AND key = o_key AND shift = 0)")
     names = asked.select(F.col("o_doc").alias("doc_key"), F.col("o_key").alias("key")).distinct()
     held = texts.select("doc_key", "key", "text").join(names, ["doc_key", "key"], "left_semi").dropDuplicates(["doc_key", "key"])
-    held = held.select(F.col("doc_key").alias("o_doc"), F.col("key").alias("o_key"), F.col("text").alias("other"))
+    held = materialize(held.select(F.col("doc_key").alias("o_doc"), F.col("key").alias("o_key"), F.col("text").alias("other")), "others")
     place, size = (F.col("start") - F.col("shift") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")
     said = asked.join(held, ["o_doc", "o_key"]).select(F.col("doc_id").alias("doc_key"), "key", "start", F.substring("other", place, size).alias("bytes"))
     both = said.join(texts.select("doc_key", "key", "text"), ["doc_key", "key"])
     own = F.substring("text", (F.col("start") + 1).cast("int"), F.octet_length("bytes"))
     wrong = both.agg(F.count_if(own != F.col("bytes")).alias("n")).first()["n"]
+    discard(held)
     if wrong:
         raise ValueError(f"{wrong} runs hold different bytes under one hash; nothing was removed")
 
