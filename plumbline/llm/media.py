@@ -2,13 +2,14 @@
 
 ``store`` puts a payload into an ISO media file: a gray 16 x 12 raw video
 track, 192 one-byte samples a frame, 25 frames a second, every 8th frame a
-sync sample. ``index`` walks the nested boxes of any such file, decodes the
-sample tables (stsd, mdhd, stts, stsc, stsz, stco/co64, stss) and gives codec,
-duration, the payload's byte ranges and those of the keyframes. Payload bytes
-are only located, never decoded.
-
-Rows are independent, so no step shuffles. The work on one row is in memory,
-as one row's payload is.
+sync sample. ``tracks`` walks the nested boxes of any such file, each track's
+by themselves, decodes the sample tables (stsd, mdhd, stsc, stsz, stco/co64,
+stss, elst) and the runs of movie fragments (moof, tfhd, trun), and gives
+codec, duration, the payload's byte ranges and those of the keyframes. Payload
+bytes are only located, never decoded.
+
+Rows are independent, so no step shuffles. The work on one row is in memory:
+a task holds about four times the longest text of its batch.
 """
 
 from __future__ import annotations
@@ -107,9 +108,13 @@ class Index(NamedTuple):
     frames: int
     ranges: list[tuple[int, int]]
     keyframes: list[tuple[int, int]]
+    #: Four letters of the kind of media: "vide", "soun".
+    handler: str = ""
+    #: (segment duration in the movie's timescale, media time or -1) of the edit list.
+    edits: tuple[tuple[int, int], ...] = ()
 
 
-_CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl"}
+_CONTAINERS = {b"mdia", b"minf", b"stbl", b"edts"}
 
 
 def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
@@ -128,25 +133,20 @@ def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
         start += size
 
 
-def _tables(data: memoryview) -> dict[bytes, tuple[int, int]]:
-    """The first box of each kind, containers walked in depth."""
-    found: dict[bytes, tuple[int, int]] = {}
-    todo = [(0, len(data))]
+def _track_boxes(data: memoryview, start: int, end: int) -> dict[bytes, int]:
+    """Where the body of the first box of each kind of one track begins, containers walked in depth."""
+    found: dict[bytes, int] = {}
+    todo = [(start, end)]
     while todo:
-        for kind, start, end in boxes(data, *todo.pop()):
-            found.setdefault(kind, (start, end))
+        for kind, body, stop in boxes(data, *todo.pop()):
+            found.setdefault(kind, body)
             if kind in _CONTAINERS:
-                todo.append((start, end))
+                todo.append((body, stop))
     return found
 
 
-def index(stored: bytes) -> Index:
-    """Codec, duration and byte ranges of the first track of an ISO media file."""
-    data = memoryview(stored)
-    at = {kind: place[0] for kind, place in _tables(data).items()}
-    (codec,) = struct.unpack_from(">4s", data, at[b"stsd"] + 12)
-    version = data[at[b"mdhd"]]
-    timescale, duration = struct.unpack_from(">IQ" if version else ">II", data, at[b"mdhd"] + (20 if version else 12))
+def _samples(data: memoryview, at: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, sizes and whether they are sync samples of a track's sample tables."""
     size, count = struct.unpack_from(">II", data, at[b"stsz"] + 4)
     sizes = np.full(count, size, np.int64) if size else np.frombuffer(data, ">u4", count, at[b"stsz"] + 12).astype(np.int64)
     wide = b"co64" in at
@@ -162,13 +162,113 @@ def index(stored: bytes) -> Index:
     ends = np.concatenate(([0], np.cumsum(sizes)))
     chunk = np.repeat(np.arange(chunks), held)
     starts = offsets[chunk] + ends[:-1] - ends[first[:-1]][chunk]
+    sync = np.ones(count, bool)
     if b"stss" in at:
         (n,) = struct.unpack_from(">I", data, at[b"stss"] + 4)
-        sync = np.frombuffer(data, ">u4", n, at[b"stss"] + 8).astype(np.int64) - 1
-    else:
-        sync = np.arange(count)
-    ranges = list(zip(offsets.tolist(), (ends[first[1:]] - ends[first[:-1]]).tolist(), strict=True))
-    return Index(codec.decode("latin-1"), timescale, duration, count, ranges, list(zip(starts[sync].tolist(), sizes[sync].tolist(), strict=True)))
+        sync[:] = False
+        sync[np.frombuffer(data, ">u4", n, at[b"stss"] + 8).astype(np.int64) - 1] = True
+    return starts, sizes, sync
+
+
+def _fragment(data: memoryview, moof: int, start: int, end: int, defaults: dict[int, tuple[int, int, int]]) -> tuple[int, int, list[tuple[int, int, bool]]]:
+    """(track, duration, samples) of one track fragment of the moof box that begins at ``moof``."""
+    track, base, length, size, flags = 0, moof, 0, 0, 0
+    duration, samples = 0, []
+    for kind, body, _ in boxes(data, start, end):
+        (said,) = struct.unpack_from(">I", data, body)
+        at = body + 4
+        if kind == b"tfhd":
+            (track,) = struct.unpack_from(">I", data, at)
+            length, size, flags = defaults.get(track, (0, 0, 0))
+            at += 4
+            if said & 0x1:
+                (base,) = struct.unpack_from(">Q", data, at)
+                at += 8
+            at += 4 * bool(said & 0x2)
+            for bit in (0x8, 0x10, 0x20):
+                if said & bit:
+                    (value,) = struct.unpack_from(">I", data, at)
+                    at += 4
+                    length, size, flags = (value if bit == 0x8 else length, value if bit == 0x10 else size, value if bit == 0x20 else flags)
+        elif kind == b"trun":
+            (count,) = struct.unpack_from(">I", data, at)
+            at += 4
+            place = samples[-1][0] + samples[-1][1] if samples else base
+            if said & 0x1:
+                place = base + struct.unpack_from(">i", data, at)[0]
+                at += 4
+            lead = None
+            if said & 0x4:
+                (lead,) = struct.unpack_from(">I", data, at)
+                at += 4
+            for i in range(count):
+                own = [length, size, flags if i or lead is None else lead]
+                for k, bit in enumerate((0x100, 0x200, 0x400)):
+                    if said & bit:
+                        (own[k],) = struct.unpack_from(">I", data, at)
+                        at += 4
+                at += 4 * bool(said & 0x800)
+                samples.append((place, own[1], not own[2] & 0x10000))
+                place, duration = place + own[1], duration + own[0]
+    return track, duration, samples
+
+
+def tracks(stored: bytes) -> list[Index]:
+    """Codec, duration and byte ranges of every track of an ISO media file, in the order of the file."""
+    data = memoryview(stored)
+    found: dict[int, dict] = {}
+    defaults: dict[int, tuple[int, int, int]] = {}
+    top = 0
+    for kind, body, end in boxes(data, 0, len(data)):
+        if kind == b"moov":
+            for inner, start, stop in boxes(data, body, end):
+                if inner == b"trak":
+                    at = _track_boxes(data, start, stop)
+                    (name,) = struct.unpack_from(">I", data, at[b"tkhd"] + (20 if data[at[b"tkhd"]] else 12))
+                    wide = data[at[b"mdhd"]]
+                    timescale, duration = struct.unpack_from(">IQ" if wide else ">II", data, at[b"mdhd"] + (20 if wide else 12))
+                    starts, sizes, sync = _samples(data, at)
+                    edits = []
+                    if b"elst" in at:
+                        long = data[at[b"elst"]]
+                        (n,) = struct.unpack_from(">I", data, at[b"elst"] + 4)
+                        edits = [struct.unpack_from(">Qq" if long else ">Ii", data, at[b"elst"] + 8 + i * (20 if long else 12)) for i in range(n)]
+                    codec = bytes(data[at[b"stsd"] + 12 : at[b"stsd"] + 16]).decode("latin-1")
+                    handler = bytes(data[at[b"hdlr"] + 8 : at[b"hdlr"] + 12]).decode("latin-1") if b"hdlr" in at else ""
+                    found[name] = {"codec": codec, "handler": handler, "timescale": timescale, "duration": duration, "edits": tuple(edits), "starts": starts, "sizes": sizes, "sync": sync}
+                elif inner == b"mvex":
+                    for k, x, _ in boxes(data, start, stop):
+                        if k == b"trex":
+                            name, _, length, size, flags = struct.unpack_from(">5I", data, x + 4)
+                            defaults[name] = length, size, flags
+        elif kind == b"moof":
+            for inner, start, stop in boxes(data, body, end):
+                if inner == b"traf":
+                    name, duration, samples = _fragment(data, top, start, stop, defaults)
+                    if name in found and samples:
+                        own = found[name]
+                        own["duration"] += duration
+                        for key, values in zip(("starts", "sizes", "sync"), zip(*samples, strict=True), strict=True):
+                            own[key] = np.concatenate((own[key], np.array(values, own[key].dtype)))
+        top = end
+    out = []
+    for t in found.values():
+        starts, sizes, sync = t["starts"], t["sizes"], t["sync"]
+        # samples that stand one behind the other are one range
+        head = np.flatnonzero(np.concatenate(([True], starts[1:] != starts[:-1] + sizes[:-1]))) if len(starts) else np.zeros(0, np.int64)
+        lengths = np.add.reduceat(sizes, head) if len(head) else head
+        ranges = list(zip(starts[head].tolist(), lengths.tolist(), strict=True))
+        keys = list(zip(starts[sync].tolist(), sizes[sync].tolist(), strict=True))
+        out.append(Index(t["codec"], t["timescale"], t["duration"], len(starts), ranges, keys, t["handler"], t["edits"]))
+    return out
+
+
+def index(stored: bytes) -> Index:
+    """The first video track of an ISO media file, or its first track."""
+    found = tracks(stored)
+    if not found:
+        raise ValueError("the file has no track")
+    return next((t for t in found if t.handler == "vide"), found[0])
 
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +333,9 @@ def text_media(docs: DataFrame) -> DataFrame:
     """Every text of docs as an ISO media file, written to the shared folder, read back and indexed.
 
     A null or empty text gives one frame of spaces. Equal texts give equal
-    files. Repeated rows are each returned; other columns are not read.
+    files. Very long texts are stored whole; from 4 GB on boxes and offsets
+    take their wide forms. Repeated rows are each returned; other columns are
+    not read.
     """
     payload = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     return read_index(materialize(store(docs.select("doc_id", payload.alias("payload"))), "media"))

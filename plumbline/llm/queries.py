@@ -48,7 +48,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = text_media(table(spark, sf_dir, "documents"))
-    keys = F.transform(F.slice("keyframes", 1, 4), lambda k: F.concat_ws("+", k["start"], k["length"]))
+    keys = F.transform("keyframes", lambda k: F.concat_ws("+", k["start"], k["length"]))
     feature = F.concat_ws(
         ";", "codec", F.concat_ws("/", "duration", "timescale"), F.concat_ws("=", F.lit("frames"), "frames"), F.concat_ws("=", F.lit("keyframes"), F.size("keyframes")), F.array_join(keys, ",")
     )
