@@ -97,10 +97,16 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
 
 
 class _Range:
-    """The members that begin in data[lo:hi) of a file."""
+    """The members that begin in data[lo:hi) of a file of ``size`` bytes.
 
-    def __init__(self, file: pa.NativeFile, lo: int, hi: int):
+    ``damaged`` fills with the places where a member should have begun, or
+    began and broke off.
+    """
+
+    def __init__(self, file: pa.NativeFile, lo: int, hi: int, size: int | None = None):
         self.file, self.hi, self.base, self.data = file, hi, lo, b""
+        self.size = file.size() if size is None else size
+        self.damaged: list[int] = []
         file.seek(lo)
 
     def _more(self) -> bool:
@@ -115,7 +121,7 @@ class _Range:
         try:
             while not unpack.eof:
                 if i >= len(self.data) and not self._more():
-                    return None
+                    raise zlib.error("the file ends within a member")
                 piece = self.data[i : i + _READ]
                 out.append(unpack.decompress(piece))
                 i += len(piece)
@@ -124,29 +130,45 @@ class _Range:
                     if not b"".join(out).startswith(b"WARC/"):
                         return None
         except zlib.error:
+            if checked:
+                self.damaged.append(at)
             return None
         return (b"".join(out), self.base + i - len(unpack.unused_data)) if checked else None
 
+    def _expected(self, at: int) -> None:
+        """A member has to begin at ``at``, behind the last one."""
+        while len(self.data) - (at - self.base) < len(MAGIC) and self._more():
+            pass
+        if at < self.size and self._decoded(at) is None and at not in self.damaged:
+            self.damaged.append(at)
+
     def members(self) -> Iterator[bytes]:
-        at = self.base
+        at, behind = self.base, self.base == 0
         while at < self.hi:
             found = self.data.find(MAGIC, at - self.base)
             if found < 0:
                 # the magic may begin in the last two bytes
                 at = max(at, self.base + len(self.data) - 2)
                 if at >= self.hi or not self._more():
-                    return
+                    break
                 continue
+            if behind and found:
+                self.damaged.append(self.base)
+                behind = False
             at = self.base + found
             if at >= self.hi:
-                return
+                break
             member = self._decoded(at)
             if member is None:
-                at += 1
+                if behind and at not in self.damaged:
+                    self.damaged.append(at)
+                at, behind = at + 1, False
                 continue
             yield member[0]
-            at = member[1]
+            at, behind = member[1], True
             self.data, self.base = self.data[at - self.base :], at
+        if behind:
+            self._expected(self.base)
 
 
 def parse_record(member: bytes) -> dict:
@@ -174,7 +196,7 @@ _FIELDS = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(
 _TYPES = {"page_id": "long", "url": "string", "payload_bytes": "long", "payload_digest": "string", "record_type": "string", "refers_to": "long", "payload": "binary"}
 
 
-def _read(columns: tuple[str, ...]):
+def _read(columns: tuple[str, ...], report: bool):
     schema = pa.schema([(c, _FIELDS[c]) for c in columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,26 +205,35 @@ def _read(columns: tuple[str, ...]):
                 system, path = _file_system(x["path"]) if "://" in x["path"] else (_file_system(x["folder"])[0], x["path"])
                 with system.open_input_file(path) as file:
                     held, size = [], 0
-                    for member in _Range(file, x["lo"], x["hi"]).members():
+                    part = _Range(file, x["lo"], x["hi"], x["bytes"])
+                    for member in part.members():
                         row = parse_record(member)
                         held.append({c: row[c] for c in columns})
                         size += len(member)
                         if size >= 4 << 20 or len(held) >= 5_000:
                             yield pa.RecordBatch.from_pylist(held, schema=schema)
                             held, size = [], 0
+                    if part.damaged and not report:
+                        raise ValueError(f"{path} is damaged at {', '.join(map(str, part.damaged))}")
+                    held += [{c: {"record_type": "damaged", "url": f"{path}#{at}"}.get(c) for c in columns} for at in part.damaged]
                     if held:
                         yield pa.RecordBatch.from_pylist(held, schema=schema)
 
     return run
 
 
-def read_archives(manifest: DataFrame, folder: str, columns: tuple[str, ...] = tuple(_FIELDS), split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """The records of the archives in a manifest, read by byte ranges."""
+def read_archives(manifest: DataFrame, folder: str, columns: tuple[str, ...] = tuple(_FIELDS), split_bytes: int = SPLIT_BYTES, damage: str = "raise") -> DataFrame:
+    """The records of the archives in a manifest, read by byte ranges.
+
+    A record that cannot be read stops the job. With damage="report" it is a
+    row of record_type "damaged", whose url tells file and byte, and reading
+    goes on with the next record.
+    """
     begins = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long")))
     ranges = manifest.where("bytes > 0").select("path", F.lit(folder).alias("folder"), "bytes", begins.alias("lo"))
-    ranges = ranges.select("path", "folder", "lo", F.least(F.col("lo") + split_bytes, "bytes").alias("hi"))
+    ranges = ranges.select("path", "folder", "bytes", "lo", F.least(F.col("lo") + split_bytes, "bytes").alias("hi"))
     tasks = max(1, min(20_000, ranges.count()))
-    return ranges.repartition(tasks, "path", "lo").mapInArrow(_read(columns), ", ".join(f"{c} {_TYPES[c]}" for c in columns))
+    return ranges.repartition(tasks, "path", "lo").mapInArrow(_read(columns, damage == "report"), ", ".join(f"{c} {_TYPES[c]}" for c in columns))
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
@@ -238,7 +269,8 @@ def archive_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
     A null html is an empty payload. Rows of one page_id with equal payloads
     are all the response, or all revisits. A row without page_id is a revisit
     of an equal payload that has one. An empty table gives no archive and no
-    rows. Other columns are not read.
+    rows. A payload of any length is one record. An archive that is damaged
+    stops the job. Other columns are not read.
     """
     folder = fresh_path(spark, "warc")
     manifest = write_archives(with_revisits(pages), folder)
