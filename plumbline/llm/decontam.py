@@ -41,8 +41,8 @@ LEAK_WINDOWS = 6
 FORM_BITS = 40
 #: The form of literal words, beside those with and without names (0 and 1).
 LITERAL_FORM = 2
-#: Largest benchmark (windows) that is sent to every task as a filter; beyond, all windows are shuffled.
-FILTER_WINDOWS = 4_000_000
+#: Every task is sent a bit map of 2**FILTER_BITS places (8 MB) of the items' windows; what it lets pass is joined.
+FILTER_BITS = 26
 
 # Units of measure.
 UNITS = (
@@ -173,7 +173,7 @@ _WINDOWS_SQL = "id long, place long, hash long, slots array<long>"
 
 
 def _windowed(sizes: dict[int, tuple[int, ...]], wanted=None):
-    """Windows of each form's sizes; wanted: a broadcast of sorted hashes, or all."""
+    """Windows of each form's sizes; wanted: a broadcast bit map of the hashes that may be needed, or all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = None if wanted is None else wanted.value
@@ -186,9 +186,8 @@ def _windowed(sizes: dict[int, tuple[int, ...]], wanted=None):
                     for size in sizes[form]:
                         at, hashes = windows(rows, words, kind, size, form)
                         if keep is not None:
-                            if not len(keep):
-                                continue
-                            met = keep[np.minimum(np.searchsorted(keep, hashes), len(keep) - 1)] == hashes
+                            place = hashes >> U64(64 - FILTER_BITS)
+                            met = (keep[place >> U64(6)] >> (place & U64(63))) & U64(1) == 1
                             at, hashes = at[met], hashes[met]
                         for k in range(0, len(at), 50_000):
                             a, h = at[k : k + 50_000], hashes[k : k + 50_000]
@@ -242,6 +241,16 @@ def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> tuple[DataFra
     return materialize(found.join(totals, ["id", "form"]), "item-windows"), by_form
 
 
+def _bit_map(items: DataFrame) -> np.ndarray:
+    """A bit for every window hash of the items, by its upper bits; the size is the same for any benchmark."""
+    place = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
+    words = items.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(shiftrightunsigned(hash, {64 - FILTER_BITS}), 64) AS int))").alias("bit"))
+    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most 2**(FILTER_BITS - 6) rows
+    out = np.zeros(1 << (FILTER_BITS - 6), U64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(U64)
+    return out
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """(doc_id, item_id, n_windows, n_slots, share): one row for each benchmark item in a document.
 
@@ -252,12 +261,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFram
     Repeated rows of a doc_id are told once; rows without doc_id together.
     Columns other than doc_id and text, and item_id and text, are not read.
     """
-    spark = docs.sparkSession
     items, sizes = benchmark_windows(benchmark, size)
-    n = items.count()
-    wanted = None
-    if n <= FILTER_WINDOWS:
-        wanted = spark.sparkContext.broadcast(np.unique(np.array([r[0] for r in items.select("hash").distinct().collect()], np.int64).view(U64)))
+    wanted = docs.sparkSession.sparkContext.broadcast(_bit_map(items))
     found = _texts(docs, "doc_id").mapInArrow(_windowed(sizes, wanted), _WINDOWS_SQL).toDF("doc_id", "at", "hash", "values")
     met = found.join(items, "hash").where(F.size("slots") == F.size("values"))
     pairs = F.filter(F.zip_with("slots", "values", lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda p: p["x"] != 0)
