@@ -3,14 +3,17 @@
 Features are the words of the whole text (letters and digits, A-Z
 lower-cased) and their first four, five and six bytes, hashed to 2**22
 places, each counted once a text. The classifier is logistic. It is trained
-on labelled texts together with counterfactuals: identity terms of a text are
-swapped for others of their group, and the squared change of the score is
-part of the loss. So identity terms by themselves get no weight, however the
-labels lean, and neutral mentions of a group are not held against a text.
+on labelled texts together with counterfactuals: the identity terms of a
+sentence are swapped for each of the others of their groups, and the squared
+change of the text's score is part of the loss. So identity terms by
+themselves get no weight, however the labels lean, and neutral mentions of a
+group are not held against a text.
 
 Labels are learned from a bounded sample of labelled rows (MAX_TRAINING_ROWS,
 by hash of the doc_id); its ids are small enough to be sent to the scan. The
-text itself never moves.
+text itself never moves. Every feature of the sample that leans to either
+label by two standard errors is weighed, so their number is bounded by the
+sample's.
 """
 
 from __future__ import annotations
@@ -27,7 +30,6 @@ from .shared import materialize
 from .textkit import ALNUM, LOWER, U64, run_hashes, slices, word_bounds
 
 MAX_TRAINING_ROWS = 20_000
-MAX_FEATURES = 4_096
 THRESHOLD = 0.3
 PENALTY = 1.0
 PLACES = 22
@@ -64,8 +66,12 @@ _TERM_HASHES = np.array([run_hashes(d, np.array([0]), np.array([len(d)]))[0] for
 _TERM_ORDER = np.argsort(_TERM_HASHES)
 
 
+_STOP = np.zeros(256, bool)
+_STOP[list(b".!?\n\r")] = True
+
+
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct places and identity terms of labelled texts."""
+    """Distinct places of labelled texts, and their identity terms by sentence (number of the sentence times all terms, plus the term)."""
     for batch in batches:
         for row, data, offs in slices(batch.column("text")):
             n = len(offs) - 1
@@ -75,13 +81,16 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = run_hashes(LOWER[data], starts, ends)
             near = _TERM_ORDER[np.minimum(np.searchsorted(_TERM_HASHES[_TERM_ORDER], words), len(_TERM_ORDER) - 1)]
             hit = _TERM_HASHES[near] == words
-            terms = np.unique(of[hit] * len(_TERMS) + near[hit])
+            # sentences counted over the slice, then from each text's first
+            told = np.concatenate(([0], np.cumsum(_STOP[data])))
+            sentence = told[starts[hit]] - told[offs[of[hit]]]
+            terms = np.unique((of[hit] << 40) + sentence * len(_TERMS) + near[hit])
 
             def lists(keys: np.ndarray, values: np.ndarray, n: int = n) -> pa.Array:
                 return pa.ListArray.from_arrays(pa.array(np.searchsorted(keys, np.arange(n + 1)), pa.int32()), pa.array(values, pa.int32()))
 
             yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic").slice(row, n), lists(both >> PLACES, both & ((1 << PLACES) - 1)), lists(terms // len(_TERMS), terms % len(_TERMS))],
+                [batch.column("toxic").slice(row, n), lists(both >> PLACES, both & ((1 << PLACES) - 1)), lists(terms >> 40, terms & ((1 << 40) - 1))],
                 ["toxic", "places", "terms"],
             )
 
@@ -123,13 +132,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _train(labels: np.ndarray, row: np.ndarray, col: np.ndarray, swapped: tuple[np.ndarray, np.ndarray, np.ndarray], n_features: int, steps: int = 400) -> tuple[np.ndarray, float]:
+def _train(labels: np.ndarray, row: np.ndarray, col: np.ndarray, swapped: tuple[np.ndarray, np.ndarray, np.ndarray], n_features: int, penalty: float = PENALTY, steps: int = 400) -> tuple[np.ndarray, float]:
     """Logistic weights by Adam on the whole sample.
 
-    swapped holds (row, column, change) of each text's counterfactual; its
-    score moves by the sum of change * weight, which the loss squares.
+    swapped holds (row, column, change) of the counterfactuals; a score moves
+    by the sum of change * weight, which the loss squares, in the mean over
+    counterfactuals and ``penalty`` times as much as the mean over texts.
     """
-    n = len(labels)
+    n, counters = len(labels), int(swapped[0].max(initial=-1)) + 1
     prior = (labels.sum() + 0.5) / (n + 1)
     w, b = np.zeros(n_features), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
@@ -137,9 +147,11 @@ def _train(labels: np.ndarray, row: np.ndarray, col: np.ndarray, swapped: tuple[
     for step in range(1, steps + 1):
         z = b + np.bincount(row, w[col], minlength=n)
         g = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels
-        moved = np.bincount(s_row, w[s_col] * s_change, minlength=n)
-        grad = np.bincount(col, g[row], minlength=n_features) + 2 * PENALTY * np.bincount(s_col, moved[s_row] * s_change, minlength=n_features)
-        grad = np.append(grad / n + 1e-4 * w, g.mean())
+        grad = np.bincount(col, g[row], minlength=n_features) / n + 1e-4 * w
+        if counters:
+            moved = np.bincount(s_row, w[s_col] * s_change, minlength=counters)
+            grad += 2 * penalty / counters * np.bincount(s_col, moved[s_row] * s_change, minlength=n_features)
+        grad = np.append(grad, g.mean())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - float(move[-1])
@@ -151,7 +163,7 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, penalty: float = PENALTY) -> Model:
     """The classifier of the labelled rows of docs; without any, every score is near 0."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~is_held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -166,36 +178,44 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -
     counts = rows.select("toxic", F.explode("places").alias("place")).groupBy("place").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q"))
     odds = F.log((F.col("p") + 0.5) / (pos - F.col("p") + 0.5)) - F.log((F.col("q") + 0.5) / (neg - F.col("q") + 0.5))
     strength = F.abs(odds) / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("q") + 0.5))
-    chosen = counts.select("place", strength.alias("z")).where("z >= 2").orderBy(F.desc("z"), "place").limit(MAX_FEATURES)
-    places = np.unique([r["place"] for r in chosen.collect()]).astype(np.int64)
+    chosen = counts.select("place", strength.alias("z")).where("z >= 2")
+    places = np.unique(chosen.select("place").toArrow().column("place").to_numpy()).astype(np.int64)  # features of max_rows texts
     terms = [_of_word(w) for _, w in _TERMS]
     places = np.unique(np.concatenate((places, *(np.array(t, np.int64) for t in terms))))
 
-    sent = docs.sparkSession.sparkContext.broadcast(places)  # at most MAX_FEATURES, and the identity terms'
+    sent = docs.sparkSession.sparkContext.broadcast(places)  # features of max_rows texts, and the identity terms'
     got = rows.mapInArrow(_narrowed(sent), "toxic int, places array<int>, terms array<int>").toArrow()  # bounded by max_rows
     labelled = got.column("toxic").to_numpy().astype(float)
     lists = got.column("places").combine_chunks()
     row = np.repeat(np.arange(len(labelled)), np.diff(lists.offsets.to_numpy()))
     col = lists.values.to_numpy().astype(np.int64)
     swapped = _swaps(got.column("terms").to_pylist(), terms, places)
-    weights, intercept = _train(labelled, row, col, swapped, len(places))
+    weights, intercept = _train(labelled, row, col, swapped, len(places), penalty)
     return Model(places, weights, intercept)
 
 
 def _swaps(found: list[list[int]], terms: list[list[int]], places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, feature, change) of each text with its identity terms swapped for the next of their group."""
-    following = {}
-    for g, group in enumerate(IDENTITIES):
-        own = [i for i, (h, _) in enumerate(_TERMS) if h == g]
-        following |= {i: own[(k + 1) % len(group)] for k, i in enumerate(own)}
-    row, col, change = [], [], []
-    for i, present in enumerate(found):
-        gone = {p for t in present for p in terms[t]}
-        come = {p for t in present for p in terms[following[t]]}
-        for sign, some in ((-1.0, gone - come), (1.0, come - gone)):
-            row += [i] * len(some)
-            col += np.searchsorted(places, sorted(some)).tolist()
-            change += [sign] * len(some)
+    """(row, feature, change) of the counterfactuals, a row each: a sentence's identity terms swapped for another of their groups.
+
+    found holds each text's terms by sentence. A feature that another sentence
+    of the text also has does not go, and does not come.
+    """
+    groups = {t: [i for i, (g, _) in enumerate(_TERMS) if g == _TERMS[t][0]] for t in range(len(_TERMS))}
+    row, col, change, n = [], [], [], 0
+    for listed in found:
+        sentences: dict[int, set[int]] = {}
+        for code in listed:
+            sentences.setdefault(code // len(_TERMS), set()).add(code % len(_TERMS))
+        for number, present in sentences.items():
+            stay = {p for other, held in sentences.items() if other != number for t in held for p in terms[t]}
+            gone = {p for t in present for p in terms[t]} - stay
+            for turn in range(1, max(len(groups[t]) for t in present)):
+                come = {p for t in present for p in terms[groups[t][(groups[t].index(t) + turn) % len(groups[t])]]} - stay
+                for sign, some in ((-1.0, gone - come), (1.0, come - gone)):
+                    row += [n] * len(some)
+                    col += np.searchsorted(places, sorted(some)).tolist()
+                    change += [sign] * len(some)
+                n += 1
     return np.array(row, np.int64), np.array(col, np.int64), np.array(change)
 
 
@@ -212,7 +232,7 @@ def _scored(model):
 
 def with_scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """docs with the score of the whole text; a null text is scored as empty."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES weights, and the identity terms'
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # a weight for each feature of max_rows texts
     aside = docs.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)), F.col("text").cast("string").alias("_scored"))
     schema = ", ".join([*(f"_{i} {kind}" for i, (_, kind) in enumerate(docs.dtypes)), "_score double"])
     return aside.mapInArrow(_scored(sent), schema).toDF(*docs.columns, name)
