@@ -22,13 +22,22 @@ PASSAGE_BYTES = 200
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    scored = with_scores(docs, fit(docs, table(spark, sf_dir, "labels")), "_toxic")
-    return scored.where(F.col("_toxic") < THRESHOLD).drop("_toxic")
+    """Documents that the classifier rejects go.
+
+    Texts are scored whole, whatever their length. A null or empty text has
+    the score of no words; equal texts, and so repeated rows, share their fate.
+    """
+    score = next(name for name in (f"_toxic{i}" for i in range(len(docs.columns) + 1)) if name not in {c.lower() for c in docs.columns})
+    scored = with_scores(docs, fit(docs, table(spark, sf_dir, "labels")), score)
+    return scored.where(F.col(score) < THRESHOLD).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: five-word shingles, similarity 0.8."""
+    """One document of each near-duplicate group stays: five-word shingles, similarity 0.8.
+
+    The one of the smallest doc_id stays, with all its rows if it is repeated.
+    Null, empty and blank texts, and rows without doc_id, all stay.
+    """
     gone = near_duplicates(docs, size=5, percent=80).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
@@ -37,7 +46,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur again anywhere are cut out of the texts.
 
     A character that a cut leaves incomplete goes too. A document stays even
-    if nothing of it is left; n_chars is that of the new text.
+    if nothing of it is left, as repeated rows of a text of PASSAGE_BYTES or
+    more do; n_chars is that of the new text. A null text becomes empty.
     """
     rest = {f"_x{i}": c for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}
     plain = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(x) for x, c in rest.items()))
@@ -48,13 +58,21 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, with all rows of their doc_id.
+
+    Texts are searched whole. Rows without doc_id stay, as nothing names them;
+    null and empty texts hold no item.
+    """
     gone = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the training sequences."""
+    """Where each piece of each document lies in the training sequences.
+
+    Null and empty texts have no piece; repeated rows are told apart by copy.
+    Longer texts than a sequence are cut into several pieces.
+    """
     return best_fit(docs)
 
 
