@@ -141,8 +141,10 @@ def evaluate(damage: DataFrame, rooms: DataFrame, walls: DataFrame, openings: Da
     for extra in (near_object, near_window, corners):
         full = full.join(extra, ["capture_id", "damage_id"], "left")
     full = full.join(rooms.select("capture_id", "room_id", "room_ord"), ["capture_id", "room_id"], "left")
-    hits = [full.where(_holds(rule["when"])).withColumns({"rule_ord": F.lit(i), "rule_id": F.lit(rule["id"]), "severity": F.lit(rule["severity"]), "grp": {"region": F.col("damage_id"), "surface": F.col("surface_id"), "room": F.col("room_id")}[rule["per"]].cast("string")}) for i, rule in enumerate(rules)]
-    every = reduce(DataFrame.unionByName, hits)
+    # every rule is tried on a region in one pass, and those that hold are its rows
+    key = {"region": "damage_id", "surface": "surface_id", "room": "room_id"}
+    tried = [F.when(_holds(r["when"]), F.struct(F.lit(i).alias("rule_ord"), F.lit(r["id"]).alias("rule_id"), F.lit(r["severity"]).alias("severity"), F.col(key[r["per"]]).cast("string").alias("grp"))) for i, r in enumerate(rules)]
+    every = full.withColumn("rule", F.explode(F.array_compact(F.array(*tried)))).select("*", "rule.*")
     listed = F.sort_array(F.collect_list(F.struct("ord", "damage_id", "surface_id")))
     flags = every.groupBy("capture_id", "rule_ord", "rule_id", "severity", "grp").agg(
         listed.alias("m"), (F.sum("area") * SQUARE_FEET).alias("total_area_sqft"), F.min("ord").alias("first"), F.min_by("room_id", "ord").alias("room_id"), F.min_by("room_ord", "ord").alias("room_ord")

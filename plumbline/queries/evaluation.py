@@ -209,8 +209,18 @@ _REGIONS_SQL = """regions AS (SELECT p_brand AS room_id, p_partkey AS damage_id,
 CASE p_partkey % 5 WHEN 0 THEN 'water_stain' WHEN 1 THEN 'mold' WHEN 2 THEN 'crack' WHEN 3 THEN 'hole' ELSE 'peeling_paint' END AS cls, p_size / 100.0::double AS area, p_retailprice / 1000 AS length, p_size / 200.0::double AS v0 FROM part)"""
 
 
-@query(f"""WITH {_REGIONS_SQL}, f AS (
-SELECT 'R-CEIL-STAIN' AS rule_id, damage_id::varchar AS grp, damage_id, area FROM regions WHERE cls = 'water_stain' AND kind = 'ceiling' UNION ALL SELECT 'R-WALL-WICK', damage_id::varchar, damage_id, area FROM regions WHERE cls = 'water_stain' AND kind = 'wall' AND v0 <= 0.15::double
+# each brand's room has a window, a door and a passage, a sink and a toilet; all edges lie along the axes, so distances are those of boxes
+_NEAR_SQL = """walls AS (SELECT DISTINCT room_id, w.k FROM regions, (VALUES (0), (1), (2)) w(k)), o AS (SELECT room_id, room_id || '-W' || k AS surface_id, k, CASE k WHEN 0 THEN 'window' WHEN 1 THEN 'door' ELSE 'opening' END AS type, 0.5::double + 0.3::double * k AS u0, 1.3::double + 0.3::double * k AS u1, CASE k WHEN 0 THEN 0.9::double ELSE 0 END AS v0, CASE k WHEN 0 THEN 0.9::double ELSE 0 END + 1 + 0.5::double * k AS v1 FROM walls),
+sized AS (SELECT r.*, p_size / 40.0::double AS u0, p_size / 40.0::double + p_size / 50.0::double AS u1, p_size / 200.0::double + p_size / 60.0::double AS v1 FROM regions r JOIN part ON p_partkey = damage_id),
+segs AS (SELECT damage_id, room_id, cls, u0 AS ax, u1 AS bx, (p_partkey % 3)::double AS ay, (p_partkey % 3)::double AS by_, v0 AS z0, v1 AS z1 FROM sized JOIN part ON p_partkey = damage_id WHERE kind = 'wall' UNION ALL SELECT damage_id, room_id, cls, CASE s.s WHEN 1 THEN u1 ELSE u0 END, CASE s.s WHEN 3 THEN u0 ELSE u1 END, CASE s.s WHEN 2 THEN v1 ELSE v0 END, CASE s.s WHEN 0 THEN v0 ELSE v1 END, CASE kind WHEN 'floor' THEN 0.0::double ELSE 2.5::double END, CASE kind WHEN 'floor' THEN 0.0::double ELSE 2.5::double END FROM sized, (VALUES (0), (1), (2), (3)) s(s) WHERE kind <> 'wall'),
+gap AS (SELECT damage_id, x.what, min(sqrt(pow(greatest(x.x0 - bx, ax - x.x1, 0), 2) + pow(greatest(x.y0 - by_, ay - x.y1, 0), 2) + pow(greatest(x.z0 - segs.z1, segs.z0 - x.z1, 0), 2))) AS d FROM segs, (VALUES ('fixture', 1.0::double, 1.0::double, 0.3::double, 0.3::double, 0.0::double, 0.9::double), ('fixture', 3.0::double, 3.0::double, 1.2::double, 1.2::double, 0.0::double, 0.4::double), ('window', 0.5::double, 1.3::double, 0.0::double, 0.0::double, 0.9::double, 1.9::double)) x(what, x0, x1, y0, y1, z0, z1) GROUP BY 1, 2),
+corner AS (SELECT s.damage_id, min(sqrt(pow(a.u - b.u, 2) + pow(a.v - b.v, 2))) AS d FROM sized s JOIN o ON o.surface_id = s.surface_id, LATERAL (SELECT * FROM (VALUES (s.u0, s.v0), (s.u0, s.v1), (s.u1, s.v0), (s.u1, s.v1)) a(u, v)) a, LATERAL (SELECT * FROM (VALUES (o.u0, o.v0), (o.u0, o.v1), (o.u1, o.v0), (o.u1, o.v1)) b(u, v)) b GROUP BY 1)"""
+
+
+@query(f"""WITH {_REGIONS_SQL}, {_NEAR_SQL}, f AS (
+SELECT 'R-FIXTURE-LEAK' AS rule_id, damage_id::varchar AS grp, damage_id, area FROM regions JOIN gap USING (damage_id) WHERE cls = 'water_stain' AND what = 'fixture' AND d <= 1.0::double UNION ALL SELECT 'R-WINDOW-LEAK', damage_id::varchar, damage_id, area FROM regions JOIN gap USING (damage_id) WHERE cls = 'water_stain' AND kind = 'wall' AND what = 'window' AND d <= 0.5::double
+UNION ALL SELECT 'R-CRACK-OPENING', damage_id::varchar, damage_id, area FROM regions JOIN corner USING (damage_id) WHERE cls = 'crack' AND kind = 'wall' AND d <= 0.3::double UNION ALL
+SELECT 'R-CEIL-STAIN', damage_id::varchar, damage_id, area FROM regions WHERE cls = 'water_stain' AND kind = 'ceiling' UNION ALL SELECT 'R-WALL-WICK', damage_id::varchar, damage_id, area FROM regions WHERE cls = 'water_stain' AND kind = 'wall' AND v0 <= 0.15::double
 UNION ALL SELECT 'R-MOLD-HIDDEN', surface_id, damage_id, area FROM regions WHERE cls = 'mold' UNION ALL SELECT 'R-CRACK-LONG', damage_id::varchar, damage_id, area FROM regions WHERE cls = 'crack' AND length > 1.0::double
 UNION ALL SELECT 'R-PEEL-MOISTURE', damage_id::varchar, damage_id, area FROM regions WHERE cls = 'peeling_paint' AND kind IN ('wall', 'ceiling') UNION ALL SELECT 'R-HOLE-CAVITY', damage_id::varchar, damage_id, area FROM regions WHERE cls = 'hole'
 UNION ALL SELECT 'R-MOLD-LIMITED', room_id, damage_id, area FROM regions WHERE cls = 'mold' UNION ALL SELECT 'R-MOLD-FULL', room_id, damage_id, area FROM regions WHERE cls = 'mold'), g AS (SELECT rule_id, min(damage_id) AS first_damage, count(*) AS n_damage, sum(area) * 10.7639::double AS sqft FROM f GROUP BY rule_id, grp)
@@ -232,13 +242,16 @@ def _regions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """A brand is a capture with one room of three walls; no openings, and no objects."""
+    """A brand is a capture with one room of three walls, an opening in each, a sink and a toilet."""
     brands = read_table(spark, d, "part").select("p_brand").distinct()
     rooms = brands.select(F.col("p_brand").alias("capture_id"), F.col("p_brand").alias("room_id"), F.lit(1).alias("room_ord"), F.lit(0.0).alias("floor_z"), F.lit(2.5).alias("ceiling_z"))
     walls = rooms.select("capture_id", "room_id", F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
     walls = walls.select("capture_id", "room_id", "k", F.concat("room_id", F.lit("-W"), "k").alias("wall_id"), F.lit(0.0).alias("sx"), F.col("k").cast("double").alias("sy"), F.lit(4.0).alias("ex"), F.col("k").cast("double").alias("ey"))
-    openings = walls.where("false").select("capture_id", "room_id", "wall_id", F.lit("").alias("opening_id"), F.lit("").alias("type"), *(F.lit(0.0).alias(c) for c in ("offset", "width", "height", "sill")))
-    objects = walls.where("false").select("capture_id", F.lit("").alias("object_id"), F.lit("").alias("cls"), *(F.lit(0.0).alias(c) for c in ("x", "y", "x0", "y0", "x1", "y1", "z0", "z1")))
+    k = F.col("k")
+    kind = F.when(k == 0, "window").when(k == 1, "door").otherwise("opening")
+    openings = walls.select("capture_id", "room_id", "wall_id", F.concat("wall_id", F.lit("-O")).alias("opening_id"), kind.alias("type"), (0.5 + 0.3 * k).alias("offset"), F.lit(0.8).alias("width"), (1 + 0.5 * k).alias("height"), F.when(k == 0, 0.9).alias("sill"))
+    things = F.explode(F.array(*(F.struct(F.lit(c).alias("cls"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(h).alias("z1")) for c, x, y, h in (("sink", 1.0, 0.3, 0.9), ("toilet", 3.0, 1.2, 0.4)))))
+    objects = rooms.select("capture_id", things.alias("o")).select("capture_id", F.concat("capture_id", F.lit("-"), F.col("o.cls")).alias("object_id"), "o.cls", "o.x", "o.y", *(F.lit(None).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")), F.lit(0.0).alias("z0"), "o.z1")
     return rooms, walls, openings, objects
 
 

@@ -100,7 +100,9 @@ def _line(entry, surface, regions, n_flags, k):
         case "each":
             return {"region": len(regions), "surface": 1, "flag": n_flags}[entry.get("count", "region")]
         case "surface_area":
-            return 4.0 * k * 2.5 * k if wall else 12.0 * k
+            # openings are as much larger as the wall is smaller
+            number, own = int(surface[-1]) if wall else 0, 2 - k
+            return max(4.0 * k * 2.5 * k - 0.8 * own * (1 + 0.5 * number) * own, 0.0) if wall else 12.0 * k
         case "crack_length":
             return sum(r.length * k + m for r in regions)
         case "damage_area_margin":
