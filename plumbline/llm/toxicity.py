@@ -12,7 +12,7 @@ group are not held against a text.
 Labels are learned from a bounded sample of labelled rows (MAX_TRAINING_ROWS,
 by hash of the doc_id); its ids are small enough to be sent to the scan. The
 text itself never moves. Every feature of the sample that leans to either
-label by two standard errors is weighed, so their number is bounded by the
+label by LEAN standard errors is weighed, so their number is bounded by the
 sample's.
 """
 
@@ -30,6 +30,8 @@ from .shared import materialize
 from .textkit import ALNUM, LOWER, U64, run_hashes, slices, word_bounds
 
 MAX_TRAINING_ROWS = 20_000
+#: Standard errors by which a feature has to lean to a label to be weighed.
+LEAN = 2.5
 THRESHOLD = 0.3
 PENALTY = 1.0
 PLACES = 22
@@ -178,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, p
     counts = rows.select("toxic", F.explode("places").alias("place")).groupBy("place").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q"))
     odds = F.log((F.col("p") + 0.5) / (pos - F.col("p") + 0.5)) - F.log((F.col("q") + 0.5) / (neg - F.col("q") + 0.5))
     strength = F.abs(odds) / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("q") + 0.5))
-    chosen = counts.select("place", strength.alias("z")).where("z >= 2")
+    chosen = counts.select("place", strength.alias("z")).where(F.col("z") >= LEAN)
     places = np.unique(chosen.select("place").toArrow().column("place").to_numpy()).astype(np.int64)  # features of max_rows texts
     terms = [_of_word(w) for _, w in _TERMS]
     places = np.unique(np.concatenate((places, *(np.array(t, np.int64) for t in terms))))
