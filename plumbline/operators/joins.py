@@ -14,19 +14,32 @@ from pyspark.sql import functions as F
 from .bins import bin_of
 
 
-def asof(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, values: Sequence[str], *, forward: bool = False, tie: str | None = None, prefix: str = "right_") -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, values: Sequence[str], *, forward: bool = False, tie: str | None = None, prefix: str = "right_", bucket: float | None = None) -> DataFrame:
     """Each left row with the last right row at or before it (or the next at or after), by key.
 
     Both sides go through one shuffle by key and one sort; ties on the right
     are broken by ``tie``, the largest wins (the smallest, going forward).
+    With ``bucket`` a key is cut into spans of that length, so a hot key is
+    many tasks; the last right row of the spans before is carried into each
+    span, over a row a span.
     """
     payload = F.struct(F.col(on).alias("_at"), *(F.col(v) for v in values))
     r = right.select(*by, F.col(on).alias("_on"), F.lit(1 if forward else 0).alias("_side"), (F.col(tie) if tie else F.lit(0)).alias("_tie"), payload.alias("_r"))
     rows = left.select(*by, F.col(on).alias("_on"), F.lit(0 if forward else 1).alias("_side"), F.struct(*left.columns).alias("_l"))
-    order = Window.partitionBy(*by).orderBy("_on", "_side", "_tie")
+    keys = list(by)
+    if bucket is not None:
+        keys = [*by, "_span"]
+        rows, r = (x.withColumn("_span", bin_of(F.col("_on"), bucket)) for x in (rows, r))
+    order = Window.partitionBy(*keys).orderBy("_on", "_side", "_tie")
     frame = order.rowsBetween(0, Window.unboundedFollowing) if forward else order.rowsBetween(Window.unboundedPreceding, 0)
     pick = F.first("_r", ignorenulls=True) if forward else F.last("_r", ignorenulls=True)
     both = rows.unionByName(r, allowMissingColumns=True).withColumn("_hit", pick.over(frame)).where("_l IS NOT NULL")
+    if bucket is not None:
+        end = (F.min_by if forward else F.max_by)("_r", F.struct("_on", "_tie"))
+        spans = rows.select(*keys).distinct().join(r.groupBy(*keys).agg(end.alias("_e")), keys, "full_outer")
+        w = Window.partitionBy(*by).orderBy("_span")
+        beyond = F.first("_e", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)) if forward else F.last("_e", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        both = both.join(spans.select(*keys, beyond.alias("_c")), keys, "left").withColumn("_hit", F.coalesce("_hit", "_c"))
     return both.select("_l.*", F.col("_hit._at").alias(f"{prefix}{on}"), *(F.col(f"_hit.{v}").alias(f"{prefix}{v}") for v in values))
 
 

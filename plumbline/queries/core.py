@@ -190,7 +190,7 @@ def chunk_ownership(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT e.event_id, e.user_id, l.event_id AS login_id, l.value AS login_value FROM (SELECT * FROM events WHERE event_type = 'purchase') e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') l ON e.user_id = l.user_id AND e.ts >= l.ts""")
 def asof_last_event(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d)
-    hit = joins.asof(e.where("event_type = 'purchase'").select("event_id", "user_id", "t_us"), e.where("event_type = 'click'"), ["user_id"], "t_us", ["event_id", "value"], tie="event_id", prefix="login_")
+    hit = joins.asof(e.where("event_type = 'purchase'").select("event_id", "user_id", "t_us"), e.where("event_type = 'click'"), ["user_id"], "t_us", ["event_id", "value"], tie="event_id", prefix="login_", bucket=86_400e6)
     return hit.select("event_id", "user_id", F.col("login_event_id").alias("login_id"), "login_value")
 
 

@@ -245,6 +245,7 @@ def _plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame,
     """A brand is a capture with one room of three walls, an opening in each, a sink and a toilet."""
     brands = read_table(spark, d, "part").select("p_brand").distinct()
     rooms = brands.select(F.col("p_brand").alias("capture_id"), F.col("p_brand").alias("room_id"), F.lit(1).alias("room_ord"), F.lit(0.0).alias("floor_z"), F.lit(2.5).alias("ceiling_z"))
+    rooms = materialize(rooms, "rooms")
     walls = rooms.select("capture_id", "room_id", F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
     walls = walls.select("capture_id", "room_id", "k", F.concat("room_id", F.lit("-W"), "k").alias("wall_id"), F.lit(0.0).alias("sx"), F.col("k").cast("double").alias("sy"), F.lit(4.0).alias("ex"), F.col("k").cast("double").alias("ey"))
     k = F.col("k")

@@ -384,3 +384,14 @@ def room_matches(spark: SparkSession, d: str) -> DataFrame:
     s = read_table(spark, d, "supplier").select(F.col("s_nationkey").alias("capture_id"), F.concat(F.lit("P"), F.col("s_suppkey").cast("string")).alias("pred"), F.when(F.col("s_suppkey") % 4 == 0, F.col("s_suppkey").cast("string")).alias("hint"), F.abs("s_acctbal").alias("area"), (1 + F.col("s_suppkey") % 5 / 10.0).alias("aspect"))
     edge = lambda df, name: df.select("capture_id", F.col(name).alias("a"), F.lead(name).over(Window.partitionBy("capture_id").orderBy(name)).alias("b")).where("b IS NOT NULL")
     return matching.match_rooms(c, s, edge(c, "gt"), edge(s, "pred"))
+
+
+@query()
+def merged_hypotheses(spark: SparkSession, d: str) -> DataFrame:
+    """Door pairs of two rooms that place them alike, strongest first: tested against plain Python."""
+    return greedy.merge_hypotheses(_hypotheses(spark, d), ["capture_id", "a", "b"], 3.0, 0.9, 0.05).select("capture_id", "a", "b", "edge", F.round("score", 9).alias("score"), "members")
+
+
+def _hypotheses(spark: SparkSession, d: str) -> DataFrame:
+    h = stitching.door_pairs(_doors(spark, d))
+    return h.select("capture_id", "a", "b", F.concat_ws("/", "door_a", "door_b").alias("id"), F.col("tx").alias("x"), F.col("ty").alias("y"), "yaw", F.round("score", 9).alias("score"))

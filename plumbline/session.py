@@ -38,8 +38,24 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Folders of this process's written tables, by application.
+_MADE: dict[str, list[str]] = {}
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete everything written so far by this process, and its catalog tables, once results have been read or stored."""
+    for table in spark.catalog.listTables():
+        if table.name.startswith("plumbline_"):
+            spark.sql(f"DROP TABLE IF EXISTS {table.name}")
+    for folder in _MADE.pop(spark.sparkContext.applicationId, []):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -367,3 +367,26 @@ def test_same_regions(run, spark, sf_dir):
                 held.append(item)
         want |= {(k, i) for i, _, _ in held}
     assert {tuple(r) for r in run("same_regions")} == want
+
+
+def test_merged_hypotheses(run, spark, sf_dir):
+    groups = defaultdict(list)
+    for r in placing._hypotheses(spark, sf_dir).collect():
+        groups[r.capture_id, r.a, r.b].append(r)
+    want = {}
+    for key, rows in groups.items():
+        found = []
+        for r in sorted((r for r in rows if r.score >= 0.05), key=lambda r: (-r.score, r.id)):
+            for g in found:
+                turn = abs((g[0].yaw - r.yaw + math.pi) % (2 * math.pi) - math.pi)
+                if math.hypot(g[0].x - r.x, g[0].y - r.y) < 3.0 and turn < 0.9:
+                    g.append(r)
+                    break
+            else:
+                found.append([r])
+        for n, g in enumerate(found):
+            doubt = math.prod(1 - r.score for r in g)
+            want[(*key, n)] = (g[0].score if len(g) == 1 else min(0.99, 1 - doubt), len(g))
+    got = {(r.capture_id, r.a, r.b, r.edge): (r.score, r.members) for r in run("merged_hypotheses")}
+    assert got.keys() == want.keys() and any(n > 1 for _, n in want.values())
+    assert all(got[k][0] == pytest.approx(want[k][0], abs=1e-8) and got[k][1] == want[k][1] for k in want)
