@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import FEET, SQUARE_FEET, surface_kind
 from plumbline.operators.shapes import union_area, union_length
+from plumbline.session import materialize
 
 FORMULAS = {"damage_area_margin", "surface_area", "crack_length", "flood_cut_length", "flood_cut_area", "each"}
 UNITS = {"SF": SQUARE_FEET, "LF": FEET, "EA": 1.0}
@@ -110,9 +111,9 @@ def line_items(damage: DataFrame, flags: DataFrame, rooms: DataFrame, walls: Dat
     not clipped to the room's outline.
     """
     check_catalog(damage_entries + flag_entries)
-    known = surfaces(rooms, walls, openings).drop("room_id")
+    known = materialize(surfaces(rooms, walls, openings).drop("room_id"), "surfaces")
     area = F.col("area.value")
-    per_surface = flags.select("capture_id", "flag_id", "rule_id", "damage_ids", F.posexplode("surface_ids").alias("at", "surface_id"))
+    per_surface = materialize(flags.select("capture_id", "flag_id", "rule_id", "damage_ids", F.posexplode("surface_ids").alias("at", "surface_id")), "flagged")
     parts = []
     for group, entries in ((0, damage_entries), (1, flag_entries)):
         for i, e in enumerate(entries):
@@ -130,7 +131,8 @@ def line_items(damage: DataFrame, flags: DataFrame, rooms: DataFrame, walls: Dat
                     regions = chosen.join(damage.withColumnRenamed("surface_id", "d_surface"), (chosen["capture_id"] == damage["capture_id"]) & F.array_contains("damage_ids", F.col("damage_id")), "left").drop(damage["capture_id"])
                 else:
                     regions = chosen.join(damage, ["capture_id", "surface_id"], "left").where("damage_id IS NULL OR array_contains(damage_ids, damage_id)")
-            regions = regions.join(known, ["capture_id", "surface_id"], "left")
+            # read by the list of ids and by each bound's quantity
+            regions = materialize(regions.join(known, ["capture_id", "surface_id"], "left"), "hits")
             listed = regions.groupBy("capture_id", "surface_id").agg(
                 F.min_by("room_id", "ord").alias("room_id"), F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("ord", "damage_id"))), lambda x: x["damage_id"])).alias("damage_ids"),
                 F.array_sort(F.collect_set("flag_id")).alias("flag_ids"), F.min("surf_ord").alias("surf_ord"),
