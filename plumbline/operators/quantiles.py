@@ -56,10 +56,13 @@ def percentiles(df: DataFrame, by: Sequence[str], x: str, qs: dict[str, float])
 
 def weighted_quantile_step(df: DataFrame, by: Sequence[str], x: str, w: str, q: float = 0.5, out: str = "q") -> DataFrame:
     """The first value whose cumulated weight reaches q of the whole; the median of values where no weight is positive."""
-    totals = df.where(F.col(x).isNotNull()).groupBy(*by).agg(F.sum(w).alias("_all"))
+    totals = materialize(df.where(F.col(x).isNotNull()).groupBy(*by).agg(F.sum(w).alias("_all")), "totals")
     goals = totals.where("_all > 0").select(*by, F.lit(0).alias("_g"), (q * F.col("_all")).alias("_goal"))
     hit = reach(df, by, x, w, goals).select(*by, F.col("hit").alias(out))
-    rest = df.join(totals.where("NOT _all > 0").select(*by), list(by)).where(F.col(x).isNotNull()).select(*by, x).distinct()
+    light = totals.where("NOT _all > 0").select(*by)
+    if light.isEmpty():
+        return hit
+    rest = df.join(light, list(by)).where(F.col(x).isNotNull()).select(*by, x).distinct()
     return hit.union(percentiles(rest, by, x, {out: 0.5}))
 
 
@@ -100,23 +103,31 @@ def robust_extent(df: DataFrame, by: Sequence[str], x: str, w: str, q_lo: float,
 
 
 def unit_equal_quantile(df: DataFrame, by: Sequence[str], unit: str, score: str, p: Column | float, out: str = "q") -> DataFrame:
-    """Quantile p of scores where every unit weighs the same, split evenly over its records.
+    """As unit_equal_quantiles, of one quantile."""
+    return unit_equal_quantiles(df, by, unit, score, {out: p})
 
-    p is a number or a column of df that is the same for all rows of a group;
-    above 1 the answer is infinite. The first score with cumulated weight >= p - 1e-9.
+
+def unit_equal_quantiles(df: DataFrame, by: Sequence[str], unit: str, score: str, ps: dict[str, Column | float]) -> DataFrame:
+    """(by, a column for each of ps): quantiles of scores where every unit weighs the same, split evenly over its records.
+
+    A p is a number or a column of df that is the same for all rows of a
+    group; above 1 the answer is infinite. The first score with cumulated
+    weight >= p - 1e-9.
     """
     keys = list(by)
-    p = F.lit(float(p)) if isinstance(p, (int, float)) else p
-    own = df.where(F.col(score).isNotNull()).withColumn("_p", p)
-    units = own.groupBy(*by, unit).agg(F.count(F.lit(1)).alias("_in"))
+    own = df.where(F.col(score).isNotNull()).withColumns({f"_p{i}": F.lit(float(p)) if isinstance(p, (int, float)) else p for i, p in enumerate(ps.values())})
+    # equal scores of a unit are one row before the weights are joined to them
+    held = materialize(own.groupBy(*by, unit, score).agg(F.count(F.lit(1)).alias("_k"), *(F.max(f"_p{i}").alias(f"_p{i}") for i in range(len(ps)))), "scores")
+    units = held.groupBy(*by, unit).agg(F.sum("_k").alias("_in"))
     counts = units.groupBy(*by).agg(F.count(F.lit(1)).alias("_units"))
     weights = units.join(counts, keys).select(*by, unit, (1 / (F.col("_units") * F.col("_in"))).alias("_uw"))
-    # equal scores of a unit are one row before the weights are joined to them
-    held = own.groupBy(*by, unit, score).agg(F.count(F.lit(1)).alias("_k")).join(weights, [*by, unit]).withColumn("_w", F.col("_k") * F.col("_uw"))
-    tops = own.groupBy(*by).agg(F.max("_p").alias("_p"), F.max(score).alias("_top"))
-    hit = reach(held, by, score, "_w", tops.select(*by, F.lit(0).alias("_g"), (F.col("_p") - 1e-9).alias("_goal")))
-    found = tops.join(hit.select(*by, "hit"), keys, "left")
-    return found.select(*by, F.when(F.col("_p") > 1, F.lit(float("inf"))).otherwise(F.coalesce("hit", "_top")).alias(out))
+    weighed = held.join(weights, [*by, unit]).withColumn("_w", F.col("_k") * F.col("_uw"))
+    tops = held.groupBy(*by).agg(F.max(score).alias("_top"), *(F.max(f"_p{i}").alias(f"_p{i}") for i in range(len(ps))))
+    goals = tops.select(*by, F.explode(F.array(*(F.struct(F.lit(i).alias("_g"), (F.col(f"_p{i}") - 1e-9).alias("_goal")) for i in range(len(ps))))).alias("_s")).select(*by, "_s.*")
+    hits = reach(weighed, by, score, "_w", goals).groupBy(*by).agg(*(F.max(F.when(F.col("_g") == i, F.col("hit"))).alias(f"_h{i}") for i in range(len(ps))))
+    found = tops.join(hits, keys, "left")
+    value = lambda i: F.when(F.col(f"_p{i}") > 1, F.lit(float("inf"))).otherwise(F.coalesce(f"_h{i}", "_top"))
+    return found.select(*by, *(value(i).alias(out) for i, out in enumerate(ps)))
 
 
 def robust_sigma(df: DataFrame, by: Sequence[str], x: str, out: str = "sigma") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.binomial import clopper_pearson, conformal_level
-from plumbline.operators.quantiles import reach, unit_equal_quantile
+from plumbline.operators.quantiles import reach, unit_equal_quantiles
 
 WORST = 5
 #: Fixed value: the smallest share of its width that a fitted multiplier leaves an interval.
@@ -102,9 +102,7 @@ def conformal_fit(records: DataFrame, tier: str, room: str, score_col: str = "sc
     """(tier, rooms, n, empirical, conformal, factor): room-equal quantiles of the scores; the factor is null (prior) below min_rooms or if infinite."""
     rooms = records.groupBy(tier).agg(F.countDistinct(room).alias("rooms"), F.count(F.lit(1)).alias("n"))
     marked = records.join(rooms, tier).withColumn("_level", conformal_level(F.col("rooms"), level))
-    empirical = unit_equal_quantile(records, [tier], room, score_col, level, "empirical")
-    fitted = unit_equal_quantile(marked, [tier], room, score_col, F.col("_level"), "conformal")
-    out = rooms.join(empirical, tier).join(fitted, tier)
+    out = rooms.join(unit_equal_quantiles(marked, [tier], room, score_col, {"empirical": level, "conformal": F.col("_level")}), tier)
     usable = (F.col("rooms") >= min_rooms) & (F.col("conformal") < float("inf"))
     return out.withColumn("factor", F.when(usable, F.greatest("conformal", F.lit(MIN_FACTOR))))
 
