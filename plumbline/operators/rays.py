@@ -44,12 +44,14 @@ def crossings(rays: DataFrame, walls: DataFrame, by: Sequence[str]) -> DataFrame
     """(by, ray, wall, u, z): where rays from camera to point pass a wall's plane, in wall coordinates.
 
     rays (by, ray, ox, oy, oz, px, py, pz); walls (by, wall, sx, sy, ex, ey), u from the start along the wall.
+    A ray along a wall, or a wall without length, has no crossing. Divisors are
+    nulled, as a filter before a division may be moved behind it.
     """
     c = F.col
     length = F.hypot(c("ex") - c("sx"), c("ey") - c("sy"))
-    met = rays.join(walls, list(by)).withColumn("_l", length).where("_l > 0")
+    met = rays.join(walls, list(by)).withColumn("_l", F.nullif(length, F.lit(0.0)))
     side = lambda p: ((c("ex") - c("sx")) * (c(f"{p}y") - c("sy")) - (c("ey") - c("sy")) * (c(f"{p}x") - c("sx"))) / c("_l")
-    met = met.withColumns({"_a": side("o"), "_b": side("p")}).where("_a * _b < 0").withColumn("_t", c("_a") / (c("_a") - c("_b")))
+    met = met.withColumns({"_a": side("o"), "_b": side("p")}).where("_a * _b < 0").withColumn("_t", c("_a") / F.nullif(c("_a") - c("_b"), F.lit(0.0)))
     at = lambda k: c(f"o{k}") + c("_t") * (c(f"p{k}") - c(f"o{k}"))
     u = ((at("x") - c("sx")) * (c("ex") - c("sx")) + (at("y") - c("sy")) * (c("ey") - c("sy"))) / c("_l")
     met = met.withColumns({"u": u, "z": at("z")})
@@ -60,11 +62,13 @@ def surface_coordinates(points: DataFrame, walls: DataFrame, by: Sequence[str],
     """points with u, v and distance on their wall, and whether they lie on it, margin included.
 
     points (by, wall, x, y, z), walls (by, wall, sx, sy, ex, ey, nx, ny, z0, z1), normals inward.
+    On a wall without length every u is 0.
     """
     c = F.col
     length = F.hypot(c("ex") - c("sx"), c("ey") - c("sy"))
     p = points.join(walls, [*by, "wall"]).withColumn("_l", length)
-    u = ((c("x") - c("sx")) * (c("ex") - c("sx")) + (c("y") - c("sy")) * (c("ey") - c("sy"))) / c("_l")
+    along = (c("x") - c("sx")) * (c("ex") - c("sx")) + (c("y") - c("sy")) * (c("ey") - c("sy"))
+    u = F.coalesce(along / F.nullif(c("_l"), F.lit(0.0)), F.lit(0.0))
     p = p.withColumns({"u": u, "v": c("z") - c("z0"), "distance": (c("x") - c("sx")) * c("nx") + (c("y") - c("sy")) * c("ny")})
     inside = [c("u") >= -margin, c("u") <= c("_l") + margin, c("v") >= -margin, c("v") <= c("z1") - c("z0") + margin]
     return p.withColumn("inside", reduce(lambda a, b: a & b, inside)).select(*points.columns, "u", "v", "distance", "inside")

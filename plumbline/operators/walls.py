@@ -67,14 +67,21 @@ def wall_grids(faces: DataFrame, rays: DataFrame, by: Sequence[str], size: float
 
 
 def opening_candidates(cells: DataFrame, by: str, least: int = 4) -> DataFrame:
-    """(by, part, u0, u1, z0, z1, n): connected see-through cells (by, iu, iz) of a wall, of ``least`` cells or more; by is a whole number, bins lie below 65536."""
-    node = lambda du, dz: (F.col(by).cast("long") * 65536 + F.col("iu") + du) * 65536 + F.col("iz") + dz
-    own = cells.select(by, "iu", "iz", node(0, 0).alias("a"))
-    steps = own.select("a", F.explode(F.array(node(1, 0), node(0, 1))).alias("b"))
-    edges = steps.join(own.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b")
+    """(by, part, u0, u1, z0, z1, n): connected see-through cells (by, iu, iz) of a wall, of ``least`` cells or more.
+
+    by is a whole number, bins lie from -32768 to 32767; part is the least
+    (iu, iz) of its cells as one number within the wall. Bins beyond stop the job.
+    """
+    half = 1 << 15
+    fits = F.greatest(F.abs(F.col("iu") + 0.5), F.abs(F.col("iz") + 0.5)) < half
+    place = F.when(fits, (F.col("iu") + half) * 65536 + F.col("iz") + half).otherwise(F.raise_error(F.lit("bins from -32768 to 32767")).cast("long"))
+    own = cells.select(F.col(by).cast("long").alias(by), "iu", "iz", place.alias("at")).withColumn("a", F.col(by) * (1 << 32) + F.col("at"))
+    beside = lambda du, dz, inside: F.when(inside, F.struct((F.col("iu") + du).alias("iu"), (F.col("iz") + dz).alias("iz")))
+    steps = own.select(by, "a", F.explode(F.array(beside(1, 0, F.col("iu") < half - 1), beside(0, 1, F.col("iz") < half - 1))).alias("s")).where("s IS NOT NULL")
+    edges = steps.select(by, "a", "s.iu", "s.iz").join(own.select(by, "iu", "iz", F.col("a").alias("b")), [by, "iu", "iz"]).select("a", "b")
     part = own.join(components(edges), own["a"] == F.col("node"), "left").withColumn("part", F.coalesce("component", "a"))
     g = part.groupBy(by, "part").agg(F.min("iu").alias("u0"), (F.max("iu") + 1).alias("u1"), F.min("iz").alias("z0"), (F.max("iz") + 1).alias("z1"), F.count(F.lit(1)).alias("n"))
-    return g.where(F.col("n") >= least)
+    return g.where(F.col("n") >= least).withColumn("part", F.pmod("part", F.lit(1 << 32)))
 
 
 def distinct_openings(fits: DataFrame, by: Sequence[str], tie: str) -> DataFrame:

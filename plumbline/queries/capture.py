@@ -202,10 +202,10 @@ def chained_poses(spark: SparkSession, d: str) -> DataFrame:
     return c.select("l_suppkey", "l_linenumber", *(F.round(k, 6).alias(k) for k in ("x", "y", "yaw")))
 
 
-@query(f"WITH {PIXELS_SQL} SELECT a.frame, a.i, a.j, round(a.depth + b.depth, 6) AS both FROM pixels a JOIN pixels b ON b.frame = a.frame AND b.i = a.j AND b.j = a.i WHERE a.depth > 1 AND b.depth > 1")
+@query(f"WITH {PIXELS_SQL.replace('pixels AS (', 'pixels AS MATERIALIZED (')}, a AS MATERIALIZED (SELECT frame * 64 + i * 8 + j AS k, frame, i, j, depth FROM pixels), b AS MATERIALIZED (SELECT frame * 64 + j * 8 + i AS k, depth FROM pixels) SELECT frame, i, j, round(a.depth + b.depth, 6) AS both FROM a JOIN b USING (k)")
 def shared_pixels(spark: SparkSession, d: str) -> DataFrame:
     """A raster and its mirror as two runs; all their common pixels, as a frame has fewer than the sample."""
-    a = _pixels(spark, d).where("depth > 1").select("frame", "i", "j", *(F.col("depth").alias(k) for k in "xyz"))
+    a = _pixels(spark, d).select("frame", "i", "j", *(F.col("depth").alias(k) for k in "xyz"))
     b = a.select("frame", F.col("j").alias("i"), F.col("i").alias("j"), "x", "y", "z")
     return planes.shared_pixels(a, b, [], 64).select("frame", "i", "j", F.round(F.col("x") + F.col("x_b"), 6).alias("both"))
 

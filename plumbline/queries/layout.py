@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.kernels import greedy
-from plumbline.operators import cells, walls
+from plumbline.operators import cells, rings, walls
 from plumbline.session import materialize, read_table
 
 from .tables import POINTS_SQL, lineitem, orders, points
@@ -120,6 +120,41 @@ def outline_edges(spark: SparkSession, d: str) -> DataFrame:
     return cells.outline_edges(own, _labelled(own, sides))
 
 
+@query(f"""WITH RECURSIVE oe AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY plan, region, y0, x0, x1, y1) AS e FROM ({ORACLE_SQL["outline_edges"]})),
+nxt AS MATERIALIZED (SELECT a.e, b.e AS f FROM oe a JOIN oe b ON b.plan = a.plan AND b.region = a.region AND b.x0 = a.x1 AND b.y0 = a.y1
+ QUALIFY row_number() OVER (PARTITION BY a.e ORDER BY atan2((a.x1 - a.x0) * (b.y1 - b.y0) - (a.y1 - a.y0) * (b.x1 - b.x0), (a.x1 - a.x0) * (b.x1 - b.x0) + (a.y1 - a.y0) * (b.y1 - b.y0))) = 1),
+walk(s, e, k) AS (SELECT e, e, 0 FROM oe UNION ALL SELECT s, f, k + 1 FROM walk JOIN nxt USING (e) WHERE f <> s),
+lead AS (SELECT s, min(e) AS low, count(*) AS size FROM walk GROUP BY 1 HAVING min(e) = s), held AS (SELECT plan, region, w.s, k, x0, y0, x1, y1, size FROM walk w JOIN lead USING (s) JOIN oe ON oe.e = w.e),
+area AS (SELECT plan, region, s, sum(x0 * y1 - x1 * y0) / 2 AS area FROM held GROUP BY 1, 2, 3), ring AS (SELECT *, row_number() OVER (PARTITION BY plan, region ORDER BY area DESC, s)::int AS ring FROM area)
+SELECT h.plan, h.region, ring, k::bigint AS k, x0 AS x, y0 AS y, size, area FROM held h JOIN ring USING (plan, region, s)""")
+def outline_rings(spark: SparkSession, d: str) -> DataFrame:
+    """The outline of each region in order, holes after it."""
+    own, sides = _plan(spark, d)
+    return rings.ordered_rings(cells.outline_edges(own, _labelled(own, sides)), ["plan", "region"])
+
+
+@query(f"""WITH {_PLAN_SQL.partition("link AS")[0].rstrip().rstrip(",")}, t AS (SELECT plan, coverage >= 0.5::double AS a, floor >= 0.45::double AS b FROM cells),
+o AS (SELECT plan, unnest(['and', 'or', 'minus', 'xor']) AS how, unnest([a AND b, a OR b, a AND NOT b, a <> b]) AS held FROM t) SELECT plan, how, count(*)::double AS area FROM o WHERE held GROUP BY 1, 2""")
+def ring_operations(spark: SparkSession, d: str) -> DataFrame:
+    """Free space against floor seen, both as outlines with holes: areas of what each operation keeps."""
+    own = _plan(spark, d)[0]
+    shape = lambda test: rings.outline_of(own.where(test).select("plan", "x0", "y0", "x1", "y1"), ["plan"])
+    a, b = materialize(shape("coverage >= 0.5"), "free"), materialize(shape("floor >= 0.45"), "seen")
+    out = [rings.area_of(rings.combine(a, b, ["plan"], how), ["plan"]).withColumn("how", F.lit(how)) for how in rings.OPERATIONS]
+    return out[0].union(out[1]).union(out[2]).union(out[3]).select("plan", "how", "area")
+
+
+@query("""WITH t AS (SELECT o_orderkey, 1 + o_custkey % 9 AS a, 1 + o_orderkey % 7 AS b, 0.5::double + floor(o_totalprice)::bigint % 8 AS w, 0.5::double + o_custkey % 5 AS h FROM orders)
+SELECT o_orderkey, round(a * b / 2.0::double - CASE WHEN w < a THEN (a - w) ** 2 * b / (2 * a) ELSE 0 END - CASE WHEN h < b THEN (b - h) ** 2 * a / (2 * b) ELSE 0 END + CASE WHEN 1 - w / a - h / b > 0 THEN (1 - w / a - h / b) ** 2 * a * b / 2 ELSE 0 END, 6) AS area FROM t""")
+def clipped_rings(spark: SparkSession, d: str) -> DataFrame:
+    """Triangles cut to boxes."""
+    o = orders(spark, d).select("o_orderkey", (1 + F.col("o_custkey") % 9).alias("a"), (1 + F.col("o_orderkey") % 7).alias("b"), (0.5 + F.floor("o_totalprice") % 8).alias("w"), (0.5 + F.col("o_custkey") % 5).alias("h"))
+    ring = lambda *points: F.array(*(F.struct(F.lit(x).cast("double").alias("x"), F.lit(y).cast("double").alias("y")) for x, y in points))
+    c = F.col
+    left = rings.clipped(ring((0, 0), (c("a"), 0), (0, c("b"))), ring((0, 0), (c("w"), 0), (c("w"), c("h")), (0, c("h"))))
+    return o.select("o_orderkey", F.round(rings.signed_area(left), 6).alias("area"))
+
+
 @query(f"WITH RECURSIVE {_PLAN_SQL}, {_STATS_SQL} SELECT c.plan, cam, (ceil(x) - 1)::int AS i, (ceil(y) - 1)::int AS j FROM cams c WHERE x > 0 AND x <= 6 AND y > 0 AND y <= 6 AND c.plan IN (SELECT plan FROM profile)")
 def camera_cells(spark: SparkSession, d: str) -> DataFrame:
     li = lineitem(spark, d)
@@ -154,7 +189,7 @@ def wall_grids(spark: SparkSession, d: str) -> DataFrame:
     return g.select("k", "iu", "iz", F.round("mass", 6).alias("mass"), "through")
 
 
-@query("""WITH RECURSIVE c AS (SELECT l_suppkey % 20 AS k, l_quantity::bigint AS iu, l_linenumber::bigint AS iz FROM lineitem GROUP BY 1, 2, 3 HAVING sum((l_returnflag = 'A')::int) * 3 > count(*)), r(k, iu, iz, m) AS (SELECT k, iu, iz, (k * 65536 + iu) * 65536 + iz FROM c UNION SELECT c.k, c.iu, c.iz, r.m FROM r JOIN c ON c.k = r.k AND abs(c.iu - r.iu) + abs(c.iz - r.iz) = 1), p AS (SELECT k, iu, iz, min(m) AS part FROM r GROUP BY 1, 2, 3)
+@query("""WITH RECURSIVE c AS (SELECT l_suppkey % 20 AS k, l_quantity::bigint AS iu, l_linenumber::bigint AS iz FROM lineitem GROUP BY 1, 2, 3 HAVING sum((l_returnflag = 'A')::int) * 3 > count(*)), r(k, iu, iz, m) AS (SELECT k, iu, iz, (iu + 32768) * 65536 + iz + 32768 FROM c UNION SELECT c.k, c.iu, c.iz, r.m FROM r JOIN c ON c.k = r.k AND abs(c.iu - r.iu) + abs(c.iz - r.iz) = 1), p AS (SELECT k, iu, iz, min(m) AS part FROM r GROUP BY 1, 2, 3)
 SELECT k, part, min(iu) AS u0, max(iu) + 1 AS u1, min(iz) AS z0, max(iz) + 1 AS z1, count(*) AS n FROM p GROUP BY 1, 2 HAVING count(*) >= 4""")
 def opening_parts(spark: SparkSession, d: str) -> DataFrame:
     g = lineitem(spark, d).groupBy((F.col("l_suppkey") % 20).alias("k"), F.col("l_quantity").cast("long").alias("iu"), F.col("l_linenumber").cast("long").alias("iz"))
