@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.kernels import greedy
-from plumbline.operators import cells, rings, walls
+from plumbline.operators import cells, outlines, rings, walls
 from plumbline.session import materialize, read_table
 
 from .tables import POINTS_SQL, lineitem, orders, points
@@ -144,6 +144,22 @@ def ring_operations(spark: SparkSession, d: str) -> DataFrame:
     return out[0].union(out[1]).union(out[2]).union(out[3]).select("plan", "how", "area")
 
 
+@query()
+def refined_outlines(spark: SparkSession, d: str) -> DataFrame:
+    """Regions put on the faces of line items: rounds of rewriting have no SQL, tested on made faces."""
+    own, sides = _plan(spark, d)
+    labelled = _labelled(own, sides)
+    ring = rings.ordered_rings(cells.outline_edges(own, labelled), ["plan", "region"]).where("ring = 1")
+    rooms = rings.rings_as_arrays(ring, ["plan", "region"]).select("plan", "region", "points", F.lit(0.0).alias("floor_z"), F.lit(2.5).alias("ceil_z"), F.lit(0.01).alias("sigma"))
+    c = F.col
+    near = lineitem(spark, d).select(
+        (c("l_suppkey") % 5).cast("int").alias("plan"), (c("l_linenumber") % 2).cast("int").alias("axis"), F.when(c("l_quantity") > 25, 1).otherwise(-1).alias("sign"), (c("l_partkey") % 7 + (c("l_discount") - 0.05) * 0.6).alias("v"),
+        (c("l_orderkey") % 600 / 100.0).alias("t"), (F.floor("l_extendedprice") % 250 / 100.0).alias("z"), F.lit(1.0).alias("wa"), (c("l_tax") + 0.1).alias("wf"),
+    )
+    out = outlines.refine_outlines(rooms, near, ["plan", "region"], labelled.join(own, ["plan", "i", "j"]).select("plan", "region", "x0", "y0", "x1", "y1"))
+    return out.select("plan", "region", "ok", "steps", "filled", "k", "axis", "sign", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "n", "refined")
+
+
 @query("""WITH t AS (SELECT o_orderkey, 1 + o_custkey % 9 AS a, 1 + o_orderkey % 7 AS b, 0.5::double + floor(o_totalprice)::bigint % 8 AS w, 0.5::double + o_custkey % 5 AS h FROM orders)
 SELECT o_orderkey, round(a * b / 2.0::double - CASE WHEN w < a THEN (a - w) ** 2 * b / (2 * a) ELSE 0 END - CASE WHEN h < b THEN (b - h) ** 2 * a / (2 * b) ELSE 0 END + CASE WHEN 1 - w / a - h / b > 0 THEN (1 - w / a - h / b) ** 2 * a * b / 2 ELSE 0 END, 6) AS area FROM t""")
 def clipped_rings(spark: SparkSession, d: str) -> DataFrame:
