@@ -265,7 +265,7 @@ def _smooth(h: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(h, kernel / kernel.sum(), mode="full")[reach : reach + len(h)]
 
 
-def _spread(r: np.ndarray, w: np.ndarray) -> float:
+def spread(r: np.ndarray, w: np.ndarray) -> float:
     """1.4826 times the weighted median of |r|."""
     if not len(r):
         return 0.0
@@ -287,11 +287,11 @@ def _trimmed(v: np.ndarray, u: np.ndarray, w: np.ndarray, at: float, slope: floa
         if own.sum() < 3 or w[own].sum() <= 0:
             break
         by = float(np.average(r[own], weights=w[own]))
-        at, s = at + by, _spread(r[own] - by, w[own])
+        at, s = at + by, spread(r[own] - by, w[own])
     return at, s, np.abs(v - at - slope * u) < _window(s)
 
 
-def _slanted(t: np.ndarray, v: np.ndarray, w: np.ndarray, at: float, least: float) -> tuple[float, float]:
+def slanted(t: np.ndarray, v: np.ndarray, w: np.ndarray, at: float, least: float) -> tuple[float, float]:
     """(offset at t = 0, slope) of a line through most points: biweights about it, from wide to narrow."""
     slope, mid = 0.0, float(np.median(t))
     u = t - mid
@@ -320,11 +320,11 @@ def face(t: np.ndarray, v: np.ndarray, wa: np.ndarray, wf: np.ndarray, coord: fl
         start = coord - BAND + (int(_smooth(h, max(sigma, 0.01) / BIN).argmax()) + 0.5) * BIN
     at, s, own = _trimmed(v, u, wf, start, 0.0, sigma)
     if own.sum() >= 20 and (len(v) > 1.15 * own.sum() or s > 1.5 * sigma):
-        zero, tilt = _slanted(t, v, wf, at, max(2.5 * sigma, 0.02))
+        zero, tilt = slanted(t, v, wf, at, max(2.5 * sigma, 0.02))
         there = zero + tilt * middle
         r = v - there - tilt * u
         near = np.abs(r) < max(_window(s), 2.5 * sigma)
-        s2 = _spread(r[near], wf[near]) if near.sum() > 10 else s
+        s2 = spread(r[near], wf[near]) if near.sum() > 10 else s
         if SLANT_LEAST < abs(tilt) <= SLANT_MOST and (near.sum() >= 1.15 * own.sum() or s2 < 0.7 * s):
             slope = tilt
             at, s, own = _trimmed(v, u, wf, there, tilt, sigma)

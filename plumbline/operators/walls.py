@@ -5,19 +5,24 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.kernels.greedy import spaced, suppress
-from plumbline.session import materialize
+from plumbline.session import discard, materialize
 
 from . import bins
 from .graph import components
+from .outlines import SLANT_LEAST, SLANT_MOST, slanted, spread
 from .planes import plane_fit
 from .quantiles import percentiles
 
 # Share of the strongest peak that a floor or a wall line needs, and points of a line.
 FLOOR_SHARE, LINE_SHARE, LINE_SUPPORT = 0.25, 0.005, 20.0
+# Of a peeled line: reach about a peak, windows of its fit, bins along and up, least points, area and columns of enough height.
+REACH, NARROW, WIDE, ALONG, UP, LEAST, AREA, COLUMNS, TALL = 0.25, 0.015, 0.12, 0.05, 0.10, 30, 0.2, 5, 4
 
 
 def floor_levels(points: DataFrame, by: Sequence[str], up: float = math.cos(math.radians(20.0)), size: float = 0.02, least: int = 150, reach: float = 0.05) -> DataFrame:
@@ -57,6 +62,102 @@ def wall_lines(points: DataFrame, by: Sequence[str], lo: float, hi: float, size:
     return spaced(p.select(*keys, F.col("centre").alias("coord"), "support"), keys, "coord", "support", apart)
 
 
+def line_through(v: np.ndarray, t: np.ndarray, z: np.ndarray, w: np.ndarray, centre: float, sigma: float) -> dict:
+    """The line v = coord + slope (t - middle) through the points near a peak, flat unless a slope explains clearly more, with what of a wall it shows."""
+    at, s, middle = centre, max(0.03, 3 * sigma) / 2.5, float(np.median(t))
+    window = lambda s: min(max(2.5 * s, NARROW), WIDE)
+    for _ in range(6):
+        own = np.abs(v - at) < window(s)
+        if own.sum() < 3:
+            break
+        at += float(np.average(v[own] - at, weights=w[own]))
+        s = spread(v[own] - at, w[own])
+    held, slope = np.abs(v - at) < window(s), 0.0
+    if held.any():
+        middle = float(np.median(t[held]))
+    if len(v) >= LEAST and (len(v) > 1.15 * held.sum() or s > 1.5 * sigma):
+        zero, tilt = slanted(t, v, w, at, max(2.5 * sigma, 0.02))
+        r = v - zero - tilt * t
+        near = np.abs(r) < max(window(s), 2.5 * sigma)
+        s2 = spread(r[near], w[near]) if near.sum() > 10 else s
+        if SLANT_LEAST < abs(tilt) <= SLANT_MOST and (near.sum() >= 1.15 * held.sum() or s2 < 0.7 * s):
+            middle = float(np.median(t[near]))
+            held, slope, at, s = near, tilt, zero + tilt * middle, s2
+    cells = np.unique(np.stack((np.floor(t[held] / ALONG), np.floor(z[held] / UP)), 1), axis=0)
+    columns, tall = np.unique(cells[:, 0], return_counts=True)
+    columns = columns[tall >= TALL]
+    runs = np.split(columns, np.flatnonzero(np.diff(columns) > 1) + 1)
+    r = (v - at - slope * (t - middle))[held]
+    return {
+        "coord": float(at), "slope": float(slope), "middle": middle, "half": float(np.ptp(t[held]) / 2) if held.any() else 0.0, "sigma": float(s), "rms": float(np.sqrt(np.average(r * r, weights=w[held]))) if held.any() else 0.0,
+        "n": int(held.sum()), "window": max(window(s), 2.5 * sigma) if slope else window(s), "area": len(cells) * ALONG * UP, "columns": max(map(len, runs)),
+    }
+
+
+def peel_lines(points: DataFrame, by: Sequence[str], lo: float, hi: float, sigma: float = 0.01, size: float = 0.01, most: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(lines, rest): wall lines of every direction, each without the points of the lines before it, and the points that no line has.
+
+    points (by, direction, offset, along, z, w). In a round each direction's
+    histogram of offsets is made of what is left; every peak that is the
+    strongest within twice REACH is fitted, all directions and all such peaks
+    together, and an accepted line takes its points out. A line needs LEAST
+    points, AREA square metres and COLUMNS neighbouring columns of enough
+    height, and may not lie on an accepted one; a peak without a line is not
+    tried again. lines (by, direction, line, coord, slope, middle, half, sigma,
+    rms, n, area), numbered by round, then offset.
+    """
+    keys, apart, c = [*by, "direction"], max(0.04, 2 * sigma), F.col
+    kinds = dict(points.dtypes)
+    head = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    fitted = f"{head}, centre double, coord double, slope double, middle double, half double, sigma double, rms double, n long, window double, area double, columns int"
+    rest = materialize(points.select(*keys, *(c(k).cast("double").alias(k) for k in ("offset", "along", "z", "w"))).withColumn("i", F.monotonically_increasing_id()), "points")
+    kernel = bins.gaussian_kernel(max(max(0.01, 0.7 * sigma) / size, 0.5))
+    lines = tried = floor = None
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        one = rows.iloc[0]
+        rows = rows.sort_values(["offset", "along", "z", "w"])
+        made = line_through(*(rows[k].to_numpy() for k in ("offset", "along", "z", "w")), one["centre"], sigma)
+        return pd.DataFrame([{k: one[k] for k in keys} | {"centre": one["centre"]} | made])
+
+    for n in range(most):
+        found = bins.peaks(bins.smooth(bins.histogram(rest, "offset", "w", lo, hi, size, keys), kernel, keys), max(2, round(1.5 * sigma / size)), lo, size, keys)
+        if floor is None:
+            found = materialize(found, "peaks")
+            floor = found.groupBy(*keys).agg(F.greatest(F.lit(LINE_SUPPORT), LINE_SHARE * F.max("support")).alias("_floor"))
+        found = found.join(floor, keys).where(c("support") >= c("_floor")).drop("_floor")
+        if tried is not None:  # of a few lines a direction
+            met = found.join(tried, keys).where((c("centre") < c("_b")) & (c("centre") > c("_a"))).select(*keys, "centre")
+            found = found.join(met, [*keys, "centre"], "left_anti")
+        near = Window.partitionBy(*keys).orderBy("bin").rangeBetween(-round(2 * REACH / size), round(2 * REACH / size))
+        first = materialize(found.withColumn("_best", F.max(F.struct("support", -c("centre"))).over(near)).where(c("_best") == F.struct("support", -c("centre"))).select(*keys, "centre"), "chosen")
+        if first.isEmpty():
+            break
+        spans = first.withColumn("_bin", F.explode(F.sequence(F.floor((c("centre") - REACH) / REACH), F.floor((c("centre") + REACH) / REACH))))
+        held = rest.withColumn("_bin", F.floor(c("offset") / REACH)).join(spans, [*keys, "_bin"]).where(F.abs(c("offset") - c("centre")) <= REACH)
+        made = materialize(held.select(*keys, "centre", "offset", "along", "z", "w").groupBy(*keys, "centre").applyInPandas(fit, fitted), "fits")
+        good = made.where((c("n") >= LEAST) & (c("area") >= AREA) & (c("columns") >= COLUMNS))
+        wide = F.abs("slope") * c("half")
+        if lines is not None:
+            met = good.join(lines.select(*keys, (c("coord") - apart - wide).alias("_a"), (c("coord") + apart + wide).alias("_b")), keys).where((c("coord") - wide < c("_b")) & (c("coord") + wide > c("_a"))).select(*keys, "centre")
+            good = good.join(met, [*keys, "centre"], "left_anti")
+        good = materialize(good, "accepted")
+        bare = made.join(good.select(*keys, "centre"), [*keys, "centre"], "left_anti")
+        shut = good.select(*keys, (c("coord") - apart - wide).alias("_a"), (c("coord") + apart + wide).alias("_b")).union(bare.select(*keys, c("centre") - 1.5 * size, c("centre") + 1.5 * size))
+        tried = materialize(shut if tried is None else tried.union(shut), "tried")
+        more = good.withColumn("_round", F.lit(n))
+        lines = materialize(more if lines is None else lines.union(more), "lines")
+        bands = good.withColumn("_bin", F.explode(F.sequence(F.floor((c("centre") - REACH) / REACH), F.floor((c("centre") + REACH) / REACH)))).select(*keys, "_bin", "centre", "coord", "slope", "middle", "window")
+        own = (F.abs(c("offset") - c("centre")) <= REACH) & (F.abs(c("offset") - c("coord") - c("slope") * (c("along") - c("middle"))) < c("window"))
+        taken = rest.withColumn("_bin", F.floor(c("offset") / REACH)).join(bands, [*keys, "_bin"]).where(own).select("i")
+        last, rest = rest, materialize(rest.join(taken, "i", "left_anti"), "points")
+        discard(last, made)
+    if lines is None:
+        lines = rest.limit(0).select(*keys, *(F.lit(None).cast(t).alias(k) for k, t in (x.split() for x in fitted.split(", ")[len(keys):])), F.lit(0).alias("_round"))
+    order = Window.partitionBy(*keys).orderBy("_round", "coord")
+    return lines.select(*keys, F.row_number().over(order).alias("line"), "coord", "slope", "middle", "half", "sigma", "rms", "n", "area"), rest.drop("i")
+
+
 def wall_grids(faces: DataFrame, rays: DataFrame, by: Sequence[str], size: float = 0.02) -> DataFrame:
     """(by, iu, iz, mass, through): weight of face points (by, u, z, w) and number of rays (by, u, z) seen through, in square bins of a wall."""
     at = [bins.bin_of(F.col("u"), size).alias("iu"), bins.bin_of(F.col("z"), size).alias("iz")]

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.binomial import clopper_pearson
 from plumbline.functions.columns import clean_number, parse_quantity
-from plumbline.kernels import assignment, greedy, registration
-from plumbline.operators import shapes
+from plumbline.kernels import assignment, greedy
+from plumbline.operators import bins, posegraph, registration, shapes, windows
 from plumbline.plans import evaluation as ev
 from plumbline.session import materialize, read_table
 
@@ -340,11 +340,11 @@ def clopper_pearson_bounds(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def icp_pair(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d).withColumns({"one": F.lit(1), "segment": F.col("label").cast("long")})
-    norm = F.sqrt(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2)
-    p = p.withColumns({c: F.col(c) / norm for c in ("nx", "ny", "nz")}).select("one", "segment", "x", "y", "z", "nx", "ny", "nz")
-    pairs = p.select("one", F.col("segment").alias("a")).distinct().withColumn("b", F.col("a") + 1)
-    r = registration.register_pairs(p, pairs.join(p.select(F.col("segment").alias("b")).distinct(), "b").select("one", "a", "b"), ["one"])
-    return r.select("a", "b", F.round("overlap", 6).alias("overlap"))
+    thin = bins.voxel_weighted(p, 0.05, by=["one", "segment"]).select("one", "segment", "x", "y", "z", "nx", "ny", "nz")
+    held = thin.select("one", "segment").distinct()
+    pairs = held.select("one", F.col("segment").alias("a"), (F.col("segment") + 1).alias("b")).join(held.withColumnRenamed("segment", "b"), ["one", "b"])
+    r = registration.register(thin, pairs, ["one"], most=8)
+    return r.select("a", "b", F.transform("transform", lambda v: F.round(v, 6)).alias("transform"), "n", F.round("overlap", 6).alias("overlap"), F.round("rmse", 6).alias("rmse"), "dof", "reason")
 
 
 @query()
@@ -352,9 +352,17 @@ def pose_graph_loop(spark: SparkSession, d: str) -> DataFrame:
     """Whole histories, cut into consecutive graphs of 8 steps, the last one shorter; each closes on its first node."""
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
     e = events(spark, d).withColumn("n", n).withColumns({"part": F.floor(F.col("n") / 8), "i": (F.col("n") % 8).cast("long")})
-    step = e.select("user_id", "part", "i", (F.col("i") + 1).alias("j"), (F.col("value") / 100).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), (F.col("event_id") % 5 / 50.0).alias("yaw"), F.lit(0.1).alias("sigma_xyz"), F.lit(0.05).alias("sigma_yaw"))
-    ends = step.groupBy("user_id", "part").agg(F.max("j").alias("j"))
-    loop = ends.select("user_id", "part", F.lit(0).cast("long").alias("i"), "j", *(F.lit(0.0).alias(c) for c in ("x", "y", "z", "yaw")), F.lit(0.05).alias("sigma_xyz"), F.lit(0.05).alias("sigma_yaw"))
-    g = registration.pose_graphs(step.union(loop), ["user_id", "part"])
-    return g.select("user_id", "part", "node", *(F.round(c, 6).alias(c) for c in ("x", "y", "z", "yaw")))
+    step = e.select("user_id", "part", "i", (F.col("i") + 1).alias("j"), (F.col("value") / 100).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), (F.col("event_id") % 5 / 50.0).alias("yaw"), F.lit(0.5).alias("sigma_xyz"), F.lit(0.05).alias("sigma_yaw"))
+    keys = ["user_id", "part"]
+    c, zero = F.col, F.lit(0.0)
+    pose = lambda x, y, yaw: F.array(F.cos(yaw), -F.sin(yaw), zero, x, F.sin(yaw), F.cos(yaw), zero, y, zero, zero, F.lit(1.0), zero, zero, zero, zero, F.lit(1.0))
+    chain = windows.chain_poses(step, keys, "i", "x", "y", "yaw").select(*keys, (c("i") + 1).alias("node"), pose(c("x"), c("y"), c("yaw")).alias("pose"))
+    nodes = chain.union(step.select(*keys).distinct().select(*keys, F.lit(0).cast("long"), pose(zero, zero, zero)))
+    rule = lambda df, a, b, m, turn, shift: df.select(*keys, a.alias("a"), b.alias("b"), F.lit("relative").alias("kind"), m.alias("m"), F.array(F.lit(turn), F.lit(shift), F.lit(1.0)).alias("s"))
+    ends = step.groupBy(*keys).agg(F.max("j").alias("j"))
+    rules = rule(step, c("i"), c("j"), pose(c("x"), c("y"), c("yaw")), 0.05, 0.5).union(rule(ends, F.lit(0).cast("long"), c("j"), pose(zero, zero, zero), 0.05, 0.25))
+    nodes, rules = materialize(nodes, "nodes"), materialize(rules, "rules")
+    g, _ = posegraph.optimise(posegraph.yaw_freedom(nodes, rules, keys), rules, keys, "yaw", most=12, tolerance=1e-6)
+    at = lambda k: F.round(F.get("pose", F.lit(k)), 6)
+    return g.select(*keys, "node", at(3).alias("x"), at(7).alias("y"), at(11).alias("z"), F.round(F.atan2(F.get("pose", F.lit(4)), F.get("pose", F.lit(0))), 6).alias("yaw"))
 

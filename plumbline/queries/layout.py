@@ -193,6 +193,21 @@ def wall_lines(spark: SparkSession, d: str) -> DataFrame:
     return walls.wall_lines(_offsets(spark, d), ["k"], 0.0, 55.0, size=0.5, apart=2.0).select("k", "direction", F.round("coord", 6).alias("coord"), F.round("support", 6).alias("support"))
 
 
+@query()
+def peeled_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with their points taken out, round by round: tested against plain Python."""
+    lines, _ = walls.peel_lines(_faces(spark, d), ["k"], -0.5, 7.5)
+    return lines.select("k", "direction", "line", "n", *(F.round(c, 6).alias(c) for c in ("coord", "slope", "rms", "area")))
+
+
+def _faces(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    return lineitem(spark, d).select(
+        (c("l_suppkey") % 5).alias("k"), (c("l_linenumber") % 2 * 2 + F.when(c("l_quantity") > 25, 1).otherwise(0)).alias("direction"), (c("l_partkey") % 7 + (c("l_discount") - 0.05) * 0.4 + (c("l_orderkey") % 60 / 200.0 - 0.15) * 0.06).alias("offset"),
+        (c("l_orderkey") % 60 / 200.0).alias("along"), (F.floor("l_extendedprice") % 250 / 100.0).alias("z"), (c("l_tax") + 0.5).alias("w"),
+    )
+
+
 def _offsets(spark: SparkSession, d: str) -> DataFrame:
     return lineitem(spark, d).select((F.col("l_suppkey") % 10).alias("k"), (F.col("l_linenumber") % 4).alias("direction"), (F.col("l_quantity") + F.col("l_discount")).alias("offset"), F.lit(1.0).alias("w"))
 

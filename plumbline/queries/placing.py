@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.kernels import greedy
 from plumbline.operators import joins, lifting, rays
-from plumbline.plans import matching, stitching
+from plumbline.plans import matching, placement, stitching
 from plumbline.plans.result import null_dangling, unique_ids
 from plumbline.session import fresh_path, materialize, read_table
 
@@ -227,6 +227,17 @@ def facing_doors(spark: SparkSession, d: str) -> DataFrame:
 def placement_trees(spark: SparkSession, d: str) -> DataFrame:
     return stitching.placement_tree(stitching.door_pairs(_doors(spark, d))).select("capture_id", "a", "b", F.round("score", 6).alias("score"))
 
+@query()
+def room_placements(spark: SparkSession, d: str) -> DataFrame:
+    """Customers' orders as doors of three rooms: trees, exchanges and flags have no SQL, tested on made properties."""
+    doors = _doors(spark, d)
+    width, height = (2 + F.col(c) % 5 for c in ("capture_id", "room"))
+    corner = lambda x, y: F.struct(F.lit(x).cast("double").alias("x"), F.lit(y).cast("double").alias("y"))
+    rooms = doors.select("capture_id", "room").distinct().select("capture_id", "room", F.array(corner(0, 0), corner(width, 0), corner(width, height), corner(0, height)).alias("points"), F.lit(0.0).alias("manhattan"))
+    placed, _ = placement.place_rooms(rooms, placement.door_edges(doors, rooms), ["capture_id"])
+    return placed.select("capture_id", "room", "part", "parent", *(F.round(c, 6).alias(c) for c in ("x", "y", "yaw", "nudge")), "flags")
+
+
 
 @query(f"""WITH {POINTS_SQL} SELECT point_id, round(cos(label * 0.1::double) * x - sin(label * 0.1::double) * y + label, 6) AS x, round(sin(label * 0.1::double) * x + cos(label * 0.1::double) * y - 2.0::double, 6) AS y, round(z - label * 0.5::double, 6) AS z FROM points""")
 def rebased_points(spark: SparkSession, d: str) -> DataFrame:
