@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import segment_distance
+from plumbline.session import materialize
 
 from .bins import bin_of
 from .quantiles import percentiles, robust_extent, weighted_quantile_centred
@@ -214,3 +216,33 @@ def half_level_edges(profile: DataFrame, starts: DataFrame, by: Sequence[str], l
     first = met.groupBy(*by, "start").agg(F.min_by(F.struct("bin", "v", "v0", half.alias("half")), "bin").alias("m"))
     share = F.least(F.greatest((F.col("m.half") - F.col("m.v0")) / F.greatest(F.col("m.v") - F.col("m.v0"), F.lit(1e-12)), F.lit(0.0)), F.lit(1.0))
     return first.select(*by, "start", (F.col("m.bin") - 0.5 + share).alias("edge"))
+
+
+def steepest_edges(profile: DataFrame, edges: DataFrame, by: Sequence[str], sigma: float, step: int = 1) -> DataFrame:
+    """edges with ``steepest``: each edge moved to the steepest rise near it, in the direction ``step`` along the bins.
+
+    profile (by, bin, v) without gaps, edges (by, .., edge) between bins. The
+    profile is smoothed by a Gaussian of ``sigma`` bins, 0.7 at least, with its
+    ends carried on; the steepest boundary within three sigmas of the edge is
+    refined by the parabola through it and its neighbours. An edge without a
+    rise near it stays where it is.
+    """
+    keys, width = list(by), max(sigma, 0.7)
+    reach = int(4 * width + 0.5)
+    kernel = [math.exp(-0.5 * (k / width) ** 2) for k in range(-reach, reach + 1)]
+    order = Window.partitionBy(*by).orderBy("bin")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    p = profile.withColumns({"_first": F.first("v").over(whole), "_last": F.last("v").over(whole)})
+    at = lambda k: F.coalesce(F.lag("v", k).over(order), F.col("_first")) if k >= 0 else F.coalesce(F.lead("v", -k).over(order), F.col("_last"))
+    smooth = sum((at(k) * (w / sum(kernel)) for k, w in zip(range(-reach, reach + 1), kernel, strict=True)), F.lit(0.0))
+    rise = p.select(*by, "bin", smooth.alias("_s")).withColumn("g", (F.lead("_s").over(order) - F.col("_s")) * step).where("g IS NOT NULL")
+    rise = rise.withColumns({"_g0": F.lag("g").over(order), "_g1": F.lead("g").over(order)})
+    search = max(2, round(3 * width))
+    asked = edges.withColumn("_e", F.monotonically_increasing_id())
+    asked = materialize(asked.withColumn("_c", F.rint("edge").cast("long") - 1), "edges")
+    near = asked.select(*by, "_e", F.explode(F.sequence(F.col("_c") - search, F.col("_c") + search)).alias("bin")).join(rise, [*keys, "bin"])
+    best = near.groupBy("_e").agg(F.max_by(F.struct("bin", "g", "_g0", "_g1"), F.struct("g", -F.col("bin"))).alias("b"))
+    den = F.col("b._g0") - 2 * F.col("b.g") + F.col("b._g1")
+    off = F.when(den < 0, F.least(F.greatest(0.5 * (F.col("b._g0") - F.col("b._g1")) / F.nullif(den, F.lit(0.0)), F.lit(-0.5)), F.lit(0.5)))
+    moved = F.when(F.col("b.g") > 0, F.col("b.bin") + 1 + F.coalesce(off, F.lit(0.0)))
+    return asked.join(best, "_e", "left").withColumn("steepest", F.coalesce(moved, F.col("edge"))).drop("_e", "_c", "b")

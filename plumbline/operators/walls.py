@@ -174,9 +174,10 @@ def opening_candidates(cells: DataFrame, by: str, least: int = 4) -> DataFrame:
     (iu, iz) of its cells as one number within the wall. Bins beyond stop the job.
     """
     half = 1 << 15
+    cells = cells.select(F.col(by).cast("long").alias(by), F.col("iu").cast("long").alias("iu"), F.col("iz").cast("long").alias("iz"))
     fits = F.greatest(F.abs(F.col("iu") + 0.5), F.abs(F.col("iz") + 0.5)) < half
     place = F.when(fits, (F.col("iu") + half) * 65536 + F.col("iz") + half).otherwise(F.raise_error(F.lit("bins from -32768 to 32767")).cast("long"))
-    own = cells.select(F.col(by).cast("long").alias(by), "iu", "iz", place.alias("at")).withColumn("a", F.col(by) * (1 << 32) + F.col("at"))
+    own = cells.select(by, "iu", "iz", place.alias("at")).withColumn("a", F.col(by) * (1 << 32) + F.col("at"))
     beside = lambda du, dz, inside: F.when(inside, F.struct((F.col("iu") + du).alias("iu"), (F.col("iz") + dz).alias("iz")))
     steps = own.select(by, "a", F.explode(F.array(beside(1, 0, F.col("iu") < half - 1), beside(0, 1, F.col("iz") < half - 1))).alias("s")).where("s IS NOT NULL")
     edges = steps.select(by, "a", "s.iu", "s.iz").join(own.select(by, "iu", "iz", F.col("a").alias("b")), [by, "iu", "iz"]).select("a", "b")

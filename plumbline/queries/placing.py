@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.kernels import greedy
-from plumbline.operators import joins, lifting, rays
+from plumbline.operators import joins, lifting, openings, rays, walls
 from plumbline.plans import matching, placement, stitching
 from plumbline.plans.result import null_dangling, unique_ids
 from plumbline.session import fresh_path, materialize, read_table
@@ -197,6 +197,42 @@ def half_level_edges(spark: SparkSession, d: str) -> DataFrame:
     return lifting.half_level_edges(p, s, ["k"]).select(F.col("k").alias("o_custkey"), "start", F.round("edge", 6).alias("edge"))
 
 
+@query("""WITH q AS (SELECT (l_suppkey % 50)::int AS k, (l_partkey % 30)::int AS bin, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2), g AS (SELECT DISTINCT k FROM q), p AS (SELECT g.k, b.b::int AS bin, coalesce(q.v, 0)::double AS v FROM g CROSS JOIN generate_series(0, 29) b(b) LEFT JOIN q ON q.k = g.k AND q.bin = b.b),
+lv AS (SELECT k, arg_min(bin, (v, bin)) AS start, max(v) AS level FROM p GROUP BY 1), l AS (SELECT p.*, lag(v) OVER w AS v0 FROM p WINDOW w AS (PARTITION BY k ORDER BY bin)),
+m AS (SELECT l.k, start, bin, v, v0, 0.5::double * level AS h FROM l JOIN lv USING (k) WHERE bin > start AND v >= 0.5::double * level), f AS (SELECT k, min(bin) AS bin FROM m GROUP BY 1), e AS (SELECT k, start, m.bin - 0.5::double + least(greatest((h - v0) / greatest(v - v0, 1e-12::double), 0), 1) AS edge FROM f JOIN m USING (k, bin)),
+w AS (SELECT j.j, exp(-0.5::double * pow(j.j / 1.5::double, 2)) / (SELECT sum(exp(-0.5::double * pow(i.i / 1.5::double, 2))) FROM generate_series(-6, 6) i(i)) AS w FROM generate_series(-6, 6) j(j)),
+s AS (SELECT p.k, p.bin, sum(w.w * o.v) AS s FROM p CROSS JOIN w JOIN p o ON o.k = p.k AND o.bin = least(greatest(p.bin - w.j, 0), 29) GROUP BY 1, 2), r AS (SELECT k, bin, lead(s) OVER x - s AS g FROM s WINDOW x AS (PARTITION BY k ORDER BY bin)), n AS (SELECT *, lag(g) OVER x AS g0, lead(g) OVER x AS g1 FROM r WHERE g IS NOT NULL WINDOW x AS (PARTITION BY k ORDER BY bin)),
+b AS (SELECT e.k, edge, n.* EXCLUDE (k) FROM e JOIN n ON n.k = e.k AND n.bin BETWEEN round_even(edge, 0) - 5 AND round_even(edge, 0) + 3 QUALIFY row_number() OVER (PARTITION BY e.k ORDER BY g DESC, n.bin) = 1)
+SELECT e.k, start, round(e.edge, 6) AS edge, round(CASE WHEN g > 0 THEN b.bin + 1 + CASE WHEN g0 - 2 * g + g1 < 0 THEN least(greatest(0.5::double * (g0 - g1) / (g0 - 2 * g + g1), -0.5::double), 0.5::double) ELSE 0 END ELSE e.edge END, 6) AS steepest FROM e LEFT JOIN b USING (k)""")
+def steepest_edges(spark: SparkSession, d: str) -> DataFrame:
+    """From the lowest bin of a profile to half its level, then to the steepest rise of the smoothed profile."""
+    held = lineitem(spark, d).groupBy((F.col("l_suppkey") % 50).cast("int").alias("k"), (F.col("l_partkey") % 30).cast("int").alias("bin")).agg(F.sum("l_quantity").alias("v"))
+    every = held.select("k").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(29))))
+    p = materialize(every.join(held, ["k", "bin"], "left").withColumn("v", F.coalesce("v", F.lit(0.0))), "profile")
+    s = p.groupBy("k").agg(F.min_by("bin", F.struct("v", "bin")).alias("bin"), F.max("v").alias("level"))
+    e = lifting.steepest_edges(p, lifting.half_level_edges(p, s, ["k"]), ["k"], 1.5)
+    return e.select("k", "start", F.round("edge", 6).alias("edge"), F.round("steepest", 6).alias("steepest"))
+
+
+@query()
+def fitted_openings(spark: SparkSession, d: str) -> DataFrame:
+    """See-through parts of suppliers' walls: fits have no SQL, tested on made walls."""
+    c = F.col
+    # an item is a patch of 6 x 11 bins; through the middle of a wall one looks, from the floor or, on every other wall, from half its height
+    at = [(c("l_suppkey") % 20).alias("wall"), (c("l_partkey") % 10).cast("int").alias("pu"), (c("l_orderkey") % 10).cast("int").alias("pz")]
+    gap = c("pu").between(3, 7) & c("pz").between(F.when(c("wall") % 2 == 0, 0).otherwise(4), 8)
+    g = lineitem(spark, d).groupBy(*at).agg(F.sum("l_quantity").alias("_q"), F.count(F.lit(1)).cast("double").alias("_n"))
+    g = g.select("wall", "pu", "pz", *(F.when(test, v).otherwise(0.0).alias(k) for k, test, v in (("mass", ~gap, c("_q")), ("hits", ~gap, c("_n")), ("see", gap, c("_n")))))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cells = g.select("wall").distinct().withColumn("iu", numbers(60)).withColumn("iz", numbers(110)).withColumns({"pu": F.floor(c("iu") / 6).cast("int"), "pz": F.floor(c("iz") / 11).cast("int")})
+    cells = cells.join(g, ["wall", "pu", "pz"], "left").fillna(0.0, ["mass", "hits", "see"]).drop("pu", "pz")
+    cells = materialize(cells.withColumn("empty", c("mass") == 0), "cells")
+    parts = walls.opening_candidates(cells.where("see > 0").select("wall", "iu", "iz"), "wall", least=2)
+    sizes = cells.select("wall").distinct().withColumns({"length": F.lit(1.2), "height": F.lit(2.2), "sigma": F.lit(0.01)})
+    fits = openings.fit_openings(cells, parts.drop("n"), sizes, ["wall"])
+    return fits.select("wall", "part", "kind", "header", *(F.round(k, 6).alias(k) for k in ("left", "right", "bottom", "top", "see", "empty", "confidence")), "flags")
+
+
 _DOORS_SQL = """doors AS (SELECT o_custkey AS k, o_orderkey % 3 AS room, o_orderkey AS door, CASE WHEN o_orderkey % 2 = 0 THEN 'door' ELSE 'opening' END AS type, o_orderkey % 11 AS cx, o_orderkey % 13 AS cy, cos(o_orderkey % 8 * pi() / 4) AS nx, sin(o_orderkey % 8 * pi() / 4) AS ny, 0.7::double + o_orderkey % 5 / 20.0::double AS width, 2.0::double + o_orderkey % 4 / 10.0::double AS height, o_orderkey % 10 / 10.0::double AS conf FROM orders)"""
 
 
