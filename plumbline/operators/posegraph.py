@@ -36,7 +36,7 @@ from .registration import rows, typed
 
 DIMENSIONS = {"yaw": 4, "sim3": 7}
 #: Graphs of so many nodes are solved in one go.
-CORE = 16
+CORE = 64
 #: Scalar residuals beyond this many sigmas count less; information of a loop's best direction stands for so many metres.
 HUBER, LOOP_SIGMA, LOOP_BEST = 3.0, 0.005, 1.0 / 3.0
 _STEP = 1e-6

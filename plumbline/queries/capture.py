@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import columns as fn
-from plumbline.operators import bins, joins, planes, quantiles, shapes, windows
+from plumbline.operators import bins, joins, loops, planes, quantiles, shapes, windows
 from plumbline.plans.result import annotate_lengths, fallback_interval
 from plumbline.session import read_table
 from plumbline.sources import sensor_log
@@ -392,3 +392,19 @@ def focal_checks(spark: SparkSession, d: str) -> DataFrame:
 def input_summaries(spark: SparkSession, d: str) -> DataFrame:
     g = lineitem(spark, d).groupBy(F.col("l_suppkey").alias("capture"))
     return g.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_returnflag") == "A").alias("n_a"), F.round(F.sum("l_quantity"), 6).alias("total"), F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"), F.countDistinct("l_partkey").alias("parts"))
+
+
+@query("""WITH k AS (SELECT user_id, event_id AS frame, (row_number() OVER w - 1) * 0.7::double AS t, coalesce(value, 0) / 20.0::double AS x FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+s AS (SELECT *, coalesce(abs(x - lag(x) OVER w), 0) AS step, greatest(t - lag(t) OVER w, 1e-3::double) AS dt FROM k WINDOW w AS (PARTITION BY user_id ORDER BY t, frame)),
+c AS (SELECT *, sum(step) OVER w AS way, sum((step / dt > 3 AND step > 0.15::double)::int) OVER w AS leaps, floor((t - min(t) OVER (PARTITION BY user_id)) / 3) AS slot FROM s WINDOW w AS (PARTITION BY user_id ORDER BY t, frame ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY leaps, slot) - 1 AS segment FROM c), m AS (SELECT user_id, segment, (min(t) + max(t)) / 2 AS mid FROM g GROUP BY 1, 2),
+a AS (SELECT * FROM g JOIN m USING (user_id, segment) QUALIFY row_number() OVER (PARTITION BY user_id, segment ORDER BY abs(t - mid), t, frame) = 1)
+SELECT user_id, segment, round(t, 6) AS t, round(x, 6) AS x, round(lead(way) OVER w - way, 6) AS path, lead(leaps) OVER w > leaps AS jumped FROM a WINDOW w AS (PARTITION BY user_id ORDER BY segment)""")
+def drift_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Events as keyframes 0.7 s apart: segments of 3 s, broken where the camera leaps."""
+    e = events(spark, d)
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    zero, one = F.lit(0.0), F.lit(1.0)
+    pose = F.array(one, zero, zero, F.coalesce("value", zero) / 20.0, zero, one, zero, zero, zero, zero, one, F.lit(1.4), zero, zero, zero, one)
+    _, segs = loops.segments(e.select("user_id", F.col("event_id").alias("frame"), (n * 0.7).alias("t"), pose.alias("pose")), ["user_id"])
+    return segs.select("user_id", "segment", F.round("t", 6).alias("t"), F.round(F.get("pose", F.lit(3)), 6).alias("x"), F.round("path", 6).alias("path"), "jumped")
