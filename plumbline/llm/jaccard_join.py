@@ -11,9 +11,12 @@ At a similarity of p/100 or more, sets of a and b shingles differ in at most
 * pigeonhole: a band's sketch has D + 1 + E segments, so two linked sets agree
   in E + 1 at least. A segment is 2^64 bits wide and hardly ever holds two
   shingles in one bit; it is kept as the XOR of what it holds, which is equal
-  where the segments are. Sets with E empty segments or fewer are posted under
-  those that hold something; as E + 1 agree, one of these does. Sets with more
-  are posted under one list of their own besides.
+  where the segments are. Of a set with z empty segments, E + 1 - z that hold
+  something agree with any set linked to it. So a set that shares fewer of its
+  segments with others has no link, and the E - z most frequent that it shares
+  are not posted: the rarest segment that a pair shares is posted by both, as
+  E - z at least of either set's are more frequent. Sets with more than E empty
+  segments leave none out, and are posted under one list of their own besides.
 * bound: sets that meet in a list are compared on a short sketch, the wide one
   folded to twice the set's size in bits; of two lengths the longer is folded
   once more. Pairs beyond the bound go.
@@ -42,8 +45,8 @@ from .textkit import U64, constants, mix, shingle_sets
 
 #: A band reaches from its least size up to this many times it.
 GROWTH = 1.4
-#: Spare segments of a band: so many, and this share of D.
-SPARE, SPARE_SHARE = 3, 0.04
+#: Spare segments E of a band: so many, and this share of D.
+SPARE, SPARE_SHARE = 2, 0.1
 
 
 def most_apart(a: int, b: int, percent: int) -> int:
@@ -79,18 +82,20 @@ def _edges(segments: int) -> np.ndarray:
     return np.array([(j << 64) // segments for j in range(1, segments)], U64)
 
 
-def posted(values: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the lists that a set is posted in; values are its sorted hashes."""
+def posted(values: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
+    """(band, need, keys) of a set in each of its bands; values are its sorted hashes. Any set linked to it in a band has ``need`` of its keys at least."""
     out = []
     shown = mix(values)
     for k, apart, segments in sketched_bands(len(values), percent):
         bounds = np.concatenate(([0], np.searchsorted(values, _edges(segments)), [len(values)]))
         filled = np.flatnonzero(bounds[:-1] < bounds[1:])
         parity = np.bitwise_xor.reduceat(shown, bounds[filled])
-        out.append(mix(parity + _SEGMENT[filled & 0xFFFF] * (filled.astype(U64) + U64(1)) + _BAND[k % 512]))
-        if segments - len(filled) > segments - 1 - apart:
-            out.append(mix(_BAND[k % 512 : k % 512 + 1]))
-    return np.concatenate(out) if out else np.zeros(0, U64)
+        keys = mix(parity + _SEGMENT[filled & 0xFFFF] * (filled.astype(U64) + U64(1)) + _BAND[k % 512])
+        need = len(filled) - apart  # of the segments, all but D agree
+        if need < 1:
+            need, keys = 1, np.concatenate((keys, mix(_BAND[k % 512 : k % 512 + 1])))
+        out.append((k, need, keys))
+    return out
 
 
 def folded(values: np.ndarray) -> np.ndarray:
@@ -111,7 +116,11 @@ def _sketched(size: int, percent: int):
             for row, sets in shingle_sets(batch.column("text"), size):
                 own = [batch.column(c).slice(row, len(sets)) for c in ("doc_id", "text_key")]
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                columns = [*own, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), _lists([posted(s, percent) for s in sets]), _lists([folded(s) for s in sets])]
+                posts = [posted(s, percent) for s in sets]
+                flat = [p for of in posts for p in of]
+                bands = pa.StructArray.from_arrays([pa.array([k for k, _, _ in flat], pa.int32()), pa.array([n for _, n, _ in flat], pa.int32()), _lists([x for _, _, x in flat])], ["band", "need", "tokens"])
+                ends = pa.array(np.concatenate(([0], np.cumsum([len(of) for of in posts]))), pa.int32())
+                columns = [*own, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(ends, bands), _lists([folded(s) for s in sets])]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n_shingles", "digest", "keys", "bits"])
 
     return run
@@ -159,7 +168,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
         raise ValueError("percent from 75 to 100")
     key, text = F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key, text)
-    kept = materialize(rows.mapInArrow(_sketched(size, percent), "doc_id long, text_key long, n_shingles long, digest binary, keys array<long>, bits array<long>"), "sketches")
+    kept = materialize(rows.mapInArrow(_sketched(size, percent), "doc_id long, text_key long, n_shingles long, digest binary, keys array<struct<band: int, need: int, tokens: array<long>>>, bits array<long>"), "sketches")
     named = kept.where("doc_id IS NOT NULL AND n_shingles > 0")
     first = named.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("one")).select("digest", F.col("one.doc_id").alias("id"), F.col("one.text_key").alias("text_key"))
     first = materialize(first, "classes")
@@ -172,9 +181,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     # a class has the sketch of its first row; rows that repeat it are the same
     classes = named.select(F.col("doc_id").alias("id"), "digest", F.col("n_shingles").alias("n"), "bits", "keys").join(first, ["id", "digest"], "left_semi")
     # one exchange serves both the count of a list and its members
-    dealt = classes.select("id", F.explode("keys").alias("token")).repartition("token")
-    lists = dealt.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("token")
-    posts = materialize(dealt.join(lists, "token").select("token", "id").distinct(), "posts")
+    dealt = classes.select("id", F.explode("keys").alias("k")).select("id", "k.band", "k.need", F.explode("k.tokens").alias("token")).repartition("token")
+    lists = dealt.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("token", "df")
+    shared = dealt.join(lists, "token").groupBy("id", "band").agg(F.max("need").alias("need"), F.sort_array(F.collect_set(F.struct("df", "token"))).alias("ts")).where(F.size("ts") >= F.col("need"))
+    posts = shared.select("id", F.explode(F.slice("ts", F.lit(1), F.size("ts") - F.col("need") + 1)).alias("t")).select("id", F.col("t.token").alias("token"))
+    posts = materialize(posts, "posts")
     met = posts.select("id").distinct()
     classes = materialize(classes.drop("keys", "digest").join(met, "id", "left_semi").dropDuplicates(["id"]), "classes")
 
