@@ -13,13 +13,15 @@ from plumbline.functions.columns import segment_distance
 from plumbline.session import materialize
 
 from .bins import bin_of
-from .quantiles import percentiles, robust_extent, weighted_quantile_centred
+from .quantiles import centred_quantiles, percentiles, widened
 from .shapes import points_in_rings
 
-# Shift towards the camera, snap to a room, wall tolerances, height tolerances, and the facing that a loose wall needs.
-ROOM_SHIFT, ROOM_SNAP = 0.05, 0.3
-WALL_TOL, WALL_LOOSE, HEIGHT_TOL, EDGE_HEIGHT_TOL = 0.15, 0.35, 0.25, 0.1
-HORIZONTAL_COS, VERTICAL_SIN, FACING_COS = 0.8, 0.5, 0.7
+# Shift towards the camera, snap to a room, wall tolerances, height tolerances, the facing that a loose wall needs,
+# distance from a mask's plane, pixels and share with geometry that a mask needs, and how far behind its surround a mask is seen through.
+ROOM_SHIFT, ROOM_SNAP = 0.05, 0.5
+WALL_TOL, WALL_LOOSE, HEIGHT_TOL, EDGE_HEIGHT_TOL = 0.15, 0.3, 0.3, 0.1
+HORIZONTAL_COS, VERTICAL_SIN, FACING_COS = 0.82, 0.57, 0.9
+OFF_PLANE, MIN_PIXELS, MIN_VALID, BEHIND = 0.08, 3.0, 0.25, 0.15
 #: Metres of a plan cell in which points meet the rooms around them.
 CELL = 1.0
 
@@ -76,41 +78,169 @@ def assign_surfaces(masks: DataFrame, walls: DataFrame, rooms: DataFrame, by: Se
     return m.select(*by, "mask", surface.alias("surface"), method.alias("method"), gap.alias("distance"))
 
 
-def measure_on_surface(pixels: DataFrame, by: Sequence[str], off_plane: float = 0.05, q_lo: float = 0.02, q_hi: float = 0.98, least: float = 20.0) -> DataFrame:
-    """(by, area, width, height, length, n): size of each mask on its surface.
+def pixel_areas(pixels: DataFrame, by: Sequence[str]) -> DataFrame:
+    """pixels with ok and the area vector (ax, ay, az) of each: derivative along columns times derivative along rows.
 
-    pixels (by, u, v, d, coverage, projected, on_surface, valid): coverage is
-    the share of the pixel in the mask, projected its area on the surface.
-    Pixels further than off_plane from the mask's weighted median distance, or
-    beyond the surface, do not count; pixels without geometry (not valid)
-    raise the area in proportion. Lengths are robust extents along u, v and
-    the principal axis.
+    pixels (by, i, j, x, y, z, valid) of a raster of world points. A derivative
+    is the mean of both one-sided differences where these agree within a
+    factor of two, else the shorter one, so that a step in depth does not
+    widen the pixels at its edge. ok: geometry and both derivatives exist.
     """
-    keys = list(by)
+    c = F.col
+    whole = F.coalesce(c("valid"), F.lit(False))
+    for a in "xyz":
+        whole = whole & c(a).isNotNull() & ~F.isnan(a) & (F.abs(a) != float("inf"))
+    p = pixels.withColumn("_v", whole).withColumn("_p", F.when(c("_v"), F.array(*(c(a).cast("double") for a in "xyz"))))
+    minus = lambda a, b: F.zip_with(a, b, lambda s, t: s - t)
+    size = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, t: s + t * t))
+    for name, across, along in (("_dj", "i", "j"), ("_di", "j", "i")):
+        order = Window.partitionBy(*by, across).orderBy(along)
+        p = p.withColumn("_f", F.when(F.lead(along).over(order) == c(along) + 1, minus(F.lead("_p").over(order), c("_p"))))
+        p = p.withColumn("_b", F.when(F.lag(along).over(order) == c(along) - 1, minus(c("_p"), F.lag("_p").over(order))))
+        p = p.withColumns({"_nf": size(c("_f")), "_nb": size(c("_b"))})
+        agree = F.greatest("_nf", "_nb") <= 2 * F.least("_nf", "_nb")
+        mean = F.zip_with("_f", "_b", lambda s, t: (s + t) / 2)
+        p = p.withColumn(name, F.when(c("_f").isNull(), c("_b")).when(c("_b").isNull(), c("_f")).when(agree, mean).when(c("_nf") <= c("_nb"), c("_f")).otherwise(c("_b")))
+    e = lambda a, k: F.get(a, F.lit(k))
+    cross = lambda k, m: e("_dj", k) * e("_di", m) - e("_dj", m) * e("_di", k)
+    ok = c("_v") & c("_dj").isNotNull() & c("_di").isNotNull()
+    return p.withColumns({"ax": cross(1, 2), "ay": cross(2, 0), "az": cross(0, 1), "ok": ok}).drop("_v", "_p", "_f", "_b", "_nf", "_nb", "_dj", "_di")
+
+
+def mask_coverage(masks: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, mask, i, j, coverage): the share of each raster pixel that a mask of another resolution covers.
+
+    masks (by, mask, mi, mj, mask_h, mask_w, h, w): a row a set pixel of the
+    mask, both rasters spanning the same field of view. A set pixel gives each
+    raster pixel it meets their common area; repeated rows count once.
+    """
+    c = F.col
+    own = masks.select(*by, "mask", "mi", "mj", "mask_h", "mask_w", "h", "w").distinct()
+    for at, n, out, size in (("mi", "mask_h", "i", "h"), ("mj", "mask_w", "j", "w")):
+        # in whole steps of 1 / n of a raster pixel, so that pixels which only touch share nothing
+        lo, hi = c(at) * c(size), (c(at) + 1) * c(size)
+        own = own.withColumn(out, F.explode(F.sequence(F.floor(lo / c(n)), F.ceil(hi / c(n)) - 1)))
+        own = own.withColumn(f"_{out}", (F.least(hi, (c(out) + 1) * c(n)) - F.greatest(lo, c(out) * c(n))) / c(n))
+    return own.groupBy(*by, "mask", "i", "j").agg(F.least(F.sum(c("_i") * c("_j")), F.lit(1.0)).alias("coverage"))
+
+
+def mask_rings(covered: DataFrame, shapes: DataFrame, by: Sequence[str], width: int) -> DataFrame:
+    """(by, mask, i, j, coverage): the band of ``width`` pixels around each mask's core, which is what it covers by half; shapes (by, h, w)."""
+    core = covered.where("coverage >= 0.5").select(*by, "mask", "i", "j")
+    steps = F.sequence(F.lit(-width).cast("long"), F.lit(width).cast("long"))
+    grown = core.withColumn("i", F.explode(F.transform(steps, lambda k: F.col("i") + k))).distinct()
+    grown = grown.withColumn("j", F.explode(F.transform(steps, lambda k: F.col("j") + k))).distinct()
+    band = grown.join(core, [*by, "mask", "i", "j"], "left_anti").join(shapes, list(by)).where("i >= 0 AND j >= 0 AND i < h AND j < w")
+    return band.select(*by, "mask", "i", "j", F.lit(1.0).alias("coverage"))
+
+
+def lift_masks(covered: DataFrame, areas: DataFrame, cameras: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, mask, i, j, coverage, valid, x, y, z, ax, ay, az, area, nx, ny, nz): masks on the world points of their view.
+
+    covered (by, mask, i, j, coverage), areas as of pixel_areas, cameras (by,
+    cx, cy, cz). A covered pixel without geometry, or without area, stays with
+    valid false. Normals are turned to the camera.
+    """
+    c = F.col
+    m = covered.where("coverage > 0.001").join(areas.where("ok").select(*by, "i", "j", "x", "y", "z", "ax", "ay", "az"), [*by, "i", "j"], "left").join(cameras, list(by))
+    area = F.sqrt(c("ax") ** 2 + c("ay") ** 2 + c("az") ** 2)
+    m = m.withColumn("area", area).withColumn("valid", F.coalesce(c("area") > 1e-12, F.lit(False)))
+    turn = F.when(c("ax") * (c("cx") - c("x")) + c("ay") * (c("cy") - c("y")) + c("az") * (c("cz") - c("z")) < 0, -1.0).otherwise(1.0) / F.nullif(c("area"), F.lit(0.0))
+    out = m.select(*by, "mask", "i", "j", "coverage", "valid", "x", "y", "z", "ax", "ay", "az", "area", *((c(f"a{k}") * turn).alias(f"n{k}") for k in "xyz"))
+    return materialize(out, "lifted")  # read by the medians, the assignment and the sizes
+
+
+def mask_medians(lifted: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, mask, x, y, z, nx, ny, nz, valid_share): weighted median place, unit mean normal (0 if none) and share with geometry of lifted masks."""
+    c, keys = F.col, [*by, "mask"]
+    weighed = lifted.withColumn("_w", F.when(c("valid"), c("coverage") * c("area")))
+    place = centred_quantiles(weighed.where("valid"), keys, {a: (a, "_w", 0.5) for a in "xyz"})
+    sums = weighed.groupBy(*keys).agg(*(F.sum(c("_w") * c(f"n{k}")).alias(f"_n{k}") for k in "xyz"), (F.coalesce(F.sum(F.when(c("valid"), c("coverage"))), F.lit(0.0)) / F.sum("coverage")).alias("valid_share"))
+    size = F.sqrt(c("_nx") ** 2 + c("_ny") ** 2 + c("_nz") ** 2)
+    return sums.join(place, keys, "left").select(*keys, *"xyz", *(F.coalesce(F.when(size > 1e-12, c(f"_n{k}") / F.nullif(size, F.lit(0.0))), F.lit(0.0)).alias(f"n{k}") for k in "xyz"), "valid_share")
+
+
+def see_through(covered: DataFrame, pixels: DataFrame, ring: DataFrame, by: Sequence[str], behind: float = BEHIND) -> DataFrame:
+    """(by, mask, share): the part of a mask's core without geometry, or further than ``behind`` behind the plane of the band around it.
+
+    pixels (by, i, j, x, y, z, valid), ring a lifted band as of mask_rings;
+    with fewer than three lifted pixels in the band the share is 0. Openings
+    and mirrors show depth beyond the wall, a sheet on the wall none.
+    """
+    c, keys = F.col, [*by, "mask"]
+    enough = ring.where("valid").groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 3").drop("_n")
+    plane = mask_medians(ring, by).join(enough, keys).select(*keys, *(c(a).alias(f"p{a}") for a in "xyz"), "nx", "ny", "nz")
+    inside = covered.where("coverage >= 0.5").join(pixels.where("valid").select(*by, "i", "j", "x", "y", "z"), [*by, "i", "j"], "left").join(plane, keys, "left")
+    depth = sum(((c(f"p{a}") - c(a)) * c(f"n{a}") for a in "xyz"), F.lit(0.0))
+    gone = c("px").isNotNull() & (c("x").isNull() | (depth > behind))
+    return inside.groupBy(*keys).agg(F.avg(F.coalesce(gone, F.lit(False)).cast("double")).alias("share"))
+
+
+def on_surfaces(lifted: DataFrame, surfaces: DataFrame, edges: DataFrame, by: Sequence[str], margin: float = 0.1) -> DataFrame:
+    """Lifted pixels with u, v, d, projected and on_surface of the surface that each mask was assigned to.
+
+    surfaces (by, mask, room, kind wall/floor/ceiling, sx, sy, ex, ey, nx, ny,
+    floor_z, ceiling_z), a wall's ends and inward normal null for the others;
+    edges (by, room, ax, ay, bx, by_) of rooms. On a wall u runs from its
+    start and v from the floor, else both are plan coordinates. d is the
+    distance into the room, projected the pixel's area on the surface. A
+    pixel lies on the surface within ``margin`` of its extent.
+    """
+    c, keys = F.col, [*by, "mask"]
+    p = lifted.drop("nx", "ny", "nz").join(surfaces, keys)
+    wall, length = c("kind") == "wall", F.hypot(c("ex") - c("sx"), c("ey") - c("sy"))
+    p = p.withColumn("_l", F.greatest(length, F.lit(1e-12)))
+    along = ((c("x") - c("sx")) * (c("ex") - c("sx")) + (c("y") - c("sy")) * (c("ey") - c("sy"))) / c("_l")
+    inward = F.when(wall, (c("x") - c("sx")) * c("nx") + (c("y") - c("sy")) * c("ny")).when(c("kind") == "floor", c("z") - c("floor_z")).otherwise(c("ceiling_z") - c("z"))
+    p = p.withColumns({"u": F.when(wall, along).otherwise(c("x")), "v": F.when(wall, c("z") - c("floor_z")).otherwise(c("y")), "d": inward})
+    p = p.withColumn("projected", F.abs(F.when(wall, c("ax") * c("nx") + c("ay") * c("ny")).otherwise(c("az"))))
+    flat = p.where("valid AND kind <> 'wall'").select(*by, "room", F.struct("mask", "i", "j").alias("point"), "x", "y")
+    held = rooms_of(flat, edges.withColumn("ring", F.lit(0)), [*by, "room"], margin).select(*by, "point.*", F.lit(True).alias("_in"))
+    fits = (c("u") >= -margin) & (c("u") <= c("_l") + margin) & (c("v") >= -margin) & (c("v") <= c("ceiling_z") - c("floor_z") + margin)
+    p = p.join(held, [*keys, "i", "j"], "left").withColumn("on_surface", F.coalesce(F.when(wall, fits).otherwise(c("_in")), F.lit(False)))
+    return p.select(*keys, "i", "j", "coverage", "valid", "area", "u", "v", "d", "projected", "on_surface")
+
+
+def measure_on_surface(pixels: DataFrame, by: Sequence[str], off_plane: float = OFF_PLANE, q_lo: float = 0.02, q_hi: float = 0.98, least: float = MIN_PIXELS, least_valid: float = MIN_VALID) -> DataFrame:
+    """(by, area, width, height, length, n, u0, u1, v0, v1, pixel, inlier, valid_share): size of each mask on its surface.
+
+    pixels (by, u, v, d, coverage, projected, on_surface, valid, and area if
+    there is one): coverage is the share of the pixel in the mask, projected
+    its area on the surface. Pixels further than off_plane from the mask's
+    median distance (weighted by area, else by projected), or beyond the
+    surface, do not count; pixels without geometry (not valid) raise the area
+    in proportion. Lengths are robust extents along u, v and the principal
+    axis; pixel is the side of a typical pixel. Masks with less geometry than
+    least_valid, less coverage than least, or without area are left out.
+    """
+    c, keys = F.col, list(by)
     ok = pixels.where("valid")
-    share = pixels.groupBy(*by).agg((F.sum("coverage") / F.greatest(F.sum(F.when(F.col("valid"), F.col("coverage"))), F.lit(1e-12))).alias("_raise"))
-    mid = weighted_quantile_centred(ok.withColumn("_a", F.col("coverage") * F.col("projected")), keys, "d", "_a", 0.5, "_d0")
-    inl = ok.join(mid, keys).where((F.abs(F.col("d") - F.col("_d0")) <= off_plane) & F.col("on_surface")).withColumn("_wa", F.col("coverage") * F.col("projected"))
-    w = F.col("_wa")
-    sums = inl.groupBy(*by).agg(F.sum("coverage").alias("_c"), F.sum(w).alias("_s"), (F.sum(w * F.col("u")) / F.sum(w)).alias("_mu"), (F.sum(w * F.col("v")) / F.sum(w)).alias("_mv"), F.count(F.lit(1)).alias("n"))
-    sums = sums.where((F.col("_c") >= least) & (F.col("_s") > 0))
-    own = inl.join(sums, keys)
-    du, dv = F.col("u") - F.col("_mu"), F.col("v") - F.col("_mv")
+    weight = "area" if "area" in pixels.columns else "projected"
+    share = pixels.groupBy(*by).agg(F.sum("coverage").alias("_total"), F.coalesce(F.sum(F.when(c("valid"), c("coverage"))), F.lit(0.0)).alias("_valid"))
+    mid = centred_quantiles(ok.withColumn("_a", c("coverage") * c(weight)), keys, {"_d0": ("d", "_a", 0.5)})
+    inl = ok.join(mid, keys).where((F.abs(c("d") - c("_d0")) <= off_plane) & c("on_surface")).withColumn("_wa", c("coverage") * c("projected"))
+    inl = materialize(inl.select(*by, "u", "v", "coverage", "projected", "_wa"), "on-surface")
+    w, s = c("_wa"), F.nullif(F.sum("_wa"), F.lit(0.0))
+    sums = inl.groupBy(*by).agg(F.sum("coverage").alias("_c"), F.sum(w).alias("_s"), (F.sum(w * c("u")) / s).alias("_mu"), (F.sum(w * c("v")) / s).alias("_mv"), F.count(F.lit(1)).alias("n"))
+    sums = sums.where((c("_c") >= least) & (c("_s") > 0)).join(share, keys).where(c("_valid") >= least_valid * c("_total"))
+    own = inl.join(sums.select(*by, "_mu", "_mv"), keys)
+    du, dv = c("u") - c("_mu"), c("v") - c("_mv")
     turn = own.groupBy(*by).agg((F.atan2(2 * F.sum(w * du * dv), F.sum(w * du * du) - F.sum(w * dv * dv)) / 2).alias("_t"))
     own = own.join(turn, keys).withColumn("_along", du * F.cos("_t") + dv * F.sin("_t"))
-    extent = lambda c, name: robust_extent(own, keys, c, "_wa", q_lo, q_hi).select(*by, (F.col("hi") - F.col("lo")).alias(name))
-    parts = [extent("u", "width"), extent("v", "height"), extent("_along", "length")]
-    joined = reduce(lambda a, b: a.join(b, keys), parts, sums.join(share, keys))
-    return joined.select(*by, (F.col("_s") * F.col("_raise")).alias("area"), "width", "height", "length", "n")
+    sides = {"u": "u", "v": "v", "l": "_along"}
+    ends = centred_quantiles(own, keys, {f"_{a}{k}": (x, "_wa", q) for a, x in sides.items() for k, q in ((0, q_lo), (1, q_hi))} | {"_px": ("projected", "coverage", 0.5)})
+    span = {f"{a}{k}": end for a in sides for k, end in enumerate(widened(c(f"_{a}0"), c(f"_{a}1"), q_lo, q_hi))}
+    lengths = [(span[f"{a}1"] - span[f"{a}0"]).alias(name) for a, name in (("u", "width"), ("v", "height"), ("l", "length"))]
+    area = c("_s") * c("_total") / F.greatest(c("_valid"), F.lit(1e-12))
+    rest = [(c("_c") / F.greatest(c("_valid"), F.lit(1e-12))).alias("inlier"), (c("_valid") / c("_total")).alias("valid_share")]
+    return sums.join(ends, keys).select(*by, area.alias("area"), *lengths, "n", *(span[k].alias(k) for k in ("u0", "u1", "v0", "v1")), F.sqrt(F.greatest("_px", F.lit(0.0))).alias("pixel"), *rest)
 
 
 def place_objects(points: DataFrame, by: Sequence[str], w: str = "w") -> DataFrame:
     """(by, x, y, x0, x1, y0, y1, z0, z1, n): weighted median place and 5 to 95 percent ranges of lifted objects of three points or more."""
-    keys = list(by)
     n = points.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("_w")).where("n >= 3 AND _w > 0").drop("_w")
-    q = lambda c, p, name: weighted_quantile_centred(points, keys, c, w, p, name)
-    parts = [q("x", 0.5, "x"), q("y", 0.5, "y"), *(q(c, p, f"{c}{k}") for c in "xyz" for k, p in ((0, 0.05), (1, 0.95)))]
-    return reduce(lambda a, b: a.join(b, keys), parts, n)
+    asks = {"x": ("x", w, 0.5), "y": ("y", w, 0.5)} | {f"{a}{k}": (a, w, q) for a in "xyz" for k, q in ((0, 0.05), (1, 0.95))}
+    return n.join(centred_quantiles(points, by, asks), list(by))
 
 
 def resolve_class(cls: Column, score: Column, scores: Column, has_line: Column, tile: Column, floors: dict[str, float], areas: Sequence[str]) -> Column:

@@ -74,32 +74,66 @@ def weighted_quantile_of_small_groups(df: DataFrame, by: Sequence[str], x: str,
     return run.groupBy(*by).agg(F.when(F.max("_all") > 0, hit).otherwise(F.percentile(x, F.lit(0.5))).alias(out))
 
 
+def centred_quantiles(df: DataFrame, by: Sequence[str], asks: dict[str, tuple[str, str, float]]) -> DataFrame:
+    """(by, a column for each of asks: value, weight, q): quantiles with each sample's weight centred on it.
+
+    Linear between samples, at most half a step beyond the ends; where no
+    weight is positive, the median. Null values do not count. All asks are
+    searched in the same jobs by reach(): the value whose cumulated weight
+    reaches the goal, then the weight below it and its neighbours, which are
+    partial aggregates. No group's values meet in one task.
+    """
+    keys = list(by)
+    pairs = sorted({(x, w) for x, w, _ in asks.values()})
+    goal = {out: (pairs.index((x, w)), q) for out, (x, w, q) in asks.items()}
+    listed = F.array(*(F.struct(F.lit(k).alias("_k"), F.col(x).cast("double").alias("_x"), F.col(w).cast("double").alias("_w")) for k, (x, w) in enumerate(pairs)))
+    samples = df.select(*by, F.explode(listed).alias("_s")).select(*by, "_s.*").where("_x IS NOT NULL AND _w IS NOT NULL")
+    values = samples.groupBy(*by, "_k", "_x").agg(F.sum("_w").alias("_w"), F.min("_w").alias("_first"), F.max("_w").alias("_last"), F.count(F.lit(1)).alias("_m"))
+    values = materialize(values, "samples")
+    totals = values.groupBy(*by, "_k").agg(F.sum("_w").alias("_all"), F.sum("_m").alias("_n"))
+    heavy = F.col("_all") > 0
+    own = values.join(totals, [*keys, "_k"]).withColumns({"_w": F.when(heavy, F.col("_w")).otherwise(F.col("_m")), "_first": F.when(heavy, F.col("_first")).otherwise(1.0), "_last": F.when(heavy, F.col("_last")).otherwise(1.0)})
+    asked = F.array(*(F.struct(F.lit(g).alias("_g"), F.lit(k).alias("_of"), F.lit(float(q)).alias("_q")) for g, (k, q) in enumerate(goal.values())))
+    place = F.when(heavy, F.col("_q") * F.col("_all")).otherwise(0.5 * F.col("_n"))
+    goals = totals.select("*", F.explode(asked).alias("_s")).select(*by, "_k", "_all", "_n", "_s.*").where("_k = _of").select(*by, "_k", "_g", "_n", place.alias("_at"))
+    # a hair below the goal, so that rounding never leaves the whole weight short of it
+    hits = reach(own, [*keys, "_k"], "_x", "_w", goals.select(*by, "_k", "_g", (F.col("_at") * (1 - 1e-12)).alias("_goal")))
+    met = own.select(*by, "_k", "_x", "_w", "_first", "_last", "_m").join(goals.join(hits, [*keys, "_k", "_g"]), [*keys, "_k"])
+    below, here, above = F.col("_x") < F.col("hit"), F.col("_x") == F.col("hit"), F.col("_x") > F.col("hit")
+    near = met.groupBy(*by, "_g", "_n", "_at", "hit").agg(
+        F.coalesce(F.sum(F.when(below, F.col("_w"))), F.lit(0.0)).alias("_s"), F.max(F.when(below, F.struct("_x", "_last"))).alias("_p"),
+        F.max(F.when(here, F.struct("_w", "_first", "_last", "_m"))).alias("_h"), F.min(F.when(above, F.struct("_x", "_first"))).alias("_o"),
+    )
+    c = F.col
+    t, x = c("_at"), c("hit")
+    low, high = c("_s") + c("_h._first") / 2, c("_s") + c("_h._w") - c("_h._last") / 2  # the places of the first and the last sample at hit
+    prev, after = c("_s") - c("_p._last") / 2, c("_s") + c("_h._w") + c("_o._first") / 2
+    line = lambda at, x0, x1, c0, c1: F.coalesce(x0 + (at - c0) * (x1 - x0) / F.nullif(c1 - c0, F.lit(0.0)), x1)
+    single = c("_h._m") == 1
+    first = F.when(single & c("_o").isNotNull(), F.greatest(line(t, x, c("_o._x"), low, after), x - (c("_o._x") - x) / 2)).otherwise(x)
+    last = F.when(single & c("_p").isNotNull(), F.least(line(t, c("_p._x"), x, prev, low), x + (x - c("_p._x")) / 2)).otherwise(x)
+    under = F.when(c("_p").isNotNull(), line(t, c("_p._x"), x, prev, low)).otherwise(first)
+    over = F.when(c("_o").isNotNull(), line(t, x, c("_o._x"), high, after)).otherwise(last)
+    value = F.when(c("_n") == 1, x).when(t < low, under).when(t < high, x).otherwise(over)
+    return near.groupBy(*by).agg(*(F.max(F.when(c("_g") == g, value)).alias(out) for g, out in enumerate(goal)))
+
+
 def weighted_quantile_centred(df: DataFrame, by: Sequence[str], x: str, w: str, q: float, out: str = "q") -> DataFrame:
-    """Each sample's weight centred on it, linear between samples, at most half a step beyond the ends."""
-    order = Window.partitionBy(*by).orderBy(x, w)
-    own = df.where(f"{x} IS NOT NULL").select(*by, F.col(x).alias("_x"), F.col(w).cast("double").alias("_w"))
-    order = Window.partitionBy(*by).orderBy("_x", "_w")
-    every = Window.partitionBy(*by)
-    own = own.withColumn("_c", (F.sum("_w").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_w") / 2) / F.sum("_w").over(every))
-    own = own.withColumn("_n", F.count(F.lit(1)).over(every)).withColumn("_i", F.row_number().over(order))
-    own = own.withColumns({"_x1": F.lead("_x").over(order), "_c1": F.lead("_c").over(order)})
-    # the piece [c, c1) that q lies in, or the first or last piece beyond the ends
-    first, last = F.col("_i") == 1, F.col("_i") == F.col("_n") - 1
-    piece = own.where((F.col("_n") == 1) | (F.col("_x1").isNotNull() & ((q >= F.col("_c")) | first) & ((q < F.col("_c1")) | last)))
-    step = F.col("_c1") - F.col("_c")
-    line = F.when(step > 0, F.col("_x") + (q - F.col("_c")) * (F.col("_x1") - F.col("_x")) / step).otherwise(F.col("_x1"))
-    low = F.when(first, F.col("_x") - (F.col("_x1") - F.col("_x")) / 2)
-    high = F.when(last, F.col("_x1") + (F.col("_x1") - F.col("_x")) / 2)
-    value = F.when(F.col("_n") == 1, F.col("_x")).otherwise(F.least(F.greatest(line, F.coalesce(low, line)), F.coalesce(high, line)))
-    return piece.groupBy(*by).agg(F.min(value).alias(out))
+    """As centred_quantiles, of one quantile."""
+    return centred_quantiles(df, by, {out: (x, w, q)})
+
+
+def widened(lo: Column, hi: Column, q_lo: float, q_hi: float) -> tuple[Column, Column]:
+    """The range between two quantiles, widened to the full span of an even spread."""
+    half, centre = (hi - lo) / 2 / (q_hi - q_lo), (lo + hi) / 2
+    return centre - half, centre + half
 
 
 def robust_extent(df: DataFrame, by: Sequence[str], x: str, w: str, q_lo: float, q_hi: float) -> DataFrame:
     """(lo, hi): the range between two centred quantiles, widened to the full span of an even spread."""
-    a = weighted_quantile_centred(df, by, x, w, q_lo, "a")
-    b = weighted_quantile_centred(df, by, x, w, q_hi, "b")
-    half, centre = (F.col("b") - F.col("a")) / 2 / (q_hi - q_lo), (F.col("a") + F.col("b")) / 2
-    return a.join(b, list(by)).select(*by, (centre - half).alias("lo"), (centre + half).alias("hi"))
+    ends = centred_quantiles(df, by, {"a": (x, w, q_lo), "b": (x, w, q_hi)})
+    lo, hi = widened(F.col("a"), F.col("b"), q_lo, q_hi)
+    return ends.select(*by, lo.alias("lo"), hi.alias("hi"))
 
 
 def unit_equal_quantile(df: DataFrame, by: Sequence[str], unit: str, score: str, p: Column | float, out: str = "q") -> DataFrame:

@@ -30,18 +30,18 @@ def query(sql: str | None = None):
 
 # embeddings as depth rasters of 8 x 8 pixels, a frame each; confidence by place, one in four without
 PIXELS_SQL = """pixels AS (SELECT vec_id AS frame, (n.k // 8)::int AS i, (n.k % 8)::int AS j, abs(embedding[n.k + 1]::double) * 20 AS depth, CASE WHEN (vec_id + n.k) % 4 < 3 THEN (vec_id + n.k) % 4 END AS conf FROM embeddings, generate_series(0, 63) n(k))"""
-_WORLD_SQL = f"""{PIXELS_SQL}, cam AS (SELECT *, (j - 3.5::double) * depth / 50 AS cx, (i - 3.5::double) * depth / 50 AS cy, cos(frame * 0.01::double) AS c, sin(frame * 0.01::double) AS s FROM pixels),
+WORLD_SQL = f"""{PIXELS_SQL}, cam AS (SELECT *, (j - 3.5::double) * depth / 50 AS cx, (i - 3.5::double) * depth / 50 AS cy, cos(frame * 0.01::double) AS c, sin(frame * 0.01::double) AS s FROM pixels),
 world AS (SELECT frame, i, j, depth, c * cx - s * cy + frame % 7 AS x, s * cx + c * cy + frame % 5 AS y, depth + 1.5::double AS z FROM cam)"""
 
 
-def _pixels(spark: SparkSession, d: str) -> DataFrame:
+def pixels(spark: SparkSession, d: str) -> DataFrame:
     e = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("frame"), F.posexplode("embedding").alias("k", "v"))
     place = (F.col("frame") + F.col("k")) % 4
     return e.select("frame", F.floor(F.col("k") / 8).cast("int").alias("i"), (F.col("k") % 8).alias("j"), (F.abs(F.col("v").cast("double")) * 20).alias("depth"), F.when(place < 3, place).alias("conf"))
 
 
-def _world(spark: SparkSession, d: str) -> DataFrame:
-    p = _pixels(spark, d)
+def world(spark: SparkSession, d: str) -> DataFrame:
+    p = pixels(spark, d)
     f = F.col("frame")
     c, s = F.cos(f * 0.01), F.sin(f * 0.01)
     number = lambda *xs: F.array(*(F.lit(float(x)) if isinstance(x, (int, float)) else x.cast("double") for x in xs))
@@ -53,26 +53,26 @@ def _world(spark: SparkSession, d: str) -> DataFrame:
 SELECT frame, i, j, CASE WHEN depth BETWEEN 0.2::double AND 4.5::double AND NOT coalesce(abs(a - depth) > 0.1::double * least(a, depth), false) AND NOT coalesce(abs(b - depth) > 0.1::double * least(b, depth), false) AND NOT coalesce(abs(u - depth) > 0.1::double * least(u, depth), false) AND NOT coalesce(abs(v - depth) > 0.1::double * least(v, depth), false)
  THEN CASE conf WHEN 2 THEN 1.0::double WHEN 1 THEN 0.3::double WHEN 0 THEN 0.0::double ELSE 0.3::double END ELSE 0.0::double END AS w FROM n""")
 def depth_weights(spark: SparkSession, d: str) -> DataFrame:
-    return sensor_log.depth_weight(_pixels(spark, d), ("frame",)).select("frame", "i", "j", "w")
+    return sensor_log.depth_weight(pixels(spark, d), ("frame",)).select("frame", "i", "j", "w")
 
 
-@query(f"WITH {_WORLD_SQL} SELECT frame, i, j, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM world")
+@query(f"WITH {WORLD_SQL} SELECT frame, i, j, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM world")
 def backprojected(spark: SparkSession, d: str) -> DataFrame:
-    return _world(spark, d).select("frame", "i", "j", *(F.round(c, 6).alias(c) for c in "xyz"))
+    return world(spark, d).select("frame", "i", "j", *(F.round(c, 6).alias(c) for c in "xyz"))
 
 
-@query(f"""WITH {_WORLD_SQL}, n AS (SELECT *, lead(x) OVER r - lag(x) OVER r AS ux, lead(y) OVER r - lag(y) OVER r AS uy, lead(z) OVER r - lag(z) OVER r AS uz, lead(x) OVER c - lag(x) OVER c AS vx, lead(y) OVER c - lag(y) OVER c AS vy, lead(z) OVER c - lag(z) OVER c AS vz FROM world WINDOW r AS (PARTITION BY frame, i ORDER BY j), c AS (PARTITION BY frame, j ORDER BY i)),
+@query(f"""WITH {WORLD_SQL}, n AS (SELECT *, lead(x) OVER r - lag(x) OVER r AS ux, lead(y) OVER r - lag(y) OVER r AS uy, lead(z) OVER r - lag(z) OVER r AS uz, lead(x) OVER c - lag(x) OVER c AS vx, lead(y) OVER c - lag(y) OVER c AS vy, lead(z) OVER c - lag(z) OVER c AS vz FROM world WINDOW r AS (PARTITION BY frame, i ORDER BY j), c AS (PARTITION BY frame, j ORDER BY i)),
 m AS (SELECT *, uy * vz - uz * vy AS nx, uz * vx - ux * vz AS ny, ux * vy - uy * vx AS nz FROM n WHERE ux IS NOT NULL AND vx IS NOT NULL), l AS (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS size, CASE WHEN nx * (frame % 7 - x) + ny * (frame % 5 - y) + nz * (1.5::double - z) < 0 THEN -1 ELSE 1 END AS s FROM m)
 SELECT frame, i, j, round(nx * s / size, 5) AS nx, round(ny * s / size, 5) AS ny, round(nz * s / size, 5) AS nz FROM l WHERE size > 0""")
 def pixel_normals(spark: SparkSession, d: str) -> DataFrame:
     f = F.col("frame")
-    p = _world(spark, d).withColumns({"cx": (f % 7).cast("double"), "cy": (f % 5).cast("double"), "cz": F.lit(1.5)})
+    p = world(spark, d).withColumns({"cx": (f % 7).cast("double"), "cy": (f % 5).cast("double"), "cz": F.lit(1.5)})
     return sensor_log.grid_normals(p, ("frame",)).select("frame", "i", "j", *(F.round(c, 5).alias(c) for c in ("nx", "ny", "nz")))
 
 
 @query(f"WITH {PIXELS_SQL} SELECT frame, i, j, depth FROM pixels WHERE i % 3 = 0 AND j % 3 = 0")
 def pixel_stride(spark: SparkSession, d: str) -> DataFrame:
-    return sensor_log.strided(_pixels(spark, d), 3).select("frame", "i", "j", "depth")
+    return sensor_log.strided(pixels(spark, d), 3).select("frame", "i", "j", "depth")
 
 
 @query(f"""WITH {POINTS_SQL}, ok AS (SELECT * FROM points WHERE nx*nx+ny*ny+nz*nz > 0 AND w > 0 AND w <= 1), m AS (SELECT label, median(x) AS mx, median(y) AS my, median(z) AS mz FROM ok GROUP BY 1), d AS (SELECT ok.*, sqrt((x-mx)*(x-mx)+(y-my)*(y-my)+(z-mz)*(z-mz)) AS d FROM ok JOIN m USING (label)), l AS (SELECT label, 1.5::double * median(d) AS top FROM d GROUP BY 1)
@@ -205,7 +205,7 @@ def chained_poses(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {PIXELS_SQL.replace('pixels AS (', 'pixels AS MATERIALIZED (')}, a AS MATERIALIZED (SELECT frame * 64 + i * 8 + j AS k, frame, i, j, depth FROM pixels), b AS MATERIALIZED (SELECT frame * 64 + j * 8 + i AS k, depth FROM pixels) SELECT frame, i, j, round(a.depth + b.depth, 6) AS both FROM a JOIN b USING (k)")
 def shared_pixels(spark: SparkSession, d: str) -> DataFrame:
     """A raster and its mirror as two runs; all their common pixels, as a frame has fewer than the sample."""
-    a = _pixels(spark, d).select("frame", "i", "j", *(F.col("depth").alias(k) for k in "xyz"))
+    a = pixels(spark, d).select("frame", "i", "j", *(F.col("depth").alias(k) for k in "xyz"))
     b = a.select("frame", F.col("j").alias("i"), F.col("i").alias("j"), "x", "y", "z")
     return planes.shared_pixels(a, b, [], 64).select("frame", "i", "j", F.round(F.col("x") + F.col("x_b"), 6).alias("both"))
 
@@ -219,7 +219,7 @@ def covisibility(spark: SparkSession, d: str) -> DataFrame:
 
 def _covisible_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     label = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("frame"), F.col("label").alias("capture_id"))
-    p = _pixels(spark, d).join(label, "frame").withColumn("depth", 1 + F.col("depth") / 4)
+    p = pixels(spark, d).join(label, "frame").withColumn("depth", 1 + F.col("depth") / 4)
     at = lambda c, n: F.col("frame") % n / 50.0
     world = p.select("capture_id", F.col("frame").alias("view_a"), (F.col("i") * 8 + F.col("j")).alias("point"), ((F.col("j") - 3.5) * F.col("depth") / 8 + at("x", 7)).alias("x"), ((F.col("i") - 3.5) * F.col("depth") / 8 + at("y", 5)).alias("y"), F.col("depth").alias("z"))
     one = F.array(*(F.lit(float(x)) for x in (1, 0, 0, 0, 1, 0, 0, 0, 1)))

@@ -91,7 +91,7 @@ def mirrored_openings(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {POINTS_SQL}, r AS (SELECT point_id, label, x AS px, y AS py FROM points), m AS (SELECT point_id, px + (0.5::double - px) * CASE WHEN d > 1e-6::double THEN least(0.05::double, d) / d ELSE 0 END AS x, py + (0.5::double - py) * CASE WHEN d > 1e-6::double THEN least(0.05::double, d) / d ELSE 0 END AS y FROM (SELECT *, sqrt(pow(0.5::double - px, 2) + pow(0.5::double - py, 2)) AS d FROM r)),
 b AS (SELECT g.i AS ring, -0.3::double + 0.15::double * g.i AS x0, -0.3::double + 0.15::double * g.i + 0.1::double AS x1, -0.25::double AS y0, 0.2::double AS y1 FROM generate_series(0, 3) g(i)), q AS (SELECT point_id, ring, sqrt(pow(greatest(x0 - x, x - x1, 0), 2) + pow(greatest(y0 - y, y - y1, 0), 2)) AS d FROM m, b)
-SELECT point_id, arg_min(ring, (d, ring))::int AS ring, round(min(d), 6) AS distance FROM q WHERE d <= 0.3::double GROUP BY 1""")
+SELECT point_id, arg_min(ring, (d, ring))::int AS ring, round(min(d), 6) AS distance FROM q WHERE d <= 0.5::double GROUP BY 1""")
 def snapped_rooms(spark: SparkSession, d: str) -> DataFrame:
     """Points, moved towards a camera, in four narrow rooms or beside them."""
     x, y = lifting.towards_camera(F.col("x"), F.col("y"), F.lit(0.5), F.lit(0.5))
@@ -106,8 +106,8 @@ def snapped_rooms(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey AS k, CASE WHEN l_linenumber = 7 THEN NULL ELSE 'R' END AS room, l_quantity / 10 AS x, l_discount * 2 AS y, l_tax * 30 AS z, cos(l_quantity) AS nx, sin(l_quantity) AS ny0, CASE WHEN l_linestatus = 'F' THEN 0.9::double ELSE 0.1::double END AS nz FROM lineitem),
 n AS (SELECT *, nx * sqrt(1 - nz * nz) AS ax, ny0 * sqrt(1 - nz * nz) AS ay FROM m), w AS (SELECT *, y AS d0, abs(4 - x) AS d1 FROM (SELECT *, sqrt(pow(x - least(greatest(x, 0), 4), 2) + y * y) AS e0, sqrt(pow(x - 4, 2) + pow(y - least(greatest(y, 0), 3), 2)) AS e1 FROM n)),
-b AS (SELECT *, CASE WHEN e0 <= e1 THEN 'A' ELSE 'B' END AS wall, least(e0, e1) AS d, CASE WHEN e0 <= e1 THEN ay ELSE -ax END AS facing FROM w), s AS (SELECT *, CASE WHEN room IS NOT NULL AND nz < 0.8::double AND d <= 0.15::double THEN 'wall' WHEN room IS NOT NULL AND nz < 0.8::double AND nz <= 0.5::double AND d <= 0.35::double AND facing >= 0.7::double THEN 'wall_loose' END AS how FROM b)
-SELECT l_orderkey, l_linenumber, l_partkey, k AS l_suppkey, CASE WHEN room IS NULL THEN 'outside_rooms' WHEN how IS NOT NULL THEN how WHEN least(abs(z), abs(z - 2.5::double)) <= CASE WHEN nz >= 0.8::double THEN 0.25::double ELSE 0.1::double END THEN CASE WHEN abs(z) <= abs(z - 2.5::double) THEN 'floor' ELSE 'ceiling' END ELSE 'off_surface' END AS method, CASE WHEN room IS NOT NULL AND how IS NOT NULL THEN wall END AS wall FROM s""")
+b AS (SELECT *, CASE WHEN e0 <= e1 THEN 'A' ELSE 'B' END AS wall, least(e0, e1) AS d, CASE WHEN e0 <= e1 THEN ay ELSE -ax END AS facing FROM w), s AS (SELECT *, CASE WHEN room IS NOT NULL AND nz < 0.82::double AND d <= 0.15::double THEN 'wall' WHEN room IS NOT NULL AND nz < 0.82::double AND nz <= 0.57::double AND d <= 0.3::double AND facing >= 0.9::double THEN 'wall_loose' END AS how FROM b)
+SELECT l_orderkey, l_linenumber, l_partkey, k AS l_suppkey, CASE WHEN room IS NULL THEN 'outside_rooms' WHEN how IS NOT NULL THEN how WHEN least(abs(z), abs(z - 2.5::double)) <= CASE WHEN nz >= 0.82::double THEN 0.3::double ELSE 0.1::double END THEN CASE WHEN abs(z) <= abs(z - 2.5::double) THEN 'floor' ELSE 'ceiling' END ELSE 'off_surface' END AS method, CASE WHEN room IS NOT NULL AND how IS NOT NULL THEN wall END AS wall FROM s""")
 def assigned_surfaces(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
     mask = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -121,25 +121,6 @@ def assigned_surfaces(spark: SparkSession, d: str) -> DataFrame:
     return a.select("mask.*", "method", F.when(c("method").startswith("wall"), c("surface")).alias("wall"))
 
 
-@query(f"""WITH {POINTS_SQL}, q AS (SELECT label, point_id % 5 AS m, x AS u, y AS v, z AS d, w AS coverage, score + 0.1::double AS projected, abs(nx) < 0.2::double AS s, point_id % 4 <> 0 AS valid FROM points),
-ok AS (SELECT *, coverage * projected AS a FROM q WHERE valid), o AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY label, m) AS n, (sum(a) OVER (PARTITION BY label, m ORDER BY d, a ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - a / 2) / sum(a) OVER (PARTITION BY label, m) AS c, lead(d) OVER w AS x1 FROM ok WINDOW w AS (PARTITION BY label, m ORDER BY d, a)), e AS (SELECT *, lead(c) OVER (PARTITION BY label, m ORDER BY i) AS c1 FROM o),
-p AS (SELECT * FROM e WHERE n = 1 OR (x1 IS NOT NULL AND (0.5 >= c OR i = 1) AND (0.5 < c1 OR i = n - 1))), mid AS (SELECT label, m, min(CASE WHEN n = 1 THEN d ELSE least(greatest(CASE WHEN c1 > c THEN d + (0.5::double - c) * (x1 - d) / (c1 - c) ELSE x1 END, CASE WHEN i = 1 THEN d - (x1 - d) / 2 ELSE CASE WHEN c1 > c THEN d + (0.5::double - c) * (x1 - d) / (c1 - c) ELSE x1 END END), CASE WHEN i = n - 1 THEN x1 + (x1 - d) / 2 ELSE CASE WHEN c1 > c THEN d + (0.5::double - c) * (x1 - d) / (c1 - c) ELSE x1 END END) END) AS d0 FROM p GROUP BY 1, 2),
-inl AS (SELECT ok.* FROM ok JOIN mid USING (label, m) WHERE abs(d - d0) <= 0.1::double AND s), t AS (SELECT label, m, sum(coverage) / greatest(sum(coverage) FILTER (valid), 1e-12::double) AS up FROM q GROUP BY 1, 2)
-SELECT label, m, round(sum(a) * any_value(up), 6) AS area, count(*) AS n FROM inl JOIN t USING (label, m) GROUP BY 1, 2 HAVING sum(coverage) >= 0.5::double""")
-def measured_masks(spark: SparkSession, d: str) -> DataFrame:
-    c = F.col
-    p = points(spark, d).select("label", (c("point_id") % 5).alias("m"), c("x").alias("u"), c("y").alias("v"), c("z").alias("d"), c("w").alias("coverage"), (c("score") + 0.1).alias("projected"), (F.abs("nx") < 0.2).alias("on_surface"), (c("point_id") % 4 != 0).alias("valid"))
-    s = lifting.measure_on_surface(p, ["label", "m"], off_plane=0.1, least=0.5)
-    return s.select("label", "m", F.round("area", 6).alias("area"), "n")
-
-
-@query(f"""WITH {POINTS_SQL}, a AS (SELECT label AS k, x, w FROM points), o AS (SELECT *, row_number() OVER w1 AS i, count(*) OVER (PARTITION BY k) AS n, (sum(w) OVER (PARTITION BY k ORDER BY x, w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - w / 2) / sum(w) OVER (PARTITION BY k) AS c, lead(x) OVER w1 AS x1 FROM a WINDOW w1 AS (PARTITION BY k ORDER BY x, w)), e AS (SELECT *, lead(c) OVER (PARTITION BY k ORDER BY i) AS c1 FROM o WHERE n >= 3)
-SELECT k AS label, n, round(min(x + (0.5::double - c) * (x1 - x) / (c1 - c)) FILTER (0.5 >= c AND 0.5 < c1), 6) AS x, round(min(x + (0.05::double - c) * (x1 - x) / (c1 - c)) FILTER (0.05::double >= c AND 0.05::double < c1), 6) AS x0, round(min(x + (0.95::double - c) * (x1 - x) / (c1 - c)) FILTER (0.95::double >= c AND 0.95::double < c1), 6) AS x1 FROM e GROUP BY 1, 2""")
-def placed_objects(spark: SparkSession, d: str) -> DataFrame:
-    o = lifting.place_objects(points(spark, d), ["label"])
-    return o.select("label", "n", *(F.round(k, 6).alias(k) for k in ("x", "x0", "x1")))
-
-
 @query("""WITH e AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'crack' WHEN 'view' THEN 'mold' ELSE 'hole' END AS cls, value / 100 AS score, event_id % 7 / 7.0::double AS hole, event_id % 5 / 5.0::double AS mold, event_id % 4 = 0 AS line, event_id % 3 = 0 AS tile FROM events), b AS (SELECT *, CASE WHEN mold >= hole THEN 'mold' ELSE 'hole' END AS alt, greatest(hole, mold) AS top FROM e)
 SELECT event_id, CASE WHEN line THEN 'crack' WHEN cls = 'crack' THEN CASE WHEN top >= CASE alt WHEN 'mold' THEN 0.4::double ELSE 0.6::double END AND NOT tile THEN alt END WHEN tile THEN NULL WHEN score < CASE cls WHEN 'mold' THEN 0.4::double ELSE 0.6::double END THEN NULL ELSE cls END AS cls,
 CASE WHEN line THEN CASE WHEN cls <> 'crack' THEN 'thin_line' END WHEN cls = 'crack' THEN CASE WHEN top >= CASE alt WHEN 'mold' THEN 0.4::double ELSE 0.6::double END AND NOT tile THEN 'relabelled' ELSE 'crack_without_line' END WHEN tile THEN 'tile_area' WHEN score < CASE cls WHEN 'mold' THEN 0.4::double ELSE 0.6::double END THEN 'below_floor' END AS reason FROM b""")
