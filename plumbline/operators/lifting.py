@@ -157,7 +157,8 @@ def mask_medians(lifted: DataFrame, by: Sequence[str]) -> DataFrame:
     place = centred_quantiles(weighed.where("valid"), keys, {a: (a, "_w", 0.5) for a in "xyz"})
     sums = weighed.groupBy(*keys).agg(*(F.sum(c("_w") * c(f"n{k}")).alias(f"_n{k}") for k in "xyz"), (F.coalesce(F.sum(F.when(c("valid"), c("coverage"))), F.lit(0.0)) / F.sum("coverage")).alias("valid_share"))
     size = F.sqrt(c("_nx") ** 2 + c("_ny") ** 2 + c("_nz") ** 2)
-    return sums.join(place, keys, "left").select(*keys, *"xyz", *(F.coalesce(F.when(size > 1e-12, c(f"_n{k}") / F.nullif(size, F.lit(0.0))), F.lit(0.0)).alias(f"n{k}") for k in "xyz"), "valid_share")
+    out = sums.join(place, keys, "left").select(*keys, *"xyz", *(F.coalesce(F.when(size > 1e-12, c(f"_n{k}") / F.nullif(size, F.lit(0.0))), F.lit(0.0)).alias(f"n{k}") for k in "xyz"), "valid_share")
+    return materialize(out, "medians")  # a row a mask, read several times by the assignment
 
 
 def see_through(covered: DataFrame, pixels: DataFrame, ring: DataFrame, by: Sequence[str], behind: float = BEHIND) -> DataFrame:
