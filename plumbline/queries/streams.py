@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.plans.result import KeyedStore
 from plumbline.session import fresh_path, read_table
 from plumbline.streaming import operators as st
+from plumbline.streaming import ordered
 
 from .tables import POINTS_SQL
 
@@ -73,6 +74,41 @@ def stream_store(spark: SparkSession, d: str) -> DataFrame:
     return store.read("key")
 
 
+def _in_order(spark: SparkSession, d: str, values: dict, fold, columns: tuple[str, ...]) -> DataFrame:
+    """Events folded by user, with the state store that timers need for this stream alone."""
+    e = st.timed(_stream(spark, d, "events"), "ts", "10 minutes").select("user_id", "ts", "event_id", *(c.alias(n) for n, c in values.items()))
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, ordered.ROCKS)
+    try:
+        out = _finished(spark, ordered.in_order(e, "user_id", "ts", "event_id", list(values), fold, 43_200.0), "append")
+    finally:
+        spark.conf.set(setting, before)
+    return out.select("user_id", *columns)
+
+
+def stream_slots(spark: SparkSession, d: str) -> DataFrame:
+    """Hours of media time that runs back at every seventh event; a user idle for half a day begins anew."""
+    t = F.unix_micros(F.col("ts")) / 1e6 - F.when(F.col("event_id") % 7 == 3, 5000.0).otherwise(0.0)
+    return _in_order(spark, d, {"t": t, "score": F.col("value")}, ordered.Slots(1 / 3600), ("slot", "number", "score"))
+
+
+def stream_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Six hours from a user's first event, broken at jumps of the value."""
+    values = {"t": F.unix_micros(F.col("ts")) / 1e6, "x": F.col("value"), "y": F.lit(0.0), "z": F.lit(0.0)}
+    return _in_order(spark, d, values, ordered.Segments(21_600.0, 0.001, 40.0), ("segment", "first", "last", "n"))
+
+
+# what the watermark has passed, in runs of less than half a day between events
+_RUNS_SQL = """w AS (SELECT floor(epoch_us(max(ts)) / 1000)::bigint - 600000 AS w FROM events), e AS (SELECT user_id, event_id, value, floor(epoch_us(ts) / 1000)::bigint AS ms, epoch_us(ts) / 1e6::double AS t FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_id IS NOT NULL AND value IS NOT NULL),
+g AS (SELECT e.*, coalesce(ms - lag(ms) OVER u >= 43200000, false) AS new FROM e, w WHERE ms <= w WINDOW u AS (PARTITION BY user_id ORDER BY ms, event_id)), r AS (SELECT *, sum(new::int) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM g)"""
+QUERIES |= {f.__name__: f for f in (stream_slots, stream_segments)}
+ORACLE_SQL["stream_slots"] = f"""WITH {_RUNS_SQL}, m AS (SELECT *, t - CASE WHEN event_id % 7 = 3 THEN 5000 ELSE 0 END AS mt FROM r), z AS (SELECT *, greatest(mt - first_value(mt) OVER (PARTITION BY user_id, run ORDER BY ms, event_id), 0) AS z FROM m), s AS (SELECT *, max(floor(z * (1 / 3600.0::double) + 1e-9::double)::bigint) OVER (PARTITION BY user_id, run ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS slot, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS i FROM z),
+a AS (SELECT user_id, run, slot, arg_max(event_id, (value, -i)) AS number, max(value) AS score, max(ms) AS last, row_number() OVER (PARTITION BY user_id ORDER BY run DESC, slot DESC) AS back FROM s GROUP BY 1, 2, 3) SELECT user_id, slot, number, score FROM a, w WHERE back > 1 OR w - last >= 43200000"""
+ORACLE_SQL["stream_segments"] = f"""WITH {_RUNS_SQL}, b AS (SELECT *, floor((t - first_value(t) OVER u) / 21600)::bigint AS bin, coalesce(abs(value - lag(value) OVER u) > 40 AND abs(value - lag(value) OVER u) / greatest(t - lag(t) OVER u, 0.001::double) > 0.001::double, false) AS jump, row_number() OVER u AS i FROM r WINDOW u AS (PARTITION BY user_id, run ORDER BY ms, event_id)),
+c AS (SELECT *, coalesce((jump OR bin <> lag(bin) OVER (PARTITION BY user_id, run ORDER BY i))::int, 0) AS step FROM b), s AS (SELECT *, sum(step) OVER (PARTITION BY user_id, run ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::bigint AS segment FROM c),
+a AS (SELECT user_id, run, segment, arg_min(event_id, i) AS first, arg_max(event_id, i) AS last, count(*) AS n, max(ms) AS ended, row_number() OVER (PARTITION BY user_id ORDER BY run DESC, segment DESC) AS back FROM s GROUP BY 1, 2, 3) SELECT user_id, segment, first, last, n FROM a, w WHERE back > 1 OR w - ended >= 43200000"""
+
 QUERIES |= {f.__name__: f for f in (stream_slot_argmax, stream_voxel, stream_keyframes, stream_sessions, stream_store)}
 ORACLE_SQL["stream_store"] = """SELECT DISTINCT md5(coalesce(text, '')) AS key, 32::int AS n FROM documents"""
 ORACLE_SQL["stream_sessions"] = """WITH e AS (SELECT user_id, epoch_us(ts) AS t, event_id FROM events), n AS (SELECT *, coalesce((t - lag(t) OVER w >= 1800000000)::int, 0) AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM n)
