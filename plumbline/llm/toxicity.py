@@ -10,8 +10,8 @@ themselves get no weight, however the labels lean, and neutral mentions of a
 group are not held against a text.
 
 Labels are learned from a bounded sample of labelled rows (MAX_TRAINING_ROWS,
-by hash of the doc_id); its ids are small enough to be sent to the scan. The
-text itself never moves. Every feature of the sample that leans to either
+by hash of the doc_id; equal texts of one id count once); its ids are small
+enough to be sent to the scan. The text itself never moves. Every feature of the sample that leans to either
 label by LEAN standard errors is weighed, so their number is bounded by the
 sample's.
 """
@@ -92,8 +92,8 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 return pa.ListArray.from_arrays(pa.array(np.searchsorted(keys, np.arange(n + 1)), pa.int32()), pa.array(values, pa.int32()))
 
             yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic").slice(row, n), lists(both >> PLACES, both & ((1 << PLACES) - 1)), lists(terms >> 40, terms & ((1 << 40) - 1))],
-                ["toxic", "places", "terms"],
+                [*(batch.column(c).slice(row, n) for c in ("toxic", "doc_id", "copy")), lists(both >> PLACES, both & ((1 << PLACES) - 1)), lists(terms >> 40, terms & ((1 << 40) - 1))],
+                ["toxic", "doc_id", "copy", "places", "terms"],
             )
 
 
@@ -171,7 +171,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, p
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # max_rows ids: small enough to broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    rows = materialize(texts.select("toxic", "text").mapInArrow(_described, "toxic int, places array<int>, terms array<int>"), "labelled")
+    texts = texts.withColumn("copy", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    described = materialize(texts.select("toxic", "doc_id", "copy", "text").mapInArrow(_described, "toxic int, doc_id long, copy string, places array<int>, terms array<int>"), "described")
+    # an id may have many rows: a text of an id counts once, and the texts are bounded as the ids are
+    kept = described.select("doc_id", "copy").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "copy").limit(max_rows)
+    rows = described.join(F.broadcast(kept), ["doc_id", "copy"], "left_semi").dropDuplicates(["doc_id", "copy"])
+    rows = materialize(rows.select("toxic", "places", "terms"), "labelled")
 
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     pos, neg = totals["toxic"], totals["n"] - totals["toxic"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.decontam import leaks
 from plumbline.llm.packing import best_fit
+from plumbline.llm import toxicity
 from plumbline.llm.toxicity import fit, score_toxicity
 
 from .conftest import documents, words
@@ -205,6 +206,20 @@ def test_held_out_recall_on_given_documents(spark, sf_dir):
     assert sum(clean) <= 0.1 * len(clean)
 
 
+@pytest.mark.parametrize("different", [False, True])
+def test_training_is_bounded_by_rows(spark, monkeypatch, different):
+    """Two ids with 300 rows each, of one text or of 300, give max_rows rows to the driver."""
+    rows = [(k, f"words of {k} number {i if different else 0}") for k in (1, 3) for i in range(300)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 3 // 2) for k in range(6)], "doc_id long, toxic int")
+    seen = []
+    train = toxicity._train
+    monkeypatch.setattr(toxicity, "_train", lambda labelled, *rest: seen.append(len(labelled)) or train(labelled, *rest))
+    toxicity.fit(docs, labels, max_rows=2)
+    toxicity.fit(docs, labels)
+    learned = [k for k in (1, 3) if zlib.crc32(str(k).encode()) % 4 != 2]
+    assert seen[0] <= 2 and seen[1] == len(learned) * (300 if different else 1)
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = score_toxicity(odd, none).collect()
