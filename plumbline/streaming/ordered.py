@@ -72,9 +72,11 @@ class Segments:
 class InOrder(StatefulProcessor):
     """Rows of a key wait until the watermark passes them and are folded by time and number; what is closed is given out once.
 
-    A timer a distinct time of waiting rows wakes a key. A key without a row
-    for ``idle`` milliseconds ends: its open record is given out, its state
-    goes, and a later row begins anew.
+    A timer at the earliest of the rows that came together wakes a key; it
+    folds all that the watermark has passed and sets the next at the earliest
+    row left, so a key wakes about once a batch, not once a row. A key without
+    a row for ``idle`` milliseconds ends: its open record is given out, its
+    state goes, and a later row begins anew.
     """
 
     def __init__(self, key: str, kind: str, fold: Slots | Segments, fields: Sequence[tuple[str, str]], idle: int) -> None:
@@ -89,8 +91,7 @@ class InOrder(StatefulProcessor):
         got = pd.concat(list(rows))
         listed = [tuple(r) for r in got[["ms", *(name for name, _ in self.fields)]].astype(object).itertuples(index=False)]
         self.waiting.appendList([(int(ms), int(number), *map(float, rest)) for ms, number, *rest in listed])
-        for ms in {int(r[0]) for r in listed}:
-            self.handle.registerTimer(ms)
+        self.handle.registerTimer(min(int(r[0]) for r in listed))
         yield pd.DataFrame(columns=self._names())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
@@ -102,6 +103,7 @@ class InOrder(StatefulProcessor):
             rest = [r for r in waiting if r[0] > upto]
             if rest:
                 self.waiting.put(rest)
+                self.handle.registerTimer(min(r[0] for r in rest))
             else:
                 self.waiting.clear()
         held = tuple(self.open.get()) if self.open.exists() else None

@@ -3,10 +3,11 @@
 import random
 import uuid
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.streaming.ordered import ROCKS, Segments, Slots, in_order
+from plumbline.streaming.ordered import ROCKS, InOrder, Segments, Slots, in_order
 
 SCHEMA = "k string, ms long, number long, t double, score double, x double, y double, z double"
 
@@ -77,3 +78,63 @@ def test_a_row_of_earlier_media_time_counts_in_the_current_slot():
     assert closed == (0, 0, 0.0, 1.0)
     held, closed = fold.step(held, (2, 10.5, 3.0))
     assert closed is None and fold.end(held) == (1, 2, 0.5, 3.0)
+
+
+class _Held:
+    """State and timers of one key, in memory."""
+
+    def __init__(self):
+        self.value, self.timers = None, []
+
+    def getListState(self, name, schema):
+        return _Cell()
+
+    def getValueState(self, name, schema):
+        return _Cell()
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+class _Cell:
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value or []
+
+    def appendList(self, rows):
+        self.value = (self.value or []) + rows
+
+    def put(self, value):
+        self.value = value
+
+    update = put
+
+    def clear(self):
+        self.value = None
+
+
+class _At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getExpiryTimeInMs(self):
+        return self.ms
+
+    def getCurrentWatermarkInMs(self):
+        return 5_000
+
+
+def test_a_key_wakes_once_a_batch():
+    held, keyed = _Held(), InOrder("k", "string", Slots(1.0), [("number", "long"), ("t", "double"), ("score", "double")], 30_000)
+    keyed.init(held)
+    rows = pd.DataFrame([(ms, n, ms / 1000, 1.0) for n, ms in enumerate(range(1_000, 9_000, 100))], columns=["ms", "number", "t", "score"])
+    list(keyed.handleInputRows(("a",), iter([rows]), None))
+    assert held.timers == [1_000]
+    got = pd.concat(keyed.handleExpiredTimer(("a",), _At(5_000), _At(1_000)))
+    assert got["slot"].tolist() == [0, 1, 2, 3]
+    assert held.timers[1:] == [5_100, 35_000]
