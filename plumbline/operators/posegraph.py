@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumbline.session import discard, materialize
 
@@ -37,6 +38,8 @@ from .registration import rows, typed
 DIMENSIONS = {"yaw": 4, "sim3": 7}
 #: Graphs of so many nodes are solved in one go.
 CORE = 64
+#: Constraints of a graph that is solved with others in one task.
+RULES = 1_024
 #: Scalar residuals beyond this many sigmas count less; information of a loop's best direction stands for so many metres.
 HUBER, LOOP_SIGMA, LOOP_BEST = 3.0, 0.005, 1.0 / 3.0
 _STEP = 1e-6
@@ -133,39 +136,159 @@ def residuals(kind: str, a: Pose, b: Pose, m: np.ndarray, s: np.ndarray, xa: np.
     return turning(np.swapaxes(m.reshape(-1, 3, 3), 1, 2) @ a[1]) / s[:, :1]
 
 
-def _linearised(model: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _blocks(model: str, kind: str, m: np.ndarray, s: np.ndarray, base: list[np.ndarray], x: list[np.ndarray], free: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """([haa, hbb, hab, ga, gb], cost) of constraints of a kind, linearised at the parameters x of their two nodes."""
     d = DIMENSIONS[model]
+    still = [posed(model, base[n], x[n]) for n in (0, 1)]
+    r, j = residuals(kind, *still, m, s, x[0]), []
+    for side in (0, 1):
+
+        def off(step: np.ndarray, side: int = side) -> np.ndarray:
+            p = x[side] + step
+            ends = [posed(model, base[n], p) if n == side else still[n] for n in (0, 1)]
+            return residuals(kind, *ends, m, s, x[0] if side else p)
+
+        columns = []
+        for k in range(d):
+            step = np.zeros(d)
+            step[k] = _STEP
+            columns.append((off(step) - off(-step)) / (2 * _STEP))
+        j.append(np.stack(columns, 2) * free[side][:, None, :])
+    if kind in ("z", "yaw", "rotation"):
+        j[1] = np.zeros_like(j[1])
+    w = np.where(np.abs(r) <= HUBER, 1.0, HUBER / np.maximum(np.abs(r), 1e-12))
+    block = lambda p, q: np.einsum("nki,nk,nkj->nij", p, w, q).reshape(len(p), -1)
+    down = [np.einsum("nki,nk,nk->ni", p, w, r) for p in j]
+    cost = np.where(np.abs(r) <= HUBER, r * r / 2, HUBER * (np.abs(r) - HUBER / 2)).sum(1)
+    return [block(j[0], j[0]), block(j[1], j[1]), block(j[0], j[1]), *down], cost
+
 
+def _linearised(model: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = pa.Table.from_batches([batch]).to_pandas()
             for kind, part in table.groupby("kind"):
                 get = lambda c: np.stack(part[c].to_numpy()).astype(float)  # noqa: E731, B023
-                m, s, base, x = get("m"), get("s"), [get("base_a"), get("base_b")], [get("x_a"), get("x_b")]
-                free = [get("free_a"), get("free_b")]
-                at = lambda p, q: residuals(kind, posed(model, base[0], p), posed(model, base[1], q), m, s, p)  # noqa: E731, B023
-                r, j = at(*x), []
-                for side in (0, 1):
-                    columns = []
-                    for k in range(d):
-                        step = np.zeros(d)
-                        step[k] = _STEP
-                        ends = [[v + sign * step if side == n else v for n, v in enumerate(x)] for sign in (1, -1)]
-                        columns.append((at(*ends[0]) - at(*ends[1])) / (2 * _STEP))
-                    j.append(np.stack(columns, 2) * free[side][:, None, :])
-                if kind in ("z", "yaw", "rotation"):
-                    j[1] = np.zeros_like(j[1])
-                w = np.where(np.abs(r) <= HUBER, 1.0, HUBER / np.maximum(np.abs(r), 1e-12))
-                block = lambda p, q: np.einsum("nki,nk,nkj->nij", p, w, q).reshape(len(p), -1)  # noqa: E731, B023
-                down = [np.einsum("nki,nk,nk->ni", p, w, r) for p in j]
-                cost = np.where(np.abs(r) <= HUBER, r * r / 2, HUBER * (np.abs(r) - HUBER / 2)).sum(1)
+                cols, cost = _blocks(model, kind, get("m"), get("s"), [get("base_a"), get("base_b")], [get("x_a"), get("x_b")], [get("free_a"), get("free_b")])
                 listed = lambda v: pa.array(list(v), pa.list_(pa.float64()))
-                cols = [block(j[0], j[0]), block(j[1], j[1]), block(j[0], j[1]), *down]
                 yield pa.RecordBatch.from_arrays([pa.array(part["c"].to_numpy()), *map(listed, cols), pa.array(cost)], ["c", "haa", "hbb", "hab", "ga", "gb", "cost"])
 
     return run
 
 
+# small graphs, many at a time
+
+
+def _settled(model: str, graphs: list[dict], most: int, tolerance: float) -> Iterator[dict]:
+    """What each of many small graphs becomes: its constraints are linearised with those of the others, its equations solved at once.
+
+    A constraint with a node that is not there does not count; a node without
+    constraints stays. A graph stops once its parameters no longer change.
+    """
+    d = DIMENSIONS[model]
+    first, place, held, nodes = [], [], {}, []
+    for g, graph in enumerate(graphs):
+        first.append(len(nodes))
+        place.append({n["node"]: len(nodes) + k for k, n in enumerate(graph["nodes"])})
+        nodes += graph["nodes"]
+        for c in graph["rules"] or []:
+            if c["a"] in place[g] and c["b"] in place[g]:
+                held.setdefault(c["kind"], []).append((g, place[g][c["a"]], place[g][c["b"]], c["m"], c["s"]))
+    first.append(len(nodes))
+    base = np.array([n["pose"] for n in nodes], float).reshape(-1, 16)
+    free = np.array([n["free"] or [True] * d for n in nodes], float)
+    x = started(model, base)
+    kinds = {k: (*(np.array([c[i] for c in v]) for i in range(3)), *(np.array([c[i] for c in v], float).reshape(len(v), -1) for i in (3, 4))) for k, v in held.items()}
+    named = np.zeros(len(nodes), bool)
+    for _, a, b, _, _ in kinds.values():
+        named[a] = named[b] = True
+    open_, before, after = np.ones(len(graphs), bool), np.full(len(graphs), np.nan), np.full(len(graphs), np.nan)
+
+    counts = np.add.reduceat(named.astype(int), first[:-1])
+    of_node = np.repeat(np.arange(len(graphs)), np.diff(first))
+    local = np.cumsum(named) - 1 - np.concatenate(([0], np.cumsum(counts)))[of_node]  # a named node's place among its graph's
+
+    def system(wanted: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
+        h, g, cross = np.zeros((len(nodes), d, d)), np.zeros((len(nodes), d)), []
+        sums, met = np.zeros(len(graphs)), np.zeros(len(graphs), bool)
+        for kind, (of, a, b, m, s) in kinds.items():
+            on = wanted[of]
+            if not on.any():
+                continue
+            of, a, b = of[on], a[on], b[on]
+            (haa, hbb, hab, ga, gb), worth = _blocks(model, kind, m[on], s[on], [base[a], base[b]], [x[a], x[b]], [free[a], free[b]])
+            np.add.at(sums, of, worth)
+            met[of] = True
+            for at, block, down in ((a, haa, ga), (b, hbb, gb)):
+                np.add.at(h, at, block.reshape(-1, d, d))
+                np.add.at(g, at, down)
+            two = a != b
+            cross.append((of[two], local[a[two]], local[b[two]], hab.reshape(-1, d, d)[two]))
+        cost[met] = sums[met]
+        h[:, range(d), range(d)] += 1.0 - free
+        return h, g, cross
+
+    for n in range(most):
+        open_ &= counts > 0
+        if not open_.any():
+            break
+        h, g, cross = system(open_, before if n == 0 else np.empty(len(graphs)))
+        for size in np.unique(counts[open_]):
+            chosen = np.flatnonzero(open_ & (counts == size))
+            slot = np.full(len(graphs), -1)
+            slot[chosen] = np.arange(len(chosen))
+            whole = np.zeros((len(chosen), size, size, d, d))
+            at = np.flatnonzero(named & (slot[of_node] >= 0))
+            whole[slot[of_node[at]], local[at], local[at]] = h[at]
+            for of, p, q, block in cross:
+                here = slot[of] >= 0
+                where = slot[of[here]], p[here], q[here]
+                np.add.at(whole, where, block[here])
+                np.add.at(whole, (where[0], where[2], where[1]), np.swapaxes(block[here], 1, 2))
+            dx = _solved(np.swapaxes(whole, 2, 3).reshape(len(chosen), size * d, size * d), -g[at].reshape(len(chosen), size * d))
+            x[at] += dx.reshape(-1, d)
+            open_[chosen] = np.abs(dx).max(axis=1) > tolerance
+    system(np.ones(len(graphs), bool), after)
+    pose = joined(posed(model, base, x)).reshape(-1, 16)
+    for k, graph in enumerate(graphs):
+        out = [{"node": n["node"], "x": x[first[k] + i].tolist(), "pose": pose[first[k] + i].tolist()} for i, n in enumerate(graph["nodes"])]
+        known = lambda v: None if np.isnan(v) else float(v)
+        yield {c: v for c, v in graph.items() if c not in ("nodes", "rules")} | {"nodes": out, "before": known(before[k]), "after": known(after[k])}
+
+
+def _solved(h: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """h x = y of many systems: by factors where they all are well positive definite, else of all answers the shortest of each."""
+    try:
+        size = np.diagonal(np.linalg.cholesky(h), axis1=1, axis2=2)
+        if (size.min(axis=1) > 1e-4 * size.max(axis=1)).all():
+            return np.linalg.solve(h, y[..., None])[..., 0]
+    except np.linalg.LinAlgError:
+        pass
+    if len(h) > 1:
+        return np.concatenate([_solved(h[k : k + 1], y[k : k + 1]) for k in range(len(h))])
+    return np.linalg.lstsq(h[0], y[0], rcond=None)[0][None]
+
+
+#: Small graphs whose constraints are linearised together.
+TOGETHER = 500
+
+
+def _small(nodes: DataFrame, constraints: DataFrame, keys: list[str], model: str, most: int, tolerance: float) -> DataFrame:
+    """(by, nodes, before, after) of graphs of CORE nodes and RULES constraints at most: each is a row that any task takes."""
+    head, block = typed(nodes, keys), "array<double>"
+    schema = f"{head}, nodes array<struct<node: long, x: {block}, pose: {block}>>, before double, after double"
+    arrow = to_arrow_schema(nodes.sparkSession.createDataFrame([], schema).schema)
+    own = nodes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("node").cast("long").alias("node"), "pose", "free"))).alias("nodes"))
+    rules = constraints.groupBy(*keys).agg(F.collect_list(F.struct("a", "b", "kind", "m", "s")).alias("rules"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, TOGETHER):
+                yield pa.RecordBatch.from_pylist(list(_settled(model, batch.slice(start, TOGETHER).to_pylist(), most, tolerance)), schema=arrow)
+
+    return own.join(rules, keys, "left").mapInArrow(run, schema)
+
+
 # block systems
 
 
@@ -270,9 +393,31 @@ def optimise(nodes: DataFrame, constraints: DataFrame, by: Sequence[str], model:
     parameters may change; null for all) become (by, node, x, pose); graphs
     (by, before, after). A node that no constraint names, or whose parameters
     are all fixed, keeps its pose. A graph whose parameters no longer change
-    stops, the others go on; ``most`` steps at most.
+    stops, the others go on; ``most`` steps at most. Graphs of CORE nodes and
+    RULES constraints at most are solved by a task each, larger ones in rounds
+    that all tasks take part in.
     """
-    keys, d = list(by), DIMENSIONS[model]
+    keys = list(by)
+    nodes = nodes if "free" in nodes.columns else nodes.withColumn("free", F.lit(None).cast("array<boolean>"))
+    held = constraints.select(*keys, F.col("a").cast("long").alias("a"), F.coalesce(F.col("b"), F.col("a")).cast("long").alias("b"), "kind", "m", "s")
+    sizes = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).join(held.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")), keys, "left")
+    large = materialize(sizes.where((F.col("_n") > CORE) | (F.coalesce("_c", F.lit(0)) > RULES)).select(*keys), "large")
+    if large.isEmpty():
+        return _parts(_small(nodes, held, keys, model, most, tolerance), keys)
+    of = lambda df, how: df.join(large, keys, how)
+    small, graphs = _parts(_small(of(nodes, "left_anti"), of(held, "left_anti"), keys, model, most, tolerance), keys)
+    more, others = _in_rounds(of(nodes, "left_semi"), of(held, "left_semi"), keys, model, most, tolerance)
+    return small.unionByName(more), graphs.unionByName(others)
+
+
+def _parts(found: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    found = materialize(found, "solved")
+    return found.select(*keys, F.explode("nodes").alias("_n")).select(*keys, "_n.*"), found.where("before IS NOT NULL").select(*keys, "before", "after")
+
+
+def _in_rounds(nodes: DataFrame, constraints: DataFrame, keys: list[str], model: str, most: int, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """As optimise, over tables of constraints and blocks, for graphs of any size."""
+    by, d = keys, DIMENSIONS[model]
     head, block = typed(nodes, keys), "array<double>"
 
     def begun(row: dict) -> dict:
@@ -280,9 +425,8 @@ def optimise(nodes: DataFrame, constraints: DataFrame, by: Sequence[str], model:
         free = [float(f) for f in row["free"]] if row["free"] else [1.0] * d
         return {k: row[k] for k in (*keys, "node")} | {"base": base.tolist(), "x": started(model, base[None])[0].tolist(), "free": free, "open": True}
 
-    nodes = nodes if "free" in nodes.columns else nodes.withColumn("free", F.lit(None).cast("array<boolean>"))
     state = materialize(rows(nodes.select(*keys, F.col("node").cast("long").alias("node"), "pose", "free"), begun, f"{head}, node long, base {block}, x {block}, free {block}, open boolean"), "nodes")
-    held = materialize(constraints.select(*keys, F.col("a").cast("long").alias("a"), F.coalesce(F.col("b"), F.col("a")).cast("long").alias("b"), "kind", "m", "s").withColumn("c", F.monotonically_increasing_id()), "constraints")
+    held = materialize(constraints.withColumn("c", F.monotonically_increasing_id()), "constraints")
     side = lambda state, n: state.select(*keys, F.col("node").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("base", "x", "free")))
     schema = "c long, haa array<double>, hbb array<double>, hab array<double>, ga array<double>, gb array<double>, cost double"
 
