@@ -7,7 +7,7 @@ clockwise, holes clockwise. ``cells.outline_edges`` and ``outline_of`` make them
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,7 +112,7 @@ def clipped(ring: Column, convex: Column) -> Column:
     Of a ring that is not convex several pieces may hang together by edges
     that run to and fro; its area is right nevertheless.
     """
-    turned = lambda r: F.concat(F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, F.lit(1), F.lit(1)))
+    turned = _turned
     pairs = lambda r: F.zip_with(r, turned(r), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
     point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     ring, convex = (F.transform(r, lambda p: point(p["x"].cast("double"), p["y"].cast("double"))) for r in (ring, convex))
@@ -122,22 +122,33 @@ def clipped(ring: Column, convex: Column) -> Column:
 
         def step(pair: Column) -> Column:
             p, q = pair["p"], pair["q"]
-            a, b = side(p), side(q)
+            a, b = p["s"], q["s"]
             t = a / F.nullif(a - b, F.lit(0.0))
-            own = F.when(a >= 0, F.array(p)).otherwise(F.slice(F.array(p), F.lit(1), F.lit(0)))
-            passed = F.when((a >= 0) != (b >= 0), F.array(point(p["x"] + t * (q["x"] - p["x"]), p["y"] + t * (q["y"] - p["y"])))).otherwise(F.slice(F.array(p), F.lit(1), F.lit(0)))
-            return F.concat(own, passed)
+            here = point(p["v"]["x"], p["v"]["y"])
+            there = F.when((a >= 0) != (b >= 0), point(p["v"]["x"] + t * (q["v"]["x"] - p["v"]["x"]), p["v"]["y"] + t * (q["v"]["y"] - p["v"]["y"])))
+            return F.array(F.when(a >= 0, here), there)
 
-        return F.flatten(F.transform(pairs(held), step))
+        # each corner's side is taken once, and the ring is bound before it is turned
+        sided = F.transform(held, lambda v: F.struct(v.alias("v"), side(v).alias("s")))
+        return _once(sided, lambda r: F.array_compact(F.flatten(F.transform(pairs(r), step))))
 
-    return F.aggregate(pairs(convex), ring, cut)
+    return F.aggregate(_once(convex, pairs), ring, cut)
+
+
+def _turned(ring: Column) -> Column:
+    """The ring from its second corner on."""
+    return F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, F.lit(1), F.lit(1)))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value computed once a row however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def signed_area(ring: Column) -> Column:
     """Area of an array of (x, y), above 0 for a counter-clockwise ring."""
     cross = lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]
-    turned = F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, F.lit(1), F.lit(1)))
-    return F.aggregate(F.zip_with(ring, turned, cross), F.lit(0.0), lambda s, c: s + c) / 2
+    return F.aggregate(_once(ring, lambda r: F.zip_with(r, _turned(r), cross)), F.lit(0.0), lambda s, c: s + c) / 2
 
 
 def edges_of_boxes(boxes: DataFrame, by: Sequence[str]) -> DataFrame:
