@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline import session
+
 
 def sessions(df: DataFrame, by: Sequence[str], on: Column, gap: float, tie: str, out: str = "session") -> DataFrame:
     """Numbers runs of rows no further than ``gap`` apart, from 0 within each key."""
@@ -17,7 +19,13 @@ def sessions(df: DataFrame, by: Sequence[str], on: Column, gap: float, tie: str,
 
 
 def islands(df: DataFrame, by: Sequence[str], index: str, value: str) -> DataFrame:
-    """(by, value, first, last, n): runs of equal values at consecutive integer indexes."""
+    """(by, value, first, last, n): runs of equal values at consecutive integer indexes.
+
+    Large tables are dealt to as many tasks as their rows ask for.
+    """
+    rows = df.count()
+    if rows > session.ROWS_A_TASK:
+        df = df.select(*by, index, value).repartition(session.tasks_of(df.sparkSession, rows), *by, value)
     same = Window.partitionBy(*by, value).orderBy(index)
     run = F.col(index) - F.row_number().over(same)
     runs = df.withColumn("_run", run).groupBy(*by, value, "_run").agg(F.min(index).alias("first"), F.max(index).alias("last"), F.count(F.lit(1)).alias("n"))
