@@ -4,7 +4,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import joins
+from plumbline import session
+from plumbline.operators import joins, quantiles, rings, shapes, windows
 
 
 def test_nearest_of_other_kind(spark):
@@ -20,3 +21,35 @@ def test_nearest_of_other_kind(spark):
             want[i] = (best[1], best[0])
     assert {i: o for i, (o, _) in got.items()} == {i: o for i, (o, _) in want.items()}
     assert all(abs(got[i][1] - want[i][1]) < 1e-12 for i in want)
+
+
+def test_hot_keys_are_dealt_and_results_stay(spark, monkeypatch):
+    """With every key taken as hot, robust spreads, directions, means and centred quantiles are as before, and a key's rows stay in many tasks."""
+    rows = spark.range(0, 3000, 1, 6).select((F.col("id") % 2).alias("k"), (F.col("id") * 7919 % 1009 / 10).alias("x"), (1.0 + F.col("id") % 3).alias("w"), F.lit(50.0).alias("start"))
+    ways = {
+        "sigma": lambda: quantiles.robust_sigma(rows, ["k"], "x"), "turn": lambda: shapes.refined_manhattan_angle(rows, ["k"], "x", "w"),
+        "mean": lambda: quantiles.trimmed_mean(rows, ["k"], "x", "w", "start", 30.0), "centred": lambda: quantiles.centred_quantiles(rows, ["k"], {"a": ("x", "w", 0.1), "b": ("x", "w", 0.9)}),
+    }
+    round_off = lambda df: sorted(tuple(round(v, 9) for v in r) for r in df.collect())
+    cold = {name: round_off(way()) for name, way in ways.items()}
+    monkeypatch.setattr(session, "ROWS_A_TASK", 100)
+    assert {name: round_off(way()) for name, way in ways.items()} == cold
+    met = joins.join_few(rows, rows.groupBy("k").agg(F.max("x").alias("top")), ["k"], joins.hot_keys(rows, ["k"]))
+    assert met.count() == 3000 and met.select("k", F.spark_partition_id()).distinct().count() == 12
+
+
+def test_islands_of_a_large_table(spark, monkeypatch):
+    rows = spark.range(0, 2000).select((F.col("id") % 50).alias("k"), F.col("id").alias("i"), (F.col("id") % 3).alias("v"))
+    one = sorted(map(tuple, windows.islands(rows, ["k"], "i", "v").collect()))
+    monkeypatch.setattr(session, "ROWS_A_TASK", 100)
+    many = windows.islands(rows, ["k"], "i", "v")
+    assert sorted(map(tuple, many.collect())) == one and many.rdd.getNumPartitions() == 20
+
+
+def test_a_cut_ring_is_named_once(spark):
+    """The area of a clipped ring evaluates the cutting once, not once for each time the ring is named."""
+    ring = F.expr("array(named_struct('x', 0D, 'y', 0D), named_struct('x', 4D, 'y', 0D), named_struct('x', 4D, 'y', 4D), named_struct('x', 0D, 'y', 4D))")
+    box = F.expr("array(named_struct('x', 1D, 'y', 1D), named_struct('x', 3D, 'y', 1D), named_struct('x', 3D, 'y', 6D), named_struct('x', 1D, 'y', 6D))")
+    area = rings.signed_area(rings.clipped(ring, box))
+    assert spark.range(1).select(area).first()[0] == 6.0
+    assert area._jc.toString().count("aggregate") <= 3
