@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline import session
 from plumbline.operators import joins, quantiles, rings, shapes, windows
+from plumbline.plans import rules
 
 
 def test_nearest_of_other_kind(spark):
@@ -53,3 +54,35 @@ def test_a_cut_ring_is_named_once(spark):
     area = rings.signed_area(rings.clipped(ring, box))
     assert spark.range(1).select(area).first()[0] == 6.0
     assert area._jc.toString().count("aggregate") <= 3
+
+
+def test_regions_of_a_crowded_plan_cell_stay_where_they_are(spark, monkeypatch):
+    """Distances to a few objects: a region is dealt to its own plan cell alone, and a cell of many stays in many tasks."""
+    rows = [(1, i, i % 7 * 0.1 + 0.05, i % 5 * 0.15 + 0.05, i % 7 * 0.1 + 0.1, i % 5 * 0.15 + 0.05, 0.0, 1.0) for i in range(60)]
+    put = lambda name, of: spark.createDataFrame(of, f"capture_id int, {name} int, ax double, ay double, bx double, by double, z0 double, z1 double")
+    places = [(0, 1.7, 0.5), (1, -0.6, 0.2), (2, 0.4, 1.6), (3, 2.5, 2.5)]
+    few = put("o", [(1, k, x, y, x, y, 0.5, 0.5) for k, x, y in places])
+    dealt = []
+    monkeypatch.setattr(session, "ROWS_A_TASK", 10)
+    monkeypatch.setattr(rules, "join_few", lambda *x: dealt.append((x[0], x[3])) or joins.join_few(*x))
+    got = {(r.d, r.o): r.distance for r in rules.prism_distances(put("d", rows), few, "d", "o").collect()}
+    gap = lambda r, x, y: math.hypot(max(r[2] - x, x - r[4], 0), r[3] - y)
+    want = {(r[1], k): g for r in rows for k, x, y in places if (g := gap(r, x, y)) <= 1}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert dealt[0][0].count() == 60 and dealt[0][1].count() == 1
+
+
+def test_corners_of_many_regions_of_a_wall(spark, monkeypatch):
+    """Least distance of corners against all pairs of them, with every wall taken as hot."""
+    monkeypatch.setattr(session, "ROWS_A_TASK", 5)
+    rows = [(1, i, "W0", i * 0.07, i * 0.07 + 0.2, i % 4 * 0.3, i % 4 * 0.3 + 0.5) for i in range(40)]
+    damage = spark.createDataFrame(rows, "capture_id int, damage_id int, surface_id string, u0 double, u1 double, v0 double, v1 double")
+    held = [("O1", "door", 0.5, 0.8, 2.0, None), ("O2", "window", 1.9, 0.6, 1.0, 0.9), ("O3", "window", 0.1, 0.3, 0.5, 1.0)]
+    openings = spark.createDataFrame([(1, "W0", *h) for h in held], "capture_id int, wall_id string, opening_id string, type string, offset double, width double, height double, sill double")
+    got = {(r.damage_id, r.type): r.distance for r in rules.corner_distances(damage, openings).collect()}
+    want = {}
+    for _, i, _, u0, u1, v0, v1 in rows:
+        for _, kind, at, w, h, sill in held:
+            gaps = [math.hypot(u - p, v - q) for u in (u0, u1) for v in (v0, v1) for p in (at, at + w) for q in (sill or 0.0, (sill or 0.0) + h)]
+            want[i, kind] = min(*gaps, want.get((i, kind), math.inf))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
