@@ -40,7 +40,8 @@ from pyspark.sql import functions as F
 from plumbline.operators.graph import components
 
 from .near_dedup import _across, _confirm, _Links, _open, _profiles, _stars
-from .shared import discard, materialize
+from .shared import discard, materialize, small_batches
+from .suffix_dedup import _bucketed
 from .textkit import U64, constants, mix, shingle_sets
 
 #: A band reaches from its least size up to this many times it.
@@ -110,18 +111,37 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)))
 
 
-def _sketched(size: int, percent: int):
+def _counted(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, sets in shingle_sets(batch.column("text"), size):
-                own = [batch.column(c).slice(row, len(sets)) for c in ("doc_id", "text_key")]
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                posts = [posted(s, percent) for s in sets]
-                flat = [p for of in posts for p in of]
-                bands = pa.StructArray.from_arrays([pa.array([k for k, _, _ in flat], pa.int32()), pa.array([n for _, n, _ in flat], pa.int32()), _lists([x for _, _, x in flat])], ["band", "need", "tokens"])
-                ends = pa.array(np.concatenate(([0], np.cumsum([len(of) for of in posts]))), pa.int32())
-                columns = [*own, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(ends, bands), _lists([folded(s) for s in sets])]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n_shingles", "digest", "keys", "bits"])
+                own = [batch.column(c).slice(row, len(sets)) for c in ("doc_id", "text_key")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "text_key", "n_shingles", "digest"])
+
+    return run
+
+
+def _posted(size: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, sets in shingle_sets(batch.column("text"), size):
+                own = batch.column("id").slice(row, len(sets))
+                posts = [[own.take(pa.array([i])), k, need, keys] for i, s in enumerate(sets) for k, need, keys in posted(s, percent)]
+                if posts:
+                    ids, bands, needs, keys = zip(*posts, strict=True)
+                    columns = [pa.concat_arrays(ids), pa.array(bands, pa.int32()), pa.array(needs, pa.int32()), _lists(list(keys))]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "band", "need", "tokens"])
+
+    return run
+
+
+def _folded(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, sets in shingle_sets(batch.column("text"), size):
+                columns = [batch.column("id").slice(row, len(sets)), pa.array([len(s) for s in sets], pa.int64()), _lists([folded(s) for s in sets])]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "bits"])
 
     return run
 
@@ -166,9 +186,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     """
     if not 75 <= percent <= 100:
         raise ValueError("percent from 75 to 100")
-    key, text = F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key, text)
-    kept = materialize(rows.mapInArrow(_sketched(size, percent), "doc_id long, text_key long, n_shingles long, digest binary, keys array<struct<band: int, need: int, tokens: array<long>>>, bits array<long>"), "sketches")
+    small_batches(docs.sparkSession)
+    doc, key, text = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")), F.col("text").cast("string").alias("text")
+    # texts move once, here: every later step reads them where they lie, and makes again what it needs of their sets
+    rows = _bucketed(docs.select(F.coalesce(doc, key).alias("id"), doc.alias("doc_id"), key.alias("text_key"), text), ("id",))
+    kept = materialize(rows.select("doc_id", "text_key", "text").mapInArrow(_counted(size), "doc_id long, text_key long, n_shingles long, digest binary"), "sizes")
     named = kept.where("doc_id IS NOT NULL AND n_shingles > 0")
     first = named.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("one")).select("digest", F.col("one.doc_id").alias("id"), F.col("one.text_key").alias("text_key"))
     first = materialize(first, "classes")
@@ -178,19 +200,22 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     several = member.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("last")).where("a < last")
     own = member.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("class_id").alias("b")).where("a < b").distinct()
 
-    # a class has the sketch of its first row; rows that repeat it are the same
-    classes = named.select(F.col("doc_id").alias("id"), "digest", F.col("n_shingles").alias("n"), "bits", "keys").join(first, ["id", "digest"], "left_semi")
+    # a class has the text of its first row; rows that repeat it are the same
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        one = wanted.groupBy("id").agg(F.collect_set("text_key").alias("keys"))
+        own = rows.where("doc_id IS NOT NULL").join(one.hint("merge"), "id").where(F.array_contains("keys", F.col("text_key")))
+        return own.dropDuplicates(["id", "text_key"]).select("id", "text")
+
+    sketched = texts_of(first).mapInArrow(_posted(size, percent), "id long, band int, need int, tokens array<long>")
     # one exchange serves both the count of a list and its members
-    dealt = classes.select("id", F.explode("keys").alias("k")).select("id", "k.band", "k.need", F.explode("k.tokens").alias("token")).repartition("token")
+    dealt = sketched.select("id", "band", "need", F.explode("tokens").alias("token")).repartition("token")
     lists = dealt.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("token", "df")
     shared = dealt.join(lists, "token").groupBy("id", "band").agg(F.max("need").alias("need"), F.sort_array(F.collect_set(F.struct("df", "token"))).alias("ts")).where(F.size("ts") >= F.col("need"))
     posts = shared.select("id", F.explode(F.slice("ts", F.lit(1), F.size("ts") - F.col("need") + 1)).alias("t")).select("id", F.col("t.token").alias("token"))
     posts = materialize(posts, "posts")
     met = posts.select("id").distinct()
-    classes = materialize(classes.drop("keys", "digest").join(met, "id", "left_semi").dropDuplicates(["id"]), "classes")
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), key, text).join(first.join(met, "id", "left_semi").select("id", "text_key"), ["id", "text_key"], "left_semi")
-    texts = materialize(texts.dropDuplicates(["id", "text_key"]).select("id", "text"), "texts")
+    texts = texts_of(first.join(met, "id", "left_semi"))
+    classes = materialize(texts.mapInArrow(_folded(size), "id long, n long, bits array<long>").dropDuplicates(["id"]), "classes")
     links = _Sketched(classes, texts, size, percent)
 
     edges = materialize(links.confirm(_stars(posts, 0)).union(own), "links")
@@ -202,7 +227,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
         open_posts = _open(open_posts, materialize(components(edges), "components"))
         edges = materialize(edges.union(links.confirm(_across(open_posts, profiles, percent))), "links")
     comps = materialize(components(edges), "components")
-    discard(kept, first, classes, posts, texts, edges, *links.used)
+    discard(kept, first, classes, posts, rows, edges, *links.used)
 
     member = member.join(comps.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
     return member.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id")).alias("component_id"))

@@ -109,3 +109,14 @@ def test_texts_of_one_document_are_linked(spark):
     rows = [(5, a), (7, a), (7, b), (9, b), (7, None), (11, c), (11, ""), (12, c)]
     got = {(r.doc_id, r.component_id) for r in jaccard_components(documents(spark, rows), 4, 85).collect() if r.n_shingles}
     assert got == {(5, 5), (7, 5), (9, 5), (11, 11), (12, 11)}
+
+
+def test_texts_move_once(spark, monkeypatch):
+    """Neither the keys of sets nor the texts of classes are written: both are made from the one table of texts."""
+    from plumbline.llm import jaccard_join
+
+    plans, write = {}, jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df, name: plans.setdefault(name, df) and write(df, name))
+    docs = spark.createDataFrame([(i, f"a b c d e f g h i j k{i % 3} l m n o p q r s t") for i in range(9)], "doc_id long, text string")
+    assert jaccard_join.jaccard_components(docs, 4, 85).count() == 9
+    assert not {"sketches", "texts"} & plans.keys()
