@@ -97,3 +97,13 @@ def test_text_without_broken_characters(spark):
     texts = ["xé" + "b" * 30 + "漢字" * 200, "yé" + "c" * 31 + "漢字" * 200]
     for r in remove_repeats(documents(spark, enumerate(texts)), 401, as_text=True).collect():
         assert "�" not in r.kept and hashlib.sha256(r.kept.encode())
+
+
+def test_crowded_grams_take_one_python_worker_a_task(spark, monkeypatch):
+    """Cuts and their stretches are made by one Python step: a task of two in a row would hold two workers."""
+    plans, write = [], suffix_dedup.materialize
+    monkeypatch.setattr(suffix_dedup, "large_group", lambda length: 1)
+    monkeypatch.setattr(suffix_dedup, "materialize", lambda df, name: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or write(df, name))
+    check(spark, mixed(5))
+    steps = {name: plan.count("MapInArrow") for name, plan in plans}
+    assert steps["stretches"] == 1
