@@ -229,5 +229,5 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     comps = materialize(components(edges), "components")
     discard(kept, first, classes, posts, rows, edges, *links.used)
 
-    member = member.join(comps.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
+    member = member.join(comps.select(F.col("node").alias("class_id"), "component").hint("merge"), "class_id", "left")
     return member.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id")).alias("component_id"))

@@ -281,7 +281,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     comps = materialize(components(edges), "components")
     discard(signed, classes, posts, texts, edges, *links.used)
 
-    member = member.join(comps.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
+    # planned by the caller, who may go by the size of the files
+    member = member.join(comps.select(F.col("node").alias("class_id"), "component").hint("merge"), "class_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id"))
     return member.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")

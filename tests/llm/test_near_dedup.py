@@ -2,6 +2,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import DataFrameWriter
 
 from plumbline.llm import near_dedup
 from plumbline.llm.near_dedup import near_duplicates
@@ -107,3 +108,21 @@ def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(200, 200)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}}
+
+
+def test_no_table_is_broadcast_by_a_guess_of_its_size(spark, monkeypatch):
+    """A signature's file is small beside its exploded tokens, which the driver would have to hold."""
+    plans, write = [], DataFrameWriter.parquet
+
+    def kept(self, *args, **more):
+        plans.append(self._df._jdf.queryExecution().sparkPlan().toString())
+        return write(self, *args, **more)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", kept)
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(c, None) for c in names]
+    found = near_duplicates(documents(spark, [(1, words(1, 90)), (2, words(1, 90) + " more"), (3, words(3, 80))]), 5, 80)
+    assert {r.doc_id: r.kept for r in found.collect()} == {1: True, 2: False, 3: True}
+    plans.append(found._jdf.queryExecution().sparkPlan().toString())
+    assert any("Generate explode" in p or "Generate posexplode" in p for p in plans)
+    assert not [p for p in plans if "Broadcast" in p] and [spark.conf.get(c, None) for c in names] == before
