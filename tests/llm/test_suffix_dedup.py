@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 
 from plumbline.llm import suffix_dedup
 from plumbline.llm.suffix_dedup import SuffixSort, prefix_hashes, remove_repeats
@@ -107,3 +108,18 @@ def test_crowded_grams_take_one_python_worker_a_task(spark, monkeypatch):
     check(spark, mixed(5))
     steps = {name: plan.count("MapInArrow") for name, plan in plans}
     assert steps["stretches"] == 1
+
+
+def test_no_table_is_broadcast_by_a_guess_of_its_size(spark, monkeypatch):
+    """Files of ranges compress well; what they hold is not sent through the driver unmeasured."""
+    plans, write = [], DataFrameWriter.parquet
+
+    def kept(self, *args, **more):
+        plans.append(self._df._jdf.queryExecution().sparkPlan().toString())
+        return write(self, *args, **more)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", kept)
+    found = remove_repeats(documents(spark, [(1, words(1, 90) + words(2, 90)), (2, words(3, 90) + words(2, 90)), (3, words(4, 80))]), 400)
+    assert {r.doc_id: r.n_removed > 0 for r in found.collect()} == {1: True, 2: True, 3: False}
+    plans.append(found._jdf.queryExecution().sparkPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans) and not [p for p in plans if "Broadcast" in p]
