@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from plumbline.plans import scope
@@ -84,3 +85,21 @@ def test_repairs(spark):
     assert [r.ref for r in null_dangling(df, "ref", df, "id", ["c"]).orderBy("o").collect()] == [None, "B", None]
     m = spark.range(1).select(measure(F.lit(2.0), F.lit(None).cast("double"), F.lit(1.5), "m").alias("m")).first().m
     assert (m.value, m.lo, m.hi) == (2.0, 2.0, 2.0)
+
+
+def test_regions_of_a_flag_do_not_carry_its_list(spark, sf_dir, monkeypatch):
+    """A flag of n regions would be n lists of n ids, and its regions, small as a file, would go through the driver."""
+    from plumbline.queries import QUERIES
+
+    written, write = [], DataFrameWriter.parquet
+
+    def kept(self, path, *args, **more):
+        written.append((path.rpartition("/")[2], self._df.columns, self._df._jdf.queryExecution().sparkPlan().toString()))
+        return write(self, path, *args, **more)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", kept)
+    assert QUERIES["line_items_all"](spark, sf_dir).where("n_flags > 0 AND n_damage > 1").count() > 0
+    hits = [(columns, plan) for path, columns, plan in written if path.startswith("hits-")]
+    assert len(hits) == 17 and not any("damage_ids" in columns for columns, _ in hits)
+    guessed = [plan for path, _, plan in written if path.startswith(("hits-", "regions-", "segments-")) and "Broadcast" in plan]
+    assert not guessed
